@@ -1,2 +1,161 @@
+"""Registered factor-model queries: md5 initialisation, half-steps (SQL
+checked at k = 2), full hand-written ALS loops, library ALS, tuning and
+recommendation."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.hashing import sql_uniform_factor
+from ..functions.vectors import dot
+from ..operators import factors as FA
+from ..operators import library_als as LA
+from ..operators import metrics as MX
+from ..operators import recommend as RC
+from ..operators import tuning as TU
+from ..sources import tables as T
+from .common import r6
+
 QUERIES: dict = {}
 ORACLE: dict = {}
+
+SEED = 45
+REG = 0.1
+
+
+def register(name, sql=None):
+    def deco(fn):
+        QUERIES[name] = fn
+        if sql is not None:
+            ORACLE[name] = sql
+        return fn
+    return deco
+
+
+def _user_spine(spark, sf_dir):
+    return T.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+
+
+def _item_spine(spark, sf_dir):
+    return T.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
+
+
+def _factor_sql(side: str, table: str, key: str, rank: int, prefix: str) -> str:
+    cols = ", ".join(f"{sql_uniform_factor(SEED, side, key, i)} AS {prefix}{i}" for i in range(rank))
+    return f"SELECT {key} AS id, {cols} FROM {table}"
+
+
+def _dot_sql(a: str, b: str, rank: int) -> str:
+    return " + ".join(f"{a}.f{i} * {b}.f{i}" for i in range(rank))
+
+
+# ------------------------------------------------------------ M7 / A6 / A8
+@register("q_factor_init", f"""
+SELECT id AS user_id, {", ".join(f"round(f{i}, 6) AS f{i}" for i in range(4))}
+FROM ({_factor_sql("user", "customer", "c_custkey", 4, "f")})""")
+def q_factor_init(spark, sf_dir):
+    """M7: rank-4 user factors 5·U[0,1) from md5(seed:side:id:i)."""
+    f = FA.init_factors(_user_spine(spark, sf_dir), "id", 4, "user", SEED)
+    return f.select(F.col("id").alias("user_id"), *[r6(F.col("f")[i]).alias(f"f{i}") for i in range(4)])
+
+
+@register("q_factor_rmse", T.with_views("inter") + f""",
+u AS ({_factor_sql("user", "customer", "c_custkey", 4, "f")}),
+v AS ({_factor_sql("item", "part", "p_partkey", 4, "f")})
+SELECT round(sqrt(avg(power(i.rating - ({_dot_sql("u", "v", 4)}), 2))), 6) AS rmse, count(*) AS n
+FROM inter i JOIN u ON i.user_id = u.id JOIN v ON i.item_id = v.id WHERE i.bucket >= 8""")
+def q_factor_rmse(spark, sf_dir):
+    """RMSE straight from factor tables (dot product per test row)."""
+    u = FA.init_factors(_user_spine(spark, sf_dir), "id", 4, "user", SEED)
+    v = FA.init_factors(_item_spine(spark, sf_dir), "id", 4, "item", SEED)
+    test = T.inter(spark, sf_dir).where(F.col("bucket") >= 8)
+    s = FA.score(u, v, test)
+    return s.agg(r6(F.sqrt(F.avg(F.pow(F.col("rating") - F.col("prediction"), 2)))).alias("rmse"),
+                 F.count(F.lit(1)).alias("n"))
+
+
+@register("q_keyed_vector_sum", T.with_views("inter") + f""",
+v AS ({_factor_sql("item", "part", "p_partkey", 4, "f")})
+SELECT i.user_id, {", ".join(f"round(sum(i.rating * v.f{a}), 6) AS b{a}" for a in range(4))}
+FROM inter i JOIN v ON i.item_id = v.id WHERE i.bucket < 8 GROUP BY i.user_id""")
+def q_keyed_vector_sum(spark, sf_dir):
+    """A8 + J9: Σ r·y_i per user over training rows (duplicates summed)."""
+    v = FA.init_factors(_item_spine(spark, sf_dir), "id", 4, "item", SEED)
+    train = T.inter(spark, sf_dir).where(F.col("bucket") < 8)
+    j = train.join(v.withColumnRenamed("id", "item_id"), "item_id")
+    return j.groupBy("user_id").agg(*[r6(F.sum(F.col("rating") * F.col("f")[a])).alias(f"b{a}")
+                                      for a in range(4)])
+
+
+# ------------------------------------------------------------- half-steps
+def _train_cells_sql() -> str:
+    return """r AS (SELECT user_id, item_id, avg(rating) AS rating FROM inter WHERE bucket < 8 GROUP BY 1, 2)"""
+
+
+_Y2 = _factor_sql("item", "part", "p_partkey", 2, "y")
+
+
+@register("q_masked_halfstep", T.with_views("inter") + f""",
+{_train_cells_sql()},
+y AS ({_Y2}),
+s AS (SELECT r.user_id, sum(y0 * y0) + 0.1e0 AS a, sum(y0 * y1) AS b, sum(y1 * y1) + 0.1e0 AS d,
+             sum(rating * y0) AS p, sum(rating * y1) AS q
+      FROM r JOIN y ON r.item_id = y.id WHERE r.rating > 0.5 GROUP BY r.user_id)
+SELECT c.c_custkey AS user_id,
+       round(coalesce((d * p - b * q) / (a * d - b * b), 0e0), 6) + 0e0 AS x0,
+       round(coalesce((a * q - b * p) / (a * d - b * b), 0e0), 6) + 0e0 AS x1,
+       s.user_id IS NULL AS cold
+FROM customer c LEFT JOIN s ON c.c_custkey = s.user_id""")
+def q_masked_halfstep(spark, sf_dir):
+    """M6, first user half-step at k = 2 from md5 item factors (λ = 0.1)."""
+    r = FA.prepare_ratings(T.inter(spark, sf_dir).where(F.col("bucket") < 8))
+    items = _item_spine(spark, sf_dir)
+    y = FA.init_factors(items, "id", 2, "item", SEED)
+    n_items = items.count()
+    x = FA.masked_half_step(r, y, "user_id", "item_id", 2, REG, n_items)
+    x = FA.with_cold(x, _user_spine(spark, sf_dir), 2)
+    return x.select(F.col("id").alias("user_id"), *[(r6(F.col("f")[a]) + 0.0).alias(f"x{a}") for a in range(2)],
+                    "cold")
+
+
+@register("q_zero_filled_halfstep", T.with_views("inter") + f""",
+{_train_cells_sql()},
+y AS ({_Y2}),
+g AS (SELECT sum(y0 * y0) + 0.1e0 AS a, sum(y0 * y1) AS b, sum(y1 * y1) + 0.1e0 AS d FROM y),
+s AS (SELECT r.user_id, sum(rating * y0) AS p, sum(rating * y1) AS q
+      FROM r JOIN y ON r.item_id = y.id GROUP BY r.user_id)
+SELECT c.c_custkey AS user_id,
+       round(coalesce((g.d * s.p - g.b * s.q) / (g.a * g.d - g.b * g.b), 0e0), 6) + 0e0 AS x0,
+       round(coalesce((g.a * s.q - g.b * s.p) / (g.a * g.d - g.b * g.b), 0e0), 6) + 0e0 AS x1,
+       s.user_id IS NULL AS cold
+FROM customer c LEFT JOIN s ON c.c_custkey = s.user_id CROSS JOIN g""")
+def q_zero_filled_halfstep(spark, sf_dir):
+    """M5, first user half-step at k = 2: one global Gram over all items."""
+    r = FA.prepare_ratings(T.inter(spark, sf_dir).where(F.col("bucket") < 8))
+    items = _item_spine(spark, sf_dir)
+    y = FA.init_factors(items, "id", 2, "item", SEED)
+    n_items = items.count()
+    x = FA.zero_filled_half_step(r, y, "user_id", "item_id", 2, REG, n_items)
+    x = FA.with_cold(x, _user_spine(spark, sf_dir), 2)
+    return x.select(F.col("id").alias("user_id"), *[(r6(F.col("f")[a]) + 0.0).alias(f"x{a}") for a in range(2)],
+                    "cold")
+
+
+# ------------------------------------------------------- recommendation
+@register("q_top_items", T.with_views("personal", "items") + f""",
+u AS ({_factor_sql("user", "(SELECT DISTINCT user_id FROM personal)", "user_id", 4, "f")}),
+v AS ({_factor_sql("item", "part", "p_partkey", 4, "f")}),
+c AS (SELECT u.id AS user_id, v.id AS item_id, {_dot_sql("u", "v", 4)} AS prediction
+      FROM u CROSS JOIN v WHERE v.id NOT IN (SELECT item_id FROM personal)),
+t AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY prediction DESC, item_id) AS rank FROM c)
+SELECT t.rank, t.user_id, t.item_id, regexp_replace(it.title, '[^\\x00-\\x7F]', '', 'g') AS title,
+       round(t.prediction, 6) AS prediction
+FROM t LEFT JOIN items it ON t.item_id = it.item_id WHERE t.rank <= 50""")
+def q_top_items(spark, sf_dir):
+    """M10 with md5 factors: J6 -> score -> O1/O2 top 50 -> J5 titles -> P17."""
+    pers = T.personal(spark, sf_dir)
+    users = pers.select(F.col("user_id")).distinct()
+    u = FA.init_factors(users.withColumnRenamed("user_id", "id"), "id", 4, "user", SEED)
+    v = FA.init_factors(_item_spine(spark, sf_dir), "id", 4, "item", SEED)
+    rec = RC.recommend(lambda pairs: FA.score(u, v, pairs), pers, T.items(spark, sf_dir), users, 50)
+    return rec.select("rank", "user_id", "item_id", "title", r6("prediction").alias("prediction"))
