@@ -12,10 +12,13 @@ a plain ridge term lambda (not lambda * n as the library ALS does):
   global k x k matrix over all partners; it is summed natively, inverted once
   on the driver (k x k), and applied as native expressions.
 
-Factors are DataFrames ``(id, f ARRAY<DOUBLE>)``. Ratings are repartitioned
-once by user and once by item and persisted; with a broadcastable factor side
-each half-step is then join + aggregate without a shuffle of the ratings.
-Every half-step output is checkpointed into the shared checkpoint folder, so
+Factors are DataFrames ``(id, f ARRAY<DOUBLE>)``. The de-duplicated ratings
+are persisted once, hash-partitioned on (user, item), so a user or item that
+holds a third of all rows is still spread over every partition. Each
+half-step joins them to the other side's factors (broadcast when the factor
+table's size bound allows, else a shuffle join that AQE splits on skew), and
+the per-key Gram sums are combined map-side: the exchange carries at most one
+row per key and partition, never the rating rows. Every half-step output is checkpointed into the shared checkpoint folder, so
 the plan does not grow with the iterations and a lost executor only costs
 the current half-step.
 """
@@ -179,11 +182,11 @@ def train_als(ratings: DataFrame, rank: int, iters: int, reg: float, method: str
     """
     if method not in ("masked", "zero_filled"):
         raise ValueError(method)
-    spark = ratings.sparkSession
     r = prepare_ratings(ratings, duplicates)
-    p = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    by_user = r.repartition(p, USER).persist(StorageLevel.MEMORY_AND_DISK)
-    by_item = r.repartition(p, ITEM).persist(StorageLevel.MEMORY_AND_DISK)
+    if num_partitions:
+        r = r.repartition(num_partitions, USER, ITEM)
+    r = r.persist(StorageLevel.MEMORY_AND_DISK)
+    by_user = by_item = r
     u_ids = user_spine if user_spine is not None else r.select(F.col(USER).alias("id")).distinct()
     i_ids = item_spine if item_spine is not None else r.select(F.col(ITEM).alias("id")).distinct()
     u_ids = cut_lineage(u_ids.select(F.col("id").cast("bigint")).distinct())
@@ -210,14 +213,13 @@ def train_als(ratings: DataFrame, rank: int, iters: int, reg: float, method: str
         if trace_on is not None:
             trace.append((it, _rmse_value(users_f, items_f, r),
                           _rmse_value(users_f, items_f, trace_on)))
-    by_user.unpersist()
-    by_item.unpersist()
+    r.unpersist()
     return FactorModel(users_f, items_f, trace, rank)
 
 
-def trace_frame(spark, model: FactorModel, **params) -> DataFrame:
+def trace_frame(spark, fitted: FactorModel, **params) -> DataFrame:
     """One metrics row per iteration."""
-    rows = [dict(params, iteration=i, train_rmse=tr, eval_rmse=ev) for i, tr, ev in model.trace]
+    rows = [dict(params, iteration=i, train_rmse=tr, eval_rmse=ev) for i, tr, ev in fitted.trace]
     schema = ", ".join([f"{k} {'double' if isinstance(v, float) else 'bigint' if isinstance(v, int) else 'string'}"
                         for k, v in params.items()] +
                        ["iteration bigint", "train_rmse double", "eval_rmse double"])

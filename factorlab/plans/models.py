@@ -159,3 +159,124 @@ def q_top_items(spark, sf_dir):
     v = FA.init_factors(_item_spine(spark, sf_dir), "id", 4, "item", SEED)
     rec = RC.recommend(lambda pairs: FA.score(u, v, pairs), pers, T.items(spark, sf_dir), users, 50)
     return rec.select("rank", "user_id", "item_id", "title", r6("prediction").alias("prediction"))
+
+
+# ------------------------------------------ full loops (rows-only checks)
+RANK, ITERS = 4, 5
+
+
+def _splits(spark, sf_dir):
+    i = T.inter(spark, sf_dir)
+    b = F.col("bucket")
+    return i.where(b < 6), i.where((b >= 6) & (b < 8)), i.where(b >= 8)
+
+
+def _scored_test(model, test):
+    return model.score(test.select("row_key", "user_id", "item_id", "rating"))
+
+
+@register("q_masked_als")
+def q_masked_als(spark, sf_dir):
+    """M6 loop: rank 4, 5 iterations, λ 0.1; test rows scored."""
+    train, _, test = _splits(spark, sf_dir)
+    m = FA.train_als(train, RANK, ITERS, REG, "masked", _user_spine(spark, sf_dir),
+                     _item_spine(spark, sf_dir))
+    return _scored_test(m, test).select("row_key", "rating", "prediction")
+
+
+@register("q_zero_filled_als")
+def q_zero_filled_als(spark, sf_dir):
+    """M5 loop: rank 4, 5 iterations, λ 0.1; test rows scored."""
+    train, _, test = _splits(spark, sf_dir)
+    m = FA.train_als(train, RANK, ITERS, REG, "zero_filled", _user_spine(spark, sf_dir),
+                     _item_spine(spark, sf_dir))
+    return _scored_test(m, test).select("row_key", "rating", "prediction")
+
+
+@register("q_als_trace")
+def q_als_trace(spark, sf_dir):
+    """Train and test RMSE after every iteration of the masked ALS."""
+    train, _, test = _splits(spark, sf_dir)
+    m = FA.train_als(train, RANK, ITERS, REG, "masked", trace_on=test)
+    return FA.trace_frame(spark, m, model="masked", rank=RANK, reg=REG)
+
+
+@register("q_model_report")
+def q_model_report(spark, sf_dir):
+    """M9 + A20: validation and test RMSE of the masked ALS, the mean baseline
+    and the improvement over it."""
+    train, val, test = _splits(spark, sf_dir)
+    m = FA.train_als(train, RANK, ITERS, REG, "masked", _user_spine(spark, sf_dir),
+                     _item_spine(spark, sf_dir))
+    rv = MX.rmse(m.score(val.select("user_id", "item_id").distinct()), val).select(
+        F.col("rmse").alias("validation_rmse"))
+    rt = MX.rmse(m.score(test.select("user_id", "item_id").distinct()), test).select(
+        F.col("rmse").alias("test_rmse"))
+    base = MX.baseline(train.unionByName(val), test).select("mean_rating", "baseline_rmse")
+    rep = rv.crossJoin(rt).crossJoin(base)  # one-row sides
+    return rep.select(F.lit("masked").alias("model"), F.lit(RANK).alias("rank"),
+                      F.lit(REG).alias("reg"), F.lit(ITERS).alias("iters"),
+                      "validation_rmse", "test_rmse", "mean_rating", "baseline_rmse",
+                      MX.improvement(F.col("test_rmse"), F.col("baseline_rmse")).alias("improvement_pct"))
+
+
+@register("q_grid_search")
+def q_grid_search(spark, sf_dir):
+    """M8 + A17: ranks (2, 4) x λ (0.1, 10) x iterations (3) on the fixed
+    validation split; every grid row kept, ``best`` marks the winner."""
+    train, val, _ = _splits(spark, sf_dir)
+    metrics, best, _ = TU.grid_search("masked", train, val, [2, 4], [0.1, 10.0], [3])
+    return metrics.withColumn("best", F.col("grid_id") == F.lit(best["grid_id"]))
+
+
+@register("q_rank_curve")
+def q_rank_curve(spark, sf_dir):
+    """Best validation RMSE per rank, ranks 1..4."""
+    train, val, _ = _splits(spark, sf_dir)
+    metrics, _, _ = TU.grid_search("masked", train, val, [1, 2, 3, 4], [0.1], [3])
+    return TU.rank_curve(metrics)
+
+
+@register("q_explicit_als")
+def q_explicit_als(spark, sf_dir):
+    """M2: library explicit ALS, rank 4, 5 iterations, λ 0.1; test rows scored."""
+    train, _, test = _splits(spark, sf_dir)
+    model = LA.train_explicit(train, RANK, ITERS, REG)
+    pred = LA.predict_pairs(model, test.select("user_id", "item_id").distinct())
+    return test.select("row_key", "user_id", "item_id", "rating").join(pred, ["user_id", "item_id"])
+
+
+@register("q_implicit_als")
+def q_implicit_als(spark, sf_dir):
+    """M1 (+J4): implicit ALS on alias-resolved play counts, rank 10,
+    5 iterations, λ 0.01, α 1.0; preference scores of the observed pairs."""
+    from ..operators import relational as R
+    plays = R.resolve_aliases(T.plays(spark, sf_dir), T.aliases(spark, sf_dir))
+    plays = plays.groupBy("user_id", "item_id").agg(F.sum("plays").alias("plays"))
+    model = LA.train_implicit(plays, rank=10, iters=5, reg=0.01, alpha=1.0)
+    return LA.predict_pairs(model, plays.select("user_id", "item_id", "plays"))
+
+
+@register("q_predict_pairs")
+def q_predict_pairs(spark, sf_dir):
+    """M3: library predictions for validation pairs plus the personal user's
+    items (an unknown user: no row)."""
+    train, val, _ = _splits(spark, sf_dir)
+    model = LA.train_explicit(train, RANK, ITERS, REG)
+    pairs = (val.select("user_id", "item_id")
+             .unionByName(T.personal(spark, sf_dir).select("user_id", "item_id")).distinct())
+    return LA.predict_pairs(model, pairs)
+
+
+@register("q_recommend_als")
+def q_recommend_als(spark, sf_dir):
+    """M10 with library ALS: train ∪ personal ratings (U1), top 50 unrated
+    items for the personal user with titles."""
+    train, _, _ = _splits(spark, sf_dir)
+    pers = T.personal(spark, sf_dir)
+    model = LA.train_explicit(train.select("user_id", "item_id", "rating").unionByName(pers),
+                              RANK, ITERS, REG)
+    users = pers.select("user_id").distinct()
+    rec = RC.recommend(lambda pairs: LA.predict_pairs(model, pairs), pers,
+                       T.items(spark, sf_dir), users, 50)
+    return rec.select("rank", "user_id", "item_id", "title", "prediction")
