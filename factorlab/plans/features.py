@@ -1,2 +1,357 @@
+"""Registered feature-model queries: feature table, labelled pairs, pair
+distances and losses, metric learning, 1-NN, forest and cluster predictors."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from ..functions.hashing import md5_u32, sql_hash01, sql_md5_u32
+from ..operators import features as FE
+from ..operators import metric_learning as ML
+from ..operators import predictors as PR
+from ..sources import tables as T
+from .common import r6
+
 QUERIES: dict = {}
 ORACLE: dict = {}
+
+
+def register(name, sql=None):
+    def deco(fn):
+        QUERIES[name] = fn
+        if sql is not None:
+            ORACLE[name] = sql
+        return fn
+    return deco
+
+
+def r9(c):
+    return F.round(c if not isinstance(c, str) else F.col(c), 9)
+
+
+# ----------------------------------------------------------- feature table
+def _flag_sql(src: str = "genres") -> str:
+    return ", ".join(f"CASE WHEN contains({src}, '{s.replace(chr(39), chr(39) * 2)}') THEN 1 ELSE 0 END AS {c}"
+                     for c, s in FE.GENRE_FLAGS)
+
+
+def feature_table(spark, sf_dir):
+    return FE.feature_table(T.inter(spark, sf_dir), T.items(spark, sf_dir), T.users(spark, sf_dir))
+
+
+_FT_BASE_SQL = T.with_views("inter", "items", "users") + f""",
+j AS (SELECT i.row_key, i.bucket, i.rating, i.user_id, i.item_id, u.age, u.occupation,
+             TRY_CAST(substr(u.zip, 1, 5) AS BIGINT) AS zip5,
+             CASE WHEN u.gender = 'M' THEN 1 ELSE 0 END AS gender_binary, {_flag_sql("it.genres")}
+      FROM inter i JOIN items it ON i.item_id = it.item_id JOIN users u ON i.user_id = u.user_id),
+nrm AS (SELECT sqrt(sum(CAST(user_id AS DOUBLE) * CAST(user_id AS DOUBLE))) AS n_user,
+               sqrt(sum(CAST(item_id AS DOUBLE) * CAST(item_id AS DOUBLE))) AS n_item,
+               sqrt(sum(CAST(zip5 AS DOUBLE) * CAST(zip5 AS DOUBLE))) AS n_zip FROM j),
+ft AS (SELECT j.*, j.user_id AS user_id_raw,
+              CASE WHEN n_user <> 0 THEN user_id / n_user END AS user_n,
+              CASE WHEN n_item <> 0 THEN item_id / n_item END AS item_n,
+              CASE WHEN n_zip <> 0 THEN zip5 / n_zip END AS zip_n
+       FROM j CROSS JOIN nrm)"""
+
+
+@register("q_genre_flags", T.with_views("items") + f"""
+SELECT item_id, {_flag_sql()} FROM items""")
+def q_genre_flags(spark, sf_dir):
+    """P10: 18 genre flags by substring test."""
+    return FE.genre_flags(T.items(spark, sf_dir)).select("item_id", *FE.GENRE_COLS)
+
+
+@register("q_l2_normalize", T.with_views("inter", "users") + """,
+j AS (SELECT i.row_key, i.user_id, i.item_id, TRY_CAST(substr(u.zip, 1, 5) AS BIGINT) AS zip5
+      FROM inter i JOIN users u ON i.user_id = u.user_id),
+n AS (SELECT sqrt(sum(CAST(user_id AS DOUBLE) * user_id)) AS nu, sqrt(sum(CAST(item_id AS DOUBLE) * item_id)) AS ni,
+             sqrt(sum(CAST(zip5 AS DOUBLE) * zip5)) AS nz FROM j)
+SELECT row_key, round(CASE WHEN nu <> 0 THEN user_id / nu END, 9) AS user_n,
+       round(CASE WHEN ni <> 0 THEN item_id / ni END, 9) AS item_n,
+       round(CASE WHEN nz <> 0 THEN zip5 / nz END, 9) AS zip_n
+FROM j CROSS JOIN n""")
+def q_l2_normalize(spark, sf_dir):
+    """User id, item id and zip divided by their global L2 norms."""
+    j = T.inter(spark, sf_dir).join(T.users(spark, sf_dir), "user_id")
+    j = j.withColumn("zip5", F.substring("zip", 1, 5).try_cast("bigint"))
+    n = FE.l2_normalize(j, ["user_id", "item_id", "zip5"], suffix="_n")
+    return n.select("row_key", r9("user_id_n").alias("user_n"), r9("item_id_n").alias("item_n"),
+                    r9("zip5_n").alias("zip_n"))
+
+
+def _norm_all_sql() -> str:
+    cols = FE.NORMALIZE_ALL_COLS
+    norms = ", ".join(f"sqrt(sum(CAST({c} AS DOUBLE) * CAST({c} AS DOUBLE))) AS n_{c}" for c in cols)
+    outs = ", ".join(f"round(CASE WHEN n_{c} <> 0 THEN {c} / n_{c} END, 9) AS {c}" for c in cols)
+    return _FT_BASE_SQL + f""",
+n AS (SELECT {norms} FROM ft)
+SELECT row_key, {outs} FROM ft CROSS JOIN n"""
+
+
+@register("q_l2_normalize_all", _norm_all_sql())
+def q_l2_normalize_all(spark, sf_dir):
+    """The reference's 21 normalised feature columns (list is a
+    parameter); a zero norm gives NULL."""
+    ft = FE.feature_table(T.inter(spark, sf_dir), T.items(spark, sf_dir), T.users(spark, sf_dir),
+                          normalize=())
+    n = FE.l2_normalize(ft, FE.NORMALIZE_ALL_COLS)
+    return n.select("row_key", *[r9(c).alias(c) for c in FE.NORMALIZE_ALL_COLS])
+
+
+_FEATURE_OUT = ["user_n", "item_n", "age", "occupation", "zip_n"] + FE.GENRE_COLS + ["gender_binary"]
+
+
+@register("q_feature_table", _FT_BASE_SQL + f"""
+SELECT row_key, CASE WHEN bucket < 8 THEN 'train' ELSE 'test' END AS split, rating,
+       {", ".join(f"round({c}, 9) AS {c}" if c.endswith("_n") else c for c in _FEATURE_OUT)}
+FROM ft""")
+def q_feature_table(spark, sf_dir):
+    """Joined, encoded, normalised 24-feature table with its split."""
+    ft = feature_table(spark, sf_dir)
+    x = F.col("x")
+    cols = [r9(x[i]).alias(n) if n.endswith("_n") else x[i].cast(
+        "int" if n in FE.GENRE_COLS or n == "gender_binary" else "bigint").alias(n)
+        for i, n in enumerate(_FEATURE_OUT)]
+    return ft.select("row_key", F.when(F.col("bucket") < 8, "train").otherwise("test").alias("split"),
+                     "rating", *cols)
+
+
+# -------------------------------------------------------------------- pairs
+N_PAIRS, P_SAME, PAIR_SEED = 1000, 0.1, 42
+DIAG = [1.0 + (i % 4) for i in range(64)]
+DIAG_SQL = "[" + ", ".join(f"{v}e0" for v in DIAG) + "]"
+
+
+def _pairs(spark, sf_dir):
+    return ML.generate_pairs(T.feat(spark, sf_dir), "row_id", "label", N_PAIRS, P_SAME, PAIR_SEED)
+
+
+def _key_sql(tag: str) -> str:
+    return f"concat_ws(':', '{PAIR_SEED}', '{tag}', CAST(pair_id AS VARCHAR))"
+
+
+PAIRS_SQL = T.with_views("feat") + f""",
+idx AS (SELECT row_id, label, row_number() OVER (ORDER BY label, row_id) - 1 AS pos FROM feat),
+lab AS (SELECT label, count(*) AS lc, min(pos) AS g0 FROM idx GROUP BY label),
+nn AS (SELECT count(*) AS n FROM idx),
+t2 AS (SELECT r.range AS pair_id, {sql_md5_u32(_key_sql("a").replace("pair_id", "r.range"))} % nn.n AS a_pos,
+              {sql_hash01(_key_sql("p").replace("pair_id", "r.range"))} AS u,
+              {sql_md5_u32(_key_sql("b").replace("pair_id", "r.range"))} AS hb, nn.n
+       FROM range({N_PAIRS}) r CROSS JOIN nn),
+t3 AS (SELECT t2.*, ia.row_id AS a_id, ia.label AS a_label, lab.lc, lab.g0
+       FROM t2 JOIN idx ia ON ia.pos = t2.a_pos JOIN lab ON lab.label = ia.label),
+t4 AS (SELECT *, CASE WHEN u <= {P_SAME} THEN g0 + hb % lc
+                      WHEN n - lc > 0 THEN CASE WHEN hb % (n - lc) < g0 THEN hb % (n - lc)
+                                                ELSE hb % (n - lc) + lc END END AS b_pos FROM t3),
+pairs AS (SELECT t4.pair_id, t4.a_id, ib.row_id AS b_id,
+                 CASE WHEN t4.a_label = ib.label THEN 1e0 ELSE -1e0 END AS y
+          FROM t4 LEFT JOIN idx ib ON ib.pos = t4.b_pos),
+pv AS (SELECT p.pair_id, p.y, fa.x AS xa, fb.x AS xb
+       FROM pairs p JOIN feat fa ON p.a_id = fa.row_id JOIN feat fb ON p.b_id = fb.row_id)"""
+
+
+@register("q_generate_pairs", PAIRS_SQL + """
+SELECT pair_id, a_id, b_id, y FROM pairs""")
+def q_generate_pairs(spark, sf_dir):
+    """1000 labelled pairs, 10% same-label, seed 42."""
+    return _pairs(spark, sf_dir)
+
+
+def _pv(spark, sf_dir):
+    return ML.pair_vectors(_pairs(spark, sf_dir), T.feat(spark, sf_dir))
+
+
+_SQD = "list_sum(list_transform(xa, lambda v, i: (v - xb[i]) * (v - xb[i])))"
+_MD2 = f"list_sum(list_transform(xa, lambda v, i: {DIAG_SQL}[i] * ((v - xb[i]) * (v - xb[i]))))"
+
+
+@register("q_pair_euclid", PAIRS_SQL + f"""
+SELECT pair_id, round(sqrt({_SQD}), 6) AS dist FROM pv""")
+def q_pair_euclid(spark, sf_dir):
+    """M15 + J10: Euclidean distance of each pair."""
+    return ML.pair_euclid(_pv(spark, sf_dir)).select("pair_id", r6("dist").alias("dist"))
+
+
+@register("q_pair_mahalanobis", PAIRS_SQL + f"""
+SELECT pair_id, round({_MD2}, 6) AS d2 FROM pv""")
+def q_pair_mahalanobis(spark, sf_dir):
+    """δᵀ M δ with a fixed diagonal M (1, 2, 3, 4, 1, 2, ...)."""
+    return ML.pair_mahalanobis(_pv(spark, sf_dir), DIAG).select("pair_id", r6("d2").alias("d2"))
+
+
+@register("q_pair_hinge", PAIRS_SQL + f"""
+SELECT pair_id, y, round(greatest(0e0, 1e0 + y * ({_MD2} - 2e0)), 6) AS hinge FROM pv""")
+def q_pair_hinge(spark, sf_dir):
+    """Hinge loss max(0, 1 + y (d² - 2)) per pair."""
+    d = ML.pair_mahalanobis(_pv(spark, sf_dir), DIAG)
+    return d.select("pair_id", "y", r6(ML.hinge(F.col("d2"), F.col("y"), 2.0)).alias("hinge"))
+
+
+@register("q_pair_mse", PAIRS_SQL + f"""
+SELECT round(0.5e0 * avg(power(y - ({_MD2} - 2e0), 2)), 6) AS mse_loss FROM pv""")
+def q_pair_mse(spark, sf_dir):
+    """½ mean((y - (d² - 2))²)."""
+    d = ML.pair_mahalanobis(_pv(spark, sf_dir), DIAG)
+    return ML.mse_loss(d, 2.0).select(r6("mse_loss").alias("mse_loss"))
+
+
+ALPHA = 1e-8
+
+
+@register("q_metric_objective", PAIRS_SQL + f""",
+d AS (SELECT y, {_SQD} AS d2 FROM pv)
+SELECT round(avg(greatest(0e0, 1e0 + y * (d2 - 2e0))) + {ALPHA} / 2 * sqrt(64e0), 6) AS objective,
+       count(*) AS n_pairs, count(*) FILTER (WHERE 1e0 + y * (d2 - 0.5e0) > 0) AS n_active FROM d""")
+def q_metric_objective(spark, sf_dir):
+    """M20, one epoch at M = I: objective mean hinge (margin 2) + α/2 ‖M‖_F
+    and the number of pairs with an active gradient hinge (margin 0.5)."""
+    g = ML.epoch_gradient(_pv(spark, sf_dir), np.eye(64), 2.0, 0.5).where(F.col("i") < 0)
+    row = g.groupBy().pivot("j", [0, 1, 2]).agg(F.first("v"))
+    return row.select(r6(F.col("0") / F.col("1") + ALPHA / 2 * 8.0).alias("objective"),
+                      F.col("1").cast("bigint").alias("n_pairs"), F.col("2").cast("bigint").alias("n_active"))
+
+
+@register("q_metric_gradient", PAIRS_SQL + f""",
+d AS (SELECT pair_id, y, list_transform(xa, lambda v, i: v - xb[i]) AS delta, {_SQD} AS d2 FROM pv),
+w AS (SELECT pair_id, y * CASE WHEN 1e0 + y * (d2 - 0.5e0) > 0 THEN 1e0 ELSE 0e0 END AS w, delta FROM d),
+e AS (SELECT pair_id, w, unnest(delta) AS v, generate_subscripts(delta, 1) AS i FROM w),
+np AS (SELECT count(*) AS n FROM pv)
+SELECT CAST(a.i - 1 AS INTEGER) AS i, CAST(b.i - 1 AS INTEGER) AS j,
+       round(sum(a.w * a.v * b.v) / max(np.n) + CASE WHEN a.i = b.i THEN {ALPHA} ELSE 0e0 END, 6) AS grad
+FROM e a JOIN e b ON a.pair_id = b.pair_id CROSS JOIN np GROUP BY a.i, b.i""")
+def q_metric_gradient(spark, sf_dir):
+    """M20, one epoch at M = I: mean hinge sub-gradient + α M, per entry."""
+    g = ML.epoch_gradient(_pv(spark, sf_dir), np.eye(64), 2.0, 0.5)
+    n = g.where((F.col("i") == -1) & (F.col("j") == 1)).select(F.col("v").alias("n"))
+    e = g.where(F.col("i") >= 0).crossJoin(F.broadcast(n))  # one-row side
+    grad = F.col("v") / F.col("n") + F.when(F.col("i") == F.col("j"), ALPHA).otherwise(0.0)
+    return e.select("i", "j", r6(grad).alias("grad"))
+
+
+@register("q_metric_norm", T.with_views("feat") + f"""
+SELECT row_id, round(list_sum(list_transform(x, lambda v, i: {DIAG_SQL}[i] * (v * v))), 6) AS xmx FROM feat""")
+def q_metric_norm(spark, sf_dir):
+    """xᵀ M x per row for the fixed diagonal M."""
+    return ML.row_quad(T.feat(spark, sf_dir), DIAG).select("row_id", r6("xmx").alias("xmx"))
+
+
+@register("q_label_first_id", T.with_views("feat") + """
+SELECT label, min(row_id) AS first_id, count(*) AS n FROM feat GROUP BY label""")
+def q_label_first_id(spark, sf_dir):
+    """First row id per label."""
+    return T.feat(spark, sf_dir).groupBy("label").agg(F.min("row_id").alias("first_id"),
+                                                      F.count(F.lit(1)).alias("n"))
+
+
+@register("q_metric_learning")
+def q_metric_learning(spark, sf_dir):
+    """10 full-batch epochs from M = I, γ(t) = 0.001/√(t+1), α = 1e-8;
+    objective per epoch."""
+    m, trace = ML.learn_metric(_pv(spark, sf_dir), 64, epochs=10, alpha=ALPHA)
+    return spark.createDataFrame(trace, "epoch bigint, objective double, n_pairs bigint, n_active bigint")
+
+
+# ------------------------------------------------------------------- 1-NN
+# Normalised ids are O(1e-5); the fixed metric weighs them by 1e10 so that
+# squared distances are O(1) before rounding to 6 decimals.
+NN_WEIGHTS = [1e10, 1e10, 1.0, 1.0, 1e10] + [1.0] * 18 + [1.0]
+NN_DECIMALS = 6
+
+
+def _nn_d2_sql() -> str:
+    terms = []
+    for w, c in zip(NN_WEIGHTS, _FEATURE_OUT):
+        terms.append(f"{w!r}e0 * ((CAST(te.{c} AS DOUBLE) - tr.{c}) * (CAST(te.{c} AS DOUBLE) - tr.{c}))"
+                     .replace("1e+10e0", "1e10").replace("1.0e0", "1e0"))
+    return " + ".join(terms)
+
+
+@register("q_metric_1nn", _FT_BASE_SQL + f""",
+tr AS (SELECT * FROM ft WHERE bucket < 8), te AS (SELECT * FROM ft WHERE bucket >= 8),
+c AS (SELECT te.row_key AS q_id, tr.row_key AS t_ord, tr.rating AS nn_rating,
+             round({_nn_d2_sql()}, {NN_DECIMALS}) AS d2
+      FROM te JOIN tr ON te.user_id_raw = tr.user_id_raw),
+b AS (SELECT q_id, t_ord, nn_rating FROM (
+        SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY d2, t_ord) AS rk FROM c) WHERE rk = 1),
+gm AS (SELECT avg(rating) AS global_mean FROM tr)
+SELECT te.row_key, te.rating, coalesce(b.nn_rating, gm.global_mean) AS prediction, b.t_ord AS nn_row_key
+FROM te LEFT JOIN b ON te.row_key = b.q_id CROSS JOIN gm""")
+def q_metric_1nn(spark, sf_dir):
+    """Each test row copies the rating of the nearest training row of the
+    same user under a fixed diagonal M (ties: smallest row key); users without
+    training rows fall back to the global training mean."""
+    ft = feature_table(spark, sf_dir)
+    train = ft.where(F.col("bucket") < 8).select(
+        F.col("user_id_raw").alias("key"), F.col("row_key").alias("t_ord"), "rating", "x")
+    test = ft.where(F.col("bucket") >= 8)
+    q = test.select(F.col("user_id_raw").alias("key"), F.col("row_key").alias("q_id"), "x")
+    nn = ML.nearest_train(train, q, "key", NN_WEIGHTS, block=256, decimals=NN_DECIMALS)
+    gm = train.agg(F.avg("rating").alias("global_mean"))
+    out = (test.select("row_key", "rating").join(nn, test.row_key == nn.q_id, "left")
+           .crossJoin(F.broadcast(gm)))  # one-row side
+    return out.select("row_key", "rating", F.coalesce("nn_rating", "global_mean").alias("prediction"),
+                      F.col("t_ord").alias("nn_row_key"))
+
+
+# --------------------------------------------------------------- predictors
+@register("q_forest_curve")
+def q_forest_curve(spark, sf_dir):
+    """Random-forest classifier RMSE for 1, 5 and 10 trees."""
+    ft = feature_table(spark, sf_dir)
+    curve = PR.forest_curve(ft.where(F.col("bucket") < 8), ft.where(F.col("bucket") >= 8), [1, 5, 10])
+    return spark.createDataFrame(curve, "trees bigint, rmse double")
+
+
+@register("q_kmeans_rating")
+def q_kmeans_rating(spark, sf_dir):
+    """K-means (k = 16) on training features; cluster mean rating,
+    plain and rescaled, test RMSE."""
+    ft = feature_table(spark, sf_dir)
+    tr, te = PR.kmeans_assign(ft.where(F.col("bucket") < 8), ft.where(F.col("bucket") >= 8), 16)
+    a = PR.cluster_rating(tr, te, rescale=False).agg(PR.rmse_of(None).alias("rmse_mean"))
+    b = PR.cluster_rating(tr, te, rescale=True).agg(PR.rmse_of(None).alias("rmse_rescaled"))
+    return a.crossJoin(b).select(F.lit(16).alias("k"), "rmse_mean", "rmse_rescaled")
+
+
+N_CLUSTERS = 16
+
+
+def _hash_cluster(spark, sf_dir):
+    i = T.inter(spark, sf_dir)
+    return i.withColumn("cluster", F.pmod(md5_u32(F.col("user_id").cast("string")), F.lit(N_CLUSTERS)))
+
+
+_CLUSTER_SQL = T.with_views("inter") + f""",
+a AS (SELECT *, {sql_md5_u32("CAST(user_id AS VARCHAR)")} % {N_CLUSTERS} AS cluster FROM inter),
+tr AS (SELECT * FROM a WHERE bucket < 8), te AS (SELECT * FROM a WHERE bucket >= 8),
+cm AS (SELECT cluster, avg(rating) AS cluster_mean, count(*) AS n FROM tr GROUP BY cluster),
+mm AS (SELECT min(cluster_mean) AS mn, max(cluster_mean) AS mx FROM cm),
+gm AS (SELECT avg(rating) AS global_mean FROM tr)"""
+
+
+@register("q_cluster_rating", _CLUSTER_SQL + """
+SELECT cluster, round(cluster_mean, 6) AS cluster_mean, n FROM cm""")
+def q_cluster_rating(spark, sf_dir):
+    """A10: mean training rating per (given) cluster."""
+    a = _hash_cluster(spark, sf_dir).where(F.col("bucket") < 8)
+    return a.groupBy("cluster").agg(r6(F.avg("rating")).alias("cluster_mean"), F.count(F.lit(1)).alias("n"))
+
+
+@register("q_cluster_rating_rescaled", _CLUSTER_SQL + """,
+p AS (SELECT te.rating,
+             coalesce(round_even(cm.cluster_mean, 0), gm.global_mean) AS p_mean,
+             coalesce(CASE WHEN mm.mx > mm.mn THEN round_even((cm.cluster_mean - mm.mn) * 4 / (mm.mx - mm.mn) + 1, 0)
+                           ELSE round_even(cm.cluster_mean, 0) END, gm.global_mean) AS p_rescaled
+      FROM te LEFT JOIN cm ON te.cluster = cm.cluster CROSS JOIN mm CROSS JOIN gm)
+SELECT round(sqrt(avg(power(p_mean - rating, 2))), 6) AS rmse_mean,
+       round(sqrt(avg(power(p_rescaled - rating, 2))), 6) AS rmse_rescaled, count(*) AS n_test FROM p""")
+def q_cluster_rating_rescaled(spark, sf_dir):
+    """A10 + P18 + P19 + A11: rint(cluster mean) and min-max rescaled cluster
+    ratings as test predictions, RMSE of both."""
+    a = _hash_cluster(spark, sf_dir)
+    tr, te = a.where(F.col("bucket") < 8), a.where(F.col("bucket") >= 8)
+    p1 = PR.cluster_rating(tr, te, rescale=False).agg(
+        r6(PR.rmse_of(None)).alias("rmse_mean"), F.count(F.lit(1)).alias("n_test"))
+    p2 = PR.cluster_rating(tr, te, rescale=True).agg(r6(PR.rmse_of(None)).alias("rmse_rescaled"))
+    return p1.crossJoin(p2).select("rmse_mean", "rmse_rescaled", "n_test")
