@@ -52,13 +52,13 @@ def l2_normalize(df: DataFrame, cols: list[str], suffix: str = "") -> DataFrame:
     aggregate (a one-row table joined back). A zero norm gives NULL."""
     if not cols:
         return df
-    norms = df.agg(*[F.sqrt(F.sum(F.col(c).cast("double") * F.col(c).cast("double")))
-                     .alias(f"_n_{c}") for c in cols])
-    j = df.crossJoin(F.broadcast(norms))  # one-row side
-    for c in cols:
-        n = F.col(f"_n_{c}")
+    norms = df.agg(F.struct(*[F.sqrt(F.sum(F.col(c).cast("double") * F.col(c).cast("double")))
+                              .alias(f"n{k}") for k, c in enumerate(cols)])).scalar()
+    j = df
+    for k, c in enumerate(cols):
+        n = norms.getField(f"n{k}")
         j = j.withColumn(c + suffix, F.when(n != 0, F.col(c).cast("double") / n))
-    return j.drop(*[f"_n_{c}" for c in cols])
+    return j
 
 
 def feature_table(ratings: DataFrame, items: DataFrame, users: DataFrame,

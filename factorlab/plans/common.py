@@ -27,10 +27,9 @@ def item_mean_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = i.where(F.col("bucket") < 8)
     test = i.where(F.col("bucket") >= 8)
     item_mean = train.groupBy("item_id").agg(F.avg("rating").alias("item_mean"))
-    glob = train.agg(F.avg("rating").alias("global_mean"))
+    global_mean = train.agg(F.avg("rating")).scalar()  # scalar subquery
     return (test.join(item_mean, "item_id", "left")
-            .crossJoin(F.broadcast(glob))  # one-row side
-            .withColumn("prediction", F.coalesce("item_mean", "global_mean"))
+            .withColumn("prediction", F.coalesce(F.col("item_mean"), global_mean))
             .select("row_key", "user_id", "item_id", "rating", "prediction"))
 
 

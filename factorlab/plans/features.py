@@ -223,10 +223,10 @@ FROM e a JOIN e b ON a.pair_id = b.pair_id CROSS JOIN np GROUP BY a.i, b.i""")
 def q_metric_gradient(spark, sf_dir):
     """M20, one epoch at M = I: mean hinge sub-gradient + α M, per entry."""
     g = ML.epoch_gradient(_pv(spark, sf_dir), np.eye(64), 2.0, 0.5)
-    n = g.where((F.col("i") == -1) & (F.col("j") == 1)).select(F.col("v").alias("n"))
-    e = g.where(F.col("i") >= 0).crossJoin(F.broadcast(n))  # one-row side
-    grad = F.col("v") / F.col("n") + F.when(F.col("i") == F.col("j"), ALPHA).otherwise(0.0)
-    return e.select("i", "j", r6(grad).alias("grad"))
+    g = g.persist()
+    n = g.where((F.col("i") == -1) & (F.col("j") == 1)).agg(F.first("v")).scalar()
+    grad = F.col("v") / n + F.when(F.col("i") == F.col("j"), ALPHA).otherwise(0.0)
+    return g.where(F.col("i") >= 0).select("i", "j", r6(grad).alias("grad"))
 
 
 @register("q_metric_norm", T.with_views("feat") + f"""
@@ -287,10 +287,9 @@ def q_metric_1nn(spark, sf_dir):
     test = ft.where(F.col("bucket") >= 8)
     q = test.select(F.col("user_id_raw").alias("key"), F.col("row_key").alias("q_id"), "x")
     nn = ML.nearest_train(train, q, "key", NN_WEIGHTS, block=256, decimals=NN_DECIMALS)
-    gm = train.agg(F.avg("rating").alias("global_mean"))
-    out = (test.select("row_key", "rating").join(nn, test.row_key == nn.q_id, "left")
-           .crossJoin(F.broadcast(gm)))  # one-row side
-    return out.select("row_key", "rating", F.coalesce("nn_rating", "global_mean").alias("prediction"),
+    global_mean = train.agg(F.avg("rating")).scalar()
+    out = test.select("row_key", "rating").join(nn, test.row_key == nn.q_id, "left")
+    return out.select("row_key", "rating", F.coalesce(F.col("nn_rating"), global_mean).alias("prediction"),
                       F.col("t_ord").alias("nn_row_key"))
 
 
@@ -309,9 +308,10 @@ def q_kmeans_rating(spark, sf_dir):
     plain and rescaled, test RMSE."""
     ft = feature_table(spark, sf_dir)
     tr, te = PR.kmeans_assign(ft.where(F.col("bucket") < 8), ft.where(F.col("bucket") >= 8), 16)
-    a = PR.cluster_rating(tr, te, rescale=False).agg(PR.rmse_of(None).alias("rmse_mean"))
-    b = PR.cluster_rating(tr, te, rescale=True).agg(PR.rmse_of(None).alias("rmse_rescaled"))
-    return a.crossJoin(b).select(F.lit(16).alias("k"), "rmse_mean", "rmse_rescaled")
+    tr, te = tr.persist(), te.persist()
+    b = PR.cluster_rating(tr, te, rescale=True).agg(PR.rmse_of(None)).scalar()
+    a = PR.cluster_rating(tr, te, rescale=False)
+    return a.agg(F.lit(16).alias("k"), PR.rmse_of(None).alias("rmse_mean"), b.alias("rmse_rescaled"))
 
 
 N_CLUSTERS = 16
@@ -351,7 +351,7 @@ def q_cluster_rating_rescaled(spark, sf_dir):
     ratings as test predictions, RMSE of both."""
     a = _hash_cluster(spark, sf_dir)
     tr, te = a.where(F.col("bucket") < 8), a.where(F.col("bucket") >= 8)
-    p1 = PR.cluster_rating(tr, te, rescale=False).agg(
-        r6(PR.rmse_of(None)).alias("rmse_mean"), F.count(F.lit(1)).alias("n_test"))
-    p2 = PR.cluster_rating(tr, te, rescale=True).agg(r6(PR.rmse_of(None)).alias("rmse_rescaled"))
-    return p1.crossJoin(p2).select("rmse_mean", "rmse_rescaled", "n_test")
+    rescaled = PR.cluster_rating(tr, te, rescale=True).agg(PR.rmse_of(None)).scalar()
+    return PR.cluster_rating(tr, te, rescale=False).agg(
+        r6(PR.rmse_of(None)).alias("rmse_mean"), r6(rescaled).alias("rmse_rescaled"),
+        F.count(F.lit(1)).alias("n_test"))

@@ -208,12 +208,13 @@ def q_model_report(spark, sf_dir):
     train, val, test = _splits(spark, sf_dir)
     m = FA.train_als(train, RANK, ITERS, REG, "masked", _user_spine(spark, sf_dir),
                      _item_spine(spark, sf_dir))
-    rv = MX.rmse(m.score(val.select("user_id", "item_id").distinct()), val).select(
-        F.col("rmse").alias("validation_rmse"))
-    rt = MX.rmse(m.score(test.select("user_id", "item_id").distinct()), test).select(
-        F.col("rmse").alias("test_rmse"))
-    base = MX.baseline(train.unionByName(val), test).select("mean_rating", "baseline_rmse")
-    rep = rv.crossJoin(rt).crossJoin(base)  # one-row sides
+    rv = MX.rmse(m.score(val.select("user_id", "item_id").distinct()), val).select("rmse").scalar()
+    base = MX.baseline(train.unionByName(val), test)
+    mean_rating = base.select("mean_rating").scalar()
+    baseline_rmse = base.select("baseline_rmse").scalar()
+    rep = MX.rmse(m.score(test.select("user_id", "item_id").distinct()), test).select(
+        rv.alias("validation_rmse"), F.col("rmse").alias("test_rmse"),
+        mean_rating.alias("mean_rating"), baseline_rmse.alias("baseline_rmse"))
     return rep.select(F.lit("masked").alias("model"), F.lit(RANK).alias("rank"),
                       F.lit(REG).alias("reg"), F.lit(ITERS).alias("iters"),
                       "validation_rmse", "test_rmse", "mean_rating", "baseline_rmse",

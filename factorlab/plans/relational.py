@@ -92,14 +92,12 @@ def q_split_overlap(spark, sf_dir):
     union mean counts validation twice."""
     i = T.inter(spark, sf_dir)
     train, val = S.overlapping_split(i)
-    t = train.agg(F.count(F.lit(1)).alias("n_train"), F.sum("rating").alias("s_train"),
-                  F.avg("rating").alias("mean_train"))
-    v = val.agg(F.count(F.lit(1)).alias("n_validation"), F.sum("rating").alias("s_val"))
-    ov = train.join(val.select("row_key"), "row_key", "left_semi").agg(F.count(F.lit(1)).alias("n_overlap"))
-    u = train.select("rating").unionByName(val.select("rating")).agg(F.avg("rating").alias("mu"))
-    return t.crossJoin(v).crossJoin(ov).crossJoin(u).select(  # one-row sides
-        "n_train", "n_validation", "n_overlap", r6("mean_train").alias("mean_train"),
-        r6("mu").alias("mean_train_union_validation"))
+    n_val = val.agg(F.count(F.lit(1))).scalar()
+    n_overlap = train.join(val.select("row_key"), "row_key", "left_semi").agg(F.count(F.lit(1))).scalar()
+    mu = train.select("rating").unionByName(val.select("rating")).agg(F.avg("rating")).scalar()
+    return train.agg(F.count(F.lit(1)).alias("n_train"), n_val.alias("n_validation"),
+                     n_overlap.alias("n_overlap"), r6(F.avg("rating")).alias("mean_train"),
+                     r6(mu).alias("mean_train_union_validation"))
 
 
 @register("q_sample_split_exact", T.with_views("inter") + """,
@@ -137,10 +135,9 @@ WHERE item_id < (SELECT count(*) FROM part) AND user_id < (SELECT count(*) FROM
 def q_id_in_range(spark, sf_dir):
     """Ids below the row count of their table (scalar subqueries)."""
     i = T.inter(spark, sf_dir)
-    n_items = T.table(spark, sf_dir, "part").agg(F.count(F.lit(1)).alias("n_items"))
-    n_users = T.table(spark, sf_dir, "customer").agg(F.count(F.lit(1)).alias("n_users"))
-    j = i.crossJoin(F.broadcast(n_items)).crossJoin(F.broadcast(n_users))  # one-row sides
-    return (j.where((F.col("item_id") < F.col("n_items")) & (F.col("user_id") < F.col("n_users")))
+    n_items = T.table(spark, sf_dir, "part").agg(F.count(F.lit(1))).scalar()
+    n_users = T.table(spark, sf_dir, "customer").agg(F.count(F.lit(1))).scalar()
+    return (i.where((F.col("item_id") < n_items) & (F.col("user_id") < n_users))
             .agg(F.count(F.lit(1)).alias("n_in_range")))
 
 

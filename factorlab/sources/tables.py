@@ -130,11 +130,11 @@ PERSONAL_N_ITEMS = 20
 
 def personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ratings of one new user on the first 20 parts; rating = 1 + key mod 5."""
-    c = table(spark, sf_dir, "customer").agg((F.max("c_custkey") + 1).alias("user_id"))
+    uid = table(spark, sf_dir, "customer").agg(F.max("c_custkey") + 1).scalar()
     p = (table(spark, sf_dir, "part").select("p_partkey")
          .where(F.col("p_partkey") < PERSONAL_N_ITEMS))
-    return p.crossJoin(F.broadcast(c)).select(  # one-row side: bounded
-        "user_id", F.col("p_partkey").alias("item_id"),
+    return p.select(
+        uid.alias("user_id"), F.col("p_partkey").alias("item_id"),
         (F.lit(1.0) + F.pmod("p_partkey", F.lit(5))).cast("double").alias("rating"))
 
 
