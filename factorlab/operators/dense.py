@@ -1,0 +1,4 @@
+"""Bounded dense views of the rating matrix (P21) for inspection of a slice;
+the models never materialise the dense matrix."""
+
+from .relational import densify  # noqa: F401

@@ -195,6 +195,10 @@ def train_als(ratings: DataFrame, rank: int, iters: int, reg: float, method: str
     items_f = cut_lineage(init_factors(i_ids, "id", rank, "item", seed))
     users_f = None
     trace = []
+    # Inside the loop only entities with ratings carry factors: a cold entity's
+    # factor is 0 after its first update, so it adds nothing to any Gram sum.
+    # The initial item table covers the whole item spine (the first user
+    # half-step of the zero-filled variant sums all of it).
     for it in range(1, iters + 1):
         if method == "masked":
             us = masked_half_step(by_user, items_f, USER, ITEM, rank, reg, n_items,
@@ -202,17 +206,18 @@ def train_als(ratings: DataFrame, rank: int, iters: int, reg: float, method: str
         else:
             us = zero_filled_half_step(by_user, items_f, USER, ITEM, rank, reg, n_items,
                                        broadcast_max_bytes)
-        users_f = cut_lineage(with_cold(us, u_ids, rank))
+        users_f = cut_lineage(us)
         if method == "masked":
             its = masked_half_step(by_item, users_f, ITEM, USER, rank, reg, n_users,
                                    mask_threshold, rhs_mask, broadcast_max_bytes)
         else:
             its = zero_filled_half_step(by_item, users_f, ITEM, USER, rank, reg, n_users,
                                         broadcast_max_bytes)
-        items_f = cut_lineage(with_cold(its, i_ids, rank))
+        items_f = cut_lineage(its)
         if trace_on is not None:
-            trace.append((it, _rmse_value(users_f, items_f, r),
-                          _rmse_value(users_f, items_f, trace_on)))
+            uc, ic = with_cold(users_f, u_ids, rank), with_cold(items_f, i_ids, rank)
+            trace.append((it, _rmse_value(uc, ic, r), _rmse_value(uc, ic, trace_on)))
+    users_f, items_f = with_cold(users_f, u_ids, rank), with_cold(items_f, i_ids, rank)
     r.unpersist()
     return FactorModel(users_f, items_f, trace, rank)
 

@@ -236,6 +236,16 @@ def q_metric_norm(spark, sf_dir):
     return ML.row_quad(T.feat(spark, sf_dir), DIAG).select("row_id", r6("xmx").alias("xmx"))
 
 
+@register("q_metric_norm_head", T.with_views("feat") + f"""
+SELECT row_id, label, round(list_sum(list_transform(x, lambda v, i: {DIAG_SQL}[i] * (v * v))), 6) AS xmx
+FROM feat ORDER BY row_id LIMIT 100""")
+def q_metric_norm_head(spark, sf_dir):
+    """O4 + M22: the first 100 rows by id with xᵀ M x (the slice the reference
+    plots); a top-k by key, planned as TakeOrderedAndProject."""
+    q = ML.row_quad(T.feat(spark, sf_dir), DIAG)
+    return q.orderBy("row_id").limit(100).select("row_id", "label", r6("xmx").alias("xmx"))
+
+
 @register("q_label_first_id", T.with_views("feat") + """
 SELECT label, min(row_id) AS first_id, count(*) AS n FROM feat GROUP BY label""")
 def q_label_first_id(spark, sf_dir):

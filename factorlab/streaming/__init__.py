@@ -1,0 +1,5 @@
+"""Streaming: intentionally empty.
+
+The reference has no streaming work (no watermark, window, state or late
+data anywhere); every operator in this package is a batch DataFrame job.
+"""

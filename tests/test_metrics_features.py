@@ -118,3 +118,30 @@ def test_blocked_1nn_matches_brute_force_with_hot_key(spark):
     got = {r.q_id: (r.d2, r.t_ord, r.nn_rating) for r in ML.nearest_train(tr, te, "key", w, block=16).collect()}
     want = {k: v for k, v in brute_1nn(train, test, w, 9).items() if v is not None}
     assert got == want
+
+
+def test_densify_bounded_slice(spark):
+    from factorlab.operators.relational import densify
+    df = spark.createDataFrame([(1, 1, 4.0), (1, 1, 2.0), (2, 3, 5.0), (9, 9, 1.0)],
+                               "user_id bigint, item_id bigint, rating double")
+    got = {(r.user_id, r.item_id): r.rating for r in densify(df, [1, 2], [1, 2, 3]).collect()}
+    assert got == {(1, 1): 3.0, (1, 2): 0.0, (1, 3): 0.0, (2, 1): 0.0, (2, 2): 0.0, (2, 3): 5.0}
+
+
+def test_candidates_bounded_users(spark):
+    import pytest
+    from factorlab.operators.relational import candidates
+    items = spark.range(5).select(F.col("id").alias("item_id"))
+    seen = spark.createDataFrame([(7, 1), (7, 3)], "user_id bigint, item_id bigint")
+    users = spark.createDataFrame([(7,), (8,)], "user_id bigint")
+    got = sorted((r.user_id, r.item_id) for r in candidates(items, seen, users).collect())
+    assert got == [(7, 0), (7, 2), (7, 4)] + [(8, i) for i in range(5)]
+    with pytest.raises(ValueError):
+        candidates(items, seen, users, max_users=1)
+
+
+def test_entry_smoke(spark):
+    import __spark_entry__ as E
+    df = E.entry(spark)
+    assert df.count() >= 1 and "test_rmse" in df.columns
+    assert set(E.oracle_sql()) <= set(E.queries())
