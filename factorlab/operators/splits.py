@@ -86,10 +86,17 @@ def sample_split_exact(df: DataFrame, key_col: str = "row_key", frac: float = 0.
     n = indexed.count()
     k = int(math.floor(frac * n + 0.5))
     first = indexed.where(F.col("_pos") < k).drop("_h", "_pos")
-    second = df.join(first.select(key_col), key_col, "left_anti")
+    # The complement by position is exactly the anti-join of the reference
+    # (J7, see ``complement``) without a second shuffle of the whole table.
+    second = indexed.where(F.col("_pos") >= k).drop("_h", "_pos")
     return first, second
 
 
+def complement(df: DataFrame, part: DataFrame, key_col: str = "row_key") -> DataFrame:
+    """Rows of ``df`` whose key is not in ``part`` (left anti-join)."""
+    return df.join(part.select(key_col), key_col, "left_anti")
+
+
 def sample_split_hash(df: DataFrame, key_col: str = "row_key", frac: float = 0.9,
                       seed: int = 1992):
     """P5 scale path: independent per-row hash threshold (approximate sizes)."""

@@ -145,3 +145,9 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() >= 1 and "test_rmse" in df.columns
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_complement_is_anti_join(spark):
+    df = spark.range(0, 20).select(F.col("id").cast("string").alias("row_key"))
+    a, b = S.sample_split_exact(df, "row_key", 0.7, 5)
+    assert {r.row_key for r in S.complement(df, a).collect()} == {r.row_key for r in b.collect()}
