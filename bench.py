@@ -39,7 +39,7 @@ def main():
     names = sys.argv[1:] or HEADLINE
     from factorlab.session import build_session
     from factorlab.plans import all_queries
-    spark = build_session(master=f"local[{cpus}]", shuffle_partitions=int(cpus) * 2)
+    spark = build_session(master=f"local[{cpus}]", shuffle_partitions=int(cpus))
     qs = all_queries()
     # warm up the JVM and the Python workers once, untimed
     qs["q_bucket_counts"](spark, sf_dir).write.format("noop").mode("overwrite").save()

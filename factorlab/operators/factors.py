@@ -18,9 +18,9 @@ holds a third of all rows is still spread over every partition. Each
 half-step joins them to the other side's factors (broadcast when the factor
 table's size bound allows, else a shuffle join that AQE splits on skew), and
 the per-key Gram sums are combined map-side: the exchange carries at most one
-row per key and partition, never the rating rows. Every half-step output is checkpointed into the shared checkpoint folder, so
-the plan does not grow with the iterations and a lost executor only costs
-the current half-step.
+row per key and partition, never the rating rows. Every half-step output is written as a table into the shared checkpoint folder
+(and the previous iteration's tables dropped), so the plan does not grow
+with the iterations and a lost executor only costs the current half-step.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import uniform_factor
 from ..functions.vectors import dot
-from ..session import cut_lineage
+from ..session import cut_lineage, drop_table, table_path
 from . import joins
 from .splits import dedupe
 
@@ -193,8 +193,9 @@ def train_als(ratings: DataFrame, rank: int, iters: int, reg: float, method: str
     i_ids = cut_lineage(i_ids.select(F.col("id").cast("bigint")).distinct())
     n_users, n_items = u_ids.count(), i_ids.count()
     items_f = cut_lineage(init_factors(i_ids, "id", rank, "item", seed))
-    users_f = None
+    users_f = prev_users = None
     trace = []
+    spark = ratings.sparkSession
     # Inside the loop only entities with ratings carry factors: a cold entity's
     # factor is 0 after its first update, so it adds nothing to any Gram sum.
     # The initial item table covers the whole item spine (the first user
@@ -213,10 +214,16 @@ def train_als(ratings: DataFrame, rank: int, iters: int, reg: float, method: str
         else:
             its = zero_filled_half_step(by_item, users_f, ITEM, USER, rank, reg, n_users,
                                         broadcast_max_bytes)
+        prev_items = items_f
         items_f = cut_lineage(its)
         if trace_on is not None:
             uc, ic = with_cold(users_f, u_ids, rank), with_cold(items_f, i_ids, rank)
             trace.append((it, _rmse_value(uc, ic, r), _rmse_value(uc, ic, trace_on)))
+        # superseded iteration tables are no longer referenced by any plan
+        drop_table(spark, table_path(prev_items))
+        if prev_users is not None:
+            drop_table(spark, table_path(prev_users))
+        prev_users = users_f
     users_f, items_f = with_cold(users_f, u_ids, rank), with_cold(items_f, i_ids, rank)
     r.unpersist()
     return FactorModel(users_f, items_f, trace, rank)

@@ -1,7 +1,7 @@
 """Session construction and lineage cutting.
 
-Iterative trainers cut their lineage with ``DataFrame.checkpoint()`` into
-the shared folder named by ``spark.checkpoint.dir``. That setting is read
+Iterative trainers cut their lineage by writing parquet tables into the
+shared folder named by ``spark.checkpoint.dir``. That setting is read
 from the session; a folder of our own is only set when none is configured
 (local runs and tests).
 """
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,7 +55,37 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def _table_root(spark: SparkSession) -> str:
+    return ensure_checkpoint_dir(spark).rstrip("/") + "/factorlab-tables"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable (eager) checkpoint into the shared checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` as a parquet table in the shared checkpoint folder
+    and return a DataFrame reading it back.
+
+    One job computes and writes the data (a reliable ``checkpoint()`` would
+    compute it twice unless cached); the result has a one-node lineage and
+    survives the loss of any executor.
+    """
+    spark = df.sparkSession
+    path = f"{_table_root(spark)}/{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    return spark.read.parquet(path)
+
+
+def table_path(df: DataFrame) -> str | None:
+    """The folder a DataFrame returned by :func:`cut_lineage` reads from."""
+    files = df.inputFiles()
+    if not files:
+        return None
+    return files[0].rsplit("/", 1)[0]
+
+
+def drop_table(spark: SparkSession, path: str | None) -> None:
+    """Delete a superseded table written by :func:`cut_lineage`."""
+    if not path or "/factorlab-tables/" not in path:
+        return
+    jvm = spark.sparkContext._jvm
+    jpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(jpath, True)
