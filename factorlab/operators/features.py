@@ -48,17 +48,19 @@ def genre_flags(df: DataFrame, genres_col: str = "genres") -> DataFrame:
 
 
 def l2_normalize(df: DataFrame, cols: list[str], suffix: str = "") -> DataFrame:
-    """Divide each column by its global L2 norm, all norms in one
-    aggregate (a one-row table joined back). A zero norm gives NULL."""
+    """Divide each column by its global L2 norm. All norms come from
+    one aggregate job (one row of len(cols) numbers reaches the driver) and
+    enter the plan as literals. A zero norm gives NULL."""
     if not cols:
         return df
-    norms = df.agg(F.struct(*[F.sqrt(F.sum(F.col(c).cast("double") * F.col(c).cast("double")))
-                              .alias(f"n{k}") for k, c in enumerate(cols)])).scalar()
-    j = df
+    row = df.agg(*[F.sqrt(F.sum(F.col(c).cast("double") * F.col(c).cast("double"))).alias(f"n{k}")
+                   for k, c in enumerate(cols)]).first()
+    out = df
     for k, c in enumerate(cols):
-        n = norms.getField(f"n{k}")
-        j = j.withColumn(c + suffix, F.when(n != 0, F.col(c).cast("double") / n))
-    return j
+        n = row[f"n{k}"]
+        val = F.col(c).cast("double") / F.lit(n) if n else F.lit(None).cast("double")
+        out = out.withColumn(c + suffix, val)
+    return out
 
 
 def feature_table(ratings: DataFrame, items: DataFrame, users: DataFrame,
