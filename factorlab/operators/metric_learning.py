@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,17 @@ from ..session import cut_lineage
 from .splits import index_rows
 
 
+def _matrix(arr: pa.Array) -> np.ndarray:
+    """A list<double> Arrow column of equal-length rows as an (n, d) matrix
+    (zero-copy view of the child values)."""
+    arr = arr.combine_chunks() if isinstance(arr, pa.ChunkedArray) else arr
+    n = len(arr)
+    if n == 0:
+        return np.zeros((0, 0))
+    flat = arr.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(n, -1)
+
+
 # ------------------------------------------------------------------ pairs
 def generate_pairs(df: DataFrame, id_col: str, label_col: str, n_pairs: int,
                    positive_ratio: float, seed: int = 42) -> DataFrame:
@@ -129,24 +141,24 @@ def _grad_batches(m: np.ndarray, margin_obj: float, margin_grad: float):
     def run(batches):
         g = np.zeros((d, d))
         hinge_sum, n, active_n = 0.0, 0, 0
-        for pdf in batches:
-            if pdf.empty:
+        for rb in batches:
+            if rb.num_rows == 0:
                 continue
-            xa = np.stack(pdf["xa"].to_numpy())
-            xb = np.stack(pdf["xb"].to_numpy())
-            y = pdf["y"].to_numpy(dtype=float)
+            xa = _matrix(rb.column("xa"))
+            xb = _matrix(rb.column("xb"))
+            y = rb.column("y").to_numpy(zero_copy_only=False).astype(float)
             delta = xa - xb
             d2 = np.einsum("ni,ij,nj->n", delta, m, delta)
             hinge_sum += np.maximum(0.0, 1.0 + y * (d2 - margin_obj)).sum()
             active = (1.0 + y * (d2 - margin_grad)) > 0
             w = y * active
             g += np.einsum("n,ni,nj->ij", w, delta, delta)
-            n += len(pdf)
+            n += rb.num_rows
             active_n += int(active.sum())
-        rows = pd.DataFrame({"i": ii.ravel(), "j": jj.ravel(), "v": g.ravel()})
-        extra = pd.DataFrame({"i": [-1, -1, -1], "j": [0, 1, 2],
-                              "v": [hinge_sum, float(n), float(active_n)]})
-        yield pd.concat([rows, extra], ignore_index=True)
+        i = np.concatenate([ii.ravel(), [-1, -1, -1]]).astype(np.int32)
+        j = np.concatenate([jj.ravel(), [0, 1, 2]]).astype(np.int32)
+        v = np.concatenate([g.ravel(), [hinge_sum, float(n), float(active_n)]])
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(v)], ["i", "j", "v"])
     return run
 
 
@@ -155,7 +167,7 @@ def epoch_gradient(pv: DataFrame, m: np.ndarray, margin_obj: float = 2.0,
     """One pass over the pairs: (i, j, Σ y·[active]·δ_i δ_j) for all i, j plus
     rows i = -1 holding the hinge sum (j=0), pair count (j=1) and active count
     (j=2). Partial sums per partition, final native aggregate."""
-    parts = pv.select("xa", "xb", "y").mapInPandas(
+    parts = pv.select("xa", "xb", "y").mapInArrow(
         _grad_batches(np.asarray(m, dtype=float), margin_obj, margin_grad),
         "i int, j int, v double")
     return parts.groupBy("i", "j").agg(F.sum("v").alias("v"))
@@ -209,38 +221,62 @@ def _blocks(df: DataFrame, key: str, id_col: str, block: int, payload: list[str]
             .agg(F.collect_list(F.struct(*payload)).alias(name)))
 
 
+def _nn_kernel(xt, xq, m):
+    """Squared distances of every query row to every train row, summed term
+    by term in a fixed order (so equal distances stay bit-identical)."""
+    delta = xq[:, None, :] - xt[None, :, :]
+    acc = np.zeros(delta.shape[:2])
+    if m is None:
+        for c in range(delta.shape[2]):
+            acc = acc + delta[:, :, c] * delta[:, :, c]
+    elif m.ndim == 1:
+        for c in range(delta.shape[2]):
+            acc = acc + m[c] * (delta[:, :, c] * delta[:, :, c])
+    else:
+        for a in range(delta.shape[2]):
+            for b in range(delta.shape[2]):
+                if m[a, b] != 0.0:
+                    acc = acc + m[a, b] * (delta[:, :, a] * delta[:, :, b])
+    return acc
+
+
 def _nn_batches(m: np.ndarray | None, decimals: int):
     def run(batches):
-        for pdf in batches:
-            out = []
-            for tr, te in zip(pdf["train"], pdf["test"]):
-                xt = np.stack([np.asarray(r["x"], dtype=float) for r in tr])
-                xq = np.stack([np.asarray(r["x"], dtype=float) for r in te])
-                t_ord = np.array([r["t_ord"] for r in tr], dtype=object)
-                rating = np.array([r["rating"] for r in tr], dtype=float)
-                delta = xq[:, None, :] - xt[None, :, :]
-                acc = np.zeros(delta.shape[:2])
-                if m is None:
-                    for c in range(delta.shape[2]):
-                        acc = acc + delta[:, :, c] * delta[:, :, c]
-                elif m.ndim == 1:
-                    for c in range(delta.shape[2]):
-                        acc = acc + m[c] * (delta[:, :, c] * delta[:, :, c])
-                else:
-                    for a in range(delta.shape[2]):
-                        for b in range(delta.shape[2]):
-                            if m[a, b] != 0.0:
-                                acc = acc + m[a, b] * (delta[:, :, a] * delta[:, :, b])
-                d2 = np.round(acc, decimals)
+        for rb in batches:
+            if rb.num_rows == 0:
+                continue
+            tr, te = rb.column("train"), rb.column("test")
+            t_off = tr.offsets.to_numpy()
+            q_off = te.offsets.to_numpy()
+            tv, qv = tr.values, te.values  # StructArrays of all rows in the batch
+            xt_all = _matrix(tv.field("x"))
+            xq_all = _matrix(qv.field("x"))
+            t_ord_all = np.asarray(tv.field("t_ord").to_pylist(), dtype=object)
+            rating_all = tv.field("rating").to_numpy(zero_copy_only=False).astype(float)
+            q_id_all = np.asarray(qv.field("q_id").to_pylist(), dtype=object)
+            q_ids, best_d, best_t, best_r = [], [], [], []
+            for k in range(rb.num_rows):
+                ts, te_ = t_off[k], t_off[k + 1]
+                qs, qe = q_off[k], q_off[k + 1]
+                if te_ == ts or qe == qs:
+                    continue
+                d2 = np.round(_nn_kernel(xt_all[ts:te_], xq_all[qs:qe], m), decimals)
+                t_ord = t_ord_all[ts:te_]
                 order = np.argsort(np.argsort(t_ord, kind="stable"), kind="stable")
-                best_d = d2.min(axis=1)
-                cand = np.where(d2 == best_d[:, None], order[None, :], len(order) + 1)
-                k = cand.argmin(axis=1)
-                out.append(pd.DataFrame({
-                    "q_id": [r["q_id"] for r in te], "d2": best_d,
-                    "t_ord": t_ord[k], "nn_rating": rating[k]}))
-            if out:
-                yield pd.concat(out, ignore_index=True)
+                bd = d2.min(axis=1)
+                cand = np.where(d2 == bd[:, None], order[None, :], len(order) + 1)
+                pick = cand.argmin(axis=1)
+                q_ids.append(q_id_all[qs:qe])
+                best_d.append(bd)
+                best_t.append(t_ord[pick])
+                best_r.append(rating_all[ts:te_][pick])
+            if q_ids:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(q_ids).tolist(), pa.string()),
+                     pa.array(np.concatenate(best_d)),
+                     pa.array(np.concatenate(best_t).tolist(), pa.string()),
+                     pa.array(np.concatenate(best_r))],
+                    ["q_id", "d2", "t_ord", "nn_rating"])
     return run
 
 
@@ -260,7 +296,7 @@ def nearest_train(train: DataFrame, test: DataFrame, key: str, m=None, block: in
     tb = _blocks(train, key, "t_ord", block, ["t_ord", "rating", "x"], "train")
     qb = _blocks(test, key, "q_id", block, ["q_id", "x"], "test")
     pairs = tb.join(qb, key).select("train", "test")
-    cand = pairs.mapInPandas(_nn_batches(arr, decimals),
+    cand = pairs.mapInArrow(_nn_batches(arr, decimals),
                              "q_id string, d2 double, t_ord string, nn_rating double")
     return cand.groupBy("q_id").agg(
         F.min("d2").alias("d2"),
