@@ -16,7 +16,8 @@ Factors are DataFrames ``(id, f ARRAY<DOUBLE>)``. The de-duplicated ratings
 are persisted once, hash-partitioned on (user, item), so a user or item that
 holds a third of all rows is still spread over every partition. Each
 half-step joins them to the other side's factors (broadcast when the factor
-table's size bound allows, else a shuffle join that AQE splits on skew), and
+table's size bound allows, else a split join: factors of hot keys broadcast,
+the rest shuffled), and
 the per-key Gram sums are combined map-side: the exchange carries at most one
 row per key and partition, never the rating rows. Every half-step output is written as a table into the shared checkpoint folder
 (and the previous iteration's tables dropped), so the plan does not grow
@@ -59,6 +60,19 @@ def prepare_ratings(ratings: DataFrame, duplicates: str = "mean") -> DataFrame:
     return dedupe(ratings.select(*cols, *extra), policy=duplicates)
 
 
+def _factor_join(ratings: DataFrame, fixed: DataFrame, other: str, rank: int, n_fixed: int,
+                 broadcast_max_bytes: int, hot: list | None) -> DataFrame:
+    """Ratings meet the other side's factors (J9): a broadcast when the factor
+    table's size bound allows it, otherwise a split join that broadcasts only
+    the factors of hot keys (``hot``, found once before the loop) and shuffles
+    the rest."""
+    fx = fixed.select(F.col("id").alias(other), "f")
+    r = ratings.select(*[c for c in ratings.columns if c in (USER, ITEM, "rating")])
+    if n_fixed * joins.factor_row_bytes(rank) <= broadcast_max_bytes:
+        return r.join(F.broadcast(fx), other, "inner")
+    return joins.split_join(r, fx, other, hot or [], "inner")
+
+
 def _solve_batches(rank: int, reg: float):
     iu = np.triu_indices(rank)
 
@@ -81,14 +95,13 @@ def _solve_batches(rank: int, reg: float):
 def masked_half_step(ratings: DataFrame, fixed: DataFrame, key: str, other: str, rank: int,
                      reg: float, n_fixed: int, mask_threshold: float = 0.5,
                      rhs_mask: bool = True,
-                     broadcast_max_bytes: int = joins.DEFAULT_BROADCAST_MAX_BYTES) -> DataFrame:
+                     broadcast_max_bytes: int = joins.DEFAULT_BROADCAST_MAX_BYTES,
+                     hot: list | None = None) -> DataFrame:
     """Solve the ``key`` side given the ``other`` side's factors (M6).
 
     Returns (id, f) for keys that have ratings; cold keys are added by the caller.
     """
-    fx = joins.bounded_broadcast(fixed.select(F.col("id").alias(other), "f"), n_fixed,
-                                 joins.factor_row_bytes(rank), broadcast_max_bytes)
-    j = ratings.select(key, other, "rating").join(fx, other, "inner")
+    j = _factor_join(ratings, fixed, other, rank, n_fixed, broadcast_max_bytes, hot)
     obs = F.col("rating") > mask_threshold
     y = [F.col("f")[a] for a in range(rank)]
     aggs = []
@@ -117,14 +130,13 @@ def global_gram(fixed: DataFrame, rank: int) -> np.ndarray:
 
 def zero_filled_half_step(ratings: DataFrame, fixed: DataFrame, key: str, other: str,
                           rank: int, reg: float, n_fixed: int,
-                          broadcast_max_bytes: int = joins.DEFAULT_BROADCAST_MAX_BYTES) -> DataFrame:
+                          broadcast_max_bytes: int = joins.DEFAULT_BROADCAST_MAX_BYTES,
+                          hot: list | None = None) -> DataFrame:
     """Solve the ``key`` side with unrated cells as zeros (M5):
     x_u = (YᵀY + lambda I)⁻¹ Σ_i r_ui y_i."""
     g = global_gram(fixed, rank) + reg * np.eye(rank)
     ginv = np.linalg.inv(g)
-    fx = joins.bounded_broadcast(fixed.select(F.col("id").alias(other), "f"), n_fixed,
-                                 joins.factor_row_bytes(rank), broadcast_max_bytes)
-    j = ratings.select(key, other, "rating").join(fx, other, "inner")
+    j = _factor_join(ratings, fixed, other, rank, n_fixed, broadcast_max_bytes, hot)
     rhs = j.groupBy(F.col(key).alias("id")).agg(
         *[F.sum(F.col("rating") * F.col("f")[a]).alias(f"b{a}") for a in range(rank)])
     x = [sum((F.lit(float(ginv[a, c])) * F.col(f"b{c}") for c in range(rank)), F.lit(0.0))
@@ -193,6 +205,9 @@ def train_als(ratings: DataFrame, rank: int, iters: int, reg: float, method: str
     i_ids = cut_lineage(i_ids.select(F.col("id").cast("bigint")).distinct())
     n_users, n_items = u_ids.count(), i_ids.count()
     items_f = cut_lineage(init_factors(i_ids, "id", rank, "item", seed))
+    fbytes = joins.factor_row_bytes(rank)
+    hot_items = joins.hot_keys(r, ITEM) if n_items * fbytes > broadcast_max_bytes else []
+    hot_users = joins.hot_keys(r, USER) if n_users * fbytes > broadcast_max_bytes else []
     users_f = prev_users = None
     trace = []
     spark = ratings.sparkSession
@@ -203,17 +218,17 @@ def train_als(ratings: DataFrame, rank: int, iters: int, reg: float, method: str
     for it in range(1, iters + 1):
         if method == "masked":
             us = masked_half_step(by_user, items_f, USER, ITEM, rank, reg, n_items,
-                                  mask_threshold, rhs_mask, broadcast_max_bytes)
+                                  mask_threshold, rhs_mask, broadcast_max_bytes, hot_items)
         else:
             us = zero_filled_half_step(by_user, items_f, USER, ITEM, rank, reg, n_items,
-                                       broadcast_max_bytes)
+                                       broadcast_max_bytes, hot_items)
         users_f = cut_lineage(us)
         if method == "masked":
             its = masked_half_step(by_item, users_f, ITEM, USER, rank, reg, n_users,
-                                   mask_threshold, rhs_mask, broadcast_max_bytes)
+                                   mask_threshold, rhs_mask, broadcast_max_bytes, hot_users)
         else:
             its = zero_filled_half_step(by_item, users_f, ITEM, USER, rank, reg, n_users,
-                                        broadcast_max_bytes)
+                                        broadcast_max_bytes, hot_users)
         prev_items = items_f
         items_f = cut_lineage(its)
         if trace_on is not None:

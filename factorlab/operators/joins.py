@@ -22,3 +22,41 @@ def bounded_broadcast(small: DataFrame, n_rows: int, row_bytes: int,
 def factor_row_bytes(rank: int) -> int:
     # id (8) + array header (16) + rank doubles + row overhead
     return 8 + 16 + 8 * rank + 16
+
+
+def shuffle_parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def hot_keys_from_counts(counts: DataFrame, key: str, count_col: str, total: int,
+                         parts: int) -> list:
+    """Keys whose row count exceeds total / (2 * parts): such a key alone would
+    fill more than half a shuffle partition. By construction there are at
+    most 2 * parts of them, so the list is a proven-small driver value."""
+    thr = max(1, total // (2 * parts))
+    rows = counts.where(F.col(count_col) > thr).select(key).limit(2 * parts + 1).collect()
+    return sorted(r[0] for r in rows)
+
+
+def hot_keys(df: DataFrame, key: str, parts: int | None = None) -> list:
+    """Hot keys of ``df`` (one aggregate job with map-side partial counts)."""
+    parts = parts or shuffle_parts(df)
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    return hot_keys_from_counts(counts, key, "_n", total, parts)
+
+
+def split_join(big: DataFrame, small: DataFrame, key: str, hot: list, how: str = "inner") -> DataFrame:
+    """Equi-join that keeps hot keys out of the shuffle.
+
+    ``small`` must have at most one row per key. Rows of ``big`` with a hot key
+    join a broadcast of ``small`` restricted to the hot keys (at most
+    len(hot) rows: a proven bound); all other rows take a normal shuffle join,
+    where no key exceeds the hot threshold.
+    """
+    if not hot:
+        return big.join(small, key, how)
+    is_hot = F.col(key).isin(hot)
+    hot_part = big.where(is_hot).join(F.broadcast(small.where(is_hot)), key, how)
+    cold_part = big.where(~is_hot).join(small.where(~is_hot), key, how)
+    return hot_part.unionByName(cold_part)

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import hash01, md5_u32
 from ..functions.vectors import diag_quad, sq_dist, sub
 from ..session import cut_lineage
+from . import joins
 from .splits import index_rows
 
 
@@ -213,14 +214,6 @@ def learn_metric(pv: DataFrame, d: int, epochs: int = 20, gamma=lambda t: 0.001
 
 
 # ------------------------------------------------------------- 1-NN rating
-def _blocks(df: DataFrame, key: str, id_col: str, block: int, payload: list[str], name: str):
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_c"))
-    nb = F.greatest(F.lit(1), F.ceil(F.col("_c") / F.lit(block)))
-    j = df.join(counts, key).withColumn("_blk", F.pmod(F.xxhash64(F.col(id_col)), nb))
-    return (j.groupBy(key, F.col("_blk").alias(f"{name}_blk"))
-            .agg(F.collect_list(F.struct(*payload)).alias(name)))
-
-
 def _nn_kernel(xt, xq, m):
     """Squared distances of every query row to every train row, summed term
     by term in a fixed order (so equal distances stay bit-identical)."""
@@ -287,17 +280,36 @@ def nearest_train(train: DataFrame, test: DataFrame, key: str, m=None, block: in
     ``t_ord``; returns (q_id, d2, t_ord, nn_rating).
 
     train: (key, t_ord, rating, x); test: (key, q_id, x). Each key's rows are
-    cut into hash blocks of about ``block`` rows, and every training block
-    meets every query block of its key in one numpy task, so memory per task is
-    bounded even when one key holds a third of the rows. Per block the best
-    candidate per query row is kept; a native min_by picks the winner.
+    cut into hash blocks of about ``block`` rows. Every query block is paired
+    with each training block of its key by exploding the training-block ids
+    and joining on (key, block), so one hot key's block pairs spread over all
+    tasks; each pair is one bounded numpy kernel call. Joins against per-key
+    tables keep hot keys out of the shuffle (``joins.split_join``). Per block
+    the best candidate per query row is kept; a native min_by picks the winner.
     """
     arr = None if m is None else np.asarray(m, dtype=float)
-    tb = _blocks(train, key, "t_ord", block, ["t_ord", "rating", "x"], "train")
-    qb = _blocks(test, key, "q_id", block, ["q_id", "x"], "test")
-    pairs = tb.join(qb, key).select("train", "test")
+    parts = joins.shuffle_parts(train)
+    t_counts = train.groupBy(key).agg(F.count(F.lit(1)).alias("_ct"))
+    q_counts = test.groupBy(key).agg(F.count(F.lit(1)).alias("_cq"))
+    totals = (t_counts.agg(F.sum("_ct")).first()[0] or 0, q_counts.agg(F.sum("_cq")).first()[0] or 0)
+    hot = sorted(set(joins.hot_keys_from_counts(t_counts, key, "_ct", totals[0], parts))
+                 | set(joins.hot_keys_from_counts(q_counts, key, "_cq", totals[1], parts)))
+    nb_t = t_counts.select(key, F.greatest(F.lit(1), F.ceil(F.col("_ct") / F.lit(block))).alias("_nbt"))
+    nb_q = q_counts.select(key, F.greatest(F.lit(1), F.ceil(F.col("_cq") / F.lit(block))).alias("_nbq"))
+
+    tj = joins.split_join(train, nb_t, key, hot)
+    tb = (tj.withColumn("train_blk", F.pmod(F.xxhash64(F.col("t_ord")), F.col("_nbt")))
+          .groupBy(key, "train_blk")
+          .agg(F.collect_list(F.struct("t_ord", "rating", "x")).alias("train")))
+    qj = joins.split_join(test, nb_q, key, hot)
+    qb = (qj.withColumn("test_blk", F.pmod(F.xxhash64(F.col("q_id")), F.col("_nbq")))
+          .groupBy(key, "test_blk")
+          .agg(F.collect_list(F.struct("q_id", "x")).alias("test")))
+    qbx = (joins.split_join(qb, nb_t, key, hot)
+           .withColumn("train_blk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_nbt") - 1))))
+    pairs = qbx.join(tb, [key, "train_blk"]).select("train", "test")
     cand = pairs.mapInArrow(_nn_batches(arr, decimals),
-                             "q_id string, d2 double, t_ord string, nn_rating double")
+                            "q_id string, d2 double, t_ord string, nn_rating double")
     return cand.groupBy("q_id").agg(
         F.min("d2").alias("d2"),
         F.min_by(F.struct("t_ord", "nn_rating"), F.struct("d2", "t_ord")).alias("_w")

@@ -151,3 +151,27 @@ def test_complement_is_anti_join(spark):
     df = spark.range(0, 20).select(F.col("id").cast("string").alias("row_key"))
     a, b = S.sample_split_exact(df, "row_key", 0.7, 5)
     assert {r.row_key for r in S.complement(df, a).collect()} == {r.row_key for r in b.collect()}
+
+
+def test_split_join_matches_plain_join(spark):
+    from factorlab.operators import joins
+    big = spark.createDataFrame([(0 if i < 60 else i % 7 + 1, i) for i in range(100)], "k bigint, v bigint")
+    small = spark.createDataFrame([(k, k * 10) for k in range(0, 6)], "k bigint, w bigint")
+    hot = joins.hot_keys(big, "k", parts=4)
+    assert hot == [0]
+    a = sorted(tuple(r) for r in joins.split_join(big, small, "k", hot).collect())
+    b = sorted(tuple(r) for r in big.join(small, "k").collect())
+    assert a == b and len(a) > 60
+
+
+def test_als_split_join_path_equals_broadcast_path(spark):
+    from factorlab.operators import factors as FA
+    rng = np.random.RandomState(2)
+    cells = [(u, 0, float(rng.randint(1, 6))) for u in range(40)]  # item 0 is hot
+    cells += [(u, i, float(rng.randint(1, 6))) for u in range(40) for i in range(1, 8) if rng.rand() < 0.3]
+    r = spark.createDataFrame(cells, "user_id bigint, item_id bigint, rating double")
+    a = FA.train_als(r, 2, 2, 0.1, "masked")
+    b = FA.train_als(r, 2, 2, 0.1, "masked", broadcast_max_bytes=0)
+    fa = {x.id: list(x.f) for x in a.users.collect()}
+    fb = {x.id: list(x.f) for x in b.users.collect()}
+    assert fa.keys() == fb.keys() and all(np.allclose(fa[k], fb[k], atol=1e-10) for k in fa)
