@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampType
 
 ROW_KEY_COLS = ["l_orderkey", "l_linenumber", "item_id", "l_suppkey", "l_quantity",
                 "l_extendedprice", "day"]
@@ -37,6 +38,14 @@ def _row_key(cols: dict) -> F.Column:
         F.round(cols["l_extendedprice"] * 100).cast("bigint"), cols["day"])
 
 
+def day_number(c: F.Column, dtype) -> F.Column:
+    """Days since 1970-01-01 of a wall-clock timestamp, independent of the
+    session time zone (a zone-aware TIMESTAMP counts UTC days)."""
+    if isinstance(dtype, TimestampType):
+        return F.floor(F.unix_micros(c) / F.lit(86400000000)).cast("bigint")
+    return F.unix_date(c.cast("date")).cast("bigint")
+
+
 def inter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interaction rows; unique on ``row_key``."""
     li = table(spark, sf_dir, "lineitem").select(
@@ -44,7 +53,7 @@ def inter(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_extendedprice", "l_shipdate")
     od = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     j = li.join(od, li.l_orderkey == od.o_orderkey, "inner")
-    day = F.unix_date(F.col("l_shipdate").cast("date")).cast("bigint")
+    day = day_number(F.col("l_shipdate"), li.schema["l_shipdate"].dataType)
     df = j.select(
         F.col("o_custkey").alias("user_id"),
         F.col("l_partkey").alias("item_id"),
