@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import uniform_factor
 from ..functions.vectors import dot
-from ..session import cut_lineage, drop_table, table_path
+from ..session import cut_lineage, cut_lineage_observed, drop_table, table_path
 from . import joins
 from .splits import dedupe
 
@@ -115,26 +115,34 @@ def masked_half_step(ratings: DataFrame, fixed: DataFrame, key: str, other: str,
     return stats.mapInPandas(_solve_batches(rank, reg), "id bigint, f array<double>")
 
 
-def global_gram(fixed: DataFrame, rank: int) -> np.ndarray:
-    """Σ f fᵀ over all rows of a factor table, as a k x k numpy matrix."""
+def gram_metrics(rank: int) -> list:
+    """Σ f_a f_b (a <= b) over the rows of a factor table, as aggregate columns."""
     y = [F.col("f")[a] for a in range(rank)]
-    aggs = [F.sum(y[a] * y[b]).alias(f"g{a}_{b}") for a in range(rank) for b in range(a, rank)]
-    row = fixed.agg(*aggs).first()
+    return [F.coalesce(F.sum(y[a] * y[b]), F.lit(0.0)).alias(f"g{a}_{b}")
+            for a in range(rank) for b in range(a, rank)]
+
+
+def gram_from_row(row, rank: int) -> np.ndarray:
     g = np.zeros((rank, rank))
     for a in range(rank):
         for b in range(a, rank):
-            v = row[f"g{a}_{b}"] or 0.0
-            g[a, b] = g[b, a] = v
+            g[a, b] = g[b, a] = row[f"g{a}_{b}"] or 0.0
     return g
 
 
+def global_gram(fixed: DataFrame, rank: int) -> np.ndarray:
+    """Σ f fᵀ over all rows of a factor table, as a k x k numpy matrix."""
+    return gram_from_row(fixed.agg(*gram_metrics(rank)).first(), rank)
+
+
 def zero_filled_half_step(ratings: DataFrame, fixed: DataFrame, key: str, other: str,
                           rank: int, reg: float, n_fixed: int,
                           broadcast_max_bytes: int = joins.DEFAULT_BROADCAST_MAX_BYTES,
-                          hot: list | None = None) -> DataFrame:
+                          hot: list | None = None, gram: np.ndarray | None = None) -> DataFrame:
     """Solve the ``key`` side with unrated cells as zeros (M5):
-    x_u = (YᵀY + lambda I)⁻¹ Σ_i r_ui y_i."""
-    g = global_gram(fixed, rank) + reg * np.eye(rank)
+    x_u = (YᵀY + lambda I)⁻¹ Σ_i r_ui y_i. ``gram``: YᵀY when already known
+    (observed while the factor table was written), else one aggregate job."""
+    g = (global_gram(fixed, rank) if gram is None else gram) + reg * np.eye(rank)
     ginv = np.linalg.inv(g)
     j = _factor_join(ratings, fixed, other, rank, n_fixed, broadcast_max_bytes, hot)
     rhs = j.groupBy(F.col(key).alias("id")).agg(
@@ -204,7 +212,17 @@ def train_als(ratings: DataFrame, rank: int, iters: int, reg: float, method: str
     u_ids = cut_lineage(u_ids.select(F.col("id").cast("bigint")).distinct())
     i_ids = cut_lineage(i_ids.select(F.col("id").cast("bigint")).distinct())
     n_users, n_items = u_ids.count(), i_ids.count()
-    items_f = cut_lineage(init_factors(i_ids, "id", rank, "item", seed))
+    # The zero-filled variant needs the Gram matrix of each new factor table;
+    # it is observed during the write of that table (no extra job).
+    observe = method == "zero_filled"
+
+    def write(df):
+        if not observe:
+            return cut_lineage(df), None
+        out, m = cut_lineage_observed(df, gram_metrics(rank))
+        return out, gram_from_row(m, rank)
+
+    items_f, items_g = write(init_factors(i_ids, "id", rank, "item", seed))
     fbytes = joins.factor_row_bytes(rank)
     hot_items = joins.hot_keys(r, ITEM) if n_items * fbytes > broadcast_max_bytes else []
     hot_users = joins.hot_keys(r, USER) if n_users * fbytes > broadcast_max_bytes else []
@@ -221,16 +239,16 @@ def train_als(ratings: DataFrame, rank: int, iters: int, reg: float, method: str
                                   mask_threshold, rhs_mask, broadcast_max_bytes, hot_items)
         else:
             us = zero_filled_half_step(by_user, items_f, USER, ITEM, rank, reg, n_items,
-                                       broadcast_max_bytes, hot_items)
-        users_f = cut_lineage(us)
+                                       broadcast_max_bytes, hot_items, items_g)
+        users_f, users_g = write(us)
         if method == "masked":
             its = masked_half_step(by_item, users_f, ITEM, USER, rank, reg, n_users,
                                    mask_threshold, rhs_mask, broadcast_max_bytes, hot_users)
         else:
             its = zero_filled_half_step(by_item, users_f, ITEM, USER, rank, reg, n_users,
-                                        broadcast_max_bytes, hot_users)
+                                        broadcast_max_bytes, hot_users, users_g)
         prev_items = items_f
-        items_f = cut_lineage(its)
+        items_f, items_g = write(its)
         if trace_on is not None:
             uc, ic = with_cold(users_f, u_ids, rank), with_cold(items_f, i_ids, rank)
             trace.append((it, _rmse_value(uc, ic, r), _rmse_value(uc, ic, trace_on)))

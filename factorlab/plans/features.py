@@ -10,6 +10,7 @@ from ..functions.hashing import md5_u32, sql_hash01, sql_md5_u32
 from ..operators import features as FE
 from ..operators import metric_learning as ML
 from ..operators import predictors as PR
+from ..session import cut_lineage
 from ..sources import tables as T
 from .common import r6
 
@@ -223,7 +224,7 @@ FROM e a JOIN e b ON a.pair_id = b.pair_id CROSS JOIN np GROUP BY a.i, b.i""")
 def q_metric_gradient(spark, sf_dir):
     """M20, one epoch at M = I: mean hinge sub-gradient + α M, per entry."""
     g = ML.epoch_gradient(_pv(spark, sf_dir), np.eye(64), 2.0, 0.5)
-    g = g.persist()
+    g = cut_lineage(g)
     n = g.where((F.col("i") == -1) & (F.col("j") == 1)).agg(F.first("v")).scalar()
     grad = F.col("v") / n + F.when(F.col("i") == F.col("j"), ALPHA).otherwise(0.0)
     return g.where(F.col("i") >= 0).select("i", "j", r6(grad).alias("grad"))
@@ -318,7 +319,7 @@ def q_kmeans_rating(spark, sf_dir):
     plain and rescaled, test RMSE."""
     ft = feature_table(spark, sf_dir)
     tr, te = PR.kmeans_assign(ft.where(F.col("bucket") < 8), ft.where(F.col("bucket") >= 8), 16)
-    tr, te = tr.persist(), te.persist()
+    tr, te = cut_lineage(tr), cut_lineage(te)
     b = PR.cluster_rating(tr, te, rescale=True).agg(PR.rmse_of(None)).scalar()
     a = PR.cluster_rating(tr, te, rescale=False)
     return a.agg(F.lit(16).alias("k"), PR.rmse_of(None).alias("rmse_mean"), b.alias("rmse_rescaled"))

@@ -13,6 +13,7 @@ from ..operators import library_als as LA
 from ..operators import metrics as MX
 from ..operators import recommend as RC
 from ..operators import tuning as TU
+from ..session import cut_lineage
 from ..sources import tables as T
 from .common import r6
 
@@ -166,7 +167,11 @@ RANK, ITERS = 4, 5
 
 
 def _splits(spark, sf_dir):
-    i = T.inter(spark, sf_dir)
+    """Train / validation / test of the rating view. The projection the
+    models need is written once as a table (the fact join is read once, not
+    once per use); the three splits are filters on it."""
+    i = cut_lineage(T.inter(spark, sf_dir).select("user_id", "item_id", "rating", "day", "bucket",
+                                                  "row_key"))
     b = F.col("bucket")
     return i.where(b < 6), i.where((b >= 6) & (b < 8)), i.where(b >= 8)
 

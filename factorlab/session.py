@@ -73,6 +73,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def cut_lineage_observed(df: DataFrame, metrics: list) -> tuple[DataFrame, dict]:
+    """:func:`cut_lineage` that also returns global aggregates of the written
+    rows, computed by ``DataFrame.observe`` during the same write job."""
+    from pyspark.sql import Observation
+    obs = Observation(f"factorlab_{uuid.uuid4().hex[:12]}")
+    spark = df.sparkSession
+    path = f"{_table_root(spark)}/{uuid.uuid4().hex}"
+    df.observe(obs, *metrics).write.mode("error").parquet(path)
+    return spark.read.parquet(path), obs.get
+
+
 def table_path(df: DataFrame) -> str | None:
     """The folder a DataFrame returned by :func:`cut_lineage` reads from."""
     files = df.inputFiles()
