@@ -21,7 +21,7 @@ from ..functions.hashing import hash01, md5_u32
 from ..functions.vectors import diag_quad, sq_dist, sub
 from ..session import cut_lineage
 from . import joins
-from .splits import index_rows
+from .splits import index_rows_total
 
 
 def _matrix(arr: pa.Array) -> np.ndarray:
@@ -48,9 +48,8 @@ def generate_pairs(df: DataFrame, id_col: str, label_col: str, n_pairs: int,
     """
     spark = df.sparkSession
     base = df.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label"))
-    idx = cut_lineage(index_rows(base, [F.col("_label"), F.col("_id")], "pos"))
+    idx, n = index_rows_total(base, [F.col("_label"), F.col("_id")], "pos")
     labels = idx.groupBy("_label").agg(F.count(F.lit(1)).alias("lc"), F.min("pos").alias("g0"))
-    n = idx.count()
     key = lambda tag: F.concat_ws(":", F.lit(str(seed)), F.lit(tag), F.col("pair_id").cast("string"))
     t = spark.range(n_pairs).select(F.col("id").alias("pair_id"))
     t = t.select("pair_id",

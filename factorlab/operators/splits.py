@@ -5,10 +5,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import hash01, md5_u60
+from ..functions.hashing import hash01
 from ..session import cut_lineage
 
 
@@ -55,25 +55,37 @@ def dedupe(df: DataFrame, keys=("user_id", "item_id"), value: str = "rating",
     return df.groupBy(*keys).agg(agg.cast("double").alias(value))
 
 
-def index_rows(df: DataFrame, order_cols: list, pos_col: str = "pos") -> DataFrame:
-    """Exact 0-based position of every row under a total order.
+def index_rows_total(df: DataFrame, order_cols: list, pos_col: str = "pos"):
+    """Exact 0-based position of every row under a total order, and the row
+    count.
 
-    A global range-partitioned sort, then per-partition offsets from a table
-    with one row per partition. No unpartitioned window over the data and
-    nothing but the partition counts reaches a single task.
+    A global range-partitioned sort written once as a table (which fixes the
+    partition layout), then per-partition row counts: one number per
+    partition reaches the driver, and the offsets enter the plan as a literal
+    array indexed by partition id. No unpartitioned window and no join.
     """
     ordered = (df.orderBy(*order_cols)
                .withColumn("_pid", F.spark_partition_id())
                .withColumn("_mid", F.monotonically_increasing_id()))
-    ordered = cut_lineage(ordered)  # fixes the partition layout the offsets refer to
-    counts = ordered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    # offsets has one row per partition: a proven bound for the broadcast
+    ordered = cut_lineage(ordered)
+    counts = {r["_pid"]: r["_n"] for r in
+              ordered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n")).collect()}
+    n_parts = (max(counts) + 1) if counts else 0
+    offsets, acc = [], 0
+    for pid in range(n_parts):
+        offsets.append(acc)
+        acc += counts.get(pid, 0)
+    if not offsets:
+        return ordered.drop("_pid", "_mid").withColumn(pos_col, F.lit(None).cast("bigint")), 0
+    off = F.element_at(F.array(*[F.lit(o).cast("bigint") for o in offsets]), F.col("_pid") + 1)
     local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33)
-    return (ordered.join(F.broadcast(offsets), "_pid")
-            .withColumn(pos_col, (F.col("_off") + local).cast("bigint"))
-            .drop("_pid", "_mid", "_off"))
+    out = ordered.withColumn(pos_col, (off + local).cast("bigint")).drop("_pid", "_mid")
+    return out, acc
+
+
+def index_rows(df: DataFrame, order_cols: list, pos_col: str = "pos") -> DataFrame:
+    """Exact 0-based global position of every row (see :func:`index_rows_total`)."""
+    return index_rows_total(df, order_cols, pos_col)[0]
 
 
 def sample_split_exact(df: DataFrame, key_col: str = "row_key", frac: float = 0.9,
@@ -82,8 +94,7 @@ def sample_split_exact(df: DataFrame, key_col: str = "row_key", frac: float = 0.
     the first part, the rest (anti-join complement) the second."""
     h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key_col)))
     keyed = df.withColumn("_h", h)
-    indexed = index_rows(keyed, [F.col("_h"), F.col(key_col)], "_pos")
-    n = indexed.count()
+    indexed, n = index_rows_total(keyed, [F.col("_h"), F.col(key_col)], "_pos")
     k = int(math.floor(frac * n + 0.5))
     first = indexed.where(F.col("_pos") < k).drop("_h", "_pos")
     # The complement by position is exactly the anti-join of the reference
@@ -104,5 +115,3 @@ def sample_split_hash(df: DataFrame, key_col: str = "row_key", frac: float = 0.9
     return df.where(u < frac), df.where(u >= frac)
 
 
-def row_hash(col: str) -> F.Column:
-    return md5_u60(F.col(col))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash01, sql_hash01
 from ..operators import metrics as MX
+from ..operators import recommend as RC
 from ..operators import relational as R
 from ..operators import splits as S
 from ..sources import tables as T
@@ -355,6 +355,5 @@ def q_topk_per_user(spark, sf_dir):
     """O2: 1-based rank of each user's scored items, top 5 per user."""
     s = item_mean_scored(spark, sf_dir)
     pred = s.groupBy("user_id", "item_id").agg(F.avg("prediction").alias("prediction"))
-    w = Window.partitionBy("user_id").orderBy(F.col("prediction").desc(), F.col("item_id"))
-    ranked = pred.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 5)
+    ranked = RC.top_n(pred, 5)
     return ranked.select("user_id", "item_id", r6("prediction").alias("prediction"), "rank")
