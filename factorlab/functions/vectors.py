@@ -24,16 +24,3 @@ def diag_quad(delta: Column, diag: list[float]) -> Column:
 
 def sub(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x - y)
-
-
-def quad_form(delta: Column, m: list[list[float]]) -> Column:
-    """deltaᵀ M delta for a small fixed d x d matrix (literal, d <= ~64)."""
-    d = len(m)
-    terms = []
-    for i in range(d):
-        row = F.array(*[F.lit(float(v)) for v in m[i]])
-        terms.append(delta[i] * dot(row, delta))
-    out = terms[0]
-    for t in terms[1:]:
-        out = out + t
-    return out

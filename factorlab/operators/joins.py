@@ -11,14 +11,6 @@ from pyspark.sql import functions as F
 DEFAULT_BROADCAST_MAX_BYTES = 256 * 1024 * 1024
 
 
-def bounded_broadcast(small: DataFrame, n_rows: int, row_bytes: int,
-                      max_bytes: int = DEFAULT_BROADCAST_MAX_BYTES) -> DataFrame:
-    """Return ``small`` with a broadcast hint if its size bound allows it."""
-    if n_rows * row_bytes <= max_bytes:
-        return F.broadcast(small)
-    return small
-
-
 def factor_row_bytes(rank: int) -> int:
     # id (8) + array header (16) + rank doubles + row overhead
     return 8 + 16 + 8 * rank + 16

@@ -134,3 +134,25 @@ def test_score_drops_unknown_ids(spark):
     pairs = spark.createDataFrame([(1, 5), (2, 5), (1, 6)], "user_id bigint, item_id bigint")
     rows = FA.score(u, i, pairs).collect()
     assert [(r.user_id, r.item_id, r.prediction) for r in rows] == [(1, 5, 11.0)]
+
+
+def test_library_factors_score_like_the_model(spark):
+    from factorlab.operators import library_als as LA
+    rng = np.random.RandomState(4)
+    cells = [(u, i, float(rng.randint(1, 6))) for u in range(30) for i in range(12) if rng.rand() < 0.5]
+    r = ratings_df(spark, cells)
+    model = LA.train_explicit(r, 3, 4, 0.1)
+    pairs = r.select("user_id", "item_id")
+    a = {(x.user_id, x.item_id): x.prediction for x in LA.predict_pairs(model, pairs).collect()}
+    u, i = LA.factor_frames(model)
+    b = {(x.user_id, x.item_id): x.prediction for x in FA.score(u, i, pairs).collect()}
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-4 for k in a)
+
+
+def test_best_config_first_wins_ties(spark):
+    from factorlab.operators.tuning import METRICS_SCHEMA, best_config, rank_curve
+    rows = [(0, "m", 2, 0.1, 3, "validation", 1.0), (1, "m", 4, 0.1, 3, "validation", 0.9),
+            (2, "m", 8, 0.1, 3, "validation", 0.9), (3, "m", 8, 10.0, 3, "validation", None)]
+    m = spark.createDataFrame(rows, METRICS_SCHEMA)
+    assert best_config(m).first().grid_id == 1
+    assert {(x["rank"], x.rmse) for x in rank_curve(m).collect()} == {(2, 1.0), (4, 0.9), (8, 0.9)}
