@@ -209,9 +209,10 @@ def train_als(ratings: DataFrame, rank: int, iters: int, reg: float, method: str
     by_user = by_item = r
     u_ids = user_spine if user_spine is not None else r.select(F.col(USER).alias("id")).distinct()
     i_ids = item_spine if item_spine is not None else r.select(F.col(ITEM).alias("id")).distinct()
-    u_ids = cut_lineage(u_ids.select(F.col("id").cast("bigint")).distinct())
-    i_ids = cut_lineage(i_ids.select(F.col("id").cast("bigint")).distinct())
-    n_users, n_items = u_ids.count(), i_ids.count()
+    count = [F.count(F.lit(1)).alias("n")]
+    u_ids, mu = cut_lineage_observed(u_ids.select(F.col("id").cast("bigint")).distinct(), count)
+    i_ids, mi = cut_lineage_observed(i_ids.select(F.col("id").cast("bigint")).distinct(), count)
+    n_users, n_items = mu["n"], mi["n"]
     # The zero-filled variant needs the Gram matrix of each new factor table;
     # it is observed during the write of that table (no extra job).
     observe = method == "zero_filled"
