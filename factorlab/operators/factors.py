@@ -102,23 +102,23 @@ def masked_half_step(ratings: DataFrame, fixed: DataFrame, key: str, other: str,
     Returns (id, f) for keys that have ratings; cold keys are added by the caller.
     """
     j = _factor_join(ratings, fixed, other, rank, n_fixed, broadcast_max_bytes, hot)
-    obs = F.col("rating") > mask_threshold
-    y = [F.col("f")[a] for a in range(rank)]
-    aggs = []
+    obs = f"rating > {float(mask_threshold)!r}D"
+    terms = [f"sum(CASE WHEN {obs} THEN f[{a}] * f[{b}] ELSE 0D END) AS g{a}_{b}"
+             for a in range(rank) for b in range(a, rank)]
     for a in range(rank):
-        for b in range(a, rank):
-            aggs.append(F.sum(F.when(obs, y[a] * y[b]).otherwise(0.0)).alias(f"g{a}_{b}"))
-    for a in range(rank):
-        v = F.col("rating") * y[a]
-        aggs.append(F.sum(F.when(obs, v).otherwise(0.0) if rhs_mask else v).alias(f"b{a}"))
-    stats = j.groupBy(F.col(key).alias("id")).agg(*aggs)
+        v = f"rating * f[{a}]"
+        terms.append(f"sum(CASE WHEN {obs} THEN {v} ELSE 0D END) AS b{a}" if rhs_mask
+                     else f"sum({v}) AS b{a}")
+    # One SQL text instead of k(k+1)/2 + k Column objects: the same plan,
+    # built with one call (planning time matters once per half-step).
+    stats = j.sparkSession.sql(
+        f"SELECT {key} AS id, {', '.join(terms)} FROM {{j}} GROUP BY {key}", j=j)
     return stats.mapInPandas(_solve_batches(rank, reg), "id bigint, f array<double>")
 
 
 def gram_metrics(rank: int) -> list:
     """Σ f_a f_b (a <= b) over the rows of a factor table, as aggregate columns."""
-    y = [F.col("f")[a] for a in range(rank)]
-    return [F.coalesce(F.sum(y[a] * y[b]), F.lit(0.0)).alias(f"g{a}_{b}")
+    return [F.expr(f"coalesce(sum(f[{a}] * f[{b}]), 0D)").alias(f"g{a}_{b}")
             for a in range(rank) for b in range(a, rank)]
 
 
@@ -145,11 +145,11 @@ def zero_filled_half_step(ratings: DataFrame, fixed: DataFrame, key: str, other:
     g = (global_gram(fixed, rank) if gram is None else gram) + reg * np.eye(rank)
     ginv = np.linalg.inv(g)
     j = _factor_join(ratings, fixed, other, rank, n_fixed, broadcast_max_bytes, hot)
-    rhs = j.groupBy(F.col(key).alias("id")).agg(
-        *[F.sum(F.col("rating") * F.col("f")[a]).alias(f"b{a}") for a in range(rank)])
-    x = [sum((F.lit(float(ginv[a, c])) * F.col(f"b{c}") for c in range(rank)), F.lit(0.0))
-         for a in range(rank)]
-    return rhs.select("id", F.array(*x).alias("f"))
+    rhs = j.sparkSession.sql(
+        f"SELECT {key} AS id, " + ", ".join(f"sum(rating * f[{a}]) AS b{a}" for a in range(rank))
+        + f" FROM {{j}} GROUP BY {key}", j=j)
+    x = [" + ".join(f"{float(ginv[a, c])!r}D * b{c}" for c in range(rank)) for a in range(rank)]
+    return rhs.selectExpr("id", f"array({', '.join(x)}) AS f")
 
 
 def with_cold(solved: DataFrame, spine: DataFrame | None, rank: int) -> DataFrame:
