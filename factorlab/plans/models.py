@@ -294,7 +294,7 @@ def q_recommend_als(spark, sf_dir):
 LOOP_ITERS = 2
 
 
-def _loop_sql(method: str, iters: int = LOOP_ITERS) -> str:
+def _loop_ctes(method: str, iters: int = LOOP_ITERS) -> list:
     """CTE chain of ``iters`` alternating closed-form k = 2 half-steps (users
     first), the same algorithm as ``train_als`` with md5 item initialisation,
     cold entities at zero, λ = 0.1."""
@@ -319,7 +319,11 @@ def _loop_sql(method: str, iters: int = LOOP_ITERS) -> str:
         ctes.append(step(f"x{t}", prev_items, "user_id", "item_id"))
         ctes.append(step(f"y{t}", f"x{t}", "item_id", "user_id"))
         prev_items = f"y{t}"
-    body = ",\n".join(ctes)
+    return ctes
+
+
+def _loop_sql(method: str, iters: int = LOOP_ITERS) -> str:
+    body = ",\n".join(_loop_ctes(method, iters))
     out = f"""
 SELECT 'user' AS side, c.c_custkey AS id, round(coalesce(x.f0, 0e0), 6) + 0e0 AS f0,
        round(coalesce(x.f1, 0e0), 6) + 0e0 AS f1, x.id IS NULL AS cold
@@ -352,3 +356,31 @@ def q_masked_iterations(spark, sf_dir):
 def q_zero_filled_iterations(spark, sf_dir):
     """M5 end to end: ``train_als`` (zero-filled, k = 2, 2 iterations, λ 0.1)."""
     return _loop_query(spark, sf_dir, "zero_filled")
+
+
+TRACE_ITERS = 3
+
+
+def _trace_sql(iters: int = TRACE_ITERS) -> str:
+    ctes = _loop_ctes("masked", iters)
+    ctes.append("te AS (SELECT user_id, item_id, rating FROM inter WHERE bucket >= 8)")
+    parts = []
+    for t in range(1, iters + 1):
+        pred = (f"coalesce(x.f0, 0e0) * coalesce(y.f0, 0e0) + coalesce(x.f1, 0e0) * coalesce(y.f1, 0e0)")
+        rm = lambda src: (f"(SELECT sqrt(avg(power(s.rating - ({pred}), 2))) FROM {src} s "
+                          f"LEFT JOIN x{t} x ON s.user_id = x.id LEFT JOIN y{t} y ON s.item_id = y.id)")
+        parts.append(f"SELECT {t} AS iteration, round({rm('r')}, 6) AS train_rmse, "
+                     f"round({rm('te')}, 6) AS eval_rmse")
+    return T.with_views("inter") + ",\n" + ",\n".join(ctes) + "\n" + "\nUNION ALL\n".join(parts)
+
+
+@register("q_masked_trace", _trace_sql())
+def q_masked_trace(spark, sf_dir):
+    """A19 at k = 2: train (cells of bucket < 8) and test (bucket >= 8) RMSE
+    after each of 3 masked iterations; cold entities predict 0."""
+    i = T.inter(spark, sf_dir)
+    m = FA.train_als(i.where(F.col("bucket") < 8), 2, TRACE_ITERS, REG, "masked",
+                     _user_spine(spark, sf_dir), _item_spine(spark, sf_dir),
+                     trace_on=i.where(F.col("bucket") >= 8))
+    tf = FA.trace_frame(spark, m, model="masked")
+    return tf.select("iteration", r6("train_rmse").alias("train_rmse"), r6("eval_rmse").alias("eval_rmse"))
