@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash01
-from ..session import cut_lineage
+from ..session import cut_lineage, cut_lineage_observed
 
 
 def with_bucket(df: DataFrame, ts_col: str = "ts", out: str = "bucket") -> DataFrame:
@@ -88,18 +88,62 @@ def index_rows(df: DataFrame, order_cols: list, pos_col: str = "pos") -> DataFra
     return index_rows_total(df, order_cols, pos_col)[0]
 
 
+SLICE_BITS = 15
+PREFIX_BITS = 60
+MAX_PREFIX_TIES = 100_000
+
+
+def kth_smallest_string(df: DataFrame, hcol: str, k: int) -> str | None:
+    """The k-th smallest (1-based) value of a lowercase hex hash column
+    (at least 15 hex digits), found without sorting the rows.
+
+    Four aggregation passes count rows per 15-bit slice of the hash's 60-bit
+    prefix, each restricted to the prefix chosen so far (at most 2^15 counts
+    reach the driver per pass); the rows sharing the final 60-bit prefix
+    (normally one) are then ordered by the full string.
+    """
+    if k <= 0:
+        return None
+    u = F.conv(F.substring(F.col(hcol), 1, PREFIX_BITS // 4), 16, 10).cast("bigint")
+    base = df.select(F.col(hcol).alias("_h"), u.alias("_u"))
+    prefix, shift, rest = 0, PREFIX_BITS, k
+    for level in range(PREFIX_BITS // SLICE_BITS):
+        shift -= SLICE_BITS
+        part = base if level == 0 else base.where(
+            F.shiftright(F.col("_u"), shift + SLICE_BITS) == F.lit(prefix))
+        counts = sorted((r[0], r[1]) for r in part.groupBy(
+            F.shiftright(F.col("_u"), shift).bitwiseAND(F.lit((1 << SLICE_BITS) - 1)).alias("_b"))
+            .agg(F.count(F.lit(1))).collect())
+        for b, c in counts:
+            if rest <= c:
+                prefix = (prefix << SLICE_BITS) | b
+                break
+            rest -= c
+        else:
+            return None  # k exceeds the row count
+    ties = base.where(F.col("_u") == F.lit(prefix)).select("_h").limit(MAX_PREFIX_TIES + 1).collect()
+    if len(ties) > MAX_PREFIX_TIES:
+        raise ValueError("too many rows share one 60-bit hash prefix")
+    return sorted(r[0] for r in ties)[rest - 1]
+
+
 def sample_split_exact(df: DataFrame, key_col: str = "row_key", frac: float = 0.9,
                        seed: int = 1992):
     """P5 exact: the round(frac*N) rows with the smallest md5(seed:key) form
-    the first part, the rest (anti-join complement) the second."""
+    the first part, the rest the second (the anti-join complement, J7).
+
+    The hash projection is written once (its row count observed during the
+    write); the rank-k hash is found by :func:`kth_smallest_string`, and both
+    parts are filters on it: no sort and no shuffle of the rows.
+    """
     h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key_col)))
-    keyed = df.withColumn("_h", h)
-    indexed, n = index_rows_total(keyed, [F.col("_h"), F.col(key_col)], "_pos")
+    keyed, m = cut_lineage_observed(df.withColumn("_h", h), [F.count(F.lit(1)).alias("n")])
+    n = m["n"]
     k = int(math.floor(frac * n + 0.5))
-    first = indexed.where(F.col("_pos") < k).drop("_h", "_pos")
-    # The complement by position is exactly the anti-join of the reference
-    # (J7, see ``complement``) without a second shuffle of the whole table.
-    second = indexed.where(F.col("_pos") >= k).drop("_h", "_pos")
+    hk = kth_smallest_string(keyed, "_h", k)
+    in_first = F.lit(False) if hk is None else (F.col("_h") <= F.lit(hk))
+    first = keyed.where(in_first).drop("_h")
+    second = keyed.where(~in_first).drop("_h")
     return first, second
 
 

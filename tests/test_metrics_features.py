@@ -175,3 +175,16 @@ def test_als_split_join_path_equals_broadcast_path(spark):
     fa = {x.id: list(x.f) for x in a.users.collect()}
     fb = {x.id: list(x.f) for x in b.users.collect()}
     assert fa.keys() == fb.keys() and all(np.allclose(fa[k], fb[k], atol=1e-10) for k in fa)
+
+
+def test_kth_smallest_string_matches_sort(spark):
+    import hashlib
+    keys = [hashlib.md5(str(i).encode()).hexdigest() for i in range(500)]
+    # force shared 60-bit prefixes: three rows that differ only after digit 15
+    keys += [keys[0][:15] + "0" * 17, keys[0][:15] + "f" * 17, keys[0][:15] + "8" * 17]
+    df = spark.createDataFrame([(h,) for h in keys], "h string")
+    ordered = sorted(keys)
+    for k in (1, 2, 250, 499, 503):
+        assert S.kth_smallest_string(df, "h", k) == ordered[k - 1]
+    assert S.kth_smallest_string(df, "h", 0) is None
+    assert S.kth_smallest_string(df, "h", 504) is None
