@@ -226,7 +226,7 @@ w AS (SELECT pair_id, y * CASE WHEN 1e0 + y * (d2 - 0.5e0) > 0 THEN 1e0 ELSE 0e0
 e AS (SELECT pair_id, w, unnest(delta) AS v, generate_subscripts(delta, 1) AS i FROM w),
 np AS (SELECT count(*) AS n FROM pv)
 SELECT CAST(a.i - 1 AS INTEGER) AS i, CAST(b.i - 1 AS INTEGER) AS j,
-       round(sum(a.w * a.v * b.v) / max(np.n) + CASE WHEN a.i = b.i THEN {ALPHA} ELSE 0e0 END, 6) AS grad
+       round(sum(a.w * a.v * b.v) / max(np.n) + CASE WHEN a.i = b.i THEN {ALPHA} ELSE 0e0 END, 6) + 0e0 AS grad
 FROM e a JOIN e b ON a.pair_id = b.pair_id CROSS JOIN np GROUP BY a.i, b.i""")
 def q_metric_gradient(spark, sf_dir):
     """M20, one epoch at M = I: mean hinge sub-gradient + α M, per entry."""
@@ -234,7 +234,7 @@ def q_metric_gradient(spark, sf_dir):
     g = cut_lineage(g)
     n = g.where((F.col("i") == -1) & (F.col("j") == 1)).agg(F.first("v")).scalar()
     grad = F.col("v") / n + F.when(F.col("i") == F.col("j"), ALPHA).otherwise(0.0)
-    return g.where(F.col("i") >= 0).select("i", "j", r6(grad).alias("grad"))
+    return g.where(F.col("i") >= 0).select("i", "j", (r6(grad) + 0.0).alias("grad"))
 
 
 @register("q_metric_norm", T.with_views("feat") + f"""

@@ -186,7 +186,7 @@ def q_clip_predictions(spark, sf_dir):
 @register("q_mean_correction", T.with_views("inter") + ",\n" + ITEM_MEAN_SCORED_SQL + """,
 c AS (SELECT avg(rating - greatest(0.0, least(5.0, prediction - 1.5))) AS correction
       FROM scored WHERE rating > 0.5)
-SELECT s.row_key, round(c.correction, 6) AS correction,
+SELECT s.row_key, round(c.correction, 6) + 0e0 AS correction,
        round(greatest(0.0, least(5.0, greatest(0.0, least(5.0, s.prediction - 1.5)) + c.correction)), 6) AS prediction
 FROM scored s CROSS JOIN c""")
 def q_mean_correction(spark, sf_dir):
@@ -194,7 +194,8 @@ def q_mean_correction(spark, sf_dir):
     as the reference does)."""
     s = item_mean_scored(spark, sf_dir).withColumn("prediction", F.col("prediction") - 1.5)
     out = R.mean_correction(s, s)
-    return out.select("row_key", r6("correction").alias("correction"), r6("prediction").alias("prediction"))
+    return out.select("row_key", (r6("correction") + 0.0).alias("correction"),
+                      r6("prediction").alias("prediction"))
 
 
 @register("q_residual_histogram", T.with_views("inter") + ",\n" + ITEM_MEAN_SCORED_SQL + """,
@@ -208,13 +209,14 @@ def q_residual_histogram(spark, sf_dir):
 
 
 @register("q_residual_moments", T.with_views("inter") + ",\n" + ITEM_MEAN_SCORED_SQL + """
-SELECT round(avg(floor(rating - prediction)), 6) AS mean_residual,
+SELECT round(avg(floor(rating - prediction)), 6) + 0e0 AS mean_residual,
        round(stddev_pop(floor(rating - prediction)), 6) AS std_residual, count(*) AS n_obs
 FROM scored WHERE rating > 0.5""")
 def q_residual_moments(spark, sf_dir):
     """Mean and population std of floored residuals."""
     m = MX.residual_moments(item_mean_scored(spark, sf_dir))
-    return m.select(r6("mean_residual").alias("mean_residual"), r6("std_residual").alias("std_residual"), "n_obs")
+    return m.select((r6("mean_residual") + 0.0).alias("mean_residual"),
+                    r6("std_residual").alias("std_residual"), "n_obs")
 
 
 @register("q_error_summary", T.with_views("inter") + ",\n" + ITEM_MEAN_SCORED_SQL + """
