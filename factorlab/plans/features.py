@@ -45,7 +45,7 @@ def feature_table_written(spark, sf_dir):
     """The feature table written once, for queries that read it several times
     (train and test branches): the fact join runs once, not once per branch."""
     ft = feature_table(spark, sf_dir).select("row_key", "bucket", "rating", "user_id_raw", "x")
-    return cut_lineage(ft)
+    return cut_lineage(ft, partition_by=["bucket"])
 
 
 _FT_BASE_SQL = T.with_views("inter", "items", "users") + f""",

@@ -168,10 +168,11 @@ RANK, ITERS = 4, 5
 
 def _splits(spark, sf_dir):
     """Train / validation / test of the rating view. The projection the
-    models need is written once as a table (the fact join is read once, not
-    once per use); the three splits are filters on it."""
+    models need is written once as a table partitioned by bucket (the fact
+    join runs once, not once per use); the three splits are filters that
+    prune bucket directories."""
     i = cut_lineage(T.inter(spark, sf_dir).select("user_id", "item_id", "rating", "day", "bucket",
-                                                  "row_key"))
+                                                  "row_key"), partition_by=["bucket"])
     b = F.col("bucket")
     return i.where(b < 6), i.where((b >= 6) & (b < 8)), i.where(b >= 8)
 

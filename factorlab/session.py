@@ -85,18 +85,23 @@ def _table_root(spark: SparkSession) -> str:
     return ensure_checkpoint_dir(spark).rstrip("/") + "/factorlab-tables"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, partition_by: list | None = None) -> DataFrame:
     """Materialise ``df`` as a parquet table in the shared checkpoint folder
     and return a DataFrame reading it back.
 
     One job computes and writes the data (a reliable ``checkpoint()`` would
     compute it twice unless cached); the result has a one-node lineage and
-    survives the loss of any executor.
+    survives the loss of any executor. ``partition_by``: low-cardinality
+    columns to write as directories, so later filters on them prune files.
     """
     spark = df.sparkSession
     path = f"{_table_root(spark)}/{uuid.uuid4().hex}"
-    df.write.mode("error").parquet(path)
-    return spark.read.parquet(path)
+    w = df.write.mode("error")
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.parquet(path)
+    out = spark.read.parquet(path)
+    return out.select(*df.columns) if partition_by else out
 
 
 def cut_lineage_observed(df: DataFrame, metrics: list) -> tuple[DataFrame, dict]:
