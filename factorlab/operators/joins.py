@@ -1,13 +1,13 @@
-"""Join helpers with a checked broadcast bound."""
+"""Join helpers: a checked broadcast bound and a split join for hot keys."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A factor or dimension side is broadcast only when rows x bytes-per-row is
-# under this bound; above it the join stays a shuffle join and AQE's skew-join
-# rule splits hot keys of the large side.
+# A factor side is broadcast only when rows x bytes-per-row is under this
+# bound; above it the join becomes a split join (hot keys against a broadcast
+# of their own rows, all other keys through a shuffle join).
 DEFAULT_BROADCAST_MAX_BYTES = 256 * 1024 * 1024
 
 
