@@ -188,3 +188,49 @@ def test_kth_smallest_string_matches_sort(spark):
         assert S.kth_smallest_string(df, "h", k) == ordered[k - 1]
     assert S.kth_smallest_string(df, "h", 0) is None
     assert S.kth_smallest_string(df, "h", 504) is None
+
+
+def test_learn_metric_matches_numpy(spark):
+    df, rows = feat_df(spark, n=80, d=4, labels=3, seed=5)
+    pairs = ML.generate_pairs(df, "row_id", "label", 120, 0.4, seed=9)
+    pv = ML.pair_vectors(pairs, df)
+    gamma = lambda t: 0.05 / np.sqrt(t + 1)
+    m, trace = ML.learn_metric(pv, 4, epochs=4, gamma=gamma, alpha=1e-3)
+    got = pv.select("xa", "xb", "y").collect()
+    xa = np.array([r.xa for r in got])
+    xb = np.array([r.xb for r in got])
+    y = np.array([r.y for r in got])
+    ref = np.eye(4)
+    for t in range(4):
+        delta = xa - xb
+        d2 = np.einsum("ni,ij,nj->n", delta, ref, delta)
+        obj = np.maximum(0, 1 + y * (d2 - 2)).mean() + 1e-3 / 2 * np.linalg.norm(ref)
+        assert math.isclose(trace[t][1], obj, rel_tol=1e-9)
+        w = y * ((1 + y * (d2 - 0.5)) > 0)
+        g = np.einsum("n,ni,nj->ij", w, delta, delta) / len(y) + 1e-3 * ref
+        ref = ML.psd_proj(ref - gamma(t) * g)
+    assert np.allclose(m, ref, atol=1e-10)
+
+
+def test_blocked_1nn_full_metric(spark):
+    rng = np.random.RandomState(21)
+    a = rng.randn(3, 3)
+    m = a @ a.T
+    train = [(int(rng.randint(0, 4)), f"t{j:03d}", float(rng.randint(1, 6)),
+              [float(v) for v in rng.randint(0, 3, 3)]) for j in range(120)]
+    test = [(int(rng.randint(0, 5)), f"q{j:03d}", [float(v) for v in rng.randint(0, 3, 3)]) for j in range(40)]
+    tr = spark.createDataFrame(train, "key bigint, t_ord string, rating double, x array<double>")
+    te = spark.createDataFrame(test, "key bigint, q_id string, x array<double>")
+    got = {r.q_id: (r.t_ord, r.nn_rating) for r in ML.nearest_train(tr, te, "key", m, block=8, decimals=6).collect()}
+    want = {}
+    for key, qid, xq in test:
+        best = None
+        for k2, tord, rating, xt in train:
+            if k2 == key:
+                dlt = np.array(xq) - np.array(xt)
+                d = round(float(dlt @ m @ dlt), 6)
+                if best is None or (d, tord) < best[:2]:
+                    best = (d, tord, rating)
+        if best is not None:
+            want[qid] = best[1:]
+    assert got == want
