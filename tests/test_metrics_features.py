@@ -234,3 +234,12 @@ def test_blocked_1nn_full_metric(spark):
         if best is not None:
             want[qid] = best[1:]
     assert got == want
+
+
+def test_genre_flags_substrings(spark):
+    from factorlab.operators.features import GENRE_COLS, genre_flags
+    df = spark.createDataFrame([(1, "Comedy|Children's|Sci-Fi"), (2, "Film-Noir|Mystery"),
+                                (3, "Drama|War"), (4, "Western")], "item_id bigint, genres string")
+    got = {r.item_id: {c for c in GENRE_COLS if r[c] == 1} for r in genre_flags(df).collect()}
+    assert got == {1: {"Comedy", "Children", "SciFi"}, 2: {"Fnoir", "Mystery"},
+                   3: {"Drama", "War"}, 4: {"Western"}}
