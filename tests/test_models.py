@@ -156,3 +156,23 @@ def test_best_config_first_wins_ties(spark):
     m = spark.createDataFrame(rows, METRICS_SCHEMA)
     assert best_config(m).first().grid_id == 1
     assert {(x["rank"], x.rmse) for x in rank_curve(m).collect()} == {(2, 1.0), (4, 0.9), (8, 0.9)}
+
+
+def test_library_als_reindexes_large_ids(spark):
+    from factorlab.operators import library_als as LA
+    big = 2 ** 40
+    rng = np.random.RandomState(8)
+    cells = [(big + u, big * 3 + i, float(rng.randint(1, 6))) for u in range(20) for i in range(10)
+             if rng.rand() < 0.6]
+    r = ratings_df(spark, cells)
+    with pytest.raises(ValueError):
+        LA.int_ids(r)
+    model = LA.train_explicit(r, 2, 3, 0.1)
+    assert isinstance(model, LA.IndexedALS)
+    pairs = r.select("user_id", "item_id").unionByName(
+        spark.createDataFrame([(7, 7)], "user_id bigint, item_id bigint"))
+    pred = {(x.user_id, x.item_id): x.prediction for x in LA.predict_pairs(model, pairs).collect()}
+    assert set(pred) == {(u, i) for u, i, _ in cells}  # the unknown pair gives no row
+    u, i = LA.factor_frames(model)
+    b = {(x.user_id, x.item_id): x.prediction for x in FA.score(u, i, r.select("user_id", "item_id")).collect()}
+    assert all(abs(pred[k] - b[k]) < 1e-4 for k in pred)
