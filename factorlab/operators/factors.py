@@ -17,11 +17,15 @@ are persisted once, hash-partitioned on (user, item), so a user or item that
 holds a third of all rows is still spread over every partition. Each
 half-step joins them to the other side's factors (broadcast when the factor
 table's size bound allows, else a split join: factors of hot keys broadcast,
-the rest shuffled), and
-the per-key Gram sums are combined map-side: the exchange carries at most one
-row per key and partition, never the rating rows. Every half-step output is written as a table into the shared checkpoint folder
-(and the previous iteration's tables dropped), so the plan does not grow
-with the iterations and a lost executor only costs the current half-step.
+the rest shuffled), and the per-key Gram sums are combined map-side: the
+exchange carries at most one row per key and partition, never the rating
+rows. The wide aggregate is written as one SQL text (planning hundreds of
+Column objects through py4j costs more than the half-step itself at rank 24).
+Every half-step output is written as a table into the shared checkpoint
+folder (the previous iteration's tables are dropped), so the plan does not
+grow with the iterations and a lost executor only costs the current
+half-step; the zero-filled Gram matrix of each new table is observed during
+that same write.
 """
 
 from __future__ import annotations
