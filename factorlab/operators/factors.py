@@ -13,7 +13,7 @@ a plain ridge term lambda (not lambda * n as the library ALS does):
   on the driver (k x k), and applied as native expressions.
 
 Factors are DataFrames ``(id, f ARRAY<DOUBLE>)``. The de-duplicated ratings
-are persisted once, hash-partitioned on (user, item), so a user or item that
+are written once as a table, hash-partitioned on (user, item), so a user or item that
 holds a third of all rows is still spread over every partition. Each
 half-step joins them to the other side's factors (broadcast when the factor
 table's size bound allows, else a split join: factors of hot keys broadcast,
@@ -34,7 +34,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -209,7 +208,9 @@ def train_als(ratings: DataFrame, rank: int, iters: int, reg: float, method: str
     r = prepare_ratings(ratings, duplicates)
     if num_partitions:
         r = r.repartition(num_partitions, USER, ITEM)
-    r = r.persist(StorageLevel.MEMORY_AND_DISK)
+    # Written once: read-back splits follow the data size (not the shuffle
+    # partition setting), and a lost executor never recomputes the dedupe.
+    r = cut_lineage(r)
     by_user = by_item = r
     u_ids = user_spine if user_spine is not None else r.select(F.col(USER).alias("id")).distinct()
     i_ids = item_spine if item_spine is not None else r.select(F.col(ITEM).alias("id")).distinct()
@@ -263,7 +264,6 @@ def train_als(ratings: DataFrame, rank: int, iters: int, reg: float, method: str
             drop_table(spark, table_path(prev_users))
         prev_users = users_f
     users_f, items_f = with_cold(users_f, u_ids, rank), with_cold(items_f, i_ids, rank)
-    r.unpersist()
     return FactorModel(users_f, items_f, trace, rank)
 
 
