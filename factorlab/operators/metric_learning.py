@@ -12,7 +12,6 @@ and query rows. Only d x d matrices reach the driver.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F

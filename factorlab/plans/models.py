@@ -7,7 +7,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.hashing import sql_uniform_factor
-from ..functions.vectors import dot
 from ..operators import factors as FA
 from ..operators import library_als as LA
 from ..operators import metrics as MX

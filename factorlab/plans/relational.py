@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.hashing import hash01, sql_hash01
+from ..functions.hashing import sql_hash01
 from ..operators import metrics as MX
 from ..operators import recommend as RC
 from ..operators import relational as R
