@@ -46,6 +46,10 @@ def main():
     qs["q_bucket_counts"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     spark.range(0, 64, 1, int(cpus)).mapInPandas(lambda it: it, "id long").write.format(
         "noop").mode("overwrite").save()
+    from factorlab.session import cut_lineage
+    from pyspark.sql import functions as F
+    cut_lineage(spark.range(0, 64, 1, int(cpus)).withColumn("b", F.col("id") % 4),
+                partition_by=["b"]).count()
     times = {}
     for name in names:
         # untimed: each query starts without cached data left by the previous one
