@@ -264,6 +264,7 @@ def train_als(ratings: DataFrame, rank: int, iters: int, reg: float, method: str
             drop_table(spark, table_path(prev_users))
         prev_users = users_f
     users_f, items_f = with_cold(users_f, u_ids, rank), with_cold(items_f, i_ids, rank)
+    drop_table(spark, table_path(r))  # the model does not reference the ratings table
     return FactorModel(users_f, items_f, trace, rank)
 
 
