@@ -171,9 +171,25 @@ class FactorModel:
     items: DataFrame          # (id, f, cold)
     trace: list               # [(iteration, train_rmse, eval_rmse)]
     rank: int
+    n_users: int = 0
+    n_items: int = 0
+    broadcast_max_bytes: int = joins.DEFAULT_BROADCAST_MAX_BYTES
 
     def score(self, pairs: DataFrame) -> DataFrame:
-        return score(self.users, self.items, pairs)
+        """Predictions for pairs. Each factor table is broadcast when its size
+        bound allows; otherwise it meets the pairs through a split join whose
+        hot keys are counted on the pairs."""
+        fb = joins.factor_row_bytes(self.rank)
+        u = self.users.select(F.col("id").alias(USER), F.col("f").alias("_fu"))
+        i = self.items.select(F.col("id").alias(ITEM), F.col("f").alias("_fi"))
+
+        def attach(df, fac, key, n):
+            if n * fb <= self.broadcast_max_bytes:
+                return df.join(F.broadcast(fac), key, "inner")
+            return joins.split_join(df, fac, key, joins.hot_keys(df, key), "inner")
+
+        out = attach(attach(pairs, u, USER, self.n_users), i, ITEM, self.n_items)
+        return out.withColumn("prediction", dot(F.col("_fu"), F.col("_fi"))).drop("_fu", "_fi")
 
 
 def score(users: DataFrame, items: DataFrame, pairs: DataFrame,
@@ -265,7 +281,7 @@ def train_als(ratings: DataFrame, rank: int, iters: int, reg: float, method: str
         prev_users = users_f
     users_f, items_f = with_cold(users_f, u_ids, rank), with_cold(items_f, i_ids, rank)
     drop_table(spark, table_path(r))  # the model does not reference the ratings table
-    return FactorModel(users_f, items_f, trace, rank)
+    return FactorModel(users_f, items_f, trace, rank, n_users, n_items, broadcast_max_bytes)
 
 
 def trace_frame(spark, fitted: FactorModel, **params) -> DataFrame:

@@ -176,3 +176,15 @@ def test_library_als_reindexes_large_ids(spark):
     u, i = LA.factor_frames(model)
     b = {(x.user_id, x.item_id): x.prediction for x in FA.score(u, i, r.select("user_id", "item_id")).collect()}
     assert all(abs(pred[k] - b[k]) < 1e-4 for k in pred)
+
+
+def test_model_score_split_path_equals_broadcast_path(spark):
+    rng = np.random.RandomState(12)
+    cells = [(0, i, float(rng.randint(1, 6))) for i in range(12)]  # user 0 is hot
+    cells += [(u, i, float(rng.randint(1, 6))) for u in range(1, 15) for i in range(12) if rng.rand() < 0.3]
+    r = ratings_df(spark, cells)
+    m = FA.train_als(r, 2, 2, 0.1, "masked")
+    a = {(x.user_id, x.item_id): x.prediction for x in m.score(r.select("user_id", "item_id")).collect()}
+    m.broadcast_max_bytes = 0
+    b = {(x.user_id, x.item_id): x.prediction for x in m.score(r.select("user_id", "item_id")).collect()}
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-12 for k in a)
