@@ -201,8 +201,8 @@ def score(users: DataFrame, items: DataFrame, pairs: DataFrame,
             .withColumn(pred_col, dot(F.col("_fu"), F.col("_fi"))).drop("_fu", "_fi"))
 
 
-def _rmse_value(model_users, model_items, data: DataFrame) -> float | None:
-    s = score(model_users, model_items, data.select(USER, ITEM, "rating"))
+def _rmse_value(model: "FactorModel", data: DataFrame) -> float | None:
+    s = model.score(data.select(USER, ITEM, "rating"))
     row = s.agg(F.sqrt(F.avg(F.pow(F.col("prediction") - F.col("rating"), 2))).alias("r")).first()
     return None if row is None else row["r"]
 
@@ -272,8 +272,9 @@ def train_als(ratings: DataFrame, rank: int, iters: int, reg: float, method: str
         prev_items = items_f
         items_f, items_g = write(its)
         if trace_on is not None:
-            uc, ic = with_cold(users_f, u_ids, rank), with_cold(items_f, i_ids, rank)
-            trace.append((it, _rmse_value(uc, ic, r), _rmse_value(uc, ic, trace_on)))
+            now = FactorModel(with_cold(users_f, u_ids, rank), with_cold(items_f, i_ids, rank), [],
+                              rank, n_users, n_items, broadcast_max_bytes)
+            trace.append((it, _rmse_value(now, r), _rmse_value(now, trace_on)))
         # superseded iteration tables are no longer referenced by any plan
         drop_table(spark, table_path(prev_items))
         if prev_users is not None:
