@@ -44,7 +44,8 @@ _CLASS = np.array([
 # The byte-level alphabet (fixed by the format): printable Latin-1 bytes stand for
 # themselves, the others for the code points from 256 on, in byte order.
 _PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-_BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+_BYTE_CHARS = np.arange(256, dtype="<u2")
+_BYTE_CHARS[[b for b in range(256) if b not in _PRINTABLE]] = 256 + np.arange(256 - len(_PRINTABLE))
 
 
 def byte_level_starts(cp: np.ndarray, doc_start: np.ndarray) -> np.ndarray:
@@ -94,8 +95,10 @@ class ByteLevelEncoder:
 
     def _encode_pieces(self, pieces: list[str]) -> list[list[int]]:
         """Ids of pieces that are already cut: the byte alphabet, then the tokenizer's model."""
+        raw = np.frombuffer(b"\xff".join([p.encode() for p in pieces]), np.uint8)  # 0xFF is in no UTF-8 text
+        mapped = _BYTE_CHARS[raw].tobytes().decode("utf-16-le").split("\xff")
         ids = self.model.tokenize
-        return [[t.id for t in ids(p.encode().decode("latin-1").translate(_BYTE_CHARS))] for p in pieces]
+        return [[t.id for t in ids(m)] for m in mapped]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list = [None] * len(texts)

@@ -50,28 +50,27 @@ class PieceIds:
         self.clear()
 
     def clear(self):
-        self.slot: dict[int, int] = {}
-        self.start = np.zeros(1024, np.int64)
-        self.count = np.zeros(1024, np.int64)
+        self.keys = np.zeros(0, np.uint64)  # sorted hashes, and the place of each one's ids
+        self.start = np.zeros(0, np.int64)
+        self.count = np.zeros(0, np.int64)
         self.flat = np.zeros(4096, np.int32)
         self.used = 0
 
-    def _add(self, keys: list[int], pieces: list[str]):
+    def _add(self, keys: np.ndarray, pieces: list[str]):
+        lens, new = [], []
         for i in range(0, len(pieces), 4096):
-            got = self.encode(pieces[i:i + 4096])
-            lens = np.fromiter((len(g) for g in got), np.int64, len(got))
-            new = np.fromiter((x for g in got for x in g), np.int32, int(lens.sum()))
-            n0, n1 = len(self.slot), len(self.slot) + len(got)
-            while n1 > len(self.start):
-                self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-                self.count = np.concatenate([self.count, np.zeros_like(self.count)])
-            while self.used + len(new) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[self.used:self.used + len(new)] = new
-            self.start[n0:n1] = self.used + np.cumsum(lens) - lens
-            self.count[n0:n1] = lens
-            self.used += len(new)
-            self.slot.update(zip(keys[i:i + 4096], range(n0, n1)))
+            for g in self.encode(pieces[i:i + 4096]):
+                lens.append(len(g))
+                new += g
+        count = np.array(lens, np.int64)
+        while self.used + len(new) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used:self.used + len(new)] = new
+        at = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, at, keys)
+        self.start = np.insert(self.start, at, self.used + np.cumsum(count) - count)
+        self.count = np.insert(self.count, at, count)
+        self.used += len(new)
 
     def ids(self, text: str, cp: np.ndarray, start: np.ndarray, end: np.ndarray):
         """(ids of all pieces in order, number of ids of each piece)."""
@@ -83,18 +82,18 @@ class PieceIds:
         new_key[1:] = h[order[1:]] != h[order[:-1]]
         first = order[new_key]
         uniq = h[first]
-        inv = np.empty(len(h), np.int64)
-        inv[order] = np.cumsum(new_key) - 1
-        if len(self.slot) > self.limit:
+        if len(self.keys) > self.limit:
             self.clear()
-        keys = uniq.tolist()
-        at = [self.slot.get(k, -1) for k in keys]
-        new = [i for i, a in enumerate(at) if a < 0]
-        if new:
-            self._add([keys[i] for i in new], [text[start[first[i]]:end[first[i]]] for i in new])
-            for i in new:
-                at[i] = self.slot[keys[i]]
-        slot = np.array(at)[inv]
+        at = np.searchsorted(self.keys, uniq)
+        known = np.zeros(len(uniq), bool)
+        if len(self.keys):
+            known = self.keys[np.minimum(at, len(self.keys) - 1)] == uniq
+        if not known.all():
+            miss = first[~known]
+            self._add(uniq[~known], [text[a:b] for a, b in zip(start[miss].tolist(), end[miss].tolist())])
+            at = np.searchsorted(self.keys, uniq)
+        slot = np.empty(len(h), np.int64)
+        slot[order] = at[np.cumsum(new_key) - 1]
         n, s = self.count[slot], self.start[slot]
         before = np.cumsum(n) - n
         return self.flat[np.arange(int(n.sum())) + np.repeat(s - before, n)], n
