@@ -45,6 +45,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest_neighbours
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0).select(
+        "query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import apply_rules, learn_rules
     docs = table(spark, sf_dir, "documents")
@@ -70,6 +76,7 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op4_toxicity": op4_toxicity,
     "op5_packing": op5_packing,
+    "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_quality_rules": op8_quality_rules,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_sentencepiece": op10_sentencepiece,
