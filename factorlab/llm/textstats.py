@@ -43,6 +43,18 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POW[:n], _IPOW[:n]
 
 
+class ByteSpans:
+    """64-bit hashes of byte spans of one buffer."""
+
+    def __init__(self, buf: np.ndarray):
+        pw, self.ipw = _powers(len(buf) + 1)
+        self.cum = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[buf] * pw[:-1])])
+
+    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        h = (self.cum[end] - self.cum[start]) * self.ipw[start]
+        return mix64(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 class Words:
     """Word table of a chunk of texts: word w is bytes [start[w], end[w]) of ``buf``
     and belongs to text ``doc[w]``; ``first[d]:first[d+1]`` are the words of text d."""
@@ -61,16 +73,13 @@ class Words:
         self.start, self.end = edge[0::2], edge[1::2]  # the last byte is a separator
         self.first = np.searchsorted(self.start, np.concatenate([self.doc_start, [len(self.buf)]]))
         self.doc = np.repeat(np.arange(self.n), np.diff(self.first))
-        self._cum = None
+        self._spans = None
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """64-bit hash of each byte span."""
-        if self._cum is None:
-            pw, _ = _powers(len(self.buf))
-            self._cum = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[self.buf] * pw)])
-        _, ipw = _powers(len(self.buf) + 1)
-        h = (self._cum[end] - self._cum[start]) * ipw[start]
-        return mix64(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        if self._spans is None:
+            self._spans = ByteSpans(self.buf)
+        return self._spans.hash(start, end)
 
     def hashes(self) -> np.ndarray:
         return self.spans(self.start, self.end)
