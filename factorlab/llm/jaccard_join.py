@@ -412,4 +412,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     document without a component). Rows that share an id are one document."""
     found = near_duplicates(docs)
     dropped = found.where("doc_id is not null and component_id != doc_id").select("doc_id").distinct()
+    dropped, got = cut_lineage_observed(dropped, [F.count(F.lit(1)).alias("m")])
+    if got["m"] <= BROADCAST_IDS:
+        dropped = F.broadcast(dropped)
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)

@@ -50,6 +50,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import repeated_passages
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ann import nearest_neighbours
     return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0).select(
@@ -82,6 +87,7 @@ QUERIES = {
     "op3_jaccard_join": op3_jaccard_join,
     "op4_toxicity": op4_toxicity,
     "op5_packing": op5_packing,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_quality_rules": op8_quality_rules,
     "op9_quality_classifier": op9_quality_classifier,
