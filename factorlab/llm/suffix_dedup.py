@@ -455,6 +455,8 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, hot_bytes: int = HO
 def cut_passages(docs: DataFrame, length: int = LENGTH, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """Pipeline form: ``docs`` with the repeated bytes cut out of ``text`` and ``n_chars`` (where
     present) counted anew. A character that loses some of its bytes goes whole."""
+    columns = docs.columns
+
     def run(batches):
         for b in batches:
             data, off, valid = utf8(b.column("text"))
@@ -466,7 +468,7 @@ def cut_passages(docs: DataFrame, length: int = LENGTH, hot_bytes: int = HOT_BYT
             yield pa.RecordBatch.from_arrays(
                 [pa.array(texts, pa.string()) if c == "text" else
                  pa.array([None if t is None else len(t) for t in texts], pa.int64()) if c == "n_chars"
-                 else b.column(c) for c in docs.columns], docs.columns)
+                 else b.column(c) for c in columns], columns)
 
     schema = ", ".join(f"`{f.name}` " + ("long" if f.name == "n_chars" else f.dataType.simpleString())
                        for f in docs.schema.fields)
