@@ -34,7 +34,7 @@ BUCKETS_LOG2 = 14
 DIM = 16
 PER_LANG = 500
 MAX_LANGS = 200
-EPOCHS = 6
+STEPS = 800  # mini-batches of the gradient descent
 _LETTER = re.compile(r"[^\W\d_]")
 _ASCII_NON_LETTER = np.array([c < 128 and not chr(c).isalpha() for c in range(256)])
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
@@ -88,32 +88,37 @@ class LangModel:
 
 
 def train_softmax(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, n_langs: int,
-                  buckets: int, dim: int = DIM, epochs: int = EPOCHS, rate: float = 20.0,
+                  buckets: int, dim: int = DIM, steps: int = STEPS, rate: float = 60.0,
                   batch: int = 32, seed: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """SGD on (embedding, softmax weights, bias); ``rows`` are (bucket ids, shares)."""
+    """SGD on (embedding, softmax weights, bias), the step falling to zero over ``steps``
+    mini-batches; ``rows`` are (bucket ids, shares)."""
     rng = np.random.default_rng(seed)
     emb = rng.uniform(-1, 1, (buckets, dim)).astype(np.float32) / dim
     w, bias = np.zeros((dim, n_langs), np.float32), np.zeros(n_langs, np.float32)
-    steps, done = max(1, epochs * -(-len(rows) // batch)), 0
-    for _ in range(epochs):
-        order = rng.permutation(len(rows))
-        for s in range(0, len(rows), batch):
-            pick = order[s:s + batch]
-            x = np.zeros((len(pick), buckets), np.float32)
-            for r, k in enumerate(pick):
-                x[r, rows[k][0]] = rows[k][1]
-            e = x @ emb
-            z = e @ w + bias
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(pick)), y[pick]] -= 1
-            step = np.float32(rate * (1 - done / steps) / len(pick))
-            ge, gw = p @ w.T, e.T @ p
-            used = np.flatnonzero(x.any(0))
-            emb[used] -= step * (x[:, used].T @ ge)
-            w -= np.float32(0.1) * step * gw
-            bias -= np.float32(0.1) * step * p.sum(0)
-            done += 1
+    place = np.zeros(buckets, np.int64)
+    order = np.zeros(0, np.int64)
+    for done in range(steps):
+        if len(order) < batch:
+            order = np.concatenate([order, rng.permutation(len(rows))])
+        pick, order = order[:batch], order[batch:]
+        idx = np.concatenate([rows[k][0] for k in pick])
+        mask = np.zeros(buckets, bool)
+        mask[idx] = True
+        used = np.flatnonzero(mask)
+        place[used] = np.arange(len(used))
+        x = np.zeros((len(pick), len(used)), np.float32)
+        x[np.repeat(np.arange(len(pick)), [len(rows[k][0]) for k in pick]), place[idx]] = \
+            np.concatenate([rows[k][1] for k in pick])
+        e = x @ emb[used]
+        z = e @ w + bias
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        p[np.arange(len(pick)), y[pick]] -= 1
+        step = np.float32(rate * (1 - done / steps) / len(pick))
+        ge, gw = p @ w.T, e.T @ p
+        emb[used] -= step * (x.T @ ge)
+        w -= np.float32(0.1) * step * gw
+        bias -= np.float32(0.1) * step * p.sum(0)
     return emb, w, bias
 
 

@@ -57,8 +57,9 @@ class FourierRidge:
             return np.full(len(x), self.prior)
         r = self.raw(x)
         if self.steps is None:
-            return r
-        return np.clip(np.interp(r, (np.arange(BINS) + 0.5) / BINS, self.steps), 0.0, 1.0)
+            return np.round(r, 9)
+        # rounded: equal texts must not differ by the order of a sum
+        return np.round(np.clip(np.interp(r, (np.arange(BINS) + 0.5) / BINS, self.steps), 0.0, 1.0), 9)
 
 
 def document_statistics(docs: DataFrame) -> DataFrame:

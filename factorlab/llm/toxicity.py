@@ -171,7 +171,7 @@ class ToxicModel:
     def score(self, texts: list[bytes]) -> np.ndarray:
         if self.logistic is None:
             return np.full(len(texts), self.prior)
-        return self.logistic.predict(self.features(texts))
+        return np.round(self.logistic.predict(self.features(texts)), 9)
 
 
 def _picked(docs: DataFrame, ids: list, spark) -> DataFrame:
