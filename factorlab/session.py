@@ -85,6 +85,14 @@ def _table_root(spark: SparkSession) -> str:
     return ensure_checkpoint_dir(spark).rstrip("/") + "/factorlab-tables"
 
 
+def _read_back(spark: SparkSession, path: str, df: DataFrame) -> DataFrame:
+    """The written table under the written schema (an empty or partitioned table has no
+    footer to infer it from); remembers its folder for :func:`table_path`."""
+    out = spark.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns])
+    out._factorlab_table = path
+    return out
+
+
 def cut_lineage(df: DataFrame, partition_by: list | None = None) -> DataFrame:
     """Materialise ``df`` as a parquet table in the shared checkpoint folder
     and return a DataFrame reading it back.
@@ -100,8 +108,7 @@ def cut_lineage(df: DataFrame, partition_by: list | None = None) -> DataFrame:
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
-    out = spark.read.parquet(path)
-    return out.select(*df.columns) if partition_by else out
+    return _read_back(spark, path, df)
 
 
 def cut_lineage_observed(df: DataFrame, metrics: list) -> tuple[DataFrame, dict]:
@@ -112,15 +119,13 @@ def cut_lineage_observed(df: DataFrame, metrics: list) -> tuple[DataFrame, dict]
     spark = df.sparkSession
     path = f"{_table_root(spark)}/{uuid.uuid4().hex}"
     df.observe(obs, *metrics).write.mode("error").parquet(path)
-    return spark.read.parquet(path), obs.get
+    return _read_back(spark, path, df), obs.get
 
 
 def table_path(df: DataFrame) -> str | None:
-    """The folder a DataFrame returned by :func:`cut_lineage` reads from."""
-    files = df.inputFiles()
-    if not files:
-        return None
-    return files[0].rsplit("/", 1)[0]
+    """The folder that a DataFrame returned by :func:`cut_lineage` reads from
+    (known from the write: no file listing); None for any other DataFrame."""
+    return getattr(df, "_factorlab_table", None)
 
 
 def drop_table(spark: SparkSession, path: str | None) -> None:
