@@ -16,8 +16,8 @@ the stopping radius that round 1 leaves. Equal query vectors are searched once.
 
 Defined cases: vectors that are null, zero, of another length than the most
 frequent one (ties: the longer), or that hold null or non-finite components, and rows without
-id, take no part; a query id with several vectors uses the smallest; rows that share
-the query's id are its own; fewer than k candidates give all of them; ties go to
+id, take no part; repeated rows count once; a query id with several vectors uses the
+smallest, and rows under the query's id are its own; fewer than k candidates give all of them; ties go to
 the smaller id; an empty table gives an empty result.
 """
 
@@ -115,7 +115,9 @@ class KdTree:
                 bound: float = math.inf) -> list[tuple[float, int]]:
         """The k nearest found (distance, id); ``bound`` is a k-th distance known elsewhere."""
         gap = np.maximum(0, np.maximum(self.low - qz, qz - self.high))
-        lower = (gap * gap).sum(1)
+        # equal vectors may differ by rounding once projected: distances below this are zero
+        tiny = 1e-24 * (1.0 + float(qz @ qz))
+        lower = np.maximum(0, (gap * gap).sum(1) - tiny)
         order = np.argsort(lower, kind="stable")
         pool_d, pool_i = np.zeros(0), np.zeros(0, np.int64)
         best_d, best_i, kth = np.zeros(0), np.zeros(0, np.int64), bound
@@ -124,7 +126,7 @@ class KdTree:
                 break
             r = self.leaves[leaf]
             d = self.z[r] - qz
-            pool_d = np.concatenate([pool_d, (d * d).sum(1)])
+            pool_d = np.concatenate([pool_d, np.maximum(0, (d * d).sum(1) - tiny)])
             pool_i = np.concatenate([pool_i, r])
             nxt = lower[order[pos + 1]] if pos + 1 < len(order) else math.inf
             now = (pool_d <= nxt) & (pool_d <= stop * kth * kth)  # the next projected neighbours
@@ -210,8 +212,11 @@ def nearest_neighbours(vectors: DataFrame, is_query, k: int = 10, id_col: str =
         out = []
         if len(points) and len(qs):
             x = np.stack(points["v"].to_numpy())
-            tree = KdTree(cells.project(x))
             ids = points["id"].to_numpy()
+            if len(np.unique(ids)) < len(ids):  # repeated rows lie in one block and count once
+                keep = list({(i, v.tobytes()): r for r, (i, v) in enumerate(zip(ids, x))}.values())
+                x, ids = x[keep], ids[keep]
+            tree = KdTree(cells.project(x))
             for rep, q, bound in zip(qs["rep"], qs["v"], qs["bound"]):
                 q = np.asarray(q, float)
                 got = tree.nearest(x, ids, q, cells.project(q[None])[0], k1, stop, bound)
