@@ -3,6 +3,8 @@ bounded work units inside a task, hash-ordered samples and label folds."""
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -69,8 +71,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def stack(rows: list, dtype=float) -> np.ndarray:
-    return np.array(rows, dtype)
+def release(spark) -> None:
+    """Let Spark's cleaner drop the shuffle files of finished jobs now: it acts when the
+    driver collects garbage, which a driver with little to do seldom does."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def labelled(labels: DataFrame, col: str, mod: int = 5, held_out: int = 0) -> DataFrame:

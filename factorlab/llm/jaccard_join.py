@@ -22,7 +22,9 @@ Candidates of a list are first its smallest class with every other member;
 verified links are contracted to components, and then only members of different
 components in the same list are compared, so a group of copies costs links in
 proportion to its size, and no link between different texts is lost.
-Candidates are verified on the whole texts.
+A candidate pair is dropped when the parity sketches of its sets differ in more
+bits than linked sets can differ in elements (an exact bound: each element flips
+one bit); what is left is verified on the whole texts.
 
 Defined cases: null texts and texts without a word have the empty set and link
 with nothing; fewer than ``k`` words are one element, the whole sequence; rows
@@ -38,13 +40,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, cut_lineage_observed, drop_table, table_path
-from .common import chunks, mix64, texts_of, utf8
+from .common import chunks, mix64, release, texts_of, utf8
 from .components import connected_components
 from .textstats import Words, grams
 
 WORDS = 5
 NUM, DEN = 75, 100  # similarity of at least NUM / DEN
-COUNT_BYTES = 8 << 20  # text per counting unit
+COUNT_BYTES = 16 << 20  # text per counting unit
 COMMON_LEAST = 3  # documents of a unit that make an element worth counting
 COMMON_MAX = 1 << 16  # elements kept by the order, the most frequent
 MAX_LIGHT = 64
@@ -85,8 +87,28 @@ def prefix_length(n: int, c: int = 1) -> int:
     return min(n, n - least_overlap(n) + c)
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Parity bits of a set: element e flips bit e mod B, B the power of two from n up."""
+    bits = max(64, 1 << max(0, len(s) - 1).bit_length())
+    odd = np.bincount((s >> np.uint64(9)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def may_link(a: bytes, n: int, b: bytes, m: int) -> bool:
+    """False only if the sets cannot be linked: the sketches differ in more bits than the
+    symmetric difference of linked sets has elements."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) != len(y):  # parities of half as many bits: the halves added
+        if len(x) > len(y):
+            x = x.reshape(2, -1)[0] ^ x.reshape(2, -1)[1]
+        else:
+            y = y.reshape(2, -1)[0] ^ y.reshape(2, -1)[1]
+    differ = int(np.bitwise_count(x ^ y).sum())
+    return differ * (NUM + DEN) <= (DEN - NUM) * (n + m)
+
+
 def scan_sets(docs: DataFrame) -> DataFrame:
-    """One pass over the texts: rows (doc_id, n, h1, h2) and, apart, elements that several
+    """One pass over the texts: rows (doc_id, n, h1, h2, sketch) and, apart, elements that several
     documents of a counting unit share (token, cnt)."""
     def run(batches):
         seen: set = set()
@@ -98,9 +120,9 @@ def scan_sets(docs: DataFrame) -> DataFrame:
             none = pa.nulls(len(t), pa.int64())
             return pa.RecordBatch.from_arrays(
                 [pa.array(np.ones(len(t), np.int32)), none, none, none, none,
-                 pa.array(t.view(np.int64)), pa.array(c.astype(np.int64))], names)
+                 pa.nulls(len(t), pa.binary()), pa.array(t.view(np.int64)), pa.array(c.astype(np.int64))], names)
 
-        names = ["kind", "doc_id", "n", "h1", "h2", "token", "cnt"]
+        names = ["kind", "doc_id", "n", "h1", "h2", "sketch", "token", "cnt"]
         for b in batches:
             data, off, _ = utf8(b.column("text"))
             for i, j in chunks(off):
@@ -115,7 +137,8 @@ def scan_sets(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.zeros(j - i, np.int32)), b.column("doc_id").slice(i, j - i),
                      pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in keys], pa.int64()),
-                     pa.array([y for _, y in keys], pa.int64()), none, none], names)
+                     pa.array([y for _, y in keys], pa.int64()),
+                     pa.array([sketch(x) for x in sets], pa.binary()), none, none], names)
                 if size >= COUNT_BYTES and pool:
                     yield common()
                     pool, size = [], 0
@@ -123,7 +146,7 @@ def scan_sets(docs: DataFrame) -> DataFrame:
             yield common()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "kind int, doc_id long, n long, h1 long, h2 long, token long, cnt long")
+        run, "kind int, doc_id long, n long, h1 long, h2 long, sketch binary, token long, cnt long")
 
 
 def boundary(sizes: dict[int, int], scan: float) -> int:
@@ -279,17 +302,51 @@ def lists(entries: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "kind int, token long, cls long, n int, cls2 long, n2 int")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+def _wanted(pairs: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cls, n, rep) of the classes on a pair, written; and as a side to join the documents
+    with by ``rep`` (broadcast behind a check of its size)."""
+    ends = pairs.select("cls", "n").unionByName(pairs.select(F.col("cls2").alias("cls"), F.col("n2").alias("n")))
+    wanted, got = cut_lineage_observed(ends.distinct().join(reps, ["cls", "n"]), [F.count(F.lit(1)).alias("m")])
+    return wanted, F.broadcast(wanted) if got["m"] <= BROADCAST_IDS else wanted
+
+
+def _both_ends(pairs: DataFrame, ends: DataFrame, col: str) -> DataFrame:
+    """Pairs with ``col`` and the representative id of both classes (``u``, ``v``)."""
+    second = ends.select(F.col("cls").alias("cls2"), F.col("n").alias("n2"), F.col("rep").alias("v"),
+                         F.col(col).alias(col + "2"))
+    return (pairs.join(second, ["cls2", "n2"])
+            .join(ends.select("cls", "n", F.col("rep").alias("u"), col), ["cls", "n"])
+            .select("cls", "n", "u", col, "cls2", "n2", "v", col + "2"))
+
+
+def _may_link(pairs: DataFrame, rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """The candidate pairs that the sketches do not rule out."""
+    wanted, side = _wanted(pairs, reps)
+    sketches = (rows.select(F.col("doc_id").alias("rep"), F.col("h1").alias("cls"),
+                            F.col("n").cast("int").alias("n"), "sketch")
+                .join(side, ["rep", "cls", "n"]).dropDuplicates(["cls", "n"]))
+
+    def run(batches):
+        for b in batches:
+            cols = [b.column(c).to_pylist() for c in ("sketch", "n", "sketch2", "n2")]
+            yield b.select(["cls", "n", "cls2", "n2"]).filter(
+                pa.array([may_link(*r) for r in zip(*cols)], pa.bool_()))
+
+    out = cut_lineage(_both_ends(pairs, sketches, "sketch").mapInArrow(
+        run, "cls long, n int, cls2 long, n2 int"))
+    drop_table(rows.sparkSession, table_path(wanted))
+    return out
+
+
+def verify(pairs: DataFrame, rows: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     """(u, v) representative ids of the candidate pairs that are links, checked on whole texts.
 
-    ``reps``: (cls, n, rep). Only texts of classes on a pair are gathered.
+    ``rows``: sketches of :func:`scan_sets`; ``reps``: (cls, n, rep). Only texts of classes on a
+    pair that the sketches leave are gathered.
     """
-    wanted = (pairs.select("cls", "n").unionByName(pairs.select(F.col("cls2").alias("cls"),
-                                                                F.col("n2").alias("n"))).distinct()
-              .join(reps, ["cls", "n"]))
-    wanted, got = cut_lineage_observed(wanted, [F.count(F.lit(1)).alias("m")])
-    ids = F.broadcast(wanted) if got["m"] <= BROADCAST_IDS else wanted
-    texts = cut_lineage(docs.select(F.col("doc_id").alias("rep"), "text").join(ids, "rep")
+    pairs = _may_link(pairs, rows, reps)
+    wanted, side = _wanted(pairs, reps)
+    texts = cut_lineage(docs.select(F.col("doc_id").alias("rep"), "text").join(side, "rep")
                         .select("cls", "n", "rep", "text"))
 
     def check(batches):
@@ -327,14 +384,10 @@ def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())],
                                                      ["u", "v"])
 
-    second = texts.select(F.col("cls").alias("cls2"), F.col("n").alias("n2"), F.col("rep").alias("v"),
-                          F.col("text").alias("text2"))
-    rows = (pairs.join(second, ["cls2", "n2"])
-            .join(texts.select("cls", "n", F.col("rep").alias("u"), "text"), ["cls", "n"]))
-    out = cut_lineage(rows.select("cls", "n", "u", "text", "cls2", "n2", "v", "text2")
-                      .mapInArrow(check, "u long, v long").distinct())
-    for t in (wanted, texts):
+    out = cut_lineage(_both_ends(pairs, texts, "text").mapInArrow(check, "u long, v long").distinct())
+    for t in (wanted, texts, pairs):
         drop_table(docs.sparkSession, table_path(t))
+    release(docs.sparkSession)
     return out
 
 
@@ -347,16 +400,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scan = cut_lineage(scan_sets(docs), partition_by=["kind"])
-    rows = scan.where("kind = 0").select("doc_id", "n", "h1", "h2")
+    rows = scan.where("kind = 0").select("doc_id", "n", "h1", "h2", "sketch")
     classes = cut_lineage(rows.where("n > 0 and doc_id is not null").groupBy("h1", "h2", "n")
                           .agg(F.min("doc_id").alias("rep")))
-    reps = classes.groupBy(F.col("h1").alias("cls"), F.col("n").cast("int").alias("n")).agg(
-        F.min("rep").alias("rep"))
+    reps = cut_lineage(classes.groupBy(F.col("h1").alias("cls"), F.col("n").cast("int").alias("n")).agg(
+        F.min("rep").alias("rep")))
 
     top = (scan.where("kind = 1").groupBy("token").agg(F.sum("cnt").alias("cnt"))
-           .orderBy(F.desc("cnt"), "token").limit(COMMON_MAX).collect())
-    tok = np.array([r["token"] for r in top], np.int64).view(np.uint64)
-    cnt = np.array([r["cnt"] for r in top], np.int64)
+           .orderBy(F.desc("cnt"), "token").limit(COMMON_MAX).toArrow())
+    tok = top.column("token").to_numpy().astype(np.int64).view(np.uint64)
+    cnt = top.column("cnt").to_numpy().astype(np.int64)
     order = np.argsort(tok)
     common = tok[order]
     common_rank = np.minimum(np.log2(np.maximum(cnt, 1)).astype(np.int64), 200).astype(np.uint8)[order]
@@ -372,14 +425,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     flat = [F.col("a.cls").alias("cls"), F.col("a.n").alias("n"), F.col("b.cls").alias("cls2"),
             F.col("b.n").alias("n2")]
     first = cut_lineage(found.where("kind = 0").select(*pair).distinct().select(*flat))
-    links = verify(first, docs, reps)
+    release(spark)
+    links = verify(first, rows, docs, reps)
     comp = connected_components(links)
 
     # members of different components in one list, not compared yet
-    entries = (found.where("kind = 1").select("token", "cls", "n").join(reps, ["cls", "n"])
-               .join(comp.withColumnRenamed("id", "rep"), "rep", "left")
-               .select("token", "cls", "n", F.coalesce("component", "rep").alias("comp")))
-    entries = cut_lineage(entries)
+    entries = found.where("kind = 1").select("token", "cls", "n")
+    linked, got = cut_lineage_observed(
+        reps.join(comp.withColumnRenamed("id", "rep"), "rep").select("cls", "n", "component"),
+        [F.count(F.lit(1)).alias("m")])
+    if got["m"] <= BROADCAST_IDS:
+        linked = F.broadcast(linked)
+    # a class without links is a component of its own, told apart by its key
+    own = F.struct(F.coalesce("component", F.lit(-1)).alias("c"),
+                   F.when(F.col("component").isNull(), F.col("cls")).alias("cls"),
+                   F.when(F.col("component").isNull(), F.col("n")).alias("n"))
+    entries = cut_lineage(entries.join(linked, ["cls", "n"], "left")
+                          .select("token", "cls", "n", F.xxhash64(own).alias("comp")))
     mixed = (entries.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
              .where("lo < hi").select("token"))
     entries = entries.join(mixed, "token")
@@ -391,16 +453,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             .join(first, ["cls", "n", "cls2", "n2"], "left_anti"))
     rest, got = cut_lineage_observed(rest, [F.count(F.lit(1)).alias("m")])
     if got["m"]:
-        links = links.unionByName(verify(rest, docs, reps))
+        links = links.unionByName(verify(rest, rows, docs, reps))
         comp = connected_components(links)
     for t in (found, rest, first):
         drop_table(spark, table_path(t))
+    release(spark)
 
     ends = links.select(F.col("u").alias("rep")).unionByName(links.select(F.col("v").alias("rep")))
     degree = ends.groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     named = (classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").join(degree, "rep", "left")
              .select("h1", "h2", "n", F.coalesce("component", "rep").alias("component_id"), "n_links"))
-    return (rows.join(named, ["h1", "h2", "n"], "left")
+    return (rows.drop("sketch").join(named, ["h1", "h2", "n"], "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
                     F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
                     .alias("component_id"),

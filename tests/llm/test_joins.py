@@ -105,6 +105,7 @@ def test_signatures_meet_for_every_linked_pair():
         both = len(np.intersect1d(a, b))
         if not len(b) or len(a) == len(b) == both or 100 * both < 75 * (len(a) + len(b) - both):
             continue
+        assert jaccard_join.may_link(jaccard_join.sketch(a), len(a), jaccard_join.sketch(b), len(b))
         rank = lambda s: (s % np.uint64(5)).astype(np.uint8)
         for x in (0, 8, 20, 64):
             assert np.intersect1d(jaccard_join.signatures(a, rank(a), x),
