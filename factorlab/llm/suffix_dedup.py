@@ -43,8 +43,8 @@ from .textstats import ByteSpans
 
 LENGTH = 400
 GRAM = 32
-INDEX_BYTES = 1 << 20
-HOT_BYTES = 2 << 20
+INDEX_BYTES = 768 << 10
+HOT_BYTES = 1 << 20
 STEP = 16
 BROADCAST_IDS = 1_000_000
 _NO_ID = -(1 << 63)
@@ -109,12 +109,14 @@ def segments(texts: list[bytes], length: int = LENGTH):
 class RunIndex:
     """Run-compressed Burrows-Wheeler transform of texts, with suffix positions at run ends."""
 
-    CHARS = 7  # first ranking: 7 symbols of 9 bits (0 is the end of a text)
+    CHARS = 4  # first ranking: 4 symbols of 9 bits (0 is the end of a text)
+    BITS = 21  # below 2^21 symbols a key of two ranks and the position fit one integer
 
     def __init__(self, texts: list[bytes]):
         lens = np.array([len(t) + 1 for t in texts], np.int64)
         self.start = np.cumsum(lens) - lens
         n = int(lens.sum())
+        self.small = n < (1 << self.BITS) - 1
         sym = np.zeros(n + 8, np.int64)
         body = np.ones(n, bool)
         body[self.start + lens - 1] = False
@@ -138,24 +140,27 @@ class RunIndex:
             nxt = np.zeros(n, np.int64)
             more = self.left > h
             nxt[more] = rank[np.flatnonzero(more) + h] + 1
-            rank, order, distinct = self._rank(rank.astype(np.int64) * (n + 1) + nxt)
+            rank, order, distinct = self._rank(rank.astype(np.int64) * (1 << self.BITS if self.small else n + 1) + nxt)
             h *= 2
-        if distinct < n:  # equal up to their end marks: the earlier text first
-            order = np.lexsort((np.arange(n), rank))
-        self.suffix = order
+        self.suffix = order  # suffixes equal up to their end marks: the earlier text first
         before = np.where(self.first[order], -1 - np.arange(n), sym[order - 1])  # each text's start is unique
         cut = np.flatnonzero(before[1:] != before[:-1]) + 1
         self.heads = np.concatenate([[0], cut])  # first row of each run
         self.tails = np.concatenate([cut - 1, [n - 1]])
         self.symbol = before[self.heads]
 
-    @staticmethod
-    def _rank(key: np.ndarray):
-        order = np.argsort(key, kind="stable")
-        k = key[order]
-        step = np.concatenate([[0], k[1:] != k[:-1]])
-        cls = np.cumsum(step)
-        rank = np.empty(len(key), np.int32)
+    def _rank(self, key: np.ndarray):
+        """(rank of each position, positions in order, different ranks); ties by position."""
+        if self.small:
+            both = np.sort((key << self.BITS) | np.arange(self.n))
+            order, k = both & ((1 << self.BITS) - 1), both >> self.BITS
+        else:
+            order = np.argsort(key, kind="stable")
+            k = key[order]
+        cls = np.empty(self.n, np.int32)
+        cls[0] = 0
+        np.cumsum(k[1:] != k[:-1], out=cls[1:])
+        rank = np.empty(self.n, np.int32)
         rank[order] = cls
         return rank, order, int(cls[-1]) + 1
 
