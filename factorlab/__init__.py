@@ -8,7 +8,6 @@ functions  column-expression helpers (hashing, vector arithmetic, scalar maps).
 operators  splits, metrics, relational steps, factor models, library ALS,
            tuning, recommendation, feature table, metric learning, predictors.
 plans      the registered queries (DataFrame plans) and their DuckDB oracles.
-streaming  intentionally empty: the reference has no streaming work.
 """
 
 __version__ = "0.1.0"

@@ -38,6 +38,10 @@ def sql_md5_u32(key_sql: str) -> str:
     return f"(('0x' || substr(md5({key_sql}), 1, 8))::BIGINT)"
 
 
+def sql_md5_u60(key_sql: str) -> str:
+    return f"(('0x' || substr(md5({key_sql}), 1, 15))::BIGINT)"
+
+
 def uniform_factor(seed: int, side: str, id_col: Column, i: int, scale: float = 5.0) -> Column:
     """scale * U[0,1) for component i of entity id (M7 initialisation)."""
     key = F.concat_ws(":", F.lit(str(seed)), F.lit(side), id_col.cast("string"), F.lit(str(i)))

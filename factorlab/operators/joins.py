@@ -23,10 +23,11 @@ def shuffle_parts(df: DataFrame) -> int:
 def hot_keys_from_counts(counts: DataFrame, key: str, count_col: str, total: int,
                          parts: int) -> list:
     """Keys whose row count exceeds total / (2 * parts): such a key alone would
-    fill more than half a shuffle partition. By construction there are at
-    most 2 * parts of them, so the list is a proven-small driver value."""
+    fill more than half a shuffle partition. There can be at most 2 * parts of
+    them, so the list is a proven-small driver value. NULL is no key: it meets
+    nothing in an equi-join."""
     thr = max(1, total // (2 * parts))
-    rows = counts.where(F.col(count_col) > thr).select(key).limit(2 * parts + 1).collect()
+    rows = counts.where(F.col(key).isNotNull() & (F.col(count_col) > thr)).select(key).collect()
     return sorted(r[0] for r in rows)
 
 
@@ -48,7 +49,13 @@ def split_join(big: DataFrame, small: DataFrame, key: str, hot: list, how: str =
     """
     if not hot:
         return big.join(small, key, how)
-    is_hot = F.col(key).isin(hot)
-    hot_part = big.where(is_hot).join(F.broadcast(small.where(is_hot)), key, how)
-    cold_part = big.where(~is_hot).join(small.where(~is_hot), key, how)
+    # The hot keys are a small broadcast table, not an IN list in the plan.
+    spark = big.sparkSession
+    keys = F.broadcast(spark.createDataFrame([(k,) for k in hot],
+                                             big.select(key).schema).withColumn("_hot", F.lit(True)))
+    tagged = big.join(keys, key, "left")
+    hot_small = F.broadcast(small.join(keys.drop("_hot"), key, "left_semi"))
+    hot_part = tagged.where("_hot").drop("_hot").join(hot_small, key, how)
+    # rows with a NULL key stay here, so a left join keeps them
+    cold_part = tagged.where("_hot is null").drop("_hot").join(small, key, how)
     return hot_part.unionByName(cold_part)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import hash01, md5_u32
+from ..functions.hashing import hash01, md5_u60
 from ..functions.vectors import diag_quad, sq_dist, sub
 from ..session import cut_lineage
 from . import joins
@@ -41,32 +41,42 @@ def generate_pairs(df: DataFrame, id_col: str, label_col: str, n_pairs: int,
 
     Anchor: a uniform row. With probability ``positive_ratio`` the partner is
     a uniform row of the anchor's label (possibly itself), otherwise a uniform
-    row of any other label. Randomness is md5 of (seed, tag, pair id); rows
-    are addressed by exact global position in (label, id) order, so each label
-    is one block [g0, g0 + count).
+    row of any other label. Randomness is 60 bits of md5 of (seed, tag, pair id),
+    so every position of a table of any size can be drawn; rows are addressed by
+    exact global position in (label, id) order, so each label is one block
+    [g0, g0 + count). A pair whose anchor has no row of another label to
+    meet (one label only) is left out.
     """
     spark = df.sparkSession
     base = df.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label"))
     idx, n = index_rows_total(base, [F.col("_label"), F.col("_id")], "pos")
     labels = idx.groupBy("_label").agg(F.count(F.lit(1)).alias("lc"), F.min("pos").alias("g0"))
-    key = lambda tag: F.concat_ws(":", F.lit(str(seed)), F.lit(tag), F.col("pair_id").cast("string"))
-    t = spark.range(n_pairs).select(F.col("id").alias("pair_id"))
-    t = t.select("pair_id",
-                 F.pmod(md5_u32(key("a")), F.lit(n)).alias("a_pos"),
-                 hash01(key("p")).alias("u"),
-                 md5_u32(key("b")).alias("hb"))
+    t = draw_positions(spark.range(n_pairs).select(F.col("id").alias("pair_id")), n, seed)
     a = idx.select(F.col("pos").alias("a_pos"), F.col("_id").alias("a_id"), F.col("_label").alias("a_label"))
-    t = t.join(a, "a_pos").join(labels.withColumnRenamed("_label", "a_label"), "a_label")
+    t = a.join(F.broadcast(t) if n_pairs <= BROADCAST_PAIRS else t, "a_pos")
+    t = t.join(labels.withColumnRenamed("_label", "a_label"), "a_label")
     m = F.pmod(F.col("hb"), F.col("_rest"))
     partner = (F.when(F.col("u") <= positive_ratio, F.col("g0") + F.pmod(F.col("hb"), F.col("lc")))
                .when(F.col("_rest") > 0, F.when(m < F.col("g0"), m).otherwise(m + F.col("lc"))))
-    t = t.withColumn("_rest", F.lit(n) - F.col("lc")).withColumn("b_pos", partner)
+    t = (t.withColumn("_rest", F.lit(n) - F.col("lc")).withColumn("b_pos", partner)
+         .where("b_pos is not null").select("pair_id", "a_id", "a_label", "b_pos"))
+    t = cut_lineage(t)
     b = idx.select(F.col("pos").alias("b_pos"), F.col("_id").alias("b_id"), F.col("_label").alias("b_label"))
-    t = t.join(b, "b_pos", "left")
+    t = b.join(F.broadcast(t) if n_pairs <= BROADCAST_PAIRS else t, "b_pos")
     y = F.when(F.col("a_label") == F.col("b_label"), 1.0).otherwise(-1.0)
     return t.select("pair_id", "a_id", "b_id", y.alias("y"))
 
 
+BROADCAST_PAIRS = 100_000  # drawn pairs (under 50 bytes each); beyond it a shuffle join
+
+
+def draw_positions(pairs: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """(pair_id, a_pos, u, hb): anchor position in [0, n), uniform number, partner hash."""
+    key = lambda tag: F.concat_ws(":", F.lit(str(seed)), F.lit(tag), F.col("pair_id").cast("string"))
+    return pairs.select("pair_id", F.pmod(md5_u60(key("a")), F.lit(n)).alias("a_pos"),
+                        hash01(key("p")).alias("u"), md5_u60(key("b")).alias("hb"))
+
+
 def pair_vectors(pairs: DataFrame, feat: DataFrame, id_col: str = "row_id",
                  x_col: str = "x") -> DataFrame:
     """Both feature vectors of every pair (two equi-joins)."""
@@ -126,11 +136,11 @@ def row_quad(feat: DataFrame, m, x_col: str = "x") -> DataFrame:
 
 
 # --------------------------------------------------------- metric learning
-def psd_proj(m: np.ndarray, eps: float = 1e-10) -> np.ndarray:
-    """Projection on the PSD cone: drop eigenvalues <= eps (d x d, driver)."""
-    w, v = np.linalg.eigh(m)
-    keep = w > eps
-    return (v[:, keep] * w[keep][None, :]) @ v[:, keep].T
+def nearest_psd(m: np.ndarray) -> np.ndarray:
+    """The positive semidefinite matrix closest to ``m`` in the Frobenius norm: the
+    symmetric part of ``m`` with its negative eigenvalues set to zero."""
+    values, vectors = np.linalg.eigh((m + m.T) / 2.0)
+    return vectors @ np.diag(np.maximum(values, 0.0)) @ vectors.T
 
 
 def _grad_batches(m: np.ndarray, margin_obj: float, margin_grad: float):
@@ -207,7 +217,7 @@ def learn_metric(pv: DataFrame, d: int, epochs: int = 20, gamma=lambda t: 0.001
             break
         a = alpha_f(t)
         trace.append((t, hsum / n + a / 2.0 * float(np.linalg.norm(m)), int(n), int(n_act)))
-        m = psd_proj(m - gamma_f(t) * (grad / n + a * m))
+        m = nearest_psd(m - gamma_f(t) * (grad / n + a * m))
     return m, trace
 
 
@@ -277,7 +287,8 @@ def nearest_train(train: DataFrame, test: DataFrame, key: str, m=None, block: in
     the smallest δᵀ M δ (rounded to ``decimals``), ties to the smallest
     ``t_ord``; returns (q_id, d2, t_ord, nn_rating).
 
-    train: (key, t_ord, rating, x); test: (key, q_id, x). Each key's rows are
+    A NULL component counts as 0 (the mean of a centred feature), so rows with
+    missing features stay comparable. train: (key, t_ord, rating, x); test: (key, q_id, x). Each key's rows are
     cut into hash blocks of about ``block`` rows. Every query block is paired
     with each training block of its key by exploding the training-block ids
     and joining on (key, block), so one hot key's block pairs spread over all
@@ -287,6 +298,8 @@ def nearest_train(train: DataFrame, test: DataFrame, key: str, m=None, block: in
     """
     arr = None if m is None else np.asarray(m, dtype=float)
     parts = joins.shuffle_parts(train)
+    filled = F.transform(F.col("x"), lambda v: F.coalesce(v, F.lit(0.0)))
+    train, test = train.withColumn("x", filled), test.withColumn("x", filled)
     t_counts = train.groupBy(key).agg(F.count(F.lit(1)).alias("_ct"))
     q_counts = test.groupBy(key).agg(F.count(F.lit(1)).alias("_cq"))
     totals = (t_counts.agg(F.sum("_ct")).first()[0] or 0, q_counts.agg(F.sum("_cq")).first()[0] or 0)

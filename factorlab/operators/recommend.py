@@ -1,4 +1,4 @@
-"""Top-N recommendation of unrated items for a bounded set of users."""
+"""Top-N recommendation of unrated items for one user, and top n per user of scored pairs."""
 
 from __future__ import annotations
 
@@ -30,13 +30,14 @@ def top_n(scored: DataFrame, n: int, pred_col: str = "prediction",
 
 
 def recommend(scorer: Callable[[DataFrame], DataFrame], seen: DataFrame, items: DataFrame,
-              user_ids: DataFrame, n: int = 50) -> DataFrame:
+              user_id: int, n: int = 50) -> DataFrame:
     """J6 candidates -> scorer -> top n -> J5 titles (ASCII folded).
 
-    ``user_ids`` is the bounded set of users asking for recommendations; each
-    contributes one candidate row per unrated item.
+    The n winners come from a top-k (no sort of all candidates); only they are
+    numbered and meet the item table, as the broadcast side of an inner join.
     """
-    cands = candidates(items, seen, user_ids)
-    top = top_n(scorer(cands), n)
+    best = [F.col("prediction").desc(), F.col("item_id")]
+    top = scorer(candidates(items, seen, user_id)).orderBy(*best).limit(n)
+    top = top.withColumn("rank", F.row_number().over(Window.orderBy(*best)))  # n rows
     titles = items.select("item_id", ascii_fold(F.col("title")).alias("title"))
-    return top.join(titles, "item_id", "left")
+    return titles.join(F.broadcast(top), "item_id")

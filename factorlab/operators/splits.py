@@ -70,61 +70,42 @@ def index_rows_total(df: DataFrame, order_cols: list, pos_col: str = "pos"):
     ordered = cut_lineage(ordered)
     counts = {r["_pid"]: r["_n"] for r in
               ordered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n")).collect()}
-    n_parts = (max(counts) + 1) if counts else 0
-    offsets, acc = [], 0
-    for pid in range(n_parts):
-        offsets.append(acc)
-        acc += counts.get(pid, 0)
-    if not offsets:
-        return ordered.drop("_pid", "_mid").withColumn(pos_col, F.lit(None).cast("bigint")), 0
-    off = F.element_at(F.array(*[F.lit(o).cast("bigint") for o in offsets]), F.col("_pid") + 1)
+    rows, acc = [], 0
+    for pid in sorted(counts):
+        rows.append((pid, acc))
+        acc += counts[pid]
+    offsets = F.broadcast(df.sparkSession.createDataFrame(rows, "_pid int, _off bigint"))
     local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33)
-    out = ordered.withColumn(pos_col, (off + local).cast("bigint")).drop("_pid", "_mid")
+    out = (ordered.join(offsets, "_pid").withColumn(pos_col, (F.col("_off") + local).cast("bigint"))
+           .select(*df.columns, pos_col))
     return out, acc
 
 
-def index_rows(df: DataFrame, order_cols: list, pos_col: str = "pos") -> DataFrame:
-    """Exact 0-based global position of every row (see :func:`index_rows_total`)."""
-    return index_rows_total(df, order_cols, pos_col)[0]
+HEX_PER_PASS = 4  # 2^16 counts at most reach the driver in a pass
 
 
-SLICE_BITS = 15
-PREFIX_BITS = 60
-MAX_PREFIX_TIES = 100_000
+def rank_prefix(df: DataFrame, hcol: str, k: int) -> tuple[str, int, int]:
+    """Where the k-th smallest (1-based) value of a lowercase hex hash column lies,
+    found without sorting the rows: (prefix, rows below the prefix, rows under it).
 
-
-def kth_smallest_string(df: DataFrame, hcol: str, k: int) -> str | None:
-    """The k-th smallest (1-based) value of a lowercase hex hash column
-    (at least 15 hex digits), found without sorting the rows.
-
-    Four aggregation passes count rows per 15-bit slice of the hash's 60-bit
-    prefix, each restricted to the prefix chosen so far (at most 2^15 counts
-    reach the driver per pass); the rows sharing the final 60-bit prefix
-    (normally one) are then ordered by the full string.
+    Each pass counts rows per next four hex digits under the prefix chosen so far
+    and stops as soon as the prefix holds one row, or at the end of the hash.
     """
-    if k <= 0:
-        return None
-    u = F.conv(F.substring(F.col(hcol), 1, PREFIX_BITS // 4), 16, 10).cast("bigint")
-    base = df.select(F.col(hcol).alias("_h"), u.alias("_u"))
-    prefix, shift, rest = 0, PREFIX_BITS, k
-    for level in range(PREFIX_BITS // SLICE_BITS):
-        shift -= SLICE_BITS
-        part = base if level == 0 else base.where(
-            F.shiftright(F.col("_u"), shift + SLICE_BITS) == F.lit(prefix))
+    width = 32
+    prefix, below, inside = "", 0, None
+    while len(prefix) < width and inside != 1:
+        part = df.where(F.substring(F.col(hcol), 1, len(prefix)) == prefix) if prefix else df
         counts = sorted((r[0], r[1]) for r in part.groupBy(
-            F.shiftright(F.col("_u"), shift).bitwiseAND(F.lit((1 << SLICE_BITS) - 1)).alias("_b"))
+            F.substring(F.col(hcol), len(prefix) + 1, HEX_PER_PASS).alias("_d"))
             .agg(F.count(F.lit(1))).collect())
-        for b, c in counts:
-            if rest <= c:
-                prefix = (prefix << SLICE_BITS) | b
+        for digits, c in counts:
+            if below + c >= k:
+                prefix, inside = prefix + digits, c
                 break
-            rest -= c
+            below += c
         else:
-            return None  # k exceeds the row count
-    ties = base.where(F.col("_u") == F.lit(prefix)).select("_h").limit(MAX_PREFIX_TIES + 1).collect()
-    if len(ties) > MAX_PREFIX_TIES:
-        raise ValueError("too many rows share one 60-bit hash prefix")
-    return sorted(r[0] for r in ties)[rest - 1]
+            raise ValueError("k exceeds the number of rows")
+    return prefix, below, inside
 
 
 def sample_split_exact(df: DataFrame, key_col: str = "row_key", frac: float = 0.9,
@@ -132,19 +113,38 @@ def sample_split_exact(df: DataFrame, key_col: str = "row_key", frac: float = 0.
     """P5 exact: the round(frac*N) rows with the smallest md5(seed:key) form
     the first part, the rest the second (the anti-join complement, J7).
 
-    The hash projection is written once (its row count observed during the
-    write); the rank-k hash is found by :func:`kth_smallest_string`, and both
-    parts are filters on it: no sort and no shuffle of the rows.
+    Rows that share the boundary key are ordered by a second hash over all their
+    columns; rows equal in every column are told apart by count alone. The
+    hash projection is written once (its row count observed during the
+    write); the boundary is found by :func:`rank_prefix`, and the parts are
+    filters on it: no sort and no shuffle of the rows.
     """
     h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key_col)))
     keyed, m = cut_lineage_observed(df.withColumn("_h", h), [F.count(F.lit(1)).alias("n")])
     n = m["n"]
     k = int(math.floor(frac * n + 0.5))
-    hk = kth_smallest_string(keyed, "_h", k)
-    in_first = F.lit(False) if hk is None else (F.col("_h") <= F.lit(hk))
-    first = keyed.where(in_first).drop("_h")
-    second = keyed.where(~in_first).drop("_h")
-    return first, second
+    columns = df.columns
+
+    def parts(rows: DataFrame, hcol: str, k: int, total: int):
+        """Filters (first, second) of ``rows`` at rank k, or frames where rows are equal."""
+        if k <= 0 or k >= total:
+            return rows if k > 0 else rows.where("false"), rows if k <= 0 else rows.where("false")
+        prefix, below, inside = rank_prefix(rows, hcol, k)
+        head = F.substring(F.col(hcol), 1, len(prefix))
+        first, second = rows.where(head < prefix), rows.where(head > prefix)
+        edge, rest = rows.where(head == prefix), k - below
+        if rest == inside:
+            return first.unionByName(edge), second
+        if hcol == "_h":
+            full = F.md5(F.to_json(F.struct(*[F.col(c) for c in columns])))
+            a, b = parts(edge.withColumn("_h2", full), "_h2", rest, inside)
+            a, b = a.drop("_h2"), b.drop("_h2")
+        else:
+            a, b = edge.limit(rest), edge.limit(inside - rest)  # equal in every column
+        return first.unionByName(a), second.unionByName(b)
+
+    first, second = parts(keyed, "_h", k, n)
+    return first.select(*columns), second.select(*columns)
 
 
 def complement(df: DataFrame, part: DataFrame, key_col: str = "row_key") -> DataFrame:

@@ -6,7 +6,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..functions.hashing import md5_u32, sql_hash01, sql_md5_u32
+from ..functions.hashing import md5_u32, sql_hash01, sql_md5_u32, sql_md5_u60
 from ..operators import features as FE
 from ..operators import metric_learning as ML
 from ..operators import predictors as PR
@@ -143,9 +143,9 @@ PAIRS_SQL = T.with_views("feat") + f""",
 idx AS (SELECT row_id, label, row_number() OVER (ORDER BY label, row_id) - 1 AS pos FROM feat),
 lab AS (SELECT label, count(*) AS lc, min(pos) AS g0 FROM idx GROUP BY label),
 nn AS (SELECT count(*) AS n FROM idx),
-t2 AS (SELECT r.range AS pair_id, {sql_md5_u32(_key_sql("a").replace("pair_id", "r.range"))} % nn.n AS a_pos,
+t2 AS (SELECT r.range AS pair_id, {sql_md5_u60(_key_sql("a").replace("pair_id", "r.range"))} % nn.n AS a_pos,
               {sql_hash01(_key_sql("p").replace("pair_id", "r.range"))} AS u,
-              {sql_md5_u32(_key_sql("b").replace("pair_id", "r.range"))} AS hb, nn.n
+              {sql_md5_u60(_key_sql("b").replace("pair_id", "r.range"))} AS hb, nn.n
        FROM range({N_PAIRS}) r CROSS JOIN nn),
 t3 AS (SELECT t2.*, ia.row_id AS a_id, ia.label AS a_label, lab.lc, lab.g0
        FROM t2 JOIN idx ia ON ia.pos = t2.a_pos JOIN lab ON lab.label = ia.label),
@@ -154,7 +154,7 @@ t4 AS (SELECT *, CASE WHEN u <= {P_SAME} THEN g0 + hb % lc
                                                 ELSE hb % (n - lc) + lc END END AS b_pos FROM t3),
 pairs AS (SELECT t4.pair_id, t4.a_id, ib.row_id AS b_id,
                  CASE WHEN t4.a_label = ib.label THEN 1e0 ELSE -1e0 END AS y
-          FROM t4 LEFT JOIN idx ib ON ib.pos = t4.b_pos),
+          FROM t4 JOIN idx ib ON ib.pos = t4.b_pos),
 pv AS (SELECT p.pair_id, p.y, fa.x AS xa, fb.x AS xb
        FROM pairs p JOIN feat fa ON p.a_id = fa.row_id JOIN feat fb ON p.b_id = fb.row_id)"""
 
@@ -280,7 +280,8 @@ NN_DECIMALS = 6
 def _nn_d2_sql() -> str:
     terms = []
     for w, c in zip(NN_WEIGHTS, _FEATURE_OUT):
-        terms.append(f"{w!r}e0 * ((CAST(te.{c} AS DOUBLE) - tr.{c}) * (CAST(te.{c} AS DOUBLE) - tr.{c}))"
+        gap = f"(coalesce(CAST(te.{c} AS DOUBLE), 0e0) - coalesce(CAST(tr.{c} AS DOUBLE), 0e0))"
+        terms.append(f"{w!r}e0 * ({gap} * {gap})"
                      .replace("1e+10e0", "1e10").replace("1.0e0", "1e0"))
     return " + ".join(terms)
 
@@ -327,9 +328,9 @@ def q_kmeans_rating(spark, sf_dir):
     ft = feature_table_written(spark, sf_dir)
     tr, te = PR.kmeans_assign(ft.where(F.col("bucket") < 8), ft.where(F.col("bucket") >= 8), 16)
     tr, te = cut_lineage(tr), cut_lineage(te)
-    b = PR.cluster_rating(tr, te, rescale=True).agg(PR.rmse_of(None)).scalar()
+    b = PR.cluster_rating(tr, te, rescale=True).agg(PR.rmse_of()).scalar()
     a = PR.cluster_rating(tr, te, rescale=False)
-    return a.agg(F.lit(16).alias("k"), PR.rmse_of(None).alias("rmse_mean"), b.alias("rmse_rescaled"))
+    return a.agg(F.lit(16).alias("k"), PR.rmse_of().alias("rmse_mean"), b.alias("rmse_rescaled"))
 
 
 N_CLUSTERS = 16
@@ -369,7 +370,7 @@ def q_cluster_rating_rescaled(spark, sf_dir):
     ratings as test predictions, RMSE of both."""
     a = _hash_cluster(spark, sf_dir)
     tr, te = a.where(F.col("bucket") < 8), a.where(F.col("bucket") >= 8)
-    rescaled = PR.cluster_rating(tr, te, rescale=True).agg(PR.rmse_of(None)).scalar()
+    rescaled = PR.cluster_rating(tr, te, rescale=True).agg(PR.rmse_of()).scalar()
     return PR.cluster_rating(tr, te, rescale=False).agg(
-        r6(PR.rmse_of(None)).alias("rmse_mean"), r6(rescaled).alias("rmse_rescaled"),
+        r6(PR.rmse_of()).alias("rmse_mean"), r6(rescaled).alias("rmse_rescaled"),
         F.count(F.lit(1)).alias("n_test"))

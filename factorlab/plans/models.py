@@ -150,14 +150,14 @@ c AS (SELECT u.id AS user_id, v.id AS item_id, {_dot_sql("u", "v", 4)} AS predic
 t AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY prediction DESC, item_id) AS rank FROM c)
 SELECT t.rank, t.user_id, t.item_id, regexp_replace(it.title, '[^\\x00-\\x7F]', '', 'g') AS title,
        round(t.prediction, 6) AS prediction
-FROM t LEFT JOIN items it ON t.item_id = it.item_id WHERE t.rank <= 50""")
+FROM t JOIN items it ON t.item_id = it.item_id WHERE t.rank <= 50""")
 def q_top_items(spark, sf_dir):
     """M10 with md5 factors: J6 -> score -> O1/O2 top 50 -> J5 titles -> P17."""
     pers = T.personal(spark, sf_dir)
-    users = pers.select(F.col("user_id")).distinct()
-    u = FA.init_factors(users.withColumnRenamed("user_id", "id"), "id", 4, "user", SEED)
+    uid = T.personal_user(spark, sf_dir)
+    u = FA.init_factors(spark.createDataFrame([(uid,)], "id bigint"), "id", 4, "user", SEED)
     v = FA.init_factors(_item_spine(spark, sf_dir), "id", 4, "item", SEED)
-    rec = RC.recommend(lambda pairs: FA.score(u, v, pairs), pers, T.items(spark, sf_dir), users, 50)
+    rec = RC.recommend(lambda pairs: FA.score(u, v, pairs), pers, T.items(spark, sf_dir), uid, 50)
     return rec.select("rank", "user_id", "item_id", "title", r6("prediction").alias("prediction"))
 
 
@@ -284,9 +284,8 @@ def q_recommend_als(spark, sf_dir):
     pers = T.personal(spark, sf_dir)
     model = LA.train_explicit(train.select("user_id", "item_id", "rating").unionByName(pers),
                               RANK, ITERS, REG)
-    users = pers.select("user_id").distinct()
     rec = RC.recommend(lambda pairs: LA.predict_pairs(model, pairs), pers,
-                       T.items(spark, sf_dir), users, 50)
+                       T.items(spark, sf_dir), T.personal_user(spark, sf_dir), 50)
     return rec.select("rank", "user_id", "item_id", "title", "prediction")
 
 

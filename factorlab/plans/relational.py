@@ -280,9 +280,8 @@ SELECT p.p_partkey AS item_id FROM part p
 WHERE p.p_partkey NOT IN (SELECT item_id FROM personal)""")
 def q_candidates(spark, sf_dir):
     """Items the personal user has not rated."""
-    pers = T.personal(spark, sf_dir)
-    items = T.items(spark, sf_dir)
-    return items.select("item_id").join(pers.select("item_id"), "item_id", "left_anti")
+    uid = T.personal_user(spark, sf_dir)
+    return R.candidates(T.items(spark, sf_dir), T.personal(spark, sf_dir), uid).select("item_id")
 
 
 @register("q_pred_truth_join", T.with_views("inter") + ",\n" + ITEM_MEAN_SCORED_SQL + """,

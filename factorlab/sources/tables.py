@@ -13,7 +13,8 @@ Mapping (fixed by the build plan):
   occupation = nation, zip built from the digits of the name.
 * ``plays``   = (user, item, l_quantity) rows of inter.
 * ``aliases`` = parts whose key ends in 7 map to the key below.
-* ``personal``= ratings of a new user (max customer key + 1) on parts 0..19.
+* ``personal``= the items of the most active user (ties: smallest key) with its best rating of
+  each, under a new user key (max customer key + 1).
 * ``feat``    = embeddings as (row_id, label, x ARRAY<DOUBLE>).
 """
 
@@ -134,23 +135,26 @@ def aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
 ALIASES_SQL = """aliases AS (
   SELECT p_partkey AS bad_id, p_partkey - 1 AS good_id FROM part WHERE p_partkey % 10 = 7)"""
 
-PERSONAL_N_ITEMS = 20
+def personal_user(spark: SparkSession, sf_dir: str) -> int:
+    """Key of the new user."""
+    return int(table(spark, sf_dir, "customer").agg(F.max("c_custkey")).first()[0]) + 1
 
 
 def personal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ratings of one new user on the first 20 parts; rating = 1 + key mod 5."""
+    """Ratings of one new user: those of the most active user, one row per item."""
+    i = inter(spark, sf_dir).select("user_id", "item_id", "rating")
+    most = (i.groupBy("user_id").count().orderBy(F.desc("count"), "user_id").limit(1)
+            .select("user_id").scalar())
     uid = table(spark, sf_dir, "customer").agg(F.max("c_custkey") + 1).scalar()
-    p = (table(spark, sf_dir, "part").select("p_partkey")
-         .where(F.col("p_partkey") < PERSONAL_N_ITEMS))
-    return p.select(
-        uid.alias("user_id"), F.col("p_partkey").alias("item_id"),
-        (F.lit(1.0) + F.pmod("p_partkey", F.lit(5))).cast("double").alias("rating"))
+    mine = i.where(F.col("user_id") == most).groupBy("item_id").agg(F.max("rating").alias("rating"))
+    return mine.select(uid.alias("user_id"), "item_id", "rating")
 
 
-PERSONAL_SQL = f"""personal AS (
-  SELECT (SELECT max(c_custkey) + 1 FROM customer) AS user_id, p_partkey AS item_id,
-         CAST(1 + p_partkey % 5 AS DOUBLE) AS rating
-  FROM part WHERE p_partkey < {PERSONAL_N_ITEMS})"""
+PERSONAL_SQL = """personal AS (
+  SELECT (SELECT max(c_custkey) + 1 FROM customer) AS user_id, item_id, max(rating) AS rating
+  FROM inter WHERE user_id = (SELECT user_id FROM inter GROUP BY user_id
+                              ORDER BY count(*) DESC, user_id LIMIT 1)
+  GROUP BY item_id)"""
 
 
 def feat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,7 +169,7 @@ FEAT_SQL = """feat AS (
 
 VIEW_SQL = {"inter": INTER_SQL, "items": ITEMS_SQL, "users": USERS_SQL, "plays": PLAYS_SQL,
             "aliases": ALIASES_SQL, "personal": PERSONAL_SQL, "feat": FEAT_SQL}
-_DEPS = {"plays": ["inter"]}
+_DEPS = {"plays": ["inter"], "personal": ["inter"]}
 
 
 def with_views(*names: str) -> str:

@@ -28,22 +28,21 @@ ALIAS_FIELDS = [("bad_id", "bigint"), ("good_id", "bigint")]
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     try:
-        return spark.read.text(path)
+        return spark.read.text(path).withColumnRenamed("value", "line")
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
             raise FileNotFoundError(path) from e
         raise
 
 
-def parse_delimited(spark: SparkSession, path: str, sep: str, fields, required: int | None = None,
-                    strip_line: bool = True, trim_fields=()) -> DataFrame:
-    """All lines with parsed columns, the raw ``line`` and ``_ok``.
+def parse_lines(lines: DataFrame, sep: str, fields, required: int | None = None,
+                strip_line: bool = True, trim_fields=()) -> DataFrame:
+    """All non-blank lines (column ``line``) with parsed columns and ``_ok``.
 
     ``required``: number of leading fields that must be present and parse
     (default: all). Optional trailing fields may be absent (NULL).
     """
     required = len(fields) if required is None else required
-    raw = _lines(spark, path).withColumnRenamed("value", "line")
     body = F.trim(F.col("line")) if strip_line else F.col("line")
     parts = F.split(body, re.escape(sep))
     cols, checks = [], [F.size(parts) >= required]
@@ -58,8 +57,13 @@ def parse_delimited(spark: SparkSession, path: str, sep: str, fields, required:
     ok = checks[0]
     for c in checks[1:]:
         ok = ok & c
-    out = raw.where(F.length(F.trim(F.col("line"))) > 0).select(*cols, "line", ok.alias("_ok"))
-    return out
+    return lines.where(F.length(F.trim(F.col("line"))) > 0).select(*cols, "line", ok.alias("_ok"))
+
+
+def parse_delimited(spark: SparkSession, path: str, sep: str, fields, required: int | None = None,
+                    strip_line: bool = True, trim_fields=()) -> DataFrame:
+    """:func:`parse_lines` over the lines of a text file."""
+    return parse_lines(_lines(spark, path), sep, fields, required, strip_line, trim_fields)
 
 
 def split_malformed(parsed: DataFrame):
@@ -69,65 +73,92 @@ def split_malformed(parsed: DataFrame):
     return good, bad
 
 
-def _good(parsed: DataFrame) -> DataFrame:
-    return split_malformed(parsed)[0]
+# How each kind of line is parsed: (separator, fields, further arguments).
+LINE_KINDS = {
+    "ratings": ("::", RATING_FIELDS, {}),
+    "items": ("::", ITEM_FIELDS, {"required": 2}),
+    "users": ("::", USER_FIELDS, {}),
+    "plays": (" ", PLAY_FIELDS, {}),
+    "names": ("\t", NAME_FIELDS, {"strip_line": False, "trim_fields": ("name",)}),
+    "aliases": ("\t", ALIAS_FIELDS, {"strip_line": False}),
+}
 
 
-def read_ratings(spark: SparkSession, path: str, sep: str = "::", bucket: bool = True) -> DataFrame:
-    """S1 (+P1): user::item::rating::ts; adds ``bucket`` = ts mod 10."""
-    df = _good(parse_delimited(spark, path, sep, RATING_FIELDS))
-    return with_bucket(df, "ts") if bucket else df
+def parse_kind(lines: DataFrame, kind: str, sep: str | None = None) -> DataFrame:
+    """Lines of one of :data:`LINE_KINDS`, parsed; malformed ones have ``_ok`` false."""
+    own, fields, more = LINE_KINDS[kind]
+    return parse_lines(lines, sep or own, fields, **more)
 
 
-def read_items(spark: SparkSession, path: str, sep: str = "::") -> DataFrame:
-    """Item::title[::genres] (genres optional)."""
-    return _good(parse_delimited(spark, path, sep, ITEM_FIELDS, required=2))
+def _read(spark: SparkSession, path: str, kind: str, with_bad: bool, sep: str | None = None, then=None):
+    good, bad = split_malformed(parse_kind(_lines(spark, path), kind, sep))
+    good = then(good) if then else good
+    return (good, bad) if with_bad else good
 
 
-def read_users(spark: SparkSession, path: str, sep: str = "::") -> DataFrame:
-    """S3: user::gender::age::occupation::zip."""
-    return _good(parse_delimited(spark, path, sep, USER_FIELDS))
+def read_ratings(spark: SparkSession, path: str, sep: str = "::", bucket: bool = True, with_bad: bool = False):
+    """S1 (+P1): user::item::rating::ts; adds ``bucket`` = ts mod 10. Like every reader:
+    ``with_bad`` returns (rows, quarantined lines)."""
+    return _read(spark, path, "ratings", with_bad, sep, (lambda d: with_bucket(d, "ts")) if bucket else None)
+
+
+def read_items(spark: SparkSession, path: str, sep: str = "::", with_bad: bool = False):
+    """Item::title[::genres] (genres optional)."""
+    return _read(spark, path, "items", with_bad, sep)
 
 
-def _csv(spark: SparkSession, path: str, fields) -> DataFrame:
-    schema = ", ".join(f"{n} {t}" for n, t in fields)
-    return (spark.read.schema(schema).option("header", True).option("quote", '"')
-            .option("escape", '"').option("mode", "PERMISSIVE").csv(path))
+def read_users(spark: SparkSession, path: str, sep: str = "::", with_bad: bool = False):
+    """S3: user::gender::age::occupation::zip."""
+    return _read(spark, path, "users", with_bad, sep)
+
+
+def _csv(spark: SparkSession, path: str, fields, with_bad: bool, required: int, then=None):
+    """Comma CSV with a header; a record that does not parse, or lacks one of its first
+    ``required`` fields, goes to the quarantine as its raw text."""
+    schema = ", ".join(f"{n} {t}" for n, t in fields) + ", _raw string"
+    rows = (spark.read.schema(schema).option("header", True).option("quote", '"')
+            .option("escape", '"').option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", "_raw").csv(path))
+    names = [n for n, _ in fields]
+    complete = F.lit(True)
+    for n in names[:required]:
+        complete = complete & F.col(n).isNotNull()
+    ok = F.col("_raw").isNull() & complete
+    good = rows.where(ok).select(*names)
+    good = then(good) if then else good
+    raw = F.coalesce("_raw", F.concat_ws(",", *[F.coalesce(F.col(n).cast("string"), F.lit("")) for n in names]))
+    bad = rows.where(~ok).select(raw.alias("line"))
+    return (good, bad) if with_bad else good
 
 
-def read_csv_ratings(spark: SparkSession, path: str, bucket: bool = True) -> DataFrame:
+def read_csv_ratings(spark: SparkSession, path: str, bucket: bool = True, with_bad: bool = False):
     """Comma CSV with a header line."""
-    df = _csv(spark, path, RATING_FIELDS).where(F.col("user_id").isNotNull())
-    return with_bucket(df, "ts") if bucket else df
+    return _csv(spark, path, RATING_FIELDS, with_bad, 4, (lambda d: with_bucket(d, "ts")) if bucket else None)
 
 
-def read_csv_items(spark: SparkSession, path: str) -> DataFrame:
+def read_csv_items(spark: SparkSession, path: str, with_bad: bool = False):
     """Comma CSV items; quoted titles may hold commas."""
-    return _csv(spark, path, ITEM_FIELDS).where(F.col("item_id").isNotNull())
+    return _csv(spark, path, ITEM_FIELDS, with_bad, 2)
 
 
-def read_csv_tags(spark: SparkSession, path: str) -> DataFrame:
+def read_csv_tags(spark: SparkSession, path: str, with_bad: bool = False):
     """Comma CSV tags."""
-    return _csv(spark, path, TAG_FIELDS).where(F.col("user_id").isNotNull())
+    return _csv(spark, path, TAG_FIELDS, with_bad, 4)
 
 
-def read_plays(spark: SparkSession, path: str) -> DataFrame:
+def read_plays(spark: SparkSession, path: str, with_bad: bool = False):
     """S7: 'user item count' separated by one space."""
-    return _good(parse_delimited(spark, path, " ", PLAY_FIELDS))
+    return _read(spark, path, "plays", with_bad)
 
 
 def read_names(spark: SparkSession, path: str, with_bad: bool = False):
-    """id<TAB>name, name trimmed; malformed lines quarantined."""
-    parsed = parse_delimited(spark, path, "\t", NAME_FIELDS, strip_line=False, trim_fields=("name",))
-    good, bad = split_malformed(parsed)
-    return (good, bad) if with_bad else good
+    """id<TAB>name, name trimmed."""
+    return _read(spark, path, "names", with_bad)
 
 
 def read_aliases(spark: SparkSession, path: str, with_bad: bool = False):
-    """bad_id<TAB>good_id; malformed lines quarantined (not mapped)."""
-    parsed = parse_delimited(spark, path, "\t", ALIAS_FIELDS, strip_line=False)
-    good, bad = split_malformed(parsed)
-    return (good, bad) if with_bad else good
+    """bad_id<TAB>good_id; malformed lines are not mapped."""
+    return _read(spark, path, "aliases", with_bad)
 
 
 def read_personal(spark: SparkSession, path: str, sep: str = "::") -> DataFrame:

@@ -34,7 +34,9 @@ def test_rmse_denominators(spark):
 
 def test_index_rows_exact(spark):
     df = spark.range(0, 1000).withColumn("k", F.pmod(F.col("id") * 7919, F.lit(1000))).repartition(7)
-    out = S.index_rows(df, [F.col("k")], "pos").collect()
+    out, n = S.index_rows_total(df, [F.col("k")], "pos")
+    assert n == 1000
+    out = out.collect()
     got = sorted((r.pos, r.k) for r in out)
     assert [p for p, _ in got] == list(range(1000))
     assert [k for _, k in got] == sorted(k for _, k in got)
@@ -47,12 +49,62 @@ def test_sample_split_exact_sizes(spark):
     assert len(ka) == 91 and len(kb) == 10 and not (ka & kb) and len(ka | kb) == 101
 
 
-def test_psd_projection():
-    m = ML.psd_proj(np.diag([1.0, -1.0]))
-    assert np.allclose(m, np.diag([1.0, 0.0]))
+def test_sample_split_exact_on_tied_keys(spark):
+    rows = [(f"k{i % 4}", i % 10) for i in range(20)] + [("same", 1)] * 20
+    df = spark.createDataFrame(rows, "row_key string, v bigint").repartition(3)
+    for frac, k in ((0.9, 36), (0.5, 20), (0.05, 2), (1.0, 40), (0.0, 0)):
+        a, b = S.sample_split_exact(df, "row_key", frac, 1992)
+        a, b = [tuple(r) for r in a.collect()], [tuple(r) for r in b.collect()]
+        assert (len(a), len(b)) == (k, 40 - k) and sorted(a + b) == sorted(rows)
+        key = lambda r: __import__("hashlib").md5(f"1992:{r[0]}".encode()).hexdigest()
+        assert not a or not b or max(map(key, a)) <= min(map(key, b))
+
+
+def test_nearest_psd():
+    assert np.allclose(ML.nearest_psd(np.diag([1.0, -1.0])), np.diag([1.0, 0.0]))
     r = np.random.RandomState(0).randn(6, 6)
-    p = ML.psd_proj((r + r.T) / 2)
-    assert np.linalg.eigvalsh(p).min() >= -1e-9
+    sym = (r + r.T) / 2
+    p = ML.nearest_psd(r)
+    assert np.linalg.eigvalsh(p).min() >= -1e-9 and np.allclose(ML.nearest_psd(p), p)
+    rng = np.random.RandomState(1)
+    for _ in range(50):  # no other PSD matrix lies closer
+        q = rng.randn(6, 6) * 0.3
+        other = p + q @ q.T
+        assert np.linalg.norm(sym - p) <= np.linalg.norm(sym - other) + 1e-9
+
+
+def test_pair_positions_reach_beyond_32_bits(spark):
+    n = 2 ** 45
+    pos = [r.a_pos for r in ML.draw_positions(spark.range(2000).withColumnRenamed("id", "pair_id"), n).collect()]
+    assert max(pos) > 0.99 * n and min(pos) < 0.01 * n and abs(np.mean(pos) / n - 0.5) < 0.03
+
+
+def test_hot_null_and_text_keys(spark):
+    from factorlab.operators import joins
+    big = spark.createDataFrame([(None, 1)] * 50 + [(7, 2)] * 60 + [(8, 3), (9, 4)], "k bigint, v bigint")
+    small = spark.createDataFrame([(7, "a"), (8, "b")], "k bigint, w string")
+    hot = joins.hot_keys(big, "k", 4)
+    assert hot == [7]
+    inner = joins.split_join(big, small, "k", hot)
+    assert inner.count() == 61 and inner.columns == ["k", "v", "w"]
+    left = joins.split_join(big, small, "k", hot, "left")
+    assert left.count() == big.count() and left.where("k is null").count() == 50
+
+
+def test_1nn_with_null_features(spark):
+    tr = spark.createDataFrame([(1, "a", 1.0, [1.0, None]), (1, "b", 2.0, [9.0, None]), (1, "c", 3.0, [3.0, None])],
+                               "key bigint, t_ord string, rating double, x array<double>")
+    te = spark.createDataFrame([(1, "q", [9.0, None])], "key bigint, q_id string, x array<double>")
+    r = ML.nearest_train(tr, te, "key", [1.0, 1.0]).first()
+    assert (r.t_ord, r.d2) == ("b", 0.0)
+
+
+def test_forest_on_half_star_ratings(spark):
+    from factorlab.operators import predictors as PR
+    rows = [([float(i % 5), 1.0], 0.5 + (i % 5)) for i in range(200)]
+    df = spark.createDataFrame(rows, "x array<double>, rating double")
+    (trees, rmse), = PR.forest_curve(df, df, [5])
+    assert trees == 5 and rmse < 0.2
 
 
 def feat_df(spark, n=60, d=5, labels=3, seed=1):
@@ -128,16 +180,13 @@ def test_densify_bounded_slice(spark):
     assert got == {(1, 1): 3.0, (1, 2): 0.0, (1, 3): 0.0, (2, 1): 0.0, (2, 2): 0.0, (2, 3): 5.0}
 
 
-def test_candidates_bounded_users(spark):
-    import pytest
+def test_candidates_of_one_user(spark):
     from factorlab.operators.relational import candidates
     items = spark.range(5).select(F.col("id").alias("item_id"))
-    seen = spark.createDataFrame([(7, 1), (7, 3)], "user_id bigint, item_id bigint")
-    users = spark.createDataFrame([(7,), (8,)], "user_id bigint")
-    got = sorted((r.user_id, r.item_id) for r in candidates(items, seen, users).collect())
-    assert got == [(7, 0), (7, 2), (7, 4)] + [(8, i) for i in range(5)]
-    with pytest.raises(ValueError):
-        candidates(items, seen, users, max_users=1)
+    seen = spark.createDataFrame([(7, 1), (7, 3), (8, 0)], "user_id bigint, item_id bigint")
+    for user, want in ((7, [0, 2, 4]), (8, [1, 2, 3, 4]), (9, [0, 1, 2, 3, 4])):
+        got = sorted((r.user_id, r.item_id) for r in candidates(items, seen, user).collect())
+        assert got == [(user, i) for i in want]
 
 
 def test_entry_smoke(spark):
@@ -177,7 +226,7 @@ def test_als_split_join_path_equals_broadcast_path(spark):
     assert fa.keys() == fb.keys() and all(np.allclose(fa[k], fb[k], atol=1e-10) for k in fa)
 
 
-def test_kth_smallest_string_matches_sort(spark):
+def test_rank_prefix_matches_sort(spark):
     import hashlib
     keys = [hashlib.md5(str(i).encode()).hexdigest() for i in range(500)]
     # force shared 60-bit prefixes: three rows that differ only after digit 15
@@ -185,9 +234,9 @@ def test_kth_smallest_string_matches_sort(spark):
     df = spark.createDataFrame([(h,) for h in keys], "h string")
     ordered = sorted(keys)
     for k in (1, 2, 250, 499, 503):
-        assert S.kth_smallest_string(df, "h", k) == ordered[k - 1]
-    assert S.kth_smallest_string(df, "h", 0) is None
-    assert S.kth_smallest_string(df, "h", 504) is None
+        prefix, below, inside = S.rank_prefix(df, "h", k)
+        assert ordered[k - 1].startswith(prefix) and below < k <= below + inside
+        assert below == sum(h < prefix for h in keys) and inside == sum(h.startswith(prefix) for h in keys)
 
 
 def test_learn_metric_matches_numpy(spark):
@@ -208,7 +257,7 @@ def test_learn_metric_matches_numpy(spark):
         assert math.isclose(trace[t][1], obj, rel_tol=1e-9)
         w = y * ((1 + y * (d2 - 0.5)) > 0)
         g = np.einsum("n,ni,nj->ij", w, delta, delta) / len(y) + 1e-3 * ref
-        ref = ML.psd_proj(ref - gamma(t) * g)
+        ref = ML.nearest_psd(ref - gamma(t) * g)
     assert np.allclose(m, ref, atol=1e-10)
 
 

@@ -165,8 +165,6 @@ def test_library_als_reindexes_large_ids(spark):
     cells = [(big + u, big * 3 + i, float(rng.randint(1, 6))) for u in range(20) for i in range(10)
              if rng.rand() < 0.6]
     r = ratings_df(spark, cells)
-    with pytest.raises(ValueError):
-        LA.int_ids(r)
     model = LA.train_explicit(r, 2, 3, 0.1)
     assert isinstance(model, LA.IndexedALS)
     pairs = r.select("user_id", "item_id").unionByName(

@@ -94,3 +94,21 @@ def test_write_table_roundtrip(spark, tmp_path):
     X.write_table(df, out, partition_by=["split"])
     back = spark.read.parquet(out)
     assert back.count() == 5 and set(back.columns) == {"id", "split"}
+
+
+def test_every_reader_offers_its_quarantine(spark, tmp_path):
+    cases = [
+        (X.read_ratings, "7::12::4::9\n7::12::x::9\n1::2\n", 1, {"7::12::x::9", "1::2"}),
+        (X.read_items, "12::A::B\nx::A\n", 1, {"x::A"}),
+        (X.read_users, "7::F::25::4::55117\n7::F::old::4::55117\n", 1, {"7::F::old::4::55117"}),
+        (X.read_plays, "1 2 3\n1 2\n", 1, {"1 2"}),
+        (X.read_csv_ratings, "u,m,r,t\n1,2,3.5,4\n1,2,bad,4\n1,2\n,2,3.0,4\n", 1,
+         {"1,2,bad,4", "1,2", ",2,3.0,4"}),
+        (X.read_csv_items, "m,t,g\n1,\"A, B\",C\nx,T,G\n", 1, {"x,T,G"}),
+        (X.read_csv_tags, "u,m,t,s\n1,2,x,3\n1,2,x,soon\n", 1, {"1,2,x,soon"}),
+    ]
+    for k, (reader, content, n_good, lines) in enumerate(cases):
+        good, bad = reader(spark, write(tmp_path, f"f{k}.txt", content), with_bad=True)
+        assert good.count() == n_good, reader.__name__
+        assert {r.line for r in bad.collect()} == lines, reader.__name__
+        assert "line" not in good.columns
