@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage_observed
+
 # Fixed values (must equal the reference): flag column name and the substring
 # searched in the genre string, in the reference's order.
 GENRE_FLAGS = [
@@ -48,16 +50,16 @@ def genre_flags(df: DataFrame, genres_col: str = "genres") -> DataFrame:
 
 
 def l2_normalize(df: DataFrame, cols: list[str], suffix: str = "") -> DataFrame:
-    """Divide each column by its global L2 norm. All norms come from
-    one aggregate job (one row of len(cols) numbers reaches the driver) and
-    enter the plan as literals. A zero norm gives NULL."""
+    """Divide each column by its global L2 norm. ``df`` is written once and all
+    norms are observed during that write (one row of len(cols) numbers reaches the
+    driver and enters the plan as literals): one pass, one read-back. A zero norm
+    gives NULL."""
     if not cols:
         return df
-    row = df.agg(*[F.sqrt(F.sum(F.col(c).cast("double") * F.col(c).cast("double"))).alias(f"n{k}")
-                   for k, c in enumerate(cols)]).first()
-    out = df
+    out, row = cut_lineage_observed(
+        df, [F.sum(F.col(c).cast("double") * F.col(c).cast("double")).alias(f"n{k}") for k, c in enumerate(cols)])
     for k, c in enumerate(cols):
-        n = row[f"n{k}"]
+        n = (row[f"n{k}"] or 0.0) ** 0.5
         val = F.col(c).cast("double") / F.lit(n) if n else F.lit(None).cast("double")
         out = out.withColumn(c + suffix, val)
     return out

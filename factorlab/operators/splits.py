@@ -152,10 +152,13 @@ def complement(df: DataFrame, part: DataFrame, key_col: str = "row_key") -> Data
     return df.join(part.select(key_col), key_col, "left_anti")
 
 
+def in_first(key_col: str, frac: float = 0.9, seed: int = 1992) -> F.Column:
+    """P5 scale path: does a row's independent hash fall under the share ``frac``."""
+    return hash01(F.concat_ws(":", F.lit(str(seed)), F.col(key_col))) < frac
+
+
 def sample_split_hash(df: DataFrame, key_col: str = "row_key", frac: float = 0.9,
                       seed: int = 1992):
     """P5 scale path: independent per-row hash threshold (approximate sizes)."""
-    u = hash01(F.concat_ws(":", F.lit(str(seed)), F.col(key_col)))
-    return df.where(u < frac), df.where(u >= frac)
-
-
+    first = in_first(key_col, frac, seed)
+    return df.where(first), df.where(~first)

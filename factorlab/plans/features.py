@@ -82,7 +82,7 @@ FROM j CROSS JOIN n""")
 def q_l2_normalize(spark, sf_dir):
     """User id, item id and zip divided by their global L2 norms."""
     j = T.inter(spark, sf_dir).join(T.users(spark, sf_dir), "user_id")
-    j = j.withColumn("zip5", F.substring("zip", 1, 5).try_cast("bigint"))
+    j = j.select("row_key", "user_id", "item_id", F.substring("zip", 1, 5).try_cast("bigint").alias("zip5"))
     n = FE.l2_normalize(j, ["user_id", "item_id", "zip5"], suffix="_n")
     return n.select("row_key", r9("user_id_n").alias("user_n"), r9("item_id_n").alias("item_n"),
                     r9("zip5_n").alias("zip_n"))

@@ -98,9 +98,10 @@ _Y2 = _factor_sql("item", "part", "p_partkey", 2, "y")
 @register("q_masked_halfstep", T.with_views("inter") + f""",
 {_train_cells_sql()},
 y AS ({_Y2}),
-s AS (SELECT r.user_id, sum(y0 * y0) + 0.1e0 AS a, sum(y0 * y1) AS b, sum(y1 * y1) + 0.1e0 AS d,
-             sum(rating * y0) AS p, sum(rating * y1) AS q
-      FROM r JOIN y ON r.item_id = y.id WHERE r.rating > 0.5 GROUP BY r.user_id)
+s AS (SELECT r.user_id, sum(o * y0 * y0) + 0.1e0 AS a, sum(o * y0 * y1) AS b, sum(o * y1 * y1) + 0.1e0 AS d,
+             sum(o * rating * y0) AS p, sum(o * rating * y1) AS q
+      FROM (SELECT *, CASE WHEN rating > 0.5 THEN 1e0 ELSE 0e0 END AS o FROM r) r
+      JOIN y ON r.item_id = y.id GROUP BY r.user_id)
 SELECT c.c_custkey AS user_id,
        round(coalesce((d * p - b * q) / (a * d - b * b), 0e0), 6) + 0e0 AS x0,
        round(coalesce((a * q - b * p) / (a * d - b * b), 0e0), 6) + 0e0 AS x1,
@@ -146,7 +147,8 @@ def q_zero_filled_halfstep(spark, sf_dir):
 u AS ({_factor_sql("user", "(SELECT DISTINCT user_id FROM personal)", "user_id", 4, "f")}),
 v AS ({_factor_sql("item", "part", "p_partkey", 4, "f")}),
 c AS (SELECT u.id AS user_id, v.id AS item_id, {_dot_sql("u", "v", 4)} AS prediction
-      FROM u CROSS JOIN v WHERE v.id NOT IN (SELECT item_id FROM personal)),
+      FROM u CROSS JOIN v WHERE v.id IN (SELECT item_id FROM items)
+        AND v.id NOT IN (SELECT item_id FROM personal)),
 t AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY prediction DESC, item_id) AS rank FROM c)
 SELECT t.rank, t.user_id, t.item_id, regexp_replace(it.title, '[^\\x00-\\x7F]', '', 'g') AS title,
        round(t.prediction, 6) AS prediction
@@ -302,9 +304,10 @@ def _loop_ctes(method: str, iters: int = LOOP_ITERS) -> list:
     def step(out, fixed, key, other):
         # fixed: (id, f0, f1) of the other side; solve the key side
         if method == "masked":
-            s = (f"SELECT r.{key} AS id, sum(f0 * f0) + 0.1e0 AS a, sum(f0 * f1) AS b, "
-                 f"sum(f1 * f1) + 0.1e0 AS d, sum(r.rating * f0) AS p, sum(r.rating * f1) AS q "
-                 f"FROM r JOIN {fixed} v ON r.{other} = v.id WHERE r.rating > 0.5 GROUP BY r.{key}")
+            s = (f"SELECT r.{key} AS id, sum(o * f0 * f0) + 0.1e0 AS a, sum(o * f0 * f1) AS b, "
+                 f"sum(o * f1 * f1) + 0.1e0 AS d, sum(o * r.rating * f0) AS p, sum(o * r.rating * f1) AS q "
+                 f"FROM (SELECT *, CASE WHEN rating > 0.5 THEN 1e0 ELSE 0e0 END AS o FROM r) r "
+                 f"JOIN {fixed} v ON r.{other} = v.id GROUP BY r.{key}")
             return (f"{out} AS (SELECT id, (d * p - b * q) / (a * d - b * b) AS f0, "
                     f"(a * q - b * p) / (a * d - b * b) AS f1 FROM ({s}))")
         g = f"(SELECT sum(f0 * f0) + 0.1e0 AS a, sum(f0 * f1) AS b, sum(f1 * f1) + 0.1e0 AS d FROM {fixed})"

@@ -6,11 +6,14 @@ registered query can be checked against an SQL oracle on the same files.
 Mapping (fixed by the build plan):
 
 * ``inter``   = lineitem JOIN orders: user = o_custkey, item = l_partkey,
-  rating = 1 + floor((l_quantity - 1) / 10) in 1..5, day = day number of
-  l_shipdate, bucket = day mod 10, plus the columns that make a row unique.
-* ``items``   = part: title p_name, genres = p_type | first | second word.
-* ``users``   = customer: gender 'M' for the BUILDING segment, age,
-  occupation = nation, zip built from the digits of the name.
+  rating = 1 + floor((l_quantity - 1) / 10) in 1..5, but 0 and 0.5 for the two
+  smallest quantities; day = day number of l_shipdate; bucket = day mod 10, but 8 or 9
+  for every row of a new user (key mod 50 = 7) or new item (key mod 50 = 11), so
+  training never sees them; plus the columns that make a row unique.
+* ``items``   = part without keys mod 97 = 5 (missing dimension rows): title p_name, with an
+  accent for keys mod 11 = 0; two of the 18 genre names by key hash.
+* ``users``   = customer without keys mod 89 = 3: gender 'M' for the BUILDING segment, age,
+  occupation = nation, zip built from the digits of the name (no digits for keys mod 83 = 2).
 * ``plays``   = (user, item, l_quantity) rows of inter.
 * ``aliases`` = parts whose key ends in 7 map to the key below.
 * ``personal``= the items of the most active user (ties: smallest key) with its best rating of
@@ -24,6 +27,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampType
 
+from ..functions.hashing import md5_u32, sql_md5_u32
+from ..operators.features import GENRE_FLAGS
+
 ROW_KEY_COLS = ["l_orderkey", "l_linenumber", "item_id", "l_suppkey", "l_quantity",
                 "l_extendedprice", "day"]
 
@@ -58,9 +64,11 @@ def inter(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = j.select(
         F.col("o_custkey").alias("user_id"),
         F.col("l_partkey").alias("item_id"),
-        (F.lit(1.0) + F.floor((F.col("l_quantity") - 1) / 10)).cast("double").alias("rating"),
+        F.when(F.col("l_quantity") == 1, 0.0).when(F.col("l_quantity") == 2, 0.5).otherwise(
+            F.lit(1.0) + F.floor((F.col("l_quantity") - 1) / 10)).cast("double").alias("rating"),
         day.alias("day"),
-        F.pmod(day, F.lit(10)).cast("int").alias("bucket"),
+        F.when((F.pmod("o_custkey", F.lit(50)) == 7) | (F.pmod("l_partkey", F.lit(50)) == 11),
+               F.pmod(day, F.lit(2)) + 8).otherwise(F.pmod(day, F.lit(10))).cast("int").alias("bucket"),
         "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice",
     )
     return df.withColumn("row_key", _row_key({c: F.col(c) for c in ROW_KEY_COLS}))
@@ -68,9 +76,12 @@ def inter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 INTER_SQL = """inter AS (
   SELECT o.o_custkey AS user_id, l.l_partkey AS item_id,
-         CAST(1 + floor((l.l_quantity - 1) / 10) AS DOUBLE) AS rating,
+         CAST(CASE WHEN l.l_quantity = 1 THEN 0 WHEN l.l_quantity = 2 THEN 0.5
+                   ELSE 1 + floor((l.l_quantity - 1) / 10) END AS DOUBLE) AS rating,
          CAST(l.l_shipdate::DATE - DATE '1970-01-01' AS BIGINT) AS day,
-         CAST((l.l_shipdate::DATE - DATE '1970-01-01') % 10 AS INTEGER) AS bucket,
+         CAST(CASE WHEN o.o_custkey % 50 = 7 OR l.l_partkey % 50 = 11
+                   THEN (l.l_shipdate::DATE - DATE '1970-01-01') % 2 + 8
+                   ELSE (l.l_shipdate::DATE - DATE '1970-01-01') % 10 END AS INTEGER) AS bucket,
          l.l_orderkey, l.l_linenumber, l.l_suppkey, l.l_quantity, l.l_extendedprice,
          concat_ws(':', l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey,
                    CAST(l.l_quantity AS BIGINT), CAST(round(l.l_extendedprice * 100) AS BIGINT),
@@ -78,24 +89,32 @@ INTER_SQL = """inter AS (
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey)"""
 
 
+GENRES = [name for _, name in GENRE_FLAGS]
+
+
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part")
-    words = F.split(F.col("p_name"), " ")
-    genres = F.concat_ws("|", F.col("p_type"), F.get(words, 0), F.get(words, 1))
-    return p.select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("title"),
-                    genres.alias("genres"))
+    p = table(spark, sf_dir, "part").where(F.pmod("p_partkey", F.lit(97)) != 5)
+    key = F.col("p_partkey").cast("string")
+    names = F.array(*[F.lit(g) for g in GENRES])
+    pick = lambda k: F.get(names, F.pmod(md5_u32(k), F.lit(len(GENRES))).cast("int"))
+    title = F.when(F.pmod("p_partkey", F.lit(11)) == 0, F.concat("p_name", F.lit(" é"))).otherwise(F.col("p_name"))
+    return p.select(F.col("p_partkey").alias("item_id"), title.alias("title"),
+                    F.concat_ws("|", pick(F.concat(F.lit("g:"), key)), pick(F.concat(F.lit("h:"), key))).alias("genres"))
 
 
-ITEMS_SQL = """items AS (
-  SELECT p_partkey AS item_id, p_name AS title,
-         concat_ws('|', p_type, NULLIF(split_part(p_name, ' ', 1), ''),
-                   NULLIF(split_part(p_name, ' ', 2), '')) AS genres
-  FROM part)"""
+_GENRES_SQL = "[" + ", ".join("'" + g.replace("'", "''") + "'" for g in GENRES) + "]"
+_PICK_SQL = [f"{_GENRES_SQL}[{sql_md5_u32(f"'{t}:' || CAST(p_partkey AS VARCHAR)")} % {len(GENRES)} + 1]"
+             for t in ("g", "h")]
+ITEMS_SQL = f"""items AS (
+  SELECT p_partkey AS item_id, CASE WHEN p_partkey % 11 = 0 THEN p_name || ' é' ELSE p_name END AS title,
+         concat_ws('|', {", ".join(_PICK_SQL)}) AS genres
+  FROM part WHERE p_partkey % 97 <> 5)"""
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer")
-    digits = F.regexp_replace(F.col("c_name"), "[^0-9]", "")
+    c = table(spark, sf_dir, "customer").where(F.pmod("c_custkey", F.lit(89)) != 3)
+    digits = F.when(F.pmod("c_custkey", F.lit(83)) == 2, F.lit("nozip")).otherwise(
+        F.regexp_replace(F.col("c_name"), "[^0-9]", ""))
     zip_code = F.concat(F.substring(digits, -5, 5), F.lit("-"),
                         F.lpad(F.col("c_nationkey").cast("string"), 4, "0"))
     return c.select(
@@ -112,9 +131,9 @@ USERS_SQL = """users AS (
          CASE WHEN c_mktsegment = 'BUILDING' THEN 'M' ELSE 'F' END AS gender,
          CAST(floor(c_acctbal / 100) AS INTEGER) AS age,
          CAST(c_nationkey AS INTEGER) AS occupation,
-         right(regexp_replace(c_name, '[^0-9]', '', 'g'), 5) || '-' ||
-           lpad(CAST(c_nationkey AS VARCHAR), 4, '0') AS zip
-  FROM customer)"""
+         right(CASE WHEN c_custkey % 83 = 2 THEN 'nozip' ELSE regexp_replace(c_name, '[^0-9]', '', 'g') END, 5)
+           || '-' || lpad(CAST(c_nationkey AS VARCHAR), 4, '0') AS zip
+  FROM customer WHERE c_custkey % 89 <> 3)"""
 
 
 def plays(spark: SparkSession, sf_dir: str) -> DataFrame:
