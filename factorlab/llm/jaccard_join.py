@@ -48,6 +48,7 @@ WORDS = 5
 NUM, DEN = 75, 100  # similarity of at least NUM / DEN
 COUNT_BYTES = 16 << 20  # text per counting unit
 COMMON_LEAST = 3  # documents of a unit that make an element worth counting
+LIST_ROWS = 2048  # members of a list that are compared in one group
 COMMON_MAX = 1 << 16  # elements kept by the order, the most frequent
 MAX_LIGHT = 64
 BROADCAST_IDS = 1_000_000  # ids (8 bytes each); beyond it a shuffle join
@@ -88,8 +89,8 @@ def prefix_length(n: int, c: int = 1) -> int:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Parity bits of a set: element e flips bit e mod B, B the power of two from n up."""
-    bits = max(64, 1 << max(0, len(s) - 1).bit_length())
+    """Parity bits of a set: element e flips bit e mod B, B the power of two from 4 n up."""
+    bits = max(64, 4 << max(0, len(s) - 1).bit_length())
     odd = np.bincount((s >> np.uint64(9)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
@@ -107,6 +108,42 @@ def may_link(a: bytes, n: int, b: bytes, m: int) -> bool:
     return differ * (NUM + DEN) <= (DEN - NUM) * (n + m)
 
 
+def _fold(x: np.ndarray, words: int) -> np.ndarray:
+    """Parities (rows of 64-bit words) of fewer bits: halves added until ``words`` are left."""
+    while x.shape[1] > words:
+        half = x.shape[1] // 2
+        x = x[:, :half] ^ x[:, half:]
+    return x
+
+
+def close_pairs(sketches: list[bytes], n: np.ndarray, comp: np.ndarray, side: np.ndarray | None = None):
+    """(i, j) of all members of different components (and sides, if given) that may be linked."""
+    words = np.array([len(x) // 8 for x in sketches])
+    stacks = {w: np.frombuffer(b"".join(x for x, k in zip(sketches, words) if k == w), np.uint64)
+              .reshape(-1, w) for w in np.unique(words)}
+    place = {w: np.flatnonzero(words == w) for w in stacks}
+    out = []
+    for wa, a in stacks.items():
+        for wb, b in stacks.items():
+            if wb < wa:
+                continue
+            b = _fold(b, wa)
+            pa_, pb = place[wa], place[wb]
+            for k, i in enumerate(pa_):
+                lo = k + 1 if wa == wb else 0
+                j = pb[lo:]
+                total = n[i] + n[j]
+                ok = (comp[j] != comp[i]) & (DEN * np.minimum(n[i], n[j]) >= NUM * np.maximum(n[i], n[j]))
+                if side is not None:
+                    ok &= side[j] != side[i]
+                at = np.flatnonzero(ok)
+                if len(at):
+                    differ = np.bitwise_count(b[lo:][at] ^ a[k]).sum(1, dtype=np.int64)
+                    at = at[differ * (NUM + DEN) <= (DEN - NUM) * total[at]]
+                    out += [(int(i), int(x)) for x in j[at]]
+    return out
+
+
 def scan_sets(docs: DataFrame) -> DataFrame:
     """One pass over the texts: rows (doc_id, n, h1, h2, sketch) and, apart, elements that several
     documents of a counting unit share (token, cnt)."""
@@ -338,13 +375,64 @@ def _may_link(pairs: DataFrame, rows: DataFrame, reps: DataFrame) -> DataFrame:
     return out
 
 
-def verify(pairs: DataFrame, rows: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+def _list_pairs(entries: DataFrame) -> DataFrame:
+    """Pairs of members of one list in different components that the sketches do not rule out.
+
+    ``entries``: (token, cls, n, comp, sketch). A list of more than ``LIST_ROWS`` members is
+    cut into blocks by hash, and every two blocks meet in a group of their own.
+    """
+    size = entries.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / F.lit(LIST_ROWS)).cast("int").alias("nb"))
+    rows = (entries.join(size, "token")
+            .withColumn("b", F.pmod(F.xxhash64("cls", "n"), F.col("nb")).cast("int"))
+            .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+            .select("token", F.least("b", "j").alias("lo"), F.greatest("b", "j").alias("hi"), "b",
+                    "cls", "n", "comp", "sketch"))
+
+    def run(batches):
+        key, group, sent = None, [], set()
+
+        def flush():
+            if len({r[5] for r in group}) < 2:
+                return None
+            n = np.array([r[4] for r in group], np.int64)
+            comp = np.array([r[5] for r in group])
+            side = np.array([r[2] for r in group]) if key[1] != key[2] else None
+            out = []
+            for i, j in close_pairs([r[6] for r in group], n, comp, side):
+                a, b = sorted(((group[i][3], group[i][4]), (group[j][3], group[j][4])))
+                if (a, b) not in sent:
+                    out.append((*a, *b))
+                    sent.add((a, b))
+            if len(sent) > 500_000:
+                sent.clear()  # only saves rows: duplicates are removed later as well
+            if not out:
+                return None
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int32()))],
+                ["cls", "n", "cls2", "n2"])
+
+        for batch in batches:
+            for r in zip(*[batch.column(c).to_pylist() for c in
+                           ("token", "lo", "hi", "b", "cls", "n", "comp", "sketch")]):
+                if r[:3] != key:
+                    got = flush() if group else None
+                    if got is not None:
+                        yield got
+                    key, group = r[:3], []
+                group.append((r[0], r[1], r[3], r[4], r[5], r[6], r[7]))
+        got = flush() if group else None
+        if got is not None:
+            yield got
+
+    return (rows.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
+            .mapInArrow(run, "cls long, n int, cls2 long, n2 int").distinct())
+
+
+def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     """(u, v) representative ids of the candidate pairs that are links, checked on whole texts.
 
-    ``rows``: sketches of :func:`scan_sets`; ``reps``: (cls, n, rep). Only texts of classes on a
-    pair that the sketches leave are gathered.
+    ``reps``: (cls, n, rep). Only texts of classes on a pair are gathered.
     """
-    pairs = _may_link(pairs, rows, reps)
     wanted, side = _wanted(pairs, reps)
     texts = cut_lineage(docs.select(F.col("doc_id").alias("rep"), "text").join(side, "rep")
                         .select("cls", "n", "rep", "text"))
@@ -385,7 +473,7 @@ def verify(pairs: DataFrame, rows: DataFrame, docs: DataFrame, reps: DataFrame)
                                                      ["u", "v"])
 
     out = cut_lineage(_both_ends(pairs, texts, "text").mapInArrow(check, "u long, v long").distinct())
-    for t in (wanted, texts, pairs):
+    for t in (wanted, texts):
         drop_table(docs.sparkSession, table_path(t))
     release(docs.sparkSession)
     return out
@@ -426,7 +514,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             F.col("b.n").alias("n2")]
     first = cut_lineage(found.where("kind = 0").select(*pair).distinct().select(*flat))
     release(spark)
-    links = verify(first, rows, docs, reps)
+    links = verify(_may_link(first, rows, reps), docs, reps)
     comp = connected_components(links)
 
     # members of different components in one list, not compared yet
@@ -444,17 +532,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                           .select("token", "cls", "n", F.xxhash64(own).alias("comp")))
     mixed = (entries.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
              .where("lo < hi").select("token"))
-    entries = entries.join(mixed, "token")
-    other = entries.select("token", F.col("cls").alias("cls2"), F.col("n").alias("n2"),
-                           F.col("comp").alias("comp2"))
-    rest = (entries.join(other, "token").where("comp < comp2")
-            .where(f"{DEN}L * least(n, n2) >= {NUM}L * greatest(n, n2)")
-            .select(*pair).distinct().select(*flat)
-            .join(first, ["cls", "n", "cls2", "n2"], "left_anti"))
-    rest, got = cut_lineage_observed(rest, [F.count(F.lit(1)).alias("m")])
+    entries, got = cut_lineage_observed(entries.join(mixed, "token"), [F.count(F.lit(1)).alias("m")])
+    rest = entries
     if got["m"]:
-        links = links.unionByName(verify(rest, rows, docs, reps))
+        members, side = _wanted(entries.select("cls", "n", F.col("cls").alias("cls2"), F.col("n").alias("n2")), reps)
+        sketches = (rows.select(F.col("doc_id").alias("rep"), F.col("h1").alias("cls"),
+                                F.col("n").cast("int").alias("n"), "sketch")
+                    .join(side, ["rep", "cls", "n"]).dropDuplicates(["cls", "n"]).select("cls", "n", "sketch"))
+        rest = cut_lineage(_list_pairs(entries.join(sketches, ["cls", "n"]))
+                           .join(first, ["cls", "n", "cls2", "n2"], "left_anti"))
+        links = links.unionByName(verify(rest, docs, reps))
         comp = connected_components(links)
+        drop_table(spark, table_path(members))
+        drop_table(spark, table_path(entries))
     for t in (found, rest, first):
         drop_table(spark, table_path(t))
     release(spark)

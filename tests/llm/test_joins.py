@@ -122,6 +122,24 @@ def test_join_edge_rows(docs_of):
     assert jaccard_join.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_large_lists_in_blocks(docs_of, monkeypatch):
+    """Many texts that share passages but are no copies, some linked only with each other."""
+    monkeypatch.setattr(jaccard_join, "LIST_ROWS", 4)
+    rng = random.Random(9)
+    word = lambda: f"v{rng.randrange(5000)}"
+    passage = [word() for _ in range(40)]
+    rows = []
+    for i in range(60):
+        w = passage + [word() for _ in range(rng.randint(14, 40))]
+        rows.append((i, " ".join(w)))
+        if i % 3 == 0:
+            w[-3] = word()
+            rows.append((1000 + i, " ".join(w + ["tail"])))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"])
+           for r in jaccard_join.near_duplicates(docs_of(rows)).collect()}
+    assert got == brute_components(rows)
+
+
 def test_boundary_follows_the_cost():
     assert jaccard_join.boundary({4: 1000, 50: 10}, 1000.0) >= 4  # long lists: subsets are cheaper
     assert jaccard_join.boundary({40: 1000}, 1.0) < 40
