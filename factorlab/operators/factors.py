@@ -4,42 +4,42 @@ Two variants of the reference, both updating users first, then items, with
 a plain ridge term lambda (not lambda * n as the library ALS does):
 
 * masked (M6): per entity solve (sum over its observed partners of y yᵀ +
-  lambda I) x = sum r y. The Gram entries and right-hand side are native
-  partial aggregates (map-side combined, so a hot key never gathers its rows
-  in one place); only the k x k solves run in numpy, one Arrow batch of
-  entities at a time.
+  lambda I) x = sum r y.
 * zero-filled (M5): unrated cells count as rating 0, so the Gram matrix is one
-  global k x k matrix over all partners; it is summed natively, inverted once
-  on the driver (k x k), and applied as native expressions.
-
-Factors are DataFrames ``(id, f ARRAY<DOUBLE>)``. The de-duplicated ratings
-are written once as a table, hash-partitioned on (user, item), so a user or item that
-holds a third of all rows is still spread over every partition. Each
-half-step joins them to the other side's factors (broadcast when the factor
-table's size bound allows, else a split join: factors of hot keys broadcast,
-the rest shuffled), and the per-key Gram sums are combined map-side: the
-exchange carries at most one row per key and partition, never the rating
-rows. The wide aggregate is written as one SQL text (planning hundreds of
-Column objects through py4j costs more than the half-step itself at rank 24).
+  global k x k matrix over all partners, summed per task and inverted once on
+  the driver (k x k).
+
+Layout. The de-duplicated ratings are written twice, once per side, as rating
+blocks: one row holds the partners and ratings of an entity (an entity with more
+than ``CHUNK`` ratings has several rows, spread by hash), and rows are dealt into
+parts by a bucketed table, so a part is read where it lies in every half-step.
+A second small table lists which partner's factors each part needs. A half-step
+sends just those factor rows to the parts (an exchange of ids and factors, never
+of ratings or Gram rows), and one Arrow kernel per part builds Gram matrix and
+right-hand side and solves. Only entities with several rows send partial sums
+on, one per part and entity, added before the solve.
+
+Several models (ranks, ridge terms) train in the same pass: their factors lie
+side by side in one array, so a sweep costs one loop.
+
 Every half-step output is written as a table into the shared checkpoint
 folder (the previous iteration's tables are dropped), so the plan does not
-grow with the iterations and a lost executor only costs the current
-half-step; the zero-filled Gram matrix of each new table is observed during
-that same write.
+grow with the iterations and a lost executor only costs the current half-step.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import uniform_factor
 from ..functions.vectors import dot
-from ..session import cut_lineage, cut_lineage_observed, drop_table, table_path
+from ..session import cut_lineage, cut_lineage_observed, drop_table, new_table_path, table_path
 from . import joins
 from .splits import dedupe
 
@@ -63,106 +63,231 @@ def prepare_ratings(ratings: DataFrame, duplicates: str = "mean") -> DataFrame:
     return dedupe(ratings.select(*cols, *extra), policy=duplicates)
 
 
-def _factor_join(ratings: DataFrame, fixed: DataFrame, other: str, rank: int, n_fixed: int,
-                 broadcast_max_bytes: int, hot: list | None) -> DataFrame:
-    """Ratings meet the other side's factors (J9): a broadcast when the factor
-    table's size bound allows it, otherwise a split join that broadcasts only
-    the factors of hot keys (``hot``, found once before the loop) and shuffles
-    the rest."""
-    fx = fixed.select(F.col("id").alias(other), "f")
-    r = ratings.select(*[c for c in ratings.columns if c in (USER, ITEM, "rating")])
-    if n_fixed * joins.factor_row_bytes(rank) <= broadcast_max_bytes:
-        return r.join(F.broadcast(fx), other, "inner")
-    return joins.split_join(r, fx, other, hot or [], "inner")
-
-
-def _solve_batches(rank: int, reg: float):
-    iu = np.triu_indices(rank)
-
-    def solve(batches):
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            n = len(pdf)
-            g = np.zeros((n, rank, rank))
-            gv = np.stack([pdf[f"g{a}_{b}"].to_numpy(dtype=float) for a, b in zip(*iu)], axis=1)
-            g[:, iu[0], iu[1]] = gv
-            g[:, iu[1], iu[0]] = gv
-            g += reg * np.eye(rank)[None, :, :]
-            rhs = np.stack([pdf[f"b{a}"].to_numpy(dtype=float) for a in range(rank)], axis=1)
-            x = np.linalg.solve(g, rhs[:, :, None])[:, :, 0]
-            yield pd.DataFrame({"id": pdf["id"].to_numpy(), "f": list(x)})
-    return solve
-
-
-def masked_half_step(ratings: DataFrame, fixed: DataFrame, key: str, other: str, rank: int,
-                     reg: float, n_fixed: int, mask_threshold: float = 0.5,
-                     rhs_mask: bool = True,
-                     broadcast_max_bytes: int = joins.DEFAULT_BROADCAST_MAX_BYTES,
-                     hot: list | None = None) -> DataFrame:
-    """Solve the ``key`` side given the ``other`` side's factors (M6).
-
-    Returns (id, f) for keys that have ratings; cold keys are added by the caller.
-    """
-    j = _factor_join(ratings, fixed, other, rank, n_fixed, broadcast_max_bytes, hot)
-    obs = f"rating > {float(mask_threshold)!r}D"
-    terms = [f"sum(CASE WHEN {obs} THEN f[{a}] * f[{b}] ELSE 0D END) AS g{a}_{b}"
-             for a in range(rank) for b in range(a, rank)]
-    for a in range(rank):
-        v = f"rating * f[{a}]"
-        terms.append(f"sum(CASE WHEN {obs} THEN {v} ELSE 0D END) AS b{a}" if rhs_mask
-                     else f"sum({v}) AS b{a}")
-    # One SQL text instead of k(k+1)/2 + k Column objects: the same plan,
-    # built with one call (planning time matters once per half-step).
-    stats = j.sparkSession.sql(
-        f"SELECT {key} AS id, {', '.join(terms)} FROM {{j}} GROUP BY {key}", j=j)
-    return stats.mapInPandas(_solve_batches(rank, reg), "id bigint, f array<double>")
-
-
-def gram_metrics(rank: int) -> list:
-    """Σ f_a f_b (a <= b) over the rows of a factor table, as aggregate columns."""
-    return [F.expr(f"coalesce(sum(f[{a}] * f[{b}]), 0D)").alias(f"g{a}_{b}")
-            for a in range(rank) for b in range(a, rank)]
-
-
-def gram_from_row(row, rank: int) -> np.ndarray:
-    g = np.zeros((rank, rank))
-    for a in range(rank):
-        for b in range(a, rank):
-            g[a, b] = g[b, a] = row[f"g{a}_{b}"] or 0.0
-    return g
-
-
-def global_gram(fixed: DataFrame, rank: int) -> np.ndarray:
-    """Σ f fᵀ over all rows of a factor table, as a k x k numpy matrix."""
-    return gram_from_row(fixed.agg(*gram_metrics(rank)).first(), rank)
-
-
-def zero_filled_half_step(ratings: DataFrame, fixed: DataFrame, key: str, other: str,
-                          rank: int, reg: float, n_fixed: int,
-                          broadcast_max_bytes: int = joins.DEFAULT_BROADCAST_MAX_BYTES,
-                          hot: list | None = None, gram: np.ndarray | None = None) -> DataFrame:
+CHUNK = 8192  # ratings of one entity in one row
+PART_BYTES = 64 << 20  # factors and ratings one part brings together
+
+
+@dataclass
+class RatingBlocks:
+    """Ratings by entity, dealt into parts; ``needs``: (other, p) factor routing."""
+    blocks: DataFrame
+    needs: DataFrame
+    name: str
+    path: str
+
+    def drop(self, spark) -> None:
+        spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        drop_table(spark, self.path)
+        drop_table(spark, table_path(self.needs))
+
+
+def rating_blocks(ratings: DataFrame, key: str, other: str, width: int, n_cells: int) -> RatingBlocks:
+    """Write the ratings of one side as blocks; ``width``: factor components per row."""
+    spark = ratings.sparkSession
+    parts = max(8, -(-n_cells * (16 + 8 * width) // PART_BYTES))
+    r = ratings.select(F.col(key).cast("bigint").alias("key"), F.col(other).cast("bigint").alias("other"), "rating")
+    large = (r.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK)
+             .select("key", F.ceil(F.col("n") / F.lit(CHUNK)).cast("int").alias("chunks")))
+    large, m = cut_lineage_observed(large, [F.count(F.lit(1)).alias("m")])
+    if m["m"]:
+        r = r.join(large, "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    else:
+        r = r.withColumn("chunks", F.lit(1))
+    r = r.withColumn("chunk", F.pmod(F.xxhash64("other"), F.col("chunks")).cast("int"))
+    rows = (r.groupBy("key", "chunk", "chunks")  # at most about CHUNK ratings each
+            .agg(F.collect_list(F.struct("other", "rating")).alias("cells"))
+            .withColumn("p", F.pmod(F.xxhash64("key", "chunk"), F.lit(parts)).cast("int"))
+            .select("p", "key", "chunks", F.col("cells.other").alias("other"), F.col("cells.rating").alias("rating")))
+    name, path = "factorlab_blocks_" + uuid.uuid4().hex, new_table_path(spark)
+    (rows.repartition(parts, "p").write.bucketBy(parts, "p").sortBy("p").format("parquet")
+     .option("path", path).saveAsTable(name))
+    blocks = spark.table(name)
+    needs = cut_lineage(blocks.select("p", F.explode("other").alias("id")).distinct())
+    drop_table(spark, table_path(large))
+    return RatingBlocks(blocks, needs, name, path)
+
+
+@dataclass
+class Models:
+    """Ranks and ridge terms trained side by side; model m owns components [at[m], at[m+1])."""
+    ranks: list
+    regs: list
+
+    def __post_init__(self):
+        self.at = np.concatenate([[0], np.cumsum(self.ranks)]).astype(int)
+        self.width = int(self.at[-1])
+
+    def slices(self):
+        return [(int(a), int(b), float(g)) for a, b, g in zip(self.at[:-1], self.at[1:], self.regs)]
+
+
+def _wide(col: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
+    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    return np.asarray(col.flatten(), float).reshape(len(col), width)
+
+
+def _lists(col) -> tuple[np.ndarray, np.ndarray]:
+    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    return np.asarray(col.flatten()), np.asarray(col.offsets) - col.offsets[0].as_py()
+
+
+def _normal_kernel(models: Models, mask_threshold: float, rhs_mask: bool, grams: list | None):
+    """cogroup kernel: rating blocks of a part x the factors it needs -> solved factors, or
+    partial sums (``part``) of entities with several rows. ``grams``: the global Gram
+    matrices of the zero-filled variant, else None."""
+    sl = models.slices()
+
+    def sums(y, r):
+        seen = r > mask_threshold
+        w = r * seen if rhs_mask and grams is None else r
+        out = []
+        for a, b, _ in sl:
+            m = y[:, a:b]
+            if grams is None:
+                o = m[seen]
+                out.append((o.T @ o).ravel())
+            out.append(m.T @ w)
+        return np.concatenate(out)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return _solved_table([], [], [], models.width)
+        ids = np.asarray(right.column("id").combine_chunks())
+        order = np.argsort(ids)
+        ids, f = ids[order], _wide(right.column("f"), models.width)[order]
+        other, off = _lists(left.column("other"))
+        rating, _ = _lists(left.column("rating"))
+        at = np.searchsorted(ids, other) if len(ids) else np.zeros(len(other), int)
+        at = np.minimum(at, max(0, len(ids) - 1))
+        known = ids[at] == other if len(ids) else np.zeros(len(other), bool)
+        keys = np.asarray(left.column("key").combine_chunks())
+        chunks = np.asarray(left.column("chunks").combine_chunks())
+        one, several = [], {}
+        for i in range(len(keys)):
+            k = slice(off[i], off[i + 1])
+            ok = known[k]  # a partner without factors (not rated in training) adds nothing
+            v = sums(f[at[k][ok]], rating[k][ok].astype(float))
+            if chunks[i] == 1:
+                one.append((keys[i], v))
+            else:
+                several[keys[i]] = several.get(keys[i], 0.0) + v
+        solved = solve_sums(np.array([v for _, v in one]), models, grams) if one else np.zeros((0, models.width))
+        return _solved_table([k for k, _ in one], solved, list(several.items()), models.width)
+
+    return run
+
+
+_SOLVED = "id bigint, f array<double>, part array<double>"
+
+
+def _solved_table(keys, solved, several, width) -> pa.Table:
+    n = len(keys)
+    lists = pa.list_(pa.float64())
+    f = [list(x) for x in solved] + [None] * len(several)
+    part = [None] * n + [v.tolist() for _, v in several]
+    return pa.table({"id": pa.array([int(k) for k in keys] + [int(k) for k, _ in several], pa.int64()),
+                     "f": pa.array(f, lists), "part": pa.array(part, lists)})
+
+
+def solve_sums(v: np.ndarray, models: Models, grams: list | None) -> np.ndarray:
+    """Factors of all models from rows of sums (Gram entries and right-hand sides in turn)."""
+    out, at = np.zeros((len(v), models.width)), 0
+    for m, (a, b, reg) in enumerate(models.slices()):
+        k = b - a
+        if grams is None:
+            g = v[:, at:at + k * k].reshape(-1, k, k) + reg * np.eye(k)
+            at += k * k
+            out[:, a:b] = np.linalg.solve(g, v[:, at:at + k, None])[:, :, 0]
+        else:
+            out[:, a:b] = np.linalg.solve(grams[m] + reg * np.eye(k), v[:, at:at + k].T).T
+        at += k
+    return out
+
+
+def half_step(side: RatingBlocks, fixed: DataFrame, models: Models, method: str = "masked",
+              mask_threshold: float = 0.5, rhs_mask: bool = True) -> DataFrame:
+    """(id, f) of the entities of ``side`` given the other side's factors (id, f)."""
+    grams = global_grams(fixed, models) if method == "zero_filled" else None
+    sent = fixed.select("id", "f").join(side.needs, "id").select("p", "id", "f")
+    out = side.blocks.groupBy("p").cogroup(sent.groupBy("p")).applyInArrow(
+        _normal_kernel(models, mask_threshold, rhs_mask, grams), _SOLVED)
+    out = cut_lineage(out)
+
+    def add(table: pa.Table) -> pa.Table:
+        part = table.column("part").combine_chunks()
+        v = np.asarray(part.flatten(), float).reshape(len(part), -1).sum(0)
+        f = solve_sums(v[None], models, grams)
+        return pa.table({"id": table.column("id").slice(0, 1), "f": pa.array([f[0].tolist()], pa.list_(pa.float64()))})
+
+    # entities with several rows: at most one partial sum per part
+    more = out.where("part is not null").select("id", "part").groupBy("id").applyInArrow(
+        add, "id bigint, f array<double>")
+    done = out.where("part is null").select("id", "f").unionByName(more)
+    done._factorlab_table = table_path(out)
+    return done
+
+
+def global_grams(fixed: DataFrame, models: Models) -> list:
+    """Σ f fᵀ over all rows of a factor table for every model: one partial sum per task."""
+    sl = models.slices()
+
+    def part(batches):
+        g = [np.zeros((b - a, b - a)) for a, b, _ in sl]
+        for batch in batches:
+            f = _wide(batch.column("f"), models.width)
+            for x, (a, b, _) in zip(g, sl):
+                x += f[:, a:b].T @ f[:, a:b]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([np.concatenate([x.ravel() for x in g]).tolist()], pa.list_(pa.float64()))], ["g"])
+
+    rows = fixed.select("f").mapInArrow(part, "g array<double>")
+    total = rows.select(F.posexplode("g").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
+    v = np.zeros(sum((b - a) ** 2 for a, b, _ in sl))
+    for r in total.collect():  # k x k numbers per model
+        v[r["i"]] = r["v"]
+    out, at = [], 0
+    for a, b, _ in sl:
+        out.append(v[at:at + (b - a) ** 2].reshape(b - a, b - a))
+        at += (b - a) ** 2
+    return out
+
+
+def one_half_step(ratings: DataFrame, fixed: DataFrame, key: str, other: str, rank: int, reg: float,
+                  method: str = "masked", mask_threshold: float = 0.5, rhs_mask: bool = True) -> DataFrame:
+    """A single half-step from plain (user_id, item_id, rating) cells: (id, f) of the
+    ``key`` side for keys that have ratings; cold keys are added by :func:`with_cold`."""
+    ratings, m = cut_lineage_observed(ratings.select(USER, ITEM, "rating"), [F.count(F.lit(1)).alias("n")])
+    models = Models([rank], [reg])
+    side = rating_blocks(ratings, key, other, rank, m["n"])
+    out = half_step(side, cut_lineage(fixed.select(F.col("id").cast("bigint").alias("id"), "f")), models,
+                    method, mask_threshold, rhs_mask)
+    side.drop(ratings.sparkSession)
+    return out
+
+
+def masked_half_step(ratings, fixed, key, other, rank, reg, **kw) -> DataFrame:
+    """Solve the ``key`` side given the ``other`` side's factors (M6)."""
+    return one_half_step(ratings, fixed, key, other, rank, reg, "masked", **kw)
+
+
+def zero_filled_half_step(ratings, fixed, key, other, rank, reg) -> DataFrame:
     """Solve the ``key`` side with unrated cells as zeros (M5):
-    x_u = (YᵀY + lambda I)⁻¹ Σ_i r_ui y_i. ``gram``: YᵀY when already known
-    (observed while the factor table was written), else one aggregate job."""
-    g = (global_gram(fixed, rank) if gram is None else gram) + reg * np.eye(rank)
-    ginv = np.linalg.inv(g)
-    j = _factor_join(ratings, fixed, other, rank, n_fixed, broadcast_max_bytes, hot)
-    rhs = j.sparkSession.sql(
-        f"SELECT {key} AS id, " + ", ".join(f"sum(rating * f[{a}]) AS b{a}" for a in range(rank))
-        + f" FROM {{j}} GROUP BY {key}", j=j)
-    x = [" + ".join(f"{float(ginv[a, c])!r}D * b{c}" for c in range(rank)) for a in range(rank)]
-    return rhs.selectExpr("id", f"array({', '.join(x)}) AS f")
-
-
-def with_cold(solved: DataFrame, spine: DataFrame | None, rank: int) -> DataFrame:
-    """Add spine ids without ratings with factor 0 and ``cold = true``."""
+    x_u = (YᵀY + lambda I)⁻¹ Σ_i r_ui y_i."""
+    return one_half_step(ratings, fixed, key, other, rank, reg, "zero_filled")
+
+
+def with_cold(solved: DataFrame, spine: DataFrame | None, rank: int, start: DataFrame | None = None) -> DataFrame:
+    """Add spine ids without ratings with ``cold = true`` and factor 0, or their row of
+    ``start`` (id, f): the random start row left unchanged."""
     if spine is None:
         return solved.withColumn("cold", F.lit(False))
     zero = F.array(*[F.lit(0.0) for _ in range(rank)])
-    return (spine.select(F.col("id").cast("bigint")).join(solved, "id", "left")
-            .select("id", F.coalesce(F.col("f"), zero).alias("f"),
-                    F.col("f").isNull().alias("cold")))
+    out = spine.select(F.col("id").cast("bigint")).join(solved, "id", "left")
+    rest = zero
+    if start is not None:
+        out = out.join(start.select("id", F.col("f").alias("_start")), "id", "left")
+        rest = F.coalesce("_start", zero)
+    return out.select("id", F.coalesce(F.col("f"), rest).alias("f"), F.col("f").isNull().alias("cold"))
 
 
 @dataclass
@@ -207,82 +332,79 @@ def _rmse_value(model: "FactorModel", data: DataFrame) -> float | None:
     return None if row is None else row["r"]
 
 
-def train_als(ratings: DataFrame, rank: int, iters: int, reg: float, method: str = "masked",
-              user_spine: DataFrame | None = None, item_spine: DataFrame | None = None,
-              seed: int = 45, duplicates: str = "mean", mask_threshold: float = 0.5,
-              rhs_mask: bool = True, trace_on: DataFrame | None = None,
-              num_partitions: int | None = None,
-              broadcast_max_bytes: int = joins.DEFAULT_BROADCAST_MAX_BYTES) -> FactorModel:
-    """Alternating least squares, users first then items, ``iters`` rounds.
+def train_models(ratings: DataFrame, ranks: list, regs: list, iters: int, method: str = "masked",
+                 user_spine: DataFrame | None = None, item_spine: DataFrame | None = None,
+                 seed: int = 45, duplicates: str = "mean", mask_threshold: float = 0.5,
+                 rhs_mask: bool = True, trace_on: DataFrame | None = None, cold: str = "zero",
+                 broadcast_max_bytes: int = joins.DEFAULT_BROADCAST_MAX_BYTES) -> list:
+    """Alternating least squares, users first then items, ``iters`` rounds, for several
+    (rank, ridge term) models in one loop; one :class:`FactorModel` each.
 
     ``user_spine`` / ``item_spine``: DataFrames with an ``id`` column listing
-    every entity (those without ratings end with factor 0 and cold = true);
-    default: ids present in the ratings.
+    every entity; default: ids present in the ratings. ``cold``: entities without
+    ratings end with factor 0 (``zero``) or keep their random start row (``start``).
     """
-    if method not in ("masked", "zero_filled"):
-        raise ValueError(method)
-    r = prepare_ratings(ratings, duplicates)
-    if num_partitions:
-        r = r.repartition(num_partitions, USER, ITEM)
-    # Written once: read-back splits follow the data size (not the shuffle
-    # partition setting), and a lost executor never recomputes the dedupe.
-    r = cut_lineage(r)
-    by_user = by_item = r
-    u_ids = user_spine if user_spine is not None else r.select(F.col(USER).alias("id")).distinct()
-    i_ids = item_spine if item_spine is not None else r.select(F.col(ITEM).alias("id")).distinct()
-    count = [F.count(F.lit(1)).alias("n")]
-    u_ids, mu = cut_lineage_observed(u_ids.select(F.col("id").cast("bigint")).distinct(), count)
-    i_ids, mi = cut_lineage_observed(i_ids.select(F.col("id").cast("bigint")).distinct(), count)
-    n_users, n_items = mu["n"], mi["n"]
-    # The zero-filled variant needs the Gram matrix of each new factor table;
-    # it is observed during the write of that table (no extra job).
-    observe = method == "zero_filled"
-
-    def write(df):
-        if not observe:
-            return cut_lineage(df), None
-        out, m = cut_lineage_observed(df, gram_metrics(rank))
-        return out, gram_from_row(m, rank)
-
-    items_f, items_g = write(init_factors(i_ids, "id", rank, "item", seed))
-    fbytes = joins.factor_row_bytes(rank)
-    hot_items = joins.hot_keys(r, ITEM) if n_items * fbytes > broadcast_max_bytes else []
-    hot_users = joins.hot_keys(r, USER) if n_users * fbytes > broadcast_max_bytes else []
-    users_f = prev_users = None
-    trace = []
+    if method not in ("masked", "zero_filled") or cold not in ("zero", "start"):
+        raise ValueError(f"{method}, {cold}")
     spark = ratings.sparkSession
+    models = Models(list(ranks), list(regs))
+    count = [F.count(F.lit(1)).alias("n")]
+    r, m = cut_lineage_observed(prepare_ratings(ratings, duplicates), count)
+    by_user = rating_blocks(r, USER, ITEM, models.width, m["n"])
+    by_item = rating_blocks(r, ITEM, USER, models.width, m["n"])
+
+    def spine(given, col):
+        ids = given if given is not None else r.select(F.col(col).alias("id"))
+        out, n = cut_lineage_observed(ids.select(F.col("id").cast("bigint")).distinct(), count)
+        return out, n["n"]
+
+    u_ids, n_users = spine(user_spine, USER)
+    i_ids, n_items = spine(item_spine, ITEM)
+
+    def start(ids, side):
+        f = F.array(*[uniform_factor(seed, side, F.col("id"), i) for k in models.ranks for i in range(k)])
+        return ids.select("id", f.alias("f"))
+
+    def fitted(users, items, trace=()):
+        out = []
+        for i, (a, b, _) in enumerate(models.slices()):
+            part = lambda d: d.select("id", F.slice("f", a + 1, b - a).alias("f"))  # noqa: B023, E731
+            s0 = [part(start(ids, side)) if cold == "start" else None
+                  for ids, side in ((u_ids, "user"), (i_ids, "item"))]
+            out.append(FactorModel(
+                with_cold(part(users), u_ids, b - a, s0[0]), with_cold(part(items), i_ids, b - a, s0[1]),
+                [t[i] for t in trace], b - a, n_users, n_items, broadcast_max_bytes))
+        return out
+
+    def step(side, fixed):
+        return half_step(side, fixed, models, method, mask_threshold, rhs_mask)
+
     # Inside the loop only entities with ratings carry factors: a cold entity's
-    # factor is 0 after its first update, so it adds nothing to any Gram sum.
-    # The initial item table covers the whole item spine (the first user
-    # half-step of the zero-filled variant sums all of it).
+    # factor is 0 after its first update, so it adds nothing to any sum. The
+    # initial item table covers the whole item spine (the first user half-step
+    # of the zero-filled variant sums all of it).
+    items_f = cut_lineage(start(i_ids, "item"))
+    users_f, trace = None, []
     for it in range(1, iters + 1):
-        if method == "masked":
-            us = masked_half_step(by_user, items_f, USER, ITEM, rank, reg, n_items,
-                                  mask_threshold, rhs_mask, broadcast_max_bytes, hot_items)
-        else:
-            us = zero_filled_half_step(by_user, items_f, USER, ITEM, rank, reg, n_items,
-                                       broadcast_max_bytes, hot_items, items_g)
-        users_f, users_g = write(us)
-        if method == "masked":
-            its = masked_half_step(by_item, users_f, ITEM, USER, rank, reg, n_users,
-                                   mask_threshold, rhs_mask, broadcast_max_bytes, hot_users)
-        else:
-            its = zero_filled_half_step(by_item, users_f, ITEM, USER, rank, reg, n_users,
-                                        broadcast_max_bytes, hot_users, users_g)
-        prev_items = items_f
-        items_f, items_g = write(its)
+        old = [table_path(d) for d in (users_f, items_f) if d is not None]
+        users_f = step(by_user, items_f)
+        items_f = step(by_item, users_f)
         if trace_on is not None:
-            now = FactorModel(with_cold(users_f, u_ids, rank), with_cold(items_f, i_ids, rank), [],
-                              rank, n_users, n_items, broadcast_max_bytes)
-            trace.append((it, _rmse_value(now, r), _rmse_value(now, trace_on)))
-        # superseded iteration tables are no longer referenced by any plan
-        drop_table(spark, table_path(prev_items))
-        if prev_users is not None:
-            drop_table(spark, table_path(prev_users))
-        prev_users = users_f
-    users_f, items_f = with_cold(users_f, u_ids, rank), with_cold(items_f, i_ids, rank)
-    drop_table(spark, table_path(r))  # the model does not reference the ratings table
-    return FactorModel(users_f, items_f, trace, rank, n_users, n_items, broadcast_max_bytes)
+            trace.append([(it, _rmse_value(now, r), _rmse_value(now, trace_on))
+                          for now in fitted(users_f, items_f)])
+        for path in old:
+            drop_table(spark, path)
+    out = fitted(users_f, items_f, trace)
+    by_user.drop(spark)
+    by_item.drop(spark)
+    drop_table(spark, table_path(r))  # the models do not reference the ratings
+    return out
+
+
+def train_als(ratings: DataFrame, rank: int, iters: int, reg: float, method: str = "masked",
+              user_spine: DataFrame | None = None, item_spine: DataFrame | None = None, **kw) -> FactorModel:
+    """:func:`train_models` for a single model."""
+    return train_models(ratings, [rank], [reg], iters, method, user_spine, item_spine, **kw)[0]
 
 
 def trace_frame(spark, fitted: FactorModel, **params) -> DataFrame:

@@ -85,6 +85,11 @@ def _table_root(spark: SparkSession) -> str:
     return ensure_checkpoint_dir(spark).rstrip("/") + "/factorlab-tables"
 
 
+def new_table_path(spark: SparkSession) -> str:
+    """A folder of its own for one written table."""
+    return f"{_table_root(spark)}/{uuid.uuid4().hex}"
+
+
 def _read_back(spark: SparkSession, path: str, df: DataFrame) -> DataFrame:
     """The written table under the written schema (an empty or partitioned table has no
     footer to infer it from); remembers its folder for :func:`table_path`."""
@@ -103,7 +108,7 @@ def cut_lineage(df: DataFrame, partition_by: list | None = None) -> DataFrame:
     columns to write as directories, so later filters on them prune files.
     """
     spark = df.sparkSession
-    path = f"{_table_root(spark)}/{uuid.uuid4().hex}"
+    path = new_table_path(spark)
     w = df.write.mode("error")
     if partition_by:
         w = w.partitionBy(*partition_by)
@@ -117,7 +122,7 @@ def cut_lineage_observed(df: DataFrame, metrics: list) -> tuple[DataFrame, dict]
     from pyspark.sql import Observation
     obs = Observation(f"factorlab_{uuid.uuid4().hex[:12]}")
     spark = df.sparkSession
-    path = f"{_table_root(spark)}/{uuid.uuid4().hex}"
+    path = new_table_path(spark)
     df.observe(obs, *metrics).write.mode("error").parquet(path)
     return _read_back(spark, path, df), obs.get
 

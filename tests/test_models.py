@@ -91,10 +91,10 @@ def test_masked_fixed_point_and_monotone_loss(spark):
     as_map = lambda df: {row.id: np.array(row.f) for row in df.collect()}
     yi = as_map(items)
     for _ in range(4):
-        users = FA.masked_half_step(r, items, "user_id", "item_id", k, lam, 12)
+        users = FA.masked_half_step(r, items, "user_id", "item_id", k, lam)
         xu = as_map(users)
         losses.append(loss(xu, yi))
-        items = FA.masked_half_step(r, users, "item_id", "user_id", k, lam, 25)
+        items = FA.masked_half_step(r, users, "item_id", "user_id", k, lam)
         yi = as_map(items)
         losses.append(loss(xu, yi))
     assert all(b <= a + 1e-9 for a, b in zip(losses, losses[1:]))
@@ -112,11 +112,82 @@ def test_partition_count_does_not_change_result(spark):
     outs = []
     for p in (1, 4, 16):
         r = ratings_df(spark, cells).repartition(p)
-        m = FA.train_als(r, 2, 2, 0.1, "masked", num_partitions=p)
+        m = FA.train_als(r, 2, 2, 0.1, "masked")
         outs.append(factors_np(m.users, 2)[0])
     assert np.allclose(outs[0], outs[1], atol=1e-10) and np.allclose(outs[0], outs[2], atol=1e-10)
 
 
+def numpy_masked(cells, rank, iters, lam, y):
+    """Reference loop: {id: factor} of both sides from the same start factors."""
+    x = {}
+    for _ in range(iters):
+        for side, fixed, pos in ((x, y, 0), (y, x, 1)):
+            for k in {c[pos] for c in cells}:
+                rows = [(fixed[c[1 - pos]], c[2]) for c in cells if c[pos] == k and c[1 - pos] in fixed]
+                g = lam * np.eye(rank) + sum((np.outer(v, v) for v, r in rows if r > 0.5), np.zeros((rank, rank)))
+                b = sum((r * v for v, r in rows if r > 0.5), np.zeros(rank))
+                side[k] = np.linalg.solve(g, b)
+    return x, y
+
+
+def test_hot_user_in_several_blocks_equals_numpy(spark, monkeypatch):
+    """One user holds a third of all cells and is spread over many rows and parts."""
+    monkeypatch.setattr(FA, "CHUNK", 7)
+    rng = np.random.RandomState(4)
+    cells = [(0, i, float(rng.choice([0, 0.5, 1, 2, 3, 4, 5]))) for i in range(120)]
+    cells += [(1 + int(u), int(i), float(rng.randint(1, 6))) for u, i in
+              {(u, i) for u, i in zip(rng.randint(0, 40, 300), rng.randint(0, 120, 300))}]
+    r = ratings_df(spark, cells)
+    m = FA.train_als(r, 3, 2, 0.1, "masked")
+    y0 = {i: f for i, f in ((q.id, np.array(q.f)) for q in FA.init_factors(
+        r.select(r.item_id.alias("id")).distinct(), "id", 3, "item").collect())}
+    x, y = numpy_masked(cells, 3, 2, 0.1, y0)
+    got = {q.id: np.array(q.f) for q in m.users.collect()}
+    assert set(got) == set(x) and all(np.allclose(got[k], x[k], atol=1e-8) for k in x)
+    got = {q.id: np.array(q.f) for q in m.items.collect()}
+    assert all(np.allclose(got[k], y[k], atol=1e-8) for k in y)
+
+
+@pytest.mark.parametrize("method", ["masked", "zero_filled"])
+def test_models_side_by_side_equal_single_fits(spark, method):
+    rng = np.random.RandomState(12)
+    cells = [(u, i, float(rng.randint(1, 6))) for u in range(25) for i in range(12) if rng.rand() < 0.5]
+    r = ratings_df(spark, cells)
+    many = FA.train_models(r, [1, 4, 2], [0.1, 0.5, 2.0], 3, method)
+    for model, rank, reg in zip(many, [1, 4, 2], [0.1, 0.5, 2.0]):
+        one = FA.train_als(r, rank, 3, reg, method)
+        for a, b in ((model.users, one.users), (model.items, one.items)):
+            a, b = ({q.id: q.f for q in d.collect()} for d in (a, b))
+            assert a.keys() == b.keys() and all(np.allclose(a[k], b[k], atol=1e-9) for k in a)
+
+
+def test_half_step_exchanges_no_ratings(spark):
+    """The only exchange before the solve carries (part, id, factors)."""
+    rng = np.random.RandomState(3)
+    cells = [(u, i, float(rng.randint(1, 6))) for u in range(50) for i in range(30) if rng.rand() < 0.4]
+    r = ratings_df(spark, cells)
+    models = FA.Models([24], [0.1])
+    side = FA.rating_blocks(r, "user_id", "item_id", 24, len(cells))
+    fixed = FA.init_factors(r.select(r.item_id.alias("id")).distinct(), "id", 24, "item")
+    sent = fixed.join(side.needs, "id").select("p", "id", "f")
+    out = side.blocks.groupBy("p").cogroup(sent.groupBy("p")).applyInArrow(
+        FA._normal_kernel(models, 0.5, True, None), FA._SOLVED)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    left = plan[plan.index("factorlab_blocks") - 3000 if plan.index("factorlab_blocks") > 3000 else 0:]
+    exchanges = [x for x in plan.splitlines() if "Exchange hashpartitioning(p" in x]
+    assert len(exchanges) == 1 and "Bucketed: true" in left and out.count() == 50
+    side.drop(spark)
+
+
+def test_cold_rows_keep_their_start(spark):
+    r = ratings_df(spark, [(1, 1, 4.0), (2, 1, 3.0)])
+    spine = spark.range(4).select("id")
+    m = FA.train_als(r, 2, 1, 0.1, "masked", spine, spine, cold="start")
+    start = {q.id: q.f for q in FA.init_factors(spine, "id", 2, "user").collect()}
+    got = {q.id: (q.f, q.cold) for q in m.users.collect()}
+    assert got[0] == (start[0], True) and got[3] == (start[3], True) and not got[1][1]
+
+
 def test_duplicate_policies(spark):
     df = spark.createDataFrame([(1, 2, 4.0, 10, "a"), (1, 2, 2.0, 11, "b")],
                                "user_id bigint, item_id bigint, rating double, day bigint, row_key string")
