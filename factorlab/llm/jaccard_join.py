@@ -89,8 +89,8 @@ def prefix_length(n: int, c: int = 1) -> int:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Parity bits of a set: element e flips bit e mod B, B the power of two from 4 n up."""
-    bits = max(64, 4 << max(0, len(s) - 1).bit_length())
+    """Parity bits of a set: element e flips bit e mod B, B the power of two from 2 n up."""
+    bits = max(64, 2 << max(0, len(s) - 1).bit_length())
     odd = np.bincount((s >> np.uint64(9)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
@@ -375,14 +375,14 @@ def _may_link(pairs: DataFrame, rows: DataFrame, reps: DataFrame) -> DataFrame:
     return out
 
 
-def _list_pairs(entries: DataFrame) -> DataFrame:
+def _list_pairs(entries: DataFrame, sketches: DataFrame) -> DataFrame:
     """Pairs of members of one list in different components that the sketches do not rule out.
 
-    ``entries``: (token, cls, n, comp, sketch). A list of more than ``LIST_ROWS`` members is
-    cut into blocks by hash, and every two blocks meet in a group of their own.
+    ``entries``: (token, nb, cls, n, comp), ``nb`` the blocks of the list: a list of more than
+    ``LIST_ROWS`` members is cut into blocks by hash, and every two blocks meet in a group of
+    their own. ``sketches``: (cls, n, sketch).
     """
-    size = entries.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / F.lit(LIST_ROWS)).cast("int").alias("nb"))
-    rows = (entries.join(size, "token")
+    rows = (entries.join(sketches, ["cls", "n"])
             .withColumn("b", F.pmod(F.xxhash64("cls", "n"), F.col("nb")).cast("int"))
             .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
             .select("token", F.least("b", "j").alias("lo"), F.greatest("b", "j").alias("hi"), "b",
@@ -530,16 +530,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                    F.when(F.col("component").isNull(), F.col("n")).alias("n"))
     entries = cut_lineage(entries.join(linked, ["cls", "n"], "left")
                           .select("token", "cls", "n", F.xxhash64(own).alias("comp")))
-    mixed = (entries.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-             .where("lo < hi").select("token"))
-    entries, got = cut_lineage_observed(entries.join(mixed, "token"), [F.count(F.lit(1)).alias("m")])
+    # Lists with members of one component only have nothing to add, and of lists with
+    # the same members one is enough.
+    member = [F.bit_xor(F.xxhash64(F.lit(seed), "cls", "n")).alias(f"m{seed}") for seed in (1, 2)]
+    mixed = (entries.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
+                                          F.count(F.lit(1)).alias("size"), *member)
+             .where("lo < hi").groupBy("m1", "m2", "size").agg(F.min("token").alias("token"))
+             .select("token", F.ceil(F.col("size") / F.lit(LIST_ROWS)).cast("int").alias("nb")))
+    entries, got = cut_lineage_observed(entries.join(mixed, "token").select("token", "nb", "cls", "n", "comp"),
+                                        [F.count(F.lit(1)).alias("m")])
     rest = entries
     if got["m"]:
         members, side = _wanted(entries.select("cls", "n", F.col("cls").alias("cls2"), F.col("n").alias("n2")), reps)
         sketches = (rows.select(F.col("doc_id").alias("rep"), F.col("h1").alias("cls"),
                                 F.col("n").cast("int").alias("n"), "sketch")
                     .join(side, ["rep", "cls", "n"]).dropDuplicates(["cls", "n"]).select("cls", "n", "sketch"))
-        rest = cut_lineage(_list_pairs(entries.join(sketches, ["cls", "n"]))
+        rest = cut_lineage(_list_pairs(entries, sketches)
                            .join(first, ["cls", "n", "cls2", "n2"], "left_anti"))
         links = links.unionByName(verify(rest, docs, reps))
         comp = connected_components(links)
