@@ -11,6 +11,8 @@ and query rows. Only d x d matrices reach the driver.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash01, md5_u60
 from ..functions.vectors import diag_quad, sq_dist, sub
-from ..session import cut_lineage
+from ..session import cut_lineage, drop_table, table_path
 from . import joins
 from .splits import index_rows_total
 
@@ -47,10 +49,28 @@ def generate_pairs(df: DataFrame, id_col: str, label_col: str, n_pairs: int,
     [g0, g0 + count). A pair whose anchor has no row of another label to
     meet (one label only) is left out.
     """
-    spark = df.sparkSession
+    return pairs_of_index(pair_index(df, id_col, label_col), n_pairs, positive_ratio, seed)
+
+
+@dataclass
+class PairIndex:
+    """Rows at their exact position in (label, id) order, and each label's block."""
+    rows: DataFrame    # (_label, _id, pos)
+    labels: DataFrame  # (_label, lc, g0)
+    n: int
+
+
+def pair_index(df: DataFrame, id_col: str, label_col: str) -> PairIndex:
     base = df.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label"))
     idx, n = index_rows_total(base, [F.col("_label"), F.col("_id")], "pos")
     labels = idx.groupBy("_label").agg(F.count(F.lit(1)).alias("lc"), F.min("pos").alias("g0"))
+    return PairIndex(idx, labels, n)
+
+
+def pairs_of_index(index: PairIndex, n_pairs: int, positive_ratio: float, seed) -> DataFrame:
+    """Pairs drawn from an index; another ``seed`` (a number or text) draws other pairs."""
+    idx, labels, n = index.rows, index.labels, index.n
+    spark = idx.sparkSession
     t = draw_positions(spark.range(n_pairs).select(F.col("id").alias("pair_id")), n, seed)
     a = idx.select(F.col("pos").alias("a_pos"), F.col("_id").alias("a_id"), F.col("_label").alias("a_label"))
     t = a.join(F.broadcast(t) if n_pairs <= BROADCAST_PAIRS else t, "a_pos")
@@ -70,7 +90,7 @@ def generate_pairs(df: DataFrame, id_col: str, label_col: str, n_pairs: int,
 BROADCAST_PAIRS = 100_000  # drawn pairs (under 50 bytes each); beyond it a shuffle join
 
 
-def draw_positions(pairs: DataFrame, n: int, seed: int = 42) -> DataFrame:
+def draw_positions(pairs: DataFrame, n: int, seed=42) -> DataFrame:
     """(pair_id, a_pos, u, hb): anchor position in [0, n), uniform number, partner hash."""
     key = lambda tag: F.concat_ws(":", F.lit(str(seed)), F.lit(tag), F.col("pair_id").cast("string"))
     return pairs.select("pair_id", F.pmod(md5_u60(key("a")), F.lit(n)).alias("a_pos"),
@@ -193,34 +213,47 @@ def _collect_gradient(g: DataFrame, d: int):
     return grad, extra.get(0, 0.0), extra.get(1, 0.0), extra.get(2, 0.0)
 
 
-def learn_metric(pv: DataFrame, d: int, epochs: int = 20, gamma=lambda t: 0.001 / np.sqrt(t + 1),
+def learn_metric(feat: DataFrame, d: int, epochs: int = 20, gamma=lambda t: 0.001 / np.sqrt(t + 1),
                  alpha=lambda t: 1e-8, margin_obj: float = 2.0, margin_grad: float = 0.5,
-                 m0: np.ndarray | None = None, batch_frac: float = 1.0, seed: int = 42):
-    """M20 (mini-batch): per epoch one Spark job sums the hinge sub-gradient
-    over a hash-chosen batch of pairs; the driver steps M <- PSD(M - γ(t) G),
-    with G = mean_pairs(y·[active]·δδᵀ) + α(t) M. Objective per epoch:
-    mean hinge (margin ``margin_obj``) + α(t)/2 ‖M‖_F.
+                 m0: np.ndarray | None = None, batch_frac: float = 1.0, n_objective: int = 1000,
+                 positive_ratio: float = 0.1, seed: int = 42, id_col: str = "row_id",
+                 label_col: str = "label", x_col: str = "x"):
+    """M20 (mini-batch): every epoch draws ``batch_frac`` x rows fresh pairs from all rows of
+    ``feat`` (by hash of seed and epoch) and one Spark job sums their hinge sub-gradient;
+    the driver steps M <- PSD(M - γ(t) G), with G = mean_pairs(y·[active]·δδᵀ) + α(t) M.
+    The objective, mean hinge (margin ``margin_obj``) + α(t)/2 ‖M‖_F, is taken on one
+    fixed list of ``n_objective`` pairs.
 
     Returns (M, trace rows [(epoch, objective, n_pairs, n_active)])."""
     gamma_f = gamma if callable(gamma) else (lambda t: gamma)
     alpha_f = alpha if callable(alpha) else (lambda t: alpha)
     m = np.eye(d) if m0 is None else np.array(m0, dtype=float)
-    pv = cut_lineage(pv.select("pair_id", "xa", "xb", "y"))
+    spark = feat.sparkSession
+    feat = cut_lineage(feat.select(F.col(id_col).alias("row_id"), F.col(label_col).alias("label"),
+                                   F.col(x_col).alias("x")))
+    index = pair_index(feat, "row_id", "label")
+    fixed = cut_lineage(pair_vectors(pairs_of_index(index, n_objective, positive_ratio, seed), feat)
+                        .select("xa", "xb", "y"))
+    size = max(1, round(batch_frac * index.n))
     trace = []
     for t in range(epochs):
-        batch = pv
-        if batch_frac < 1.0:
-            u = hash01(F.concat_ws(":", F.lit(str(seed)), F.lit(str(t)), F.col("pair_id").cast("string")))
-            batch = pv.where(u < batch_frac)
-        grad, hsum, n, n_act = _collect_gradient(epoch_gradient(batch, m, margin_obj, margin_grad), d)
-        if n == 0:
+        _, hsum, n_obj, _ = _collect_gradient(epoch_gradient(fixed, m, margin_obj, margin_grad), d)
+        batch = pair_vectors(pairs_of_index(index, size, positive_ratio, epoch_seed(seed, t)), feat)
+        grad, _, n, n_act = _collect_gradient(epoch_gradient(batch, m, margin_obj, margin_grad), d)
+        if n == 0 or n_obj == 0:
             break
         a = alpha_f(t)
-        trace.append((t, hsum / n + a / 2.0 * float(np.linalg.norm(m)), int(n), int(n_act)))
+        trace.append((t, hsum / n_obj + a / 2.0 * float(np.linalg.norm(m)), int(n), int(n_act)))
         m = nearest_psd(m - gamma_f(t) * (grad / n + a * m))
+    for table in (feat, fixed):
+        drop_table(spark, table_path(table))
     return m, trace
 
 
+def epoch_seed(seed, epoch: int) -> str:
+    return f"{seed}.{epoch}"
+
+
 # ------------------------------------------------------------- 1-NN rating
 def _nn_kernel(xt, xq, m):
     """Squared distances of every query row to every train row, summed term

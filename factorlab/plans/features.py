@@ -135,18 +135,16 @@ def _pairs(spark, sf_dir):
     return ML.generate_pairs(T.feat(spark, sf_dir), "row_id", "label", N_PAIRS, P_SAME, PAIR_SEED)
 
 
-def _key_sql(tag: str) -> str:
-    return f"concat_ws(':', '{PAIR_SEED}', '{tag}', CAST(pair_id AS VARCHAR))"
-
-
-PAIRS_SQL = T.with_views("feat") + f""",
+def _pairs_sql(n_pairs: str, seed: str) -> str:
+    """CTEs up to ``pv``: pairs drawn with a seed text, with both vectors."""
+    key = lambda tag: f"concat_ws(':', '{seed}', '{tag}', CAST(r.range AS VARCHAR))"
+    return T.with_views("feat") + f""",
 idx AS (SELECT row_id, label, row_number() OVER (ORDER BY label, row_id) - 1 AS pos FROM feat),
 lab AS (SELECT label, count(*) AS lc, min(pos) AS g0 FROM idx GROUP BY label),
 nn AS (SELECT count(*) AS n FROM idx),
-t2 AS (SELECT r.range AS pair_id, {sql_md5_u60(_key_sql("a").replace("pair_id", "r.range"))} % nn.n AS a_pos,
-              {sql_hash01(_key_sql("p").replace("pair_id", "r.range"))} AS u,
-              {sql_md5_u60(_key_sql("b").replace("pair_id", "r.range"))} AS hb, nn.n
-       FROM range({N_PAIRS}) r CROSS JOIN nn),
+t2 AS (SELECT r.range AS pair_id, {sql_md5_u60(key("a"))} % nn.n AS a_pos,
+              {sql_hash01(key("p"))} AS u, {sql_md5_u60(key("b"))} AS hb, nn.n
+       FROM range({n_pairs}) r CROSS JOIN nn),
 t3 AS (SELECT t2.*, ia.row_id AS a_id, ia.label AS a_label, lab.lc, lab.g0
        FROM t2 JOIN idx ia ON ia.pos = t2.a_pos JOIN lab ON lab.label = ia.label),
 t4 AS (SELECT *, CASE WHEN u <= {P_SAME} THEN g0 + hb % lc
@@ -159,6 +157,11 @@ pv AS (SELECT p.pair_id, p.y, fa.x AS xa, fb.x AS xb
        FROM pairs p JOIN feat fa ON p.a_id = fa.row_id JOIN feat fb ON p.b_id = fb.row_id)"""
 
 
+PAIRS_SQL = _pairs_sql(str(N_PAIRS), str(PAIR_SEED))
+# one epoch of the learner: as many fresh pairs as there are rows
+EPOCH_PAIRS_SQL = _pairs_sql("(SELECT count(*) FROM embeddings)", ML.epoch_seed(PAIR_SEED, 0))
+
+
 @register("q_generate_pairs", PAIRS_SQL + """
 SELECT pair_id, a_id, b_id, y FROM pairs""")
 def q_generate_pairs(spark, sf_dir):
@@ -220,7 +223,7 @@ def q_metric_objective(spark, sf_dir):
                       F.col("1").cast("bigint").alias("n_pairs"), F.col("2").cast("bigint").alias("n_active"))
 
 
-@register("q_metric_gradient", PAIRS_SQL + f""",
+@register("q_metric_gradient", EPOCH_PAIRS_SQL + f""",
 d AS (SELECT pair_id, y, list_transform(xa, lambda v, i: v - xb[i]) AS delta, {_SQD} AS d2 FROM pv),
 w AS (SELECT pair_id, y * CASE WHEN 1e0 + y * (d2 - 0.5e0) > 0 THEN 1e0 ELSE 0e0 END AS w, delta FROM d),
 e AS (SELECT pair_id, w, unnest(delta) AS v, generate_subscripts(delta, 1) AS i FROM w),
@@ -229,8 +232,12 @@ SELECT CAST(a.i - 1 AS INTEGER) AS i, CAST(b.i - 1 AS INTEGER) AS j,
        round(sum(a.w * a.v * b.v) / max(np.n) + CASE WHEN a.i = b.i THEN {ALPHA} ELSE 0e0 END, 6) + 0e0 AS grad
 FROM e a JOIN e b ON a.pair_id = b.pair_id CROSS JOIN np GROUP BY a.i, b.i""")
 def q_metric_gradient(spark, sf_dir):
-    """M20, one epoch at M = I: mean hinge sub-gradient + α M, per entry."""
-    g = ML.epoch_gradient(_pv(spark, sf_dir), np.eye(64), 2.0, 0.5)
+    """M20, the first epoch at M = I: mean hinge sub-gradient + α M, per entry, over
+    fresh pairs drawn from all rows."""
+    feat = T.feat(spark, sf_dir)
+    index = ML.pair_index(feat, "row_id", "label")
+    pairs = ML.pairs_of_index(index, index.n, P_SAME, ML.epoch_seed(PAIR_SEED, 0))
+    g = ML.epoch_gradient(ML.pair_vectors(pairs, feat), np.eye(64), 2.0, 0.5)
     g = cut_lineage(g)
     n = g.where((F.col("i") == -1) & (F.col("j") == 1)).agg(F.first("v")).scalar()
     grad = F.col("v") / n + F.when(F.col("i") == F.col("j"), ALPHA).otherwise(0.0)
@@ -264,9 +271,10 @@ def q_label_first_id(spark, sf_dir):
 
 @register("q_metric_learning")
 def q_metric_learning(spark, sf_dir):
-    """10 full-batch epochs from M = I, γ(t) = 0.001/√(t+1), α = 1e-8;
-    objective per epoch."""
-    m, trace = ML.learn_metric(_pv(spark, sf_dir), 64, epochs=10, alpha=ALPHA)
+    """10 epochs from M = I, γ(t) = 0.001/√(t+1), α = 1e-8, each over as many fresh
+    pairs as there are rows; objective on the fixed 1000 pairs per epoch."""
+    m, trace = ML.learn_metric(T.feat(spark, sf_dir), 64, epochs=10, alpha=ALPHA, n_objective=N_PAIRS,
+                               positive_ratio=P_SAME, seed=PAIR_SEED)
     return spark.createDataFrame(trace, "epoch bigint, objective double, n_pairs bigint, n_active bigint")
 
 
@@ -315,22 +323,25 @@ def q_metric_1nn(spark, sf_dir):
 # --------------------------------------------------------------- predictors
 @register("q_forest_curve")
 def q_forest_curve(spark, sf_dir):
-    """Random-forest classifier RMSE for 1, 5 and 10 trees."""
+    """Random-forest classifier RMSE for 1 to 29 trees of unlimited depth."""
     ft = feature_table_written(spark, sf_dir)
-    curve = PR.forest_curve(ft.where(F.col("bucket") < 8), ft.where(F.col("bucket") >= 8), [1, 5, 10])
+    curve = PR.forest_curve(ft.where(F.col("bucket") < 8), ft.where(F.col("bucket") >= 8), range(1, 30))
     return spark.createDataFrame(curve, "trees bigint, rmse double")
 
 
+KMEANS_K = 1024
+
+
 @register("q_kmeans_rating")
 def q_kmeans_rating(spark, sf_dir):
-    """K-means (k = 16) on training features; cluster mean rating,
+    """K-means (k = 1024) on training features; cluster mean rating,
     plain and rescaled, test RMSE."""
     ft = feature_table_written(spark, sf_dir)
-    tr, te = PR.kmeans_assign(ft.where(F.col("bucket") < 8), ft.where(F.col("bucket") >= 8), 16)
+    tr, te = PR.kmeans_assign(ft.where(F.col("bucket") < 8), ft.where(F.col("bucket") >= 8), KMEANS_K)
     tr, te = cut_lineage(tr), cut_lineage(te)
     b = PR.cluster_rating(tr, te, rescale=True).agg(PR.rmse_of()).scalar()
     a = PR.cluster_rating(tr, te, rescale=False)
-    return a.agg(F.lit(16).alias("k"), PR.rmse_of().alias("rmse_mean"), b.alias("rmse_rescaled"))
+    return a.agg(F.lit(KMEANS_K).alias("k"), PR.rmse_of().alias("rmse_mean"), b.alias("rmse_rescaled"))
 
 
 N_CLUSTERS = 16

@@ -385,3 +385,144 @@ def q_masked_trace(spark, sf_dir):
                      trace_on=i.where(F.col("bucket") >= 8))
     tf = FA.trace_frame(spark, m, model="masked")
     return tf.select("iteration", r6("train_rmse").alias("train_rmse"), r6("eval_rmse").alias("eval_rmse"))
+
+
+# --------------------------- checked evaluation at ranks 1 and 2 (closed forms)
+EVAL_ITERS = 2
+
+
+def _rank_ctes(rank: int, iters: int = EVAL_ITERS) -> list:
+    """CTE chain of the masked loop at rank 1 or 2, names suffixed by the rank; factors
+    always have two components (the second is 0 at rank 1)."""
+    start = _factor_sql("item", "part", "p_partkey", 2, "f")
+    if rank == 1:
+        start = f"SELECT id, f0, 0e0 AS f1 FROM ({start})"
+    ctes, prev = [f"y0_{rank} AS ({start})"], f"y0_{rank}"
+    for t in range(1, iters + 1):
+        for out, fixed, key, other in ((f"x{t}_{rank}", prev, "user_id", "item_id"),
+                                       (f"y{t}_{rank}", f"x{t}_{rank}", "item_id", "user_id")):
+            s = (f"SELECT r.{key} AS id, sum(o * f0 * f0) + 0.1e0 AS a, sum(o * f0 * f1) AS b, "
+                 f"sum(o * f1 * f1) + 0.1e0 AS d, sum(o * r.rating * f0) AS p, sum(o * r.rating * f1) AS q "
+                 f"FROM (SELECT *, CASE WHEN rating > 0.5 THEN 1e0 ELSE 0e0 END AS o FROM r) r "
+                 f"JOIN {fixed} v ON r.{other} = v.id GROUP BY r.{key}")
+            f0, f1 = ("p / a", "0e0") if rank == 1 else (
+                "(d * p - b * q) / (a * d - b * b)", "(a * q - b * p) / (a * d - b * b)")
+            ctes.append(f"{out} AS (SELECT id, {f0} AS f0, {f1} AS f1 FROM ({s}))")
+        prev = f"y{t}_{rank}"
+    x, y = f"x{iters}_{rank}", f"y{iters}_{rank}"
+    ctes.append(f"pred_{rank} AS (SELECT i.row_key, i.bucket, i.rating, "
+                "coalesce(x.f0, 0e0) * coalesce(y.f0, 0e0) + coalesce(x.f1, 0e0) * coalesce(y.f1, 0e0) AS prediction "
+                f"FROM inter i LEFT JOIN {x} x ON i.user_id = x.id LEFT JOIN {y} y ON i.item_id = y.id)")
+    return ctes
+
+
+def _eval_sql(body: str) -> str:
+    cells = "r AS (SELECT user_id, item_id, avg(rating) AS rating FROM inter WHERE bucket < 6 GROUP BY 1, 2)"
+    scored = " UNION ALL ".join(f"SELECT {k} AS rank, * FROM pred_{k}" for k in (1, 2))
+    return (T.with_views("inter") + ",\n" + ",\n".join([cells, *_rank_ctes(1), *_rank_ctes(2)])
+            + f",\nsc AS ({scored})" + body)
+
+
+def _eval_models(spark, sf_dir):
+    """Scored rows of ranks 1 and 2 trained in one loop on bucket < 6: (rank, row_key, bucket,
+    rating, prediction), written."""
+    i = cut_lineage(T.inter(spark, sf_dir).select("user_id", "item_id", "rating", "day", "bucket", "row_key"),
+                    partition_by=["bucket"])
+    models = FA.train_models(i.where("bucket < 6"), [1, 2], [REG, REG], EVAL_ITERS, "masked",
+                             _user_spine(spark, sf_dir), _item_spine(spark, sf_dir))
+    out = None
+    for m in models:
+        s = m.score(i).select(F.lit(m.rank).alias("rank"), "row_key", "bucket", "rating", "prediction")
+        out = s if out is None else out.unionByName(s)
+    return cut_lineage(out), i
+
+
+def _rmse(cond=None):
+    e = F.pow(F.col("rating") - F.col("prediction"), 2)
+    return F.sqrt(F.avg(e if cond is None else F.when(cond, e)))
+
+
+@register("q_rank_rmse", _eval_sql("""
+SELECT rank,
+       round(sqrt(avg(power(rating - prediction, 2)) FILTER (WHERE bucket >= 6 AND bucket < 8)), 6) AS validation_rmse,
+       round(sqrt(avg(power(rating - prediction, 2)) FILTER (WHERE bucket >= 8)), 6) AS test_rmse
+FROM sc GROUP BY rank"""))
+def q_rank_rmse(spark, sf_dir):
+    """A18 at ranks 1 and 2 (2 iterations): validation and test RMSE, checked by closed forms."""
+    s, _ = _eval_models(spark, sf_dir)
+    b = F.col("bucket")
+    return s.groupBy("rank").agg(r6(_rmse((b >= 6) & (b < 8))).alias("validation_rmse"),
+                                 r6(_rmse(b >= 8)).alias("test_rmse"))
+
+
+@register("q_best_config", _eval_sql("""
+SELECT rank, round(sqrt(avg(power(rating - prediction, 2))), 6) AS rmse FROM sc
+WHERE bucket >= 6 AND bucket < 8 GROUP BY rank ORDER BY sqrt(avg(power(rating - prediction, 2))), rank LIMIT 1"""))
+def q_best_config(spark, sf_dir):
+    """The rank of smallest validation RMSE, first grid point on ties."""
+    s, _ = _eval_models(spark, sf_dir)
+    m = s.where("bucket >= 6 and bucket < 8").groupBy("rank").agg(_rmse().alias("rmse")).select(
+        (F.col("rank") - 1).cast("bigint").alias("grid_id"), "rank", "rmse")
+    return TU.best_config(m).select("rank", r6("rmse").alias("rmse"))
+
+
+@register("q_improvement", _eval_sql("""
+, m AS (SELECT avg(rating) AS mean_rating FROM inter WHERE bucket < 8),
+b AS (SELECT sqrt(avg(power(i.rating - m.mean_rating, 2))) AS baseline_rmse
+      FROM inter i CROSS JOIN m WHERE i.bucket >= 8),
+t AS (SELECT rank, sqrt(avg(power(rating - prediction, 2))) AS test_rmse FROM sc WHERE bucket >= 8 GROUP BY rank)
+SELECT t.rank, round(t.test_rmse, 6) AS test_rmse, round(b.baseline_rmse, 6) AS baseline_rmse,
+       round((b.baseline_rmse - t.test_rmse) / b.baseline_rmse * 100, 4) AS improvement_pct FROM t CROSS JOIN b"""))
+def q_improvement(spark, sf_dir):
+    """M9 + A20: test RMSE per model, the mean baseline and the improvement over it."""
+    s, i = _eval_models(spark, sf_dir)
+    base = MX.baseline(i.where("bucket < 8"), i.where("bucket >= 8")).select("baseline_rmse").scalar()
+    t = s.where("bucket >= 8").groupBy("rank").agg(_rmse().alias("rmse"))
+    t = t.withColumn("base", base)
+    return t.select("rank", r6("rmse").alias("test_rmse"), r6("base").alias("baseline_rmse"),
+                    F.round(MX.improvement(F.col("rmse"), F.col("base")), 4).alias("improvement_pct"))
+
+
+@register("q_residuals_by_rank", _eval_sql("""
+, f AS (SELECT rank, floor(rating - prediction) AS r FROM sc WHERE bucket >= 8 AND rating > 0.5)
+SELECT f.rank, count(*) FILTER (WHERE r BETWEEN -5 AND 5) AS n_binned, count(*) AS n_obs,
+       count(*) FILTER (WHERE r < 0 AND r >= -5) AS n_negative, count(*) FILTER (WHERE r = 0) AS n_zero,
+       count(*) FILTER (WHERE r > 0 AND r <= 5) AS n_positive,
+       round(avg(r), 6) + 0e0 AS mean_residual, round(stddev_pop(r), 6) AS std_residual FROM f GROUP BY f.rank"""))
+def q_residuals_by_rank(spark, sf_dir):
+    """A14 + A15 per rank of a factor model: floored test residuals by sign, their mean and
+    population standard deviation."""
+    s, _ = _eval_models(spark, sf_dir)
+    r = F.floor(F.col("rating") - F.col("prediction"))
+    s = s.where("bucket >= 8 and rating > 0.5").select("rank", r.alias("r"))
+    r = F.col("r")
+    return s.groupBy("rank").agg(
+        F.count_if(r.between(-5, 5)).alias("n_binned"), F.count(F.lit(1)).alias("n_obs"),
+        F.count_if((r < 0) & (r >= -5)).alias("n_negative"), F.count_if(r == 0).alias("n_zero"),
+        F.count_if((r > 0) & (r <= 5)).alias("n_positive"),
+        (r6(F.avg("r")) + 0.0).alias("mean_residual"), r6(F.stddev_pop("r")).alias("std_residual"))
+
+
+_CLIP = "greatest(0e0, least(5e0, prediction))"
+
+
+@register("q_corrected_als", _eval_sql(f"""
+, c AS (SELECT rank, avg(rating - {_CLIP}) AS correction FROM sc
+        WHERE bucket >= 6 AND bucket < 8 AND rating > 0.5 GROUP BY rank)
+SELECT sc.rank, round(max(c.correction), 6) + 0e0 AS correction,
+       round(sqrt(avg(power(rating - {_CLIP}, 2))), 6) AS clipped_rmse,
+       round(sqrt(avg(power(rating - greatest(0e0, least(5e0, {_CLIP} + c.correction)), 2))), 6) AS corrected_rmse
+FROM sc JOIN c ON sc.rank = c.rank WHERE bucket >= 8 GROUP BY sc.rank"""))
+def q_corrected_als(spark, sf_dir):
+    """P15 + P16 on model predictions: the mean residual is fitted on validation and applied to
+    the clipped test predictions, re-clipped."""
+    from ..operators.relational import clip
+    s, _ = _eval_models(spark, sf_dir)
+    s = s.withColumn("prediction", clip(F.col("prediction")))
+    c = (s.where("bucket >= 6 and bucket < 8 and rating > 0.5").groupBy("rank")
+         .agg(F.avg(F.col("rating") - F.col("prediction")).alias("correction")))
+    t = s.where("bucket >= 8").join(c, "rank")
+    new = clip(F.col("prediction") + F.col("correction"))
+    return t.groupBy("rank").agg(
+        (r6(F.max("correction")) + 0.0).alias("correction"), r6(_rmse()).alias("clipped_rmse"),
+        r6(F.sqrt(F.avg(F.pow(F.col("rating") - new, 2)))).alias("corrected_rmse"))

@@ -135,8 +135,7 @@ def test_mahalanobis_identity_is_squared_euclid(spark):
 
 def test_learn_metric_runs_and_stays_psd(spark):
     df, _ = feat_df(spark)
-    pv = ML.pair_vectors(ML.generate_pairs(df, "row_id", "label", 100, 0.5, seed=3), df)
-    m, trace = ML.learn_metric(pv, 5, epochs=3, gamma=0.01, alpha=1e-3)
+    m, trace = ML.learn_metric(df, 5, epochs=3, gamma=0.01, alpha=1e-3, n_objective=50)
     assert len(trace) == 3 and np.linalg.eigvalsh(m).min() >= -1e-9
 
 
@@ -241,23 +240,28 @@ def test_rank_prefix_matches_sort(spark):
 
 def test_learn_metric_matches_numpy(spark):
     df, rows = feat_df(spark, n=80, d=4, labels=3, seed=5)
-    pairs = ML.generate_pairs(df, "row_id", "label", 120, 0.4, seed=9)
-    pv = ML.pair_vectors(pairs, df)
-    gamma = lambda t: 0.05 / np.sqrt(t + 1)
-    m, trace = ML.learn_metric(pv, 4, epochs=4, gamma=gamma, alpha=1e-3)
-    got = pv.select("xa", "xb", "y").collect()
-    xa = np.array([r.xa for r in got])
-    xb = np.array([r.xb for r in got])
-    y = np.array([r.y for r in got])
-    ref = np.eye(4)
+    gamma = lambda t: 0.05 / np.sqrt(t + 1)
+    m, trace = ML.learn_metric(df, 4, epochs=4, gamma=gamma, alpha=1e-3, n_objective=120,
+                               positive_ratio=0.4, seed=9)
+    index = ML.pair_index(df, "row_id", "label")
+
+    def vectors(n, seed):
+        got = ML.pair_vectors(ML.pairs_of_index(index, n, 0.4, seed), df).select("xa", "xb", "y").collect()
+        return np.array([r.xa for r in got]) - np.array([r.xb for r in got]), np.array([r.y for r in got])
+
+    fixed, yf = vectors(120, 9)
+    ref, seen = np.eye(4), set()
     for t in range(4):
-        delta = xa - xb
+        d2 = np.einsum("ni,ij,nj->n", fixed, ref, fixed)
+        obj = np.maximum(0, 1 + yf * (d2 - 2)).mean() + 1e-3 / 2 * np.linalg.norm(ref)
+        assert math.isclose(trace[t][1], obj, rel_tol=1e-9) and trace[t][2] == 80
+        delta, y = vectors(80, ML.epoch_seed(9, t))
+        seen.add(round(float(delta.sum()), 9))
         d2 = np.einsum("ni,ij,nj->n", delta, ref, delta)
-        obj = np.maximum(0, 1 + y * (d2 - 2)).mean() + 1e-3 / 2 * np.linalg.norm(ref)
-        assert math.isclose(trace[t][1], obj, rel_tol=1e-9)
         w = y * ((1 + y * (d2 - 0.5)) > 0)
         g = np.einsum("n,ni,nj->ij", w, delta, delta) / len(y) + 1e-3 * ref
         ref = ML.nearest_psd(ref - gamma(t) * g)
+    assert len(seen) == 4  # fresh pairs in every epoch
     assert np.allclose(m, ref, atol=1e-10)
 
 
