@@ -380,16 +380,18 @@ def _list_pairs(entries: DataFrame, sketches: DataFrame) -> DataFrame:
 
     ``entries``: (token, nb, cls, n, comp), ``nb`` the blocks of the list: a list of more than
     ``LIST_ROWS`` members is cut into blocks by hash, and every two blocks meet in a group of
-    their own. ``sketches``: (cls, n, sketch).
+    their own. ``sketches``: (cls, n, sketch). A pair that shares several lists is a row of the
+    smallest of them only, which the members' own lists tell.
     """
-    rows = (entries.join(sketches, ["cls", "n"])
+    own = entries.groupBy("cls", "n").agg(F.collect_list("token").alias("lists"))  # at most a set's signatures
+    rows = (entries.join(sketches.join(own, ["cls", "n"]), ["cls", "n"])
             .withColumn("b", F.pmod(F.xxhash64("cls", "n"), F.col("nb")).cast("int"))
             .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
             .select("token", F.least("b", "j").alias("lo"), F.greatest("b", "j").alias("hi"), "b",
-                    "cls", "n", "comp", "sketch"))
+                    "cls", "n", "comp", "sketch", "lists"))
 
     def run(batches):
-        key, group, sent = None, [], set()
+        key, group = None, []
 
         def flush():
             if len({r[5] for r in group}) < 2:
@@ -397,14 +399,12 @@ def _list_pairs(entries: DataFrame, sketches: DataFrame) -> DataFrame:
             n = np.array([r[4] for r in group], np.int64)
             comp = np.array([r[5] for r in group])
             side = np.array([r[2] for r in group]) if key[1] != key[2] else None
+            lists = [set(r[7]) for r in group]
             out = []
             for i, j in close_pairs([r[6] for r in group], n, comp, side):
-                a, b = sorted(((group[i][3], group[i][4]), (group[j][3], group[j][4])))
-                if (a, b) not in sent:
+                if min(lists[i] & lists[j]) == key[0]:
+                    a, b = sorted(((group[i][3], group[i][4]), (group[j][3], group[j][4])))
                     out.append((*a, *b))
-                    sent.add((a, b))
-            if len(sent) > 500_000:
-                sent.clear()  # only saves rows: duplicates are removed later as well
             if not out:
                 return None
             return pa.RecordBatch.from_arrays(
@@ -413,19 +413,19 @@ def _list_pairs(entries: DataFrame, sketches: DataFrame) -> DataFrame:
 
         for batch in batches:
             for r in zip(*[batch.column(c).to_pylist() for c in
-                           ("token", "lo", "hi", "b", "cls", "n", "comp", "sketch")]):
+                           ("token", "lo", "hi", "b", "cls", "n", "comp", "sketch", "lists")]):
                 if r[:3] != key:
                     got = flush() if group else None
                     if got is not None:
                         yield got
                     key, group = r[:3], []
-                group.append((r[0], r[1], r[3], r[4], r[5], r[6], r[7]))
+                group.append((r[0], r[1], *r[3:]))
         got = flush() if group else None
         if got is not None:
             yield got
 
     return (rows.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
-            .mapInArrow(run, "cls long, n int, cls2 long, n2 int").distinct())
+            .mapInArrow(run, "cls long, n int, cls2 long, n2 int"))
 
 
 def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
