@@ -74,6 +74,7 @@ class RatingBlocks:
     needs: DataFrame
     name: str
     path: str
+    several: bool  # does any entity have more than one row
 
     def drop(self, spark) -> None:
         spark.sql(f"DROP TABLE IF EXISTS {self.name}")
@@ -104,7 +105,7 @@ def rating_blocks(ratings: DataFrame, key: str, other: str, width: int, n_cells:
     blocks = spark.table(name)
     needs = cut_lineage(blocks.select("p", F.explode("other").alias("id")).distinct())
     drop_table(spark, table_path(large))
-    return RatingBlocks(blocks, needs, name, path)
+    return RatingBlocks(blocks, needs, name, path, bool(m["m"]))
 
 
 @dataclass
@@ -212,6 +213,10 @@ def half_step(side: RatingBlocks, fixed: DataFrame, models: Models, method: str
     out = side.blocks.groupBy("p").cogroup(sent.groupBy("p")).applyInArrow(
         _normal_kernel(models, mask_threshold, rhs_mask, grams), _SOLVED)
     out = cut_lineage(out)
+    if not side.several:
+        done = out.select("id", "f")
+        done._factorlab_table = table_path(out)
+        return done
 
     def add(table: pa.Table) -> pa.Table:
         part = table.column("part").combine_chunks()
