@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Bytes of text handled at once inside a task; bounds the numpy temporaries.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
@@ -29,8 +29,9 @@ def hash01(col: str, seed: int) -> Column:
     return F.pmod(h, F.lit(1 << 40)).cast("double") / F.lit(float(1 << 40))
 
 
-def utf8(arr: pa.Array) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """(data bytes, offsets[n+1], is_valid[n]) of a string column; null reads as empty."""
+def utf8(arr: pa.Array) -> tuple[memoryview, np.ndarray, np.ndarray]:
+    """(view of the data, offsets[n+1], is_valid[n]) of a string column, not copied; null
+    reads as empty."""
     if isinstance(arr, pa.ChunkedArray):
         arr = arr.combine_chunks()
     if not pa.types.is_large_string(arr.type):
@@ -40,11 +41,11 @@ def utf8(arr: pa.Array) -> tuple[bytes, np.ndarray, np.ndarray]:
         valid = ~np.asarray(arr.is_null())
         arr = arr.fill_null("")
     if len(arr) == 0:
-        return b"", np.zeros(1, np.int64), valid
+        return memoryview(b""), np.zeros(1, np.int64), valid
     off = np.frombuffer(arr.buffers()[1], np.int64)[arr.offset:arr.offset + len(arr) + 1]
     buf = arr.buffers()[2]
     base, end = int(off[0]), int(off[-1])
-    data = bytes(memoryview(buf)[base:end]) if buf is not None else b""
+    data = memoryview(buf)[base:end] if buf is not None else memoryview(b"")
     return data, off - base, valid
 
 
@@ -58,8 +59,8 @@ def chunks(offsets: np.ndarray, max_bytes: int = CHUNK_BYTES):
         i = j
 
 
-def texts_of(data: bytes, off: np.ndarray, i: int, j: int) -> list[bytes]:
-    return [data[off[k]:off[k + 1]] for k in range(i, j)]
+def texts_of(data: memoryview, off: np.ndarray, i: int, j: int) -> list[bytes]:
+    return [bytes(data[off[k]:off[k + 1]]) for k in range(i, j)]
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

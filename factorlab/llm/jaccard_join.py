@@ -46,7 +46,7 @@ from .textstats import Words, grams
 
 WORDS = 5
 NUM, DEN = 75, 100  # similarity of at least NUM / DEN
-COUNT_BYTES = 16 << 20  # text per counting unit
+COUNT_BYTES = 8 << 20  # text per counting unit
 COMMON_LEAST = 3  # documents of a unit that make an element worth counting
 LIST_ROWS = 2048  # members of a list that are compared in one group
 COMMON_MAX = 1 << 16  # elements kept by the order, the most frequent
@@ -442,7 +442,7 @@ def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
 
         def sets_of(cls, text):
             missing = {k: x for k, x in zip(cls, text) if k not in known}
-            if len(known) + len(missing) > 4096:
+            if len(known) + len(missing) > 1024:
                 known.clear()
                 missing = dict(zip(cls, text))
             keys = list(missing)

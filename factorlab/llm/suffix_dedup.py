@@ -257,7 +257,7 @@ def _segment_texts(reps: DataFrame, keyed: DataFrame) -> DataFrame:
             did, th = b.column("did").to_pylist(), b.column("th").to_pylist()
             rows, size = [], 0
             for r in range(b.num_rows):
-                t = data[off[r]:off[r + 1]]
+                t = bytes(data[off[r]:off[r + 1]])
                 for w in b.column("want")[r].as_py():
                     piece = t[w["start"]:w["start"] + w["size"]]
                     rows.append((w["anchor"], w["seg"], w["cnt"], did[r], th[r], w["start"], piece))
@@ -441,7 +441,7 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, hot_bytes: int = HO
             data, off, _ = utf8(b.column("__text"))
             size, gone, n, sha = [], [], [], []
             for r in range(b.num_rows):
-                t = data[off[r]:off[r + 1]]
+                t = bytes(data[off[r]:off[r + 1]])
                 spans = merge(b.column("__spans")[r].as_py())
                 size.append(len(t))
                 gone.append(sum(e - s for s, e in spans))
@@ -468,7 +468,7 @@ def cut_passages(docs: DataFrame, length: int = LENGTH, hot_bytes: int = HOT_BYT
             texts = []
             for r in range(b.num_rows):
                 spans = merge(b.column("__spans")[r].as_py())
-                t = cut(data[off[r]:off[r + 1]], spans)
+                t = cut(bytes(data[off[r]:off[r + 1]]), spans)
                 texts.append(t.decode("utf-8", "ignore") if valid[r] else None)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(texts, pa.string()) if c == "text" else
