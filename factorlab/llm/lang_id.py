@@ -20,7 +20,6 @@ gives an empty result.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,7 +34,6 @@ DIM = 16
 PER_LANG = 500
 MAX_LANGS = 200
 STEPS = 800  # mini-batches of the gradient descent
-_LETTER = re.compile(r"[^\W\d_]")
 _ASCII_NON_LETTER = np.array([c < 128 and not chr(c).isalpha() for c in range(256)])
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
                              0xD6E8FEB86659FD93)]
@@ -76,7 +74,7 @@ class LangModel:
         if self.table is None:
             return lang, score
         for i, t in enumerate(texts):
-            if not _LETTER.search(t.decode("utf-8", "ignore")):
+            if not any(map(str.isalpha, t.decode("utf-8", "ignore"))):
                 continue
             idx = subwords(t)
             z = (self.table[idx].mean(0) if len(idx) else 0.0) + self.bias

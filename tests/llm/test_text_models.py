@@ -14,7 +14,7 @@ from factorlab.llm.textstats import Words, base_counts
 SF = "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 EDGE = [(1, None), (2, ""), (3, "  \n\t "), (4, "a"), (4, "a"), (None, "word " * 80), (6, "é" * 30_000 + " x"),
-        (7, "the same line\nthe same line\n\nthe same line"), (8, "日本語 テキスト"), (9, "1234 5678")]
+        (7, "the same line\nthe same line\n\nthe same line"), (8, "日本語 テキスト"), (9, "1234 5678 ½²_")]
 
 
 def brute_counts(text):
