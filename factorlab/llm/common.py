@@ -72,6 +72,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def text_key(col: str) -> Column:
+    """128 bits (binary) that tell apart different texts; a null text reads as empty."""
+    return F.unhex(F.md5(F.coalesce(F.col(col), F.lit("")).cast("binary")))
+
+
 def release(spark) -> None:
     """Let Spark's cleaner drop the shuffle files of finished jobs now: it acts when the
     driver collects garbage, which a driver with little to do seldom does."""

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, cut_lineage_observed, drop_table, table_path
-from .common import chunks, mix64, release, texts_of, utf8
+from .common import chunks, mix64, release, text_key, texts_of, utf8
 from .components import connected_components
 from .textstats import Words, grams
 
@@ -52,6 +52,7 @@ LIST_ROWS = 2048  # members of a list that are compared in one group
 COMMON_MAX = 1 << 16  # elements kept by the order, the most frequent
 MAX_LIGHT = 64
 BROADCAST_IDS = 1_000_000  # ids (8 bytes each); beyond it a shuffle join
+_NO_ID = (1 << 63) - 1  # stands for a null doc_id, after all others
 _SALT = np.uint64(0xA0761D6478BD642F)
 
 
@@ -144,8 +145,16 @@ def close_pairs(sketches: list[bytes], n: np.ndarray, comp: np.ndarray, side: np
     return out
 
 
+def _rid():
+    return F.coalesce("doc_id", F.lit(_NO_ID))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key("text").alias("th"))
+
+
 def scan_sets(docs: DataFrame) -> DataFrame:
-    """One pass over the texts: rows (doc_id, n, h1, h2, sketch) and, apart, elements that several
+    """One pass over the texts: rows (doc_id, th, n, h1, h2, sketch) and, apart, elements that several
     documents of a counting unit share (token, cnt)."""
     def run(batches):
         seen: set = set()
@@ -156,10 +165,10 @@ def scan_sets(docs: DataFrame) -> DataFrame:
             t, c = t[c >= COMMON_LEAST], c[c >= COMMON_LEAST]
             none = pa.nulls(len(t), pa.int64())
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.ones(len(t), np.int32)), none, none, none, none,
+                [pa.array(np.ones(len(t), np.int32)), none, pa.nulls(len(t), pa.binary()), none, none, none,
                  pa.nulls(len(t), pa.binary()), pa.array(t.view(np.int64)), pa.array(c.astype(np.int64))], names)
 
-        names = ["kind", "doc_id", "n", "h1", "h2", "sketch", "token", "cnt"]
+        names = ["kind", "doc_id", "th", "n", "h1", "h2", "sketch", "token", "cnt"]
         for b in batches:
             data, off, _ = utf8(b.column("text"))
             for i, j in chunks(off):
@@ -173,8 +182,8 @@ def scan_sets(docs: DataFrame) -> DataFrame:
                 none = pa.nulls(j - i, pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.zeros(j - i, np.int32)), b.column("doc_id").slice(i, j - i),
-                     pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in keys], pa.int64()),
-                     pa.array([y for _, y in keys], pa.int64()),
+                     b.column("th").slice(i, j - i).cast(pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
+                     pa.array([x for x, _ in keys], pa.int64()), pa.array([y for _, y in keys], pa.int64()),
                      pa.array([sketch(x) for x in sets], pa.binary()), none, none], names)
                 if size >= COUNT_BYTES and pool:
                     yield common()
@@ -182,8 +191,8 @@ def scan_sets(docs: DataFrame) -> DataFrame:
         if pool:
             yield common()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "kind int, doc_id long, n long, h1 long, h2 long, sketch binary, token long, cnt long")
+    return docs.select("doc_id", "text", "th").mapInArrow(
+        run, "kind int, doc_id long, th binary, n long, h1 long, h2 long, sketch binary, token long, cnt long")
 
 
 def boundary(sizes: dict[int, int], scan: float) -> int:
@@ -339,29 +348,42 @@ def lists(entries: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "kind int, token long, cls long, n int, cls2 long, n2 int")
 
 
-def _wanted(pairs: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(cls, n, rep) of the classes on a pair, written; and as a side to join the documents
-    with by ``rep`` (broadcast behind a check of its size)."""
+def _wanted(pairs: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(cls, n, rep, th) of the classes on a pair, written; as a side to join the documents
+    with by ``rep`` and ``th`` (broadcast behind a check of its size); and their number."""
     ends = pairs.select("cls", "n").unionByName(pairs.select(F.col("cls2").alias("cls"), F.col("n2").alias("n")))
-    wanted, got = cut_lineage_observed(ends.distinct().join(reps, ["cls", "n"]), [F.count(F.lit(1)).alias("m")])
-    return wanted, F.broadcast(wanted) if got["m"] <= BROADCAST_IDS else wanted
+    wanted, got = cut_lineage_observed(ends.distinct().join(reps, ["cls", "n"]).select("cls", "n", "rep", "th"),
+                                       [F.count(F.lit(1)).alias("m")])
+    return wanted, F.broadcast(wanted) if got["m"] <= BROADCAST_IDS else wanted, got["m"]
+
+
+def _sketches(rows: DataFrame, side: DataFrame) -> DataFrame:
+    """(cls, n, sketch) of the classes of ``side``."""
+    return (rows.select(_rid().alias("rep"), "th", F.col("h1").alias("cls"), F.col("n").cast("int").alias("n"), "sketch")
+            .join(side, ["rep", "th", "cls", "n"]).dropDuplicates(["cls", "n"]).select("cls", "n", "sketch"))
+
+
+def _class_texts(docs: DataFrame, side: DataFrame, count: int) -> DataFrame:
+    """The columns of ``side`` (one row a class) with the class's text, written."""
+    texts, got = cut_lineage_observed(docs.select(_rid().alias("rep"), "th", "text").join(side, ["rep", "th"]),
+                                      [F.count(F.lit(1)).alias("m")])
+    if got["m"] <= count:
+        return texts
+    once = cut_lineage(texts.dropDuplicates(["cls", "n"]))  # rows that repeat under one id
+    drop_table(docs.sparkSession, table_path(texts))
+    return once
 
 
 def _both_ends(pairs: DataFrame, ends: DataFrame, col: str) -> DataFrame:
-    """Pairs with ``col`` and the representative id of both classes (``u``, ``v``)."""
-    second = ends.select(F.col("cls").alias("cls2"), F.col("n").alias("n2"), F.col("rep").alias("v"),
-                         F.col(col).alias(col + "2"))
-    return (pairs.join(second, ["cls2", "n2"])
-            .join(ends.select("cls", "n", F.col("rep").alias("u"), col), ["cls", "n"])
-            .select("cls", "n", "u", col, "cls2", "n2", "v", col + "2"))
+    """Pairs with ``col`` of both classes."""
+    second = ends.select(F.col("cls").alias("cls2"), F.col("n").alias("n2"), F.col(col).alias(col + "2"))
+    return (pairs.join(second, ["cls2", "n2"]).join(ends.select("cls", "n", col), ["cls", "n"])
+            .select("cls", "n", col, "cls2", "n2", col + "2"))
 
 
 def _may_link(pairs: DataFrame, rows: DataFrame, reps: DataFrame) -> DataFrame:
     """The candidate pairs that the sketches do not rule out."""
-    wanted, side = _wanted(pairs, reps)
-    sketches = (rows.select(F.col("doc_id").alias("rep"), F.col("h1").alias("cls"),
-                            F.col("n").cast("int").alias("n"), "sketch")
-                .join(side, ["rep", "cls", "n"]).dropDuplicates(["cls", "n"]))
+    wanted, side, _ = _wanted(pairs, reps)
 
     def run(batches):
         for b in batches:
@@ -369,7 +391,7 @@ def _may_link(pairs: DataFrame, rows: DataFrame, reps: DataFrame) -> DataFrame:
             yield b.select(["cls", "n", "cls2", "n2"]).filter(
                 pa.array([may_link(*r) for r in zip(*cols)], pa.bool_()))
 
-    out = cut_lineage(_both_ends(pairs, sketches, "sketch").mapInArrow(
+    out = cut_lineage(_both_ends(pairs, _sketches(rows, side), "sketch").mapInArrow(
         run, "cls long, n int, cls2 long, n2 int"))
     drop_table(rows.sparkSession, table_path(wanted))
     return out
@@ -429,13 +451,13 @@ def _list_pairs(entries: DataFrame, sketches: DataFrame) -> DataFrame:
 
 
 def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """(u, v) representative ids of the candidate pairs that are links, checked on whole texts.
+    """(u, v) class keys of the candidate pairs that are links, checked on whole texts.
 
-    ``reps``: (cls, n, rep). Only texts of classes on a pair are gathered.
+    ``reps``: (cls, n, rep, th), id and text key of one row of the class. Only texts of
+    classes on a pair are gathered, one for each class.
     """
-    wanted, side = _wanted(pairs, reps)
-    texts = cut_lineage(docs.select(F.col("doc_id").alias("rep"), "text").join(side, "rep")
-                        .select("cls", "n", "rep", "text"))
+    wanted, side, count = _wanted(pairs, reps)
+    texts = _class_texts(docs, side, count)
 
     def check(batches):
         known: dict = {}
@@ -455,15 +477,10 @@ def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256).to_pydict()
-                a = sets_of([("a", c, n, r) for c, n, r in zip(part["cls"], part["n"], part["u"])],
-                            [x or "" for x in part["text"]])
-                z = sets_of([("b", c, n, r) for c, n, r in zip(part["cls2"], part["n2"], part["v"])],
-                            [x or "" for x in part["text2"]])
+                a = sets_of([("a", c, n) for c, n in zip(part["cls"], part["n"])], part["text"])
+                z = sets_of([("b", c, n) for c, n in zip(part["cls2"], part["n2"])], part["text2"])
                 u, v = [], []
-                for x, y, k1, k2, m1, m2, p, q in zip(a, z, part["cls"], part["cls2"], part["n"], part["n2"],
-                                                      part["u"], part["v"]):
-                    if len(x) != m1 or len(y) != m2 or set_key(x)[0] != k1 or set_key(y)[0] != k2:
-                        continue  # another row of the same id
+                for x, y, p, q in zip(a, z, part["cls"], part["cls2"]):
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     if DEN * both >= NUM * (len(x) + len(y) - both):
                         u.append(p)
@@ -486,13 +503,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     document's class; links that component contraction made redundant are not among them.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = _keyed(docs)
     scan = cut_lineage(scan_sets(docs), partition_by=["kind"])
-    rows = scan.where("kind = 0").select("doc_id", "n", "h1", "h2", "sketch")
+    rows = scan.where("kind = 0").select("doc_id", "th", "n", "h1", "h2", "sketch")
     classes = cut_lineage(rows.where("n > 0 and doc_id is not null").groupBy("h1", "h2", "n")
-                          .agg(F.min("doc_id").alias("rep")))
-    reps = cut_lineage(classes.groupBy(F.col("h1").alias("cls"), F.col("n").cast("int").alias("n")).agg(
-        F.min("rep").alias("rep")))
+                          .agg(F.min(F.struct(_rid().alias("rep"), "th")).alias("one")))
+    reps = cut_lineage(classes.groupBy(F.col("h1").alias("cls"), F.col("n").cast("int").alias("n"))
+                       .agg(F.min("one").alias("one")).select("cls", "n", "one.*"))
 
     top = (scan.where("kind = 1").groupBy("token").agg(F.sum("cnt").alias("cnt"))
            .orderBy(F.desc("cnt"), "token").limit(COMMON_MAX).toArrow())
@@ -520,7 +537,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # members of different components in one list, not compared yet
     entries = found.where("kind = 1").select("token", "cls", "n")
     linked, got = cut_lineage_observed(
-        reps.join(comp.withColumnRenamed("id", "rep"), "rep").select("cls", "n", "component"),
+        reps.join(comp.withColumnRenamed("id", "cls"), "cls").select("cls", "n", "component"),
         [F.count(F.lit(1)).alias("m")])
     if got["m"] <= BROADCAST_IDS:
         linked = F.broadcast(linked)
@@ -541,11 +558,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                                         [F.count(F.lit(1)).alias("m")])
     rest = entries
     if got["m"]:
-        members, side = _wanted(entries.select("cls", "n", F.col("cls").alias("cls2"), F.col("n").alias("n2")), reps)
-        sketches = (rows.select(F.col("doc_id").alias("rep"), F.col("h1").alias("cls"),
-                                F.col("n").cast("int").alias("n"), "sketch")
-                    .join(side, ["rep", "cls", "n"]).dropDuplicates(["cls", "n"]).select("cls", "n", "sketch"))
-        rest = cut_lineage(_list_pairs(entries, sketches)
+        members, side, _ = _wanted(entries.select("cls", "n", F.col("cls").alias("cls2"), F.col("n").alias("n2")), reps)
+        rest = cut_lineage(_list_pairs(entries, _sketches(rows, side))
                            .join(first, ["cls", "n", "cls2", "n2"], "left_anti"))
         links = links.unionByName(verify(rest, docs, reps))
         comp = connected_components(links)
@@ -555,11 +569,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         drop_table(spark, table_path(t))
     release(spark)
 
-    ends = links.select(F.col("u").alias("rep")).unionByName(links.select(F.col("v").alias("rep")))
-    degree = ends.groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    named = (classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").join(degree, "rep", "left")
-             .select("h1", "h2", "n", F.coalesce("component", "rep").alias("component_id"), "n_links"))
-    return (rows.drop("sketch").join(named, ["h1", "h2", "n"], "left")
+    ends = links.select(F.col("u").alias("cls")).unionByName(links.select(F.col("v").alias("cls")))
+    degree = ends.groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))
+    grouped = reps.join(comp.withColumnRenamed("id", "cls"), "cls")
+    low = grouped.groupBy("component").agg(F.min("rep").alias("low"))
+    grouped = (grouped.join(low, "component").join(degree, "cls", "left")
+               .select(F.col("cls").alias("h1"), F.col("n").cast("long").alias("n"), "low", "n_links"))
+    named = (classes.join(grouped, ["h1", "n"], "left")
+             .select("h1", "h2", "n", F.coalesce("low", "one.rep").alias("component_id"), "n_links"))
+    return (rows.drop("sketch", "th").join(named, ["h1", "h2", "n"], "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
                     F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
                     .alias("component_id"),

@@ -122,6 +122,18 @@ def test_join_edge_rows(docs_of):
     assert jaccard_join.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_one_id_over_several_texts(docs_of, monkeypatch):
+    """Each text of an id keeps its own links, whichever text of the id is read last."""
+    w = [f"y{i}" for i in range(300)]
+    one, two = " ".join(w[:60]), " ".join(w[100:160])
+    others = [(5, " ".join(w[k:k + 40])) for k in range(160, 260, 20)]
+    rows = others[:3] + [(5, one), (5, two)] + others[3:] + [(7, one + " tail"), (9, two + " tail")]
+    for order in (rows, rows[::-1]):
+        got = {r["doc_id"]: r["component_id"] for r in
+               jaccard_join.near_duplicates(docs_of(order).coalesce(1)).collect()}
+        assert got == {5: 5, 7: 5, 9: 5}
+
+
 def test_large_lists_in_blocks(docs_of, monkeypatch):
     """Many texts that share passages but are no copies, some linked only with each other."""
     monkeypatch.setattr(jaccard_join, "LIST_ROWS", 4)
