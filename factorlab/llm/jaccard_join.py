@@ -256,7 +256,7 @@ def postings(docs: DataFrame, common: np.ndarray, common_rank: np.ndarray, x: in
                         [pa.array(np.concatenate(toks).view(np.int64)), pa.array(np.concatenate(cls)),
                          pa.array(np.concatenate(ns))], ["token", "cls", "n"])
 
-    return docs.where("doc_id is not null").select("text").mapInArrow(run, "token long, cls long, n int")
+    return docs.select("text").mapInArrow(run, "token long, cls long, n int")
 
 
 def lists(entries: DataFrame) -> DataFrame:
@@ -496,17 +496,14 @@ def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     return out
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links): one row per document.
-
-    ``n_links`` counts the verified links between classes that end at the
-    document's class; links that component contraction made redundant are not among them.
-    """
+def _groups(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, th, n, h1, h2, sketch) of all documents; (h1, h2, n, best) of all classes,
+    ``best`` being the smallest (id, text key) of the class's component; and the links."""
     spark = docs.sparkSession
     docs = _keyed(docs)
     scan = cut_lineage(scan_sets(docs), partition_by=["kind"])
     rows = scan.where("kind = 0").select("doc_id", "th", "n", "h1", "h2", "sketch")
-    classes = cut_lineage(rows.where("n > 0 and doc_id is not null").groupBy("h1", "h2", "n")
+    classes = cut_lineage(rows.where("n > 0").groupBy("h1", "h2", "n")
                           .agg(F.min(F.struct(_rid().alias("rep"), "th")).alias("one")))
     reps = cut_lineage(classes.groupBy(F.col("h1").alias("cls"), F.col("n").cast("int").alias("n"))
                        .agg(F.min("one").alias("one")).select("cls", "n", "one.*"))
@@ -569,27 +566,59 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         drop_table(spark, table_path(t))
     release(spark)
 
-    ends = links.select(F.col("u").alias("cls")).unionByName(links.select(F.col("v").alias("cls")))
-    degree = ends.groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))
     grouped = reps.join(comp.withColumnRenamed("id", "cls"), "cls")
-    low = grouped.groupBy("component").agg(F.min("rep").alias("low"))
-    grouped = (grouped.join(low, "component").join(degree, "cls", "left")
-               .select(F.col("cls").alias("h1"), F.col("n").cast("long").alias("n"), "low", "n_links"))
+    low = grouped.groupBy("component").agg(F.min(F.struct("rep", "th")).alias("low"))
+    grouped = grouped.join(low, "component").select(F.col("cls").alias("h1"), F.col("n").cast("long").alias("n"), "low")
     named = (classes.join(grouped, ["h1", "n"], "left")
-             .select("h1", "h2", "n", F.coalesce("low", "one.rep").alias("component_id"), "n_links"))
+             .select("h1", "h2", "n", F.coalesce("low", "one").alias("best")))
+    return rows, named, links
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links): one row per document.
+
+    ``n_links`` counts the verified links between classes that end at the
+    document's class; links that component contraction made redundant are not among them.
+    """
+    rows, named, links = _groups(docs)
+    ends = links.select(F.col("u").alias("h1")).unionByName(links.select(F.col("v").alias("h1")))
+    degree = ends.groupBy("h1").agg(F.count(F.lit(1)).alias("n_links"))
+    named = named.join(degree, "h1", "left")
     return (rows.drop("sketch", "th").join(named, ["h1", "h2", "n"], "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
-                    F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+                    F.when(F.col("doc_id").isNotNull(), F.coalesce("best.rep", "doc_id"))
                     .alias("component_id"),
                     F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """Pipeline form: of each component the document with the smallest id stays (and every
-    document without a component). Rows that share an id are one document."""
-    found = near_duplicates(docs)
-    dropped = found.where("doc_id is not null and component_id != doc_id").select("doc_id").distinct()
-    dropped, got = cut_lineage_observed(dropped, [F.count(F.lit(1)).alias("m")])
-    if got["m"] <= BROADCAST_IDS:
-        dropped = F.broadcast(dropped)
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+def keep_one(docs: DataFrame, one_row: bool = False) -> DataFrame:
+    """Of each component the document with the smallest id stays (and every document without
+    a component). Different texts of one id are judged apart.
+
+    ``one_row``, the pipeline's form: exactly one row of each component stays, so rows that
+    repeat and rows without doc_id (after all others) are copies too. Otherwise rows that
+    share an id are one document and rows without doc_id stay.
+    """
+    rows, named, _ = _groups(docs)
+    judged = rows.where("n > 0").join(named, ["h1", "h2", "n"]).select("doc_id", _rid().alias("__rid"),
+                                                                     F.col("th").alias("__th"), "best")
+    first = (F.col("__rid") == F.col("best.rep"))
+    if one_row:
+        first &= F.col("__th") == F.col("best.th")
+    gone = judged.where(~first) if one_row else judged.where(~first & F.col("doc_id").isNotNull())
+    keyed = docs.withColumn("__rid", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))) \
+        .withColumn("__th", text_key("text"))
+
+    def side(keys):
+        keys, got = cut_lineage_observed(keys, [F.count(F.lit(1)).alias("m")])
+        return (F.broadcast(keys) if got["m"] <= BROADCAST_IDS else keys), got["m"]
+
+    dropped, _ = side(gone.select("__rid", "__th").distinct())
+    kept = keyed.join(dropped, ["__rid", "__th"], "left_anti")
+    if one_row:
+        repeats, m = side(judged.where(first).groupBy("__rid", "__th").count().where("count > 1")
+                          .select("__rid", "__th"))
+        if m:
+            kept = kept.join(repeats, ["__rid", "__th"], "left_anti").unionByName(
+                kept.join(repeats, ["__rid", "__th"], "left_semi").dropDuplicates(["__rid", "__th"]))
+    return kept.select(*docs.columns)

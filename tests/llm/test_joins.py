@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from factorlab.llm import ann, jaccard_join, queries, suffix_dedup
+from factorlab.llm import ann, jaccard_join, pipeline as P, queries, suffix_dedup
 from factorlab.llm.components import connected_components
 
 SF = "/root/testdata/sf0.01"
@@ -134,6 +134,29 @@ def test_one_id_over_several_texts(docs_of, monkeypatch):
         assert got == {5: 5, 7: 5, 9: 5}
 
 
+def test_keep_one_row_of_each_group(docs_of, spark):
+    """Repeated rows and null ids are copies, texts of one id are judged apart, and what stays
+    keeps its text through the pipeline's next stage."""
+    rng = random.Random(4)
+    text = lambda: " ".join(f"k{rng.randrange(3000)}" for _ in range(120))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(3, a)] * 3 + [(None, a), (7, a + " tail")]  # one group: 3
+    rows += [(None, b), (None, b), (None, b + " tail")]  # null ids only: one row
+    rows += [(4, c), (9, c), (9, d)]  # the second text of 9 stays
+    rows += [(20, e), (20, e + " tail")]  # two linked texts of one id: one row
+    rows += [(30, ""), (31, None), (None, None)]  # empty sets link with nothing
+    docs = docs_of(rows)
+    kept = P.near_duplicates(spark, docs, SF)
+    assert kept.columns == docs.columns
+    got = sorted(((r["doc_id"] or -1), r["text"] or "") for r in kept.collect())
+    assert [i for i, _ in got] == [-1, -1, 3, 4, 9, 20, 30, 31]
+    assert got[0] == (-1, "") and got[1][1] in (b, b + " tail") and got[2:5] == [(3, a), (4, c), (9, d)]
+    after = P.repeated_passages(spark, kept, SF)
+    assert sorted(((r["doc_id"] or -1), r["text"] or "") for r in after.collect()) == got
+    apart = jaccard_join.keep_one(docs_of([(4, c), (9, c), (9, d)]))
+    assert sorted((r["doc_id"], r["text"]) for r in apart.collect()) == [(4, c), (9, d)]
+
+
 def test_large_lists_in_blocks(docs_of, monkeypatch):
     """Many texts that share passages but are no copies, some linked only with each other."""
     monkeypatch.setattr(jaccard_join, "LIST_ROWS", 4)
