@@ -26,10 +26,13 @@ A candidate pair is dropped when the parity sketches of its sets differ in more
 bits than linked sets can differ in elements (an exact bound: each element flips
 one bit); what is left is verified on the whole texts.
 
+Links are counted inside the finished components: blocks of classes meet in groups that
+intersect their whole sets, so every link counts and none becomes a row.
+
 Defined cases: null texts and texts without a word have the empty set and link
 with nothing; fewer than ``k`` words are one element, the whole sequence; rows
-without doc_id get n_shingles and a null component; equal rows fall into
-one class; an empty table gives an empty result.
+without doc_id link like others but get a null component; equal rows fall into
+one class and are linked; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -51,6 +54,8 @@ COMMON_LEAST = 3  # documents of a unit that make an element worth counting
 LIST_ROWS = 2048  # members of a list that are compared in one group
 COMMON_MAX = 1 << 16  # elements kept by the order, the most frequent
 MAX_LIGHT = 64
+GROUP_ELEMENTS = 1 << 20  # elements of a component's classes in one block
+BLOCK_ROWS, BLOCK_ELEMENTS = 128, 1 << 16  # classes and elements intersected at once (one class at least)
 BROADCAST_IDS = 1_000_000  # ids (8 bytes each); beyond it a shuffle join
 _NO_ID = (1 << 63) - 1  # stands for a null doc_id, after all others
 _SALT = np.uint64(0xA0761D6478BD642F)
@@ -497,16 +502,17 @@ def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def _groups(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows (doc_id, th, n, h1, h2, sketch) of all documents; (h1, h2, n, best) of all classes,
-    ``best`` being the smallest (id, text key) of the class's component; and the links."""
+    """Rows (doc_id, th, n, h1, h2, sketch) of all documents; (h1, h2, n, size, best) of all classes,
+    ``size`` their rows and ``best`` the smallest (id, text key) of the component; and
+    (cls, n, rep, th, size, component) of the classes with links."""
     spark = docs.sparkSession
     docs = _keyed(docs)
     scan = cut_lineage(scan_sets(docs), partition_by=["kind"])
     rows = scan.where("kind = 0").select("doc_id", "th", "n", "h1", "h2", "sketch")
     classes = cut_lineage(rows.where("n > 0").groupBy("h1", "h2", "n")
-                          .agg(F.min(F.struct(_rid().alias("rep"), "th")).alias("one")))
+                          .agg(F.min(F.struct(_rid().alias("rep"), "th")).alias("one"), F.count(F.lit(1)).alias("size")))
     reps = cut_lineage(classes.groupBy(F.col("h1").alias("cls"), F.col("n").cast("int").alias("n"))
-                       .agg(F.min("one").alias("one")).select("cls", "n", "one.*"))
+                       .agg(F.min("one").alias("one"), F.sum("size").alias("size")).select("cls", "n", "one.*", "size"))
 
     top = (scan.where("kind = 1").groupBy("token").agg(F.sum("cnt").alias("cnt"))
            .orderBy(F.desc("cnt"), "token").limit(COMMON_MAX).toArrow())
@@ -566,24 +572,125 @@ def _groups(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         drop_table(spark, table_path(t))
     release(spark)
 
-    grouped = reps.join(comp.withColumnRenamed("id", "cls"), "cls")
+    grouped = cut_lineage(reps.join(comp.withColumnRenamed("id", "cls"), "cls"))
     low = grouped.groupBy("component").agg(F.min(F.struct("rep", "th")).alias("low"))
-    grouped = grouped.join(low, "component").select(F.col("cls").alias("h1"), F.col("n").cast("long").alias("n"), "low")
-    named = (classes.join(grouped, ["h1", "n"], "left")
-             .select("h1", "h2", "n", F.coalesce("low", "one").alias("best")))
-    return rows, named, links
+    best = grouped.join(low, "component").select(F.col("cls").alias("h1"), F.col("n").cast("long").alias("n"), "low")
+    named = (classes.join(best, ["h1", "n"], "left")
+             .select("h1", "h2", "n", "size", F.coalesce("low", "one").alias("best")))
+    return rows, named, grouped
+
+
+def link_counts(sets: list[np.ndarray], size: np.ndarray, side: np.ndarray | None = None) -> np.ndarray:
+    """For every set the sizes of the sets linked with it (of the other side, if given), added up."""
+    n = np.array([len(s) for s in sets], np.int64)
+    order = np.argsort(n, kind="stable")
+    n, size = n[order], np.asarray(size, np.int64)[order]
+    side = None if side is None else np.asarray(side)[order]
+    start = np.concatenate([[0], np.cumsum(n)])
+    _, ids, cnt = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True, return_counts=True)
+    shared = cnt[ids] > 1  # elements of one set only are in no intersection
+    place = np.full(len(cnt), -1, np.int64)
+    cuts = [0]
+    while cuts[-1] < len(n):
+        i = cuts[-1]
+        j = int(np.searchsorted(start, start[i] + BLOCK_ELEMENTS, "right")) - 1
+        cuts.append(min(max(j, i + 1), i + BLOCK_ROWS, len(n)))
+    blocks = list(zip(cuts, cuts[1:]))
+    total = np.zeros(len(n), np.int64)
+
+    def dense(i, j, width):
+        part = slice(start[i], start[j])
+        row, at = np.repeat(np.arange(j - i), n[i:j]), place[ids[part]]
+        out = np.zeros((j - i, width), np.float32)
+        out[row[at >= 0], at[at >= 0]] = 1
+        return out
+
+    for k, (i, j) in enumerate(blocks):
+        mine = ids[start[i]:start[j]]
+        mine = np.unique(mine[shared[start[i]:start[j]]])
+        if not len(mine):
+            continue
+        place[mine] = np.arange(len(mine))
+        x = dense(i, j, len(mine))
+        for a, b in blocks[k:]:
+            if DEN * n[j - 1] < NUM * n[a]:
+                break  # all further sets are too large
+            both = (x if a == i else dense(a, b, len(mine))) @ x.T
+            either = n[a:b, None] + n[None, i:j] - both.astype(np.int64)
+            ok = DEN * both.astype(np.int64) >= NUM * either
+            if side is not None:
+                ok &= side[a:b, None] != side[None, i:j]
+            if a == i:
+                np.fill_diagonal(ok, False)
+            total[a:b] += ok @ size[i:j]
+            if a != i:
+                total[i:j] += size[a:b] @ ok
+        place[mine] = -1
+    out = np.empty_like(total)
+    out[order] = total
+    return out
+
+
+def count_links(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """(cls, n, links): the rows of other classes linked with a row of each class with links.
+
+    Two classes alone in a component are linked. The classes of a larger component are cut into
+    blocks by hash, and every two blocks meet in a group of their own with their whole texts.
+    """
+    all_of = grouped.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("all"),
+                                              F.sum(F.col("n").cast("long")).alias("elements"))
+    grouped = grouped.join(all_of, "component")
+    pairs = grouped.where("m = 2").select("cls", "n", (F.col("all") - F.col("size")).alias("links"))
+    nb = F.ceil(F.greatest(F.col("m") / F.lit(LIST_ROWS), F.col("elements") / F.lit(GROUP_ELEMENTS))).cast("int")
+    side, got = cut_lineage_observed(grouped.where("m > 2").select("cls", "n", "rep", "th", "size", "component",
+                                                                   nb.alias("nb")), [F.count(F.lit(1)).alias("m")])
+    if not got["m"]:
+        return pairs
+    texts = _class_texts(docs, F.broadcast(side) if got["m"] <= BROADCAST_IDS else side, got["m"])
+    rows = (texts.withColumn("b", F.pmod(F.xxhash64("cls", "n"), F.col("nb")).cast("int"))
+            .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+            .select("component", F.least("b", "j").alias("lo"), F.greatest("b", "j").alias("hi"), "b",
+                    "cls", "n", "size", "text"))
+
+    def run(batches):
+        key, group = None, []
+
+        def flush():
+            b, cls, n, size, sets = zip(*group)
+            links = link_counts(list(sets), np.array(size), np.array(b) if key[1] != key[2] else None)
+            return pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(n, pa.int32()), pa.array(links)],
+                                              ["cls", "n", "links"])
+
+        for batch in batches:
+            data, off, _ = utf8(batch.column("text"))
+            cols = [batch.column(c).to_pylist() for c in ("component", "lo", "hi", "b", "cls", "n", "size")]
+            for i, j in chunks(off):
+                for *r, s in zip(*[c[i:j] for c in cols], shingle_sets(texts_of(data, off, i, j))):
+                    if tuple(r[:3]) != key:
+                        if group:
+                            yield flush()
+                        key, group = tuple(r[:3]), []
+                    group.append((*r[3:], s))
+        if group:
+            yield flush()
+
+    counted = cut_lineage(rows.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi")
+                          .mapInArrow(run, "cls long, n int, links long"))
+    for t in (side, texts):
+        drop_table(docs.sparkSession, table_path(t))
+    release(docs.sparkSession)
+    return pairs.unionByName(counted.groupBy("cls", "n").agg(F.sum("links").alias("links")))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links): one row per document.
 
-    ``n_links`` counts the verified links between classes that end at the
-    document's class; links that component contraction made redundant are not among them.
+    ``n_links`` counts the other rows that are linked with the row, those of equal sets included.
     """
-    rows, named, links = _groups(docs)
-    ends = links.select(F.col("u").alias("h1")).unionByName(links.select(F.col("v").alias("h1")))
-    degree = ends.groupBy("h1").agg(F.count(F.lit(1)).alias("n_links"))
-    named = named.join(degree, "h1", "left")
+    rows, named, grouped = _groups(docs)
+    links = count_links(_keyed(docs), grouped).select(F.col("cls").alias("h1"), F.col("n").cast("long").alias("n"), "links")
+    named = named.join(links, ["h1", "n"], "left").select(
+        "h1", "h2", "n", "best", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
     return (rows.drop("sketch", "th").join(named, ["h1", "h2", "n"], "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
                     F.when(F.col("doc_id").isNotNull(), F.coalesce("best.rep", "doc_id"))

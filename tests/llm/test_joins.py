@@ -134,6 +134,34 @@ def test_one_id_over_several_texts(docs_of, monkeypatch):
         assert got == {5: 5, 7: 5, 9: 5}
 
 
+def brute_links(texts):
+    """For each text the other texts it is linked with, as a number."""
+    sets = []
+    for t in texts:
+        w = WORD.findall((t or "").translate(LOWER))
+        sets.append({tuple(w[k:k + 5]) for k in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} if w else set())
+    return [sum(i != j and bool(a) and 100 * len(a & b) >= 75 * len(a | b) for j, b in enumerate(sets))
+            for i, a in enumerate(sets)]
+
+
+@pytest.mark.parametrize("seed,rows_of_a_list", [(1, 2048), (2, 3)])
+def test_links_equal_brute_force(docs_of, seed, rows_of_a_list, monkeypatch):
+    """All links count: inside components, over blocks, to equal texts and to rows without id."""
+    monkeypatch.setattr(jaccard_join, "LIST_ROWS", rows_of_a_list)
+    monkeypatch.setattr(jaccard_join, "BLOCK_ROWS", 4)
+    rng = random.Random(seed)
+    base = [f"z{rng.randrange(900)}" for _ in range(90)]
+    texts = corpus(seed, 80)
+    for i in range(24):  # near copies of one text, some twice
+        w = base[:]
+        w[rng.randrange(90)] = f"n{i}"
+        texts += [" ".join(w)] * (1 + i % 2)
+    want = brute_links(texts)
+    rows = [(i if i % 7 else None, t) for i, t in enumerate(texts)]
+    got = sorted((r["doc_id"] or -1, r["n_links"]) for r in jaccard_join.near_duplicates(docs_of(rows)).collect())
+    assert got == sorted((i or -1, n) for (i, _), n in zip(rows, want)) and max(want) > 20
+
+
 def test_keep_one_row_of_each_group(docs_of, spark):
     """Repeated rows and null ids are copies, texts of one id are judged apart, and what stays
     keeps its text through the pipeline's next stage."""
