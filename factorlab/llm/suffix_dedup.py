@@ -47,7 +47,6 @@ INDEX_BYTES = 768 << 10
 HOT_BYTES = 1 << 20
 STEP = 16
 BROADCAST_IDS = 1_000_000
-_NO_ID = -(1 << 63)
 _A, _B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 _LOW32 = np.uint64(0xFFFFFFFF)
 
@@ -217,10 +216,11 @@ def _spans_by_text(hit: np.ndarray, start: np.ndarray, n: int, length: int):
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Rows with a key (did, th) that also tells apart different texts of one id."""
-    return docs.withColumn("__did", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))) \
-        .withColumn("__text", F.coalesce("text", F.lit(""))) \
-        .withColumn("__th", F.hash("__text"))
+    """Rows with a key (did, th) of two 64-bit hashes, both over the whole text and ``did`` also
+    over the id and the length: it tells apart different texts of one id, or without id."""
+    return docs.withColumn("__text", F.coalesce("text", F.lit(""))) \
+        .withColumn("__did", F.xxhash64(F.lit(1), F.col("doc_id").cast("long"), F.octet_length("__text"), "__text")) \
+        .withColumn("__th", F.xxhash64("__text"))
 
 
 def _segment_table(keyed: DataFrame, length: int) -> DataFrame:
@@ -237,7 +237,7 @@ def _segment_table(keyed: DataFrame, length: int) -> DataFrame:
                         ["did", "th", "start", "size", "anchor", "seg"])
 
     return keyed.select("__did", "__th", "__text").mapInArrow(
-        run, "did long, th int, start int, size int, anchor long, seg long")
+        run, "did long, th long, start int, size int, anchor long, seg long")
 
 
 def _segment_texts(reps: DataFrame, keyed: DataFrame) -> DataFrame:
@@ -251,7 +251,7 @@ def _segment_texts(reps: DataFrame, keyed: DataFrame) -> DataFrame:
 
     def run(batches):
         names = ["anchor", "seg", "cnt", "did", "th", "start", "text"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+        kinds = [pa.int64()] * 5 + [pa.int32(), pa.binary()]
         for b in batches:
             data, off, _ = utf8(b.column("__text"))
             did, th = b.column("did").to_pylist(), b.column("th").to_pylist()
@@ -269,14 +269,14 @@ def _segment_texts(reps: DataFrame, keyed: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     return docs.join(per_doc, ["did", "th"]).select("did", "th", "want", "__text").mapInArrow(
-        run, "anchor long, seg long, cnt long, did long, th int, start int, text binary")
+        run, "anchor long, seg long, cnt long, did long, th long, start int, text binary")
 
 
-_SPAN = "did long, th int, s int, e int"
+_SPAN = "did long, th long, s int, e int"
 
 
 def _span_batch(rows: list) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
                                       ["did", "th", "s", "e"])
 
@@ -340,11 +340,11 @@ def _hot_spans(texts: DataFrame, length: int) -> DataFrame:
                                  k1 - (1 << 63), k2 - (1 << 63)))
                     lo = hi + 1
             if rows:
-                kinds = [pa.int64()] * 4 + [pa.int32()] * 5 + [pa.int64()] * 2
+                kinds = [pa.int64()] * 5 + [pa.int32()] * 4 + [pa.int64()] * 2
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     rows = cut_lineage(texts.mapInArrow(
-        blocks, "anchor long, seg long, cnt long, did long, th int, s int, e int, lo int, hi int, "
+        blocks, "anchor long, seg long, cnt long, did long, th long, s int, e int, lo int, hi int, "
                 "k1 long, k2 long"))
     shared = rows.groupBy("k1").agg(F.count(F.lit(1)).alias("n1")).where("n1 > 1").select("k1")
     near = rows.join(shared, "k1")
@@ -368,13 +368,13 @@ def _hot_spans(texts: DataFrame, length: int) -> DataFrame:
                                     - (1 << 63))
                         rows_.append((did, th, start + o + p, start + o + p + length, cnt))
             if keys:
-                cols = [pa.array(c, k) for c, k in zip(zip(*rows_), [pa.int64()] + [pa.int32()] * 3 + [pa.int64()])]
+                cols = [pa.array(c, k) for c, k in zip(zip(*rows_), [pa.int64()] * 2 + [pa.int32()] * 2 + [pa.int64()])]
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64())] + cols,
                                                  ["k", "did", "th", "s", "e", "cnt"])
 
     each = cut_lineage(texts.join(single, ["anchor", "seg"]).select(
         "anchor", "cnt", "did", "th", "start", "text", "parts").mapInArrow(
-        strings, "k long, did long, th int, s int, e int, cnt long"))
+        strings, "k long, did long, th long, s int, e int, cnt long"))
     twice = each.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k")
     return whole.unionByName(each.where("cnt = 1").join(twice, "k").select("did", "th", "s", "e"))
 

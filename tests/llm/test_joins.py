@@ -298,6 +298,20 @@ def test_passages_equal_brute_force(docs_of, hot, monkeypatch):
     assert got == want
 
 
+@pytest.mark.parametrize("hot", [2 << 20, 0])
+def test_texts_with_equal_short_hashes_stay_apart(docs_of, spark, hot):
+    """Two texts without id whose 32-bit hashes collide: only the repeated one is cut."""
+    t = F.sha2(F.col("id").cast("string"), 512)
+    pair = (spark.range(300_000).select(t.alias("t")).groupBy(F.hash("t").alias("h"))
+            .agg(F.collect_list("t").alias("t")).where("size(t) = 2").orderBy("h").first()["t"])
+    rows = [(None, pair[0]), (None, pair[1]), (1, pair[0][:90] + "~"), (2, pair[0][20:])]
+    got = sorted((r["doc_id"] or -1, *r[1:]) for r in
+                 suffix_dedup.repeated_passages(docs_of(rows), 64, hot).collect())
+    want = sorted((i or -1, *d) for (i, _), d in zip(rows, digest([t.encode() for _, t in rows], 64)))
+    assert got == want
+    assert (-1, 128, 0, 0, hashlib.sha256(pair[1].encode()).hexdigest()) in got
+
+
 def test_cut_passages_keeps_columns(docs_of):
     p = "".join(random.Random(3).choice("abcdé") for _ in range(500))
     docs = docs_of([(1, "head " + p), (2, p + " tail"), (3, None), (4, "plain")])
