@@ -4,13 +4,14 @@ Every byte n-gram (2 to 5 bytes, inside a lower-cased word or touching its
 border) is hashed into ``BUCKETS`` rows of an embedding table; a text is the
 average of its rows, followed by a linear softmax. Embeddings and softmax are
 trained together by mini-batch stochastic gradient descent in numpy on a
-bounded sample (about ``PER_LANG`` texts of each of the ``MAX_LANGS`` most
-frequent languages, chosen by id hash); only their n-gram counts reach the
-driver. A held-back tenth gives the temperature that calibrates the score and
-the rejection threshold: a prediction with a lower score is marked ``rejected``.
+bounded sample of every language (about ``PER_LANG`` texts, chosen by id hash), which
+it goes through at least ``EPOCHS`` times; only their n-gram counts reach the driver. A
+held-back tenth gives the temperature that calibrates the score and the rejection
+threshold: a prediction with a lower score is marked ``rejected``.
 
 Since the average is linear, scoring uses the product of embedding table and
-softmax weights: one gather and one sum per n-gram.
+softmax weights: one gather and one sum per n-gram. With more than ``TABLE_LANGS``
+languages the two stay apart, so the model grows by ``DIM`` numbers a language.
 
 Defined cases: null texts and texts without a letter get ``und`` with score 0,
 rejected; equal texts get equal results; a language seen in no learning row is
@@ -32,8 +33,10 @@ from .common import chunks, crc_mod, hash01, texts_of, utf8
 BUCKETS_LOG2 = 14
 DIM = 16
 PER_LANG = 500
-MAX_LANGS = 200
-STEPS = 800  # mini-batches of the gradient descent
+TABLE_LANGS = 200
+EPOCHS = 14  # passes of the gradient descent over the sample
+STEPS, LANG_STEPS = 800, 200  # mini-batches of the gradient descent, at least: in all, for each language
+BATCH = 32
 _ASCII_NON_LETTER = np.array([c < 128 and not chr(c).isalpha() for c in range(256)])
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
                              0xD6E8FEB86659FD93)]
@@ -68,6 +71,7 @@ class LangModel:
     bias: np.ndarray | None
     temperature: float = 1.0
     reject_below: float = 0.0
+    weights: np.ndarray | None = None  # softmax weights, where ``table`` is the embedding alone
 
     def predict(self, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
         lang, score = ["und"] * len(texts), np.zeros(len(texts))
@@ -77,7 +81,8 @@ class LangModel:
             if not any(map(str.isalpha, t.decode("utf-8", "ignore"))):
                 continue
             idx = subwords(t)
-            z = (self.table[idx].mean(0) if len(idx) else 0.0) + self.bias
+            z = self.table[idx].mean(0) if len(idx) else np.zeros(self.table.shape[1])
+            z = (z if self.weights is None else z @ self.weights) + self.bias
             z = z / self.temperature
             p = np.exp(z - z.max())
             k = int(p.argmax())
@@ -85,11 +90,17 @@ class LangModel:
         return lang, score
 
 
+def steps_for(rows: int, langs: int) -> int:
+    """Mini-batches of the gradient descent over a sample of ``rows`` texts."""
+    return max(STEPS, LANG_STEPS * langs, -(-EPOCHS * rows // BATCH))
+
+
 def train_softmax(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, n_langs: int,
-                  buckets: int, dim: int = DIM, steps: int = STEPS, rate: float = 60.0,
-                  batch: int = 32, seed: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                  buckets: int, dim: int = DIM, steps: int | None = None, rate: float = 60.0,
+                  batch: int = BATCH, seed: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """SGD on (embedding, softmax weights, bias), the step falling to zero over ``steps``
     mini-batches; ``rows`` are (bucket ids, shares)."""
+    steps = steps_for(len(rows), n_langs) if steps is None else steps
     rng = np.random.default_rng(seed)
     emb = rng.uniform(-1, 1, (buckets, dim)).astype(np.float32) / dim
     w, bias = np.zeros((dim, n_langs), np.float32), np.zeros(n_langs, np.float32)
@@ -125,13 +136,14 @@ def learn_languages(docs: DataFrame, per_lang: int = PER_LANG, mod: int = 3, hel
     """Learn from text and non-null lang of rows outside the held-out fold."""
     fold = docs.select("doc_id", "text", "lang").where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod("doc_id", mod) != held_out))
-    counts = fold.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    counts = fold.groupBy("lang").count().collect()
     langs = sorted(r["lang"] for r in counts)
     if not langs:
         return LangModel([], None, None)
-    share = F.create_map(*[F.lit(v) for r in counts
-                           for v in (r["lang"], min(1.0, per_lang / r["count"]))])
-    picked = fold.where(hash01("doc_id", seed) < share[F.col("lang")])
+    share = fold.sparkSession.createDataFrame(
+        [(r["lang"], min(1.0, per_lang / r["count"])) for r in counts], "lang string, share double")
+    picked = fold.join(F.broadcast(share), "lang").where(hash01("doc_id", seed) < F.col("share")) \
+        .select("doc_id", "text", "lang")
 
     def run(batches):
         for b in batches:
@@ -150,14 +162,19 @@ def learn_languages(docs: DataFrame, per_lang: int = PER_LANG, mod: int = 3, hel
     rows = sorted((r for r in rows if len(r["idx"])), key=lambda r: (r["doc_id"], r["lang"], r["idx"]))
     if not rows:
         return LangModel([], None, None)
-    y = np.array([langs.index(r["lang"]) for r in rows])
+    number = {name: k for k, name in enumerate(langs)}
+    y = np.array([number[r["lang"]] for r in rows])
     x = [(np.frombuffer(r["idx"], np.int32), np.frombuffer(r["share"], np.float32)) for r in rows]
     held = np.arange(len(y)) % 10 == 9
+    held &= np.isin(y, y[~held])  # a language is never held back whole
     fit = np.flatnonzero(~held)
     emb, w, bias = train_softmax([x[i] for i in fit], y[fit], len(langs), 1 << bits, seed=seed)
-    model = LangModel(langs, (emb @ w).astype(np.float64), bias.astype(np.float64))
+    whole = len(langs) <= TABLE_LANGS
+    model = LangModel(langs, (emb @ w if whole else emb).astype(np.float64), bias.astype(np.float64),
+                      weights=None if whole else w.astype(np.float64))
     if held.any():
-        z = np.array([model.table[x[i][0]].T @ x[i][1] + model.bias for i in np.flatnonzero(held)])
+        z = np.array([model.table[x[i][0]].T @ x[i][1] for i in np.flatnonzero(held)])
+        z = (z if whole else z @ model.weights) + model.bias
         yh = y[held]
         best = None
         for t in np.geomspace(0.1, 10, 41):

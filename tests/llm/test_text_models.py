@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from factorlab.llm import lang_id, models, quality_classifier, quality_rules, queries, toxicity
 from factorlab.llm.textstats import Words, base_counts
@@ -140,6 +141,24 @@ def test_language_held_out(spark):
     assert all(0 <= r["score"] <= 1 for r in rows) and np.mean([r["rejected"] for r in rows]) < 0.1
 
 
+def test_many_languages(spark):
+    """More than 200 languages: each is learned, and every sampled text is seen in every epoch."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(210):
+        words = ["".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(3, 8))) for _ in range(60)]
+        rows += [(k * 60 + i, " ".join(rng.choice(words, 12)), f"l{k:03d}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = lang_id.learn_languages(docs)
+    assert model.langs == sorted({r[2] for r in rows})
+    assert all(lang_id.BATCH * lang_id.steps_for(n, 4) >= lang_id.EPOCHS * n for n in (1, 1_800, 25_650, 500_000))
+    lang = {r[0]: r[2] for r in rows}
+    held = lang_id.identify(docs.where(F.crc32(F.col("doc_id").cast("string")) % 3 == 1), model).collect()
+    right = sum(r["lang_pred"] == lang[r["doc_id"]] for r in held) / len(held)
+    print("held-out accuracy over 210 languages:", round(right, 4), "of", len(held))
+    assert right > 0.9
+
+
 def test_language_edge_rows(spark, docs_of):
     docs = docs_of([r + (("en", "fr", None)[k % 3],) for k, r in enumerate(EDGE)])
     got = {r["doc_id"]: r for r in lang_id.identify(docs, lang_id.learn_languages(docs, per_lang=5)).collect()}
