@@ -81,6 +81,34 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hard_negatives import mine
+    label = F.col("label").cast("bigint")
+    label = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return mine(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label=label).select(
+        "anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score", "positive_rank")
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard_documents
+    return shard_documents(table(spark, sf_dir, "documents"), 24).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("position").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic_runs import longest_run, periodic_runs, runs_digest, tail_order
+    found = periodic_runs(table(spark, sf_dir, "documents"), order=tail_order)
+    best = longest_run(F.col("runs"))
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), best.alias("best"),
+        runs_digest(F.col("runs")).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    ).select("doc_id", "n_runs", F.col("best.start").alias("start"), F.col("best.length").alias("length"),
+             F.col("best.period").alias("period"),
+             F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+             "runs_sha256", "collapsed_sha256")
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_language_id": op2_language_id,
@@ -92,6 +120,9 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_sharding": op12_sharding,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 # SQL twins, where SQL can express the operator (none of these: they are tested
