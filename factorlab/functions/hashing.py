@@ -8,6 +8,7 @@ against an SQL oracle.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,3 +52,10 @@ def uniform_factor(seed: int, side: str, id_col: Column, i: int, scale: float =
 def sql_uniform_factor(seed: int, side: str, id_sql: str, i: int, scale: float = 5.0) -> str:
     key = f"concat_ws(':', '{seed}', '{side}', CAST({id_sql} AS VARCHAR), '{i}')"
     return f"({scale}e0 * {sql_hash01(key)})"
+
+
+def mix64(x: np.ndarray) -> np.ndarray:
+    """64 well-mixed bits of every uint64 (wraps around): the numpy side of a row hash."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))

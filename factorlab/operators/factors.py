@@ -85,7 +85,9 @@ class RatingBlocks:
 def rating_blocks(ratings: DataFrame, key: str, other: str, width: int, n_cells: int) -> RatingBlocks:
     """Write the ratings of one side as blocks; ``width``: factor components per row."""
     spark = ratings.sparkSession
+    # one part per 64 MB; a bucket holds several parts where that is more than a table may have buckets
     parts = max(8, -(-n_cells * (16 + 8 * width) // PART_BYTES))
+    buckets = min(parts, MAX_BUCKETS)
     r = ratings.select(F.col(key).cast("bigint").alias("key"), F.col(other).cast("bigint").alias("other"), "rating")
     large = (r.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK)
              .select("key", F.ceil(F.col("n") / F.lit(CHUNK)).cast("int").alias("chunks")))
@@ -100,7 +102,7 @@ def rating_blocks(ratings: DataFrame, key: str, other: str, width: int, n_cells:
             .withColumn("p", F.pmod(F.xxhash64("key", "chunk"), F.lit(parts)).cast("int"))
             .select("p", "key", "chunks", F.col("cells.other").alias("other"), F.col("cells.rating").alias("rating")))
     name, path = "factorlab_blocks_" + uuid.uuid4().hex, new_table_path(spark)
-    (rows.repartition(parts, "p").write.bucketBy(parts, "p").sortBy("p").format("parquet")
+    (rows.repartition(buckets, "p").write.bucketBy(buckets, "p").sortBy("p").format("parquet")
      .option("path", path).saveAsTable(name))
     blocks = spark.table(name)
     needs = cut_lineage(blocks.select("p", F.explode("other").alias("id")).distinct())
@@ -132,48 +134,96 @@ def _lists(col) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(col.flatten()), np.asarray(col.offsets) - col.offsets[0].as_py()
 
 
-def _normal_kernel(models: Models, mask_threshold: float, rhs_mask: bool, grams: list | None):
-    """cogroup kernel: rating blocks of a part x the factors it needs -> solved factors, or
-    partial sums (``part``) of entities with several rows. ``grams``: the global Gram
-    matrices of the zero-filled variant, else None."""
-    sl = models.slices()
+MAX_BUCKETS = 100_000  # the library's own bound on the buckets of a table
+CELLS = 1 << 21  # numbers in one stacked product
+
+
+@dataclass(frozen=True)
+class Rule:
+    """What a half-step sums per entity.
+
+    masked: Gram and right-hand side over ratings above ``mask_threshold`` (``rhs_mask``: the latter too);
+    zero_filled: right-hand side only, one global Gram; implicit: confidence 1 + ``alpha`` |r|, preference
+    r > 0, so a correction of the global Gram by alpha |r| y yᵀ and the right-hand side
+    (1 + alpha |r|) y of the preferred ones. ``reg_by_count``: the ridge term times their number."""
+    method: str = "masked"
+    mask_threshold: float = 0.5
+    rhs_mask: bool = True
+    alpha: float = 1.0
+    reg_by_count: bool = False
+
+    @property
+    def own_gram(self) -> bool:
+        return self.method != "zero_filled"
+
+    @property
+    def global_gram(self) -> bool:
+        return self.method != "masked"
+
+
+def _weights(rule: Rule, r: np.ndarray, ok: np.ndarray):
+    """(weight of y yᵀ, weight of y, counted) per rating; padding and unknown partners weigh 0."""
+    if rule.method == "implicit":
+        c, liked = rule.alpha * np.abs(r) * ok, (r > 0) & ok
+        return c, (1.0 + c) * liked, liked
+    seen = (r > rule.mask_threshold) & ok
+    return seen.astype(float), r * (seen if rule.rhs_mask and rule.method == "masked" else ok), seen
 
-    def sums(y, r):
-        seen = r > mask_threshold
-        w = r * seen if rhs_mask and grams is None else r
-        out = []
-        for a, b, _ in sl:
-            m = y[:, a:b]
-            if grams is None:
-                o = m[seen]
-                out.append((o.T @ o).ravel())
-            out.append(m.T @ w)
-        return np.concatenate(out)
+
+def _entity_sums(models: Models, rule: Rule, y: np.ndarray, r: np.ndarray, ok: np.ndarray) -> np.ndarray:
+    """Sums of stacked entities: y (E, L, width), r and ok (E, L) -> per entity, for every model, Gram
+    entries (where it has its own) and right-hand side, then the number of counted ratings."""
+    cw, w, counted = _weights(rule, r, ok)
+    out = []
+    for a, b, _ in models.slices():
+        m = y[:, :, a:b]
+        if rule.own_gram:
+            out.append((np.swapaxes(m * cw[:, :, None], 1, 2) @ m).reshape(len(m), -1))
+        out.append((np.swapaxes(m, 1, 2) @ w[:, :, None])[:, :, 0])
+    return np.concatenate([*out, counted.sum(1, keepdims=True)], 1)
+
+
+def _normal_kernel(models: Models, rule: Rule, grams: list | None):
+    """cogroup kernel: rating blocks of a part x the factors it needs -> solved factors, or
+    partial sums (``part``) of entities with several rows. Entities of about equal length are
+    stacked (their rows padded to a power of two) and summed and solved together."""
+    per_entity = sum((b - a) ** 2 * rule.own_gram + b - a for a, b, _ in models.slices()) + 1
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return _solved_table([], [], [], models.width)
+            return _solved_table([], np.zeros((0, models.width)), [], models.width)
         ids = np.asarray(right.column("id").combine_chunks())
         order = np.argsort(ids)
         ids, f = ids[order], _wide(right.column("f"), models.width)[order]
         other, off = _lists(left.column("other"))
-        rating, _ = _lists(left.column("rating"))
+        rating = _lists(left.column("rating"))[0].astype(float)
         at = np.searchsorted(ids, other) if len(ids) else np.zeros(len(other), int)
         at = np.minimum(at, max(0, len(ids) - 1))
+        # a partner without factors (not rated in training) adds nothing
         known = ids[at] == other if len(ids) else np.zeros(len(other), bool)
+        if not len(ids):
+            f = np.zeros((1, models.width))
         keys = np.asarray(left.column("key").combine_chunks())
-        chunks = np.asarray(left.column("chunks").combine_chunks())
-        one, several = [], {}
-        for i in range(len(keys)):
-            k = slice(off[i], off[i + 1])
-            ok = known[k]  # a partner without factors (not rated in training) adds nothing
-            v = sums(f[at[k][ok]], rating[k][ok].astype(float))
-            if chunks[i] == 1:
-                one.append((keys[i], v))
-            else:
-                several[keys[i]] = several.get(keys[i], 0.0) + v
-        solved = solve_sums(np.array([v for _, v in one]), models, grams) if one else np.zeros((0, models.width))
-        return _solved_table([k for k, _ in one], solved, list(several.items()), models.width)
+        several = np.asarray(left.column("chunks").combine_chunks()) > 1
+        size = np.diff(off)
+        padded = np.where(size > 0, 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(int), 1)
+        one_k, one_f, parts = [], [], {}
+        for length in np.unique(padded):
+            rows = np.flatnonzero(padded == length)
+            step = max(1, min(CELLS // (length * models.width), CELLS // per_entity))
+            for i in range(0, len(rows), step):
+                e = rows[i:i + step]
+                place = np.arange(length)[None, :]
+                inside = place < size[e][:, None]
+                place = np.minimum(off[e][:, None] + place, max(0, len(other) - 1))
+                ok = inside & known[place]
+                v = _entity_sums(models, rule, f[at[place]], rating[place], ok)
+                many = several[e]
+                one_k.append(keys[e][~many])
+                one_f.append(solve_sums(v[~many], models, rule, grams))
+                for k, x in zip(keys[e][many].tolist(), v[many]):
+                    parts[k] = parts.get(k, 0.0) + x
+        return _solved_table(np.concatenate(one_k), np.concatenate(one_f), list(parts.items()), models.width)
 
     return run
 
@@ -181,22 +231,35 @@ def _normal_kernel(models: Models, mask_threshold: float, rhs_mask: bool, grams:
 _SOLVED = "id bigint, f array<double>, part array<double>"
 
 
-def _solved_table(keys, solved, several, width) -> pa.Table:
-    n = len(keys)
-    lists = pa.list_(pa.float64())
-    f = [list(x) for x in solved] + [None] * len(several)
-    part = [None] * n + [v.tolist() for _, v in several]
-    return pa.table({"id": pa.array([int(k) for k in keys] + [int(k) for k, _ in several], pa.int64()),
-                     "f": pa.array(f, lists), "part": pa.array(part, lists)})
+def _list_column(rows: np.ndarray, nulls_before: int = 0, nulls_after: int = 0) -> pa.Array:
+    """Equal-length rows as a list<double> column between null rows."""
+    n, k = rows.shape
+    off = np.concatenate([np.zeros(nulls_before, np.int32), np.arange(n + 1, dtype=np.int32) * k,
+                          np.full(nulls_after, n * k, np.int32)])
+    null = np.ones(nulls_before + n + nulls_after, bool)
+    null[nulls_before:nulls_before + n] = False
+    return pa.ListArray.from_arrays(pa.array(off), pa.array(rows.ravel()), mask=pa.array(null))
+
 
+def _solved_table(keys, solved: np.ndarray, several: list, width: int) -> pa.Table:
+    n, m = len(keys), len(several)
+    sums = np.array([v for _, v in several]) if m else np.zeros((0, 1))
+    ids = np.concatenate([np.asarray(keys, np.int64), np.array([k for k, _ in several], np.int64)])
+    return pa.table({"id": pa.array(ids), "f": _list_column(solved.reshape(n, width), 0, m),
+                     "part": _list_column(sums, n, 0)})
 
-def solve_sums(v: np.ndarray, models: Models, grams: list | None) -> np.ndarray:
-    """Factors of all models from rows of sums (Gram entries and right-hand sides in turn)."""
+
+def solve_sums(v: np.ndarray, models: Models, rule: Rule, grams: list | None) -> np.ndarray:
+    """Factors of all models from rows of sums (see :func:`_entity_sums`)."""
     out, at = np.zeros((len(v), models.width)), 0
+    if not len(v):
+        return out
+    count = v[:, -1] if rule.reg_by_count else np.ones(len(v))
     for m, (a, b, reg) in enumerate(models.slices()):
         k = b - a
-        if grams is None:
-            g = v[:, at:at + k * k].reshape(-1, k, k) + reg * np.eye(k)
+        if rule.own_gram:
+            g = v[:, at:at + k * k].reshape(-1, k, k) + (reg * count)[:, None, None] * np.eye(k)
+            g = g + grams[m] if rule.global_gram else g
             at += k * k
             out[:, a:b] = np.linalg.solve(g, v[:, at:at + k, None])[:, :, 0]
         else:
@@ -205,13 +268,12 @@ def solve_sums(v: np.ndarray, models: Models, grams: list | None) -> np.ndarray:
     return out
 
 
-def half_step(side: RatingBlocks, fixed: DataFrame, models: Models, method: str = "masked",
-              mask_threshold: float = 0.5, rhs_mask: bool = True) -> DataFrame:
+def half_step(side: RatingBlocks, fixed: DataFrame, models: Models, rule: Rule = Rule()) -> DataFrame:
     """(id, f) of the entities of ``side`` given the other side's factors (id, f)."""
-    grams = global_grams(fixed, models) if method == "zero_filled" else None
+    grams = global_grams(fixed, models) if rule.global_gram else None
     sent = fixed.select("id", "f").join(side.needs, "id").select("p", "id", "f")
     out = side.blocks.groupBy("p").cogroup(sent.groupBy("p")).applyInArrow(
-        _normal_kernel(models, mask_threshold, rhs_mask, grams), _SOLVED)
+        _normal_kernel(models, rule, grams), _SOLVED)
     out = cut_lineage(out)
     if not side.several:
         done = out.select("id", "f")
@@ -221,7 +283,7 @@ def half_step(side: RatingBlocks, fixed: DataFrame, models: Models, method: str
     def add(table: pa.Table) -> pa.Table:
         part = table.column("part").combine_chunks()
         v = np.asarray(part.flatten(), float).reshape(len(part), -1).sum(0)
-        f = solve_sums(v[None], models, grams)
+        f = solve_sums(v[None], models, rule, grams)
         return pa.table({"id": table.column("id").slice(0, 1), "f": pa.array([f[0].tolist()], pa.list_(pa.float64()))})
 
     # entities with several rows: at most one partial sum per part
@@ -258,27 +320,34 @@ def global_grams(fixed: DataFrame, models: Models) -> list:
 
 
 def one_half_step(ratings: DataFrame, fixed: DataFrame, key: str, other: str, rank: int, reg: float,
-                  method: str = "masked", mask_threshold: float = 0.5, rhs_mask: bool = True) -> DataFrame:
+                  rule: Rule = Rule()) -> DataFrame:
     """A single half-step from plain (user_id, item_id, rating) cells: (id, f) of the
     ``key`` side for keys that have ratings; cold keys are added by :func:`with_cold`."""
     ratings, m = cut_lineage_observed(ratings.select(USER, ITEM, "rating"), [F.count(F.lit(1)).alias("n")])
     models = Models([rank], [reg])
     side = rating_blocks(ratings, key, other, rank, m["n"])
-    out = half_step(side, cut_lineage(fixed.select(F.col("id").cast("bigint").alias("id"), "f")), models,
-                    method, mask_threshold, rhs_mask)
+    out = half_step(side, cut_lineage(fixed.select(F.col("id").cast("bigint").alias("id"), "f")), models, rule)
     side.drop(ratings.sparkSession)
     return out
 
 
 def masked_half_step(ratings, fixed, key, other, rank, reg, **kw) -> DataFrame:
     """Solve the ``key`` side given the ``other`` side's factors (M6)."""
-    return one_half_step(ratings, fixed, key, other, rank, reg, "masked", **kw)
+    return one_half_step(ratings, fixed, key, other, rank, reg, Rule("masked", **kw))
 
 
 def zero_filled_half_step(ratings, fixed, key, other, rank, reg) -> DataFrame:
     """Solve the ``key`` side with unrated cells as zeros (M5):
     x_u = (YᵀY + lambda I)⁻¹ Σ_i r_ui y_i."""
-    return one_half_step(ratings, fixed, key, other, rank, reg, "zero_filled")
+    return one_half_step(ratings, fixed, key, other, rank, reg, Rule("zero_filled"))
+
+
+def implicit_half_step(plays, fixed, key, other, rank, reg, alpha=1.0, reg_by_count=False) -> DataFrame:
+    """Solve the ``key`` side of the implicit model (M1) from (user_id, item_id, rating) counts, one row a cell:
+    x_u = (YᵀY + Σ_i α|r_ui| y_i y_iᵀ + λ I)⁻¹ Σ_{r_ui > 0} (1 + α r_ui) y_i. YᵀY is summed over all rows of
+    ``fixed`` once; per entity only its own counts correct it. ``reg_by_count``: λ times the number of
+    positive counts, as the library model has it."""
+    return one_half_step(plays, fixed, key, other, rank, reg, Rule("implicit", alpha=alpha, reg_by_count=reg_by_count))
 
 
 def with_cold(solved: DataFrame, spine: DataFrame | None, rank: int, start: DataFrame | None = None) -> DataFrame:
@@ -341,9 +410,10 @@ def train_models(ratings: DataFrame, ranks: list, regs: list, iters: int, method
                  user_spine: DataFrame | None = None, item_spine: DataFrame | None = None,
                  seed: int = 45, duplicates: str = "mean", mask_threshold: float = 0.5,
                  rhs_mask: bool = True, trace_on: DataFrame | None = None, cold: str = "zero",
-                 broadcast_max_bytes: int = joins.DEFAULT_BROADCAST_MAX_BYTES) -> list:
+                 broadcast_max_bytes: int = joins.DEFAULT_BROADCAST_MAX_BYTES, snapshots=None):
     """Alternating least squares, users first then items, ``iters`` rounds, for several
-    (rank, ridge term) models in one loop; one :class:`FactorModel` each.
+    (rank, ridge term) models in one loop; one :class:`FactorModel` each. ``snapshots``: rounds whose state is kept
+    on the way; the result is then {round: models} of these rounds, the last of which ends the loop.
 
     ``user_spine`` / ``item_spine``: DataFrames with an ``id`` column listing
     every entity; default: ids present in the ratings. ``cold``: entities without
@@ -381,17 +451,19 @@ def train_models(ratings: DataFrame, ranks: list, regs: list, iters: int, method
                 [t[i] for t in trace], b - a, n_users, n_items, broadcast_max_bytes))
         return out
 
+    rule = Rule(method, mask_threshold, rhs_mask)
+
     def step(side, fixed):
-        return half_step(side, fixed, models, method, mask_threshold, rhs_mask)
+        return half_step(side, fixed, models, rule)
 
     # Inside the loop only entities with ratings carry factors: a cold entity's
     # factor is 0 after its first update, so it adds nothing to any sum. The
     # initial item table covers the whole item spine (the first user half-step
     # of the zero-filled variant sums all of it).
     items_f = cut_lineage(start(i_ids, "item"))
-    users_f, trace = None, []
-    for it in range(1, iters + 1):
-        old = [table_path(d) for d in (users_f, items_f) if d is not None]
+    users_f, trace, kept = None, [], {}
+    for it in range(1, (max(snapshots) if snapshots else iters) + 1):
+        old = [table_path(d) for d in (users_f, items_f) if d is not None and it - 1 not in kept]
         users_f = step(by_user, items_f)
         items_f = step(by_item, users_f)
         if trace_on is not None:
@@ -399,7 +471,9 @@ def train_models(ratings: DataFrame, ranks: list, regs: list, iters: int, method
                           for now in fitted(users_f, items_f)])
         for path in old:
             drop_table(spark, path)
-    out = fitted(users_f, items_f, trace)
+        if snapshots and it in snapshots:
+            kept[it] = fitted(users_f, items_f, trace)
+    out = kept if snapshots else fitted(users_f, items_f, trace)
     by_user.drop(spark)
     by_item.drop(spark)
     drop_table(spark, table_path(r))  # the models do not reference the ratings

@@ -1,12 +1,12 @@
-"""Labelled pairs, pair distances and losses, mini-batch metric learning and
-the within-key 1-nearest-neighbour rating predictor.
+"""Labelled pairs, pair distances and losses, and metric learning (the 1-nearest-neighbour
+predictor under a metric is in :mod:`neighbours`).
 
 Everything that scales with the data runs as Spark jobs: pair sampling is
 equi-joins on exact global row positions, distances are native array
-expressions (or Arrow-batched numpy for a full d x d metric), the gradient
+expressions (a full d x d metric is applied by projecting every row once), the gradient
 of one epoch is a partial d x d sum per partition reduced by a native
-aggregate, and the 1-NN search compares bounded blocks of a key's training
-and query rows. Only d x d matrices reach the driver.
+aggregate, and stochastic steps run side by side in tasks whose matrices are averaged.
+Only d x d matrices reach the driver.
 """
 
 from __future__ import annotations
@@ -19,23 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash01, md5_u60
-from ..functions.vectors import diag_quad, sq_dist, sub
+from ..functions.vectors import diag_quad, dot, sq_dist, sub
 from ..session import cut_lineage, drop_table, table_path
-from . import joins
+from .neighbours import matrix_of, metric_factor, nearest_train, project_rows  # noqa: F401 (re-exported)
 from .splits import index_rows_total
 
 
-def _matrix(arr: pa.Array) -> np.ndarray:
-    """A list<double> Arrow column of equal-length rows as an (n, d) matrix
-    (zero-copy view of the child values)."""
-    arr = arr.combine_chunks() if isinstance(arr, pa.ChunkedArray) else arr
-    n = len(arr)
-    if n == 0:
-        return np.zeros((0, 0))
-    flat = arr.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(n, -1)
-
-
 # ------------------------------------------------------------------ pairs
 def generate_pairs(df: DataFrame, id_col: str, label_col: str, n_pairs: int,
                    positive_ratio: float, seed: int = 42) -> DataFrame:
@@ -110,32 +99,28 @@ def pair_euclid(pv: DataFrame) -> DataFrame:
     return pv.withColumn("dist", F.sqrt(sq_dist(F.col("xa"), F.col("xb"))))
 
 
-def _quad_batches(m: np.ndarray):
-    def run(batches):
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            xa = np.stack(pdf["xa"].to_numpy())
-            xb = np.stack(pdf["xb"].to_numpy())
-            d = xa - xb
-            out = pdf.drop(columns=["xa", "xb"])
-            out["d2"] = np.einsum("ni,ij,nj->n", d, m, d)
-            yield out
-    return run
-
-
 def pair_mahalanobis(pv: DataFrame, m=None) -> DataFrame:
     """d² = δᵀ M δ per pair (no square root). ``m``: None (identity), a
-    1-D diagonal (native expression) or a full d x d matrix (numpy batches)."""
+    1-D diagonal or a full matrix, all native. Where a row lies in several pairs,
+    :func:`pair_mahalanobis_full` applies a full matrix once a row instead."""
     if m is None:
         return pv.withColumn("d2", sq_dist(F.col("xa"), F.col("xb")))
     arr = np.asarray(m, dtype=float)
-    if arr.ndim == 1:
-        return pv.withColumn("d2", diag_quad(sub(F.col("xa"), F.col("xb")), arr.tolist()))
-    fields = [f for f in pv.schema.fields]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields
-                       if f.name not in ("xa", "xb")) + ", d2 double"
-    return pv.mapInPandas(_quad_batches(arr), schema)
+    if arr.ndim == 2:
+        p, signs = metric_factor(arr)
+        rows = F.lit(p.tolist())
+        axes = F.transform(rows, lambda r: dot(r, sub(F.col("xa"), F.col("xb"))))
+        return pv.withColumn("d2", diag_quad(axes, signs))
+    return pv.withColumn("d2", diag_quad(sub(F.col("xa"), F.col("xb")), arr.tolist()))
+
+
+def pair_mahalanobis_full(pairs: DataFrame, feat: DataFrame, m, id_col: str = "row_id",
+                          x_col: str = "x") -> DataFrame:
+    """M16 with a full d x d matrix: the matrix is factored once, every row is projected once,
+    and a pair's d² is a signed sum of squares over both projections."""
+    p, signs = metric_factor(m)
+    rows = project_rows(feat.select(id_col, x_col), p, x_col)
+    return pair_mahalanobis(pair_vectors(pairs, rows, id_col, x_col), signs)
 
 
 def hinge(d2: F.Column, y: F.Column, margin: float = 2.0) -> F.Column:
@@ -173,8 +158,8 @@ def _grad_batches(m: np.ndarray, margin_obj: float, margin_grad: float):
         for rb in batches:
             if rb.num_rows == 0:
                 continue
-            xa = _matrix(rb.column("xa"))
-            xb = _matrix(rb.column("xb"))
+            xa = matrix_of(rb.column("xa"))
+            xb = matrix_of(rb.column("xb"))
             y = rb.column("y").to_numpy(zero_copy_only=False).astype(float)
             delta = xa - xb
             d2 = np.einsum("ni,ij,nj->n", delta, m, delta)
@@ -250,111 +235,77 @@ def learn_metric(feat: DataFrame, d: int, epochs: int = 20, gamma=lambda t: 0.00
     return m, trace
 
 
-def epoch_seed(seed, epoch: int) -> str:
-    return f"{seed}.{epoch}"
+def local_steps(m: np.ndarray, delta: np.ndarray, y: np.ndarray, first_step: int, batch: int, gamma, alpha,
+                margin: float) -> np.ndarray:
+    """Stochastic steps from ``m``: one per ``batch`` pairs, each M <- PSD(M - γ(t) G) with
+    G = mean(y·[active]·δδᵀ) + α(t) M. A step whose matrix has a Cholesky factor needs no projection."""
+    m, eye = m.copy(), np.eye(len(m)) * 1e-12
+    for k, i in enumerate(range(0, len(y), batch)):
+        t, d, s = first_step + k, delta[i:i + batch], y[i:i + batch]
+        d2 = ((d @ m) * d).sum(1)
+        w = s * (1.0 + s * (d2 - margin) > 0)
+        m -= gamma(t) * ((d * w[:, None]).T @ d / len(s) + alpha(t) * m)
+        try:
+            np.linalg.cholesky(m + eye)
+        except np.linalg.LinAlgError:
+            m = nearest_psd(m)
+    return m
+
+
+def _group_steps(m: np.ndarray, first_step: int, batch: int, gamma, alpha, margin: float):
+    """One group's steps on its pairs in the order of their numbers: (i, j, v) of its matrix."""
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("pair_id")
+        delta = matrix_of(t.column("xa")) - matrix_of(t.column("xb"))
+        out = local_steps(m, delta, t.column("y").to_numpy(), first_step, batch, gamma, alpha, margin)
+        i, j = np.indices(out.shape)
+        return pa.table({"i": pa.array(i.ravel(), pa.int32()), "j": pa.array(j.ravel(), pa.int32()),
+                         "v": pa.array(out.ravel())})
+    return run
 
 
-# ------------------------------------------------------------- 1-NN rating
-def _nn_kernel(xt, xq, m):
-    """Squared distances of every query row to every train row, summed term
-    by term in a fixed order (so equal distances stay bit-identical)."""
-    delta = xq[:, None, :] - xt[None, :, :]
-    acc = np.zeros(delta.shape[:2])
-    if m is None:
-        for c in range(delta.shape[2]):
-            acc = acc + delta[:, :, c] * delta[:, :, c]
-    elif m.ndim == 1:
-        for c in range(delta.shape[2]):
-            acc = acc + m[c] * (delta[:, :, c] * delta[:, :, c])
-    else:
-        for a in range(delta.shape[2]):
-            for b in range(delta.shape[2]):
-                if m[a, b] != 0.0:
-                    acc = acc + m[a, b] * (delta[:, :, a] * delta[:, :, b])
-    return acc
-
-
-def _nn_batches(m: np.ndarray | None, decimals: int):
-    def run(batches):
-        for rb in batches:
-            if rb.num_rows == 0:
-                continue
-            tr, te = rb.column("train"), rb.column("test")
-            t_off = tr.offsets.to_numpy()
-            q_off = te.offsets.to_numpy()
-            tv, qv = tr.values, te.values  # StructArrays of all rows in the batch
-            xt_all = _matrix(tv.field("x"))
-            xq_all = _matrix(qv.field("x"))
-            t_ord_all = np.asarray(tv.field("t_ord").to_pylist(), dtype=object)
-            rating_all = tv.field("rating").to_numpy(zero_copy_only=False).astype(float)
-            q_id_all = np.asarray(qv.field("q_id").to_pylist(), dtype=object)
-            q_ids, best_d, best_t, best_r = [], [], [], []
-            for k in range(rb.num_rows):
-                ts, te_ = t_off[k], t_off[k + 1]
-                qs, qe = q_off[k], q_off[k + 1]
-                if te_ == ts or qe == qs:
-                    continue
-                d2 = np.round(_nn_kernel(xt_all[ts:te_], xq_all[qs:qe], m), decimals)
-                t_ord = t_ord_all[ts:te_]
-                order = np.argsort(np.argsort(t_ord, kind="stable"), kind="stable")
-                bd = d2.min(axis=1)
-                cand = np.where(d2 == bd[:, None], order[None, :], len(order) + 1)
-                pick = cand.argmin(axis=1)
-                q_ids.append(q_id_all[qs:qe])
-                best_d.append(bd)
-                best_t.append(t_ord[pick])
-                best_r.append(rating_all[ts:te_][pick])
-            if q_ids:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(q_ids).tolist(), pa.string()),
-                     pa.array(np.concatenate(best_d)),
-                     pa.array(np.concatenate(best_t).tolist(), pa.string()),
-                     pa.array(np.concatenate(best_r))],
-                    ["q_id", "d2", "t_ord", "nn_rating"])
-    return run
+def stochastic_metric(feat: DataFrame, d: int, rounds: int = 10, groups: int = 10, steps: int = 1000, batch: int = 10,
+                      gamma=lambda t: 0.001 / np.sqrt(t + 1), alpha=lambda t: 1e-8, margin_obj: float = 2.0,
+                      margin_grad: float = 0.5, n_objective: int = 1000, positive_ratio: float = 0.1, seed: int = 42,
+                      id_col: str = "row_id", label_col: str = "label", x_col: str = "x"):
+    """M20 (stochastic): ``rounds`` x ``groups`` x ``steps`` steps of ``batch`` pairs. In a round every
+    group starts from the same matrix and takes ``steps`` steps on its own fresh pairs inside one task;
+    the groups' matrices are averaged (one d x d partial sum a group). A group holds
+    ``steps`` x ``batch`` pairs whatever the table's size; the step size goes on counting over the rounds.
 
+    Returns (M, trace rows [(round, steps so far, objective, n_pairs)]); the objective is taken on fixed pairs
+    before each round, and once more at the end."""
+    spark = feat.sparkSession
+    feat = cut_lineage(feat.select(F.col(id_col).alias("row_id"), F.col(label_col).alias("label"),
+                                   F.col(x_col).alias("x")))
+    index = pair_index(feat, "row_id", "label")
+    fixed = cut_lineage(pair_vectors(pairs_of_index(index, n_objective, positive_ratio, seed), feat)
+                        .select("xa", "xb", "y"))
+    m, trace = np.eye(d), []
 
-def nearest_train(train: DataFrame, test: DataFrame, key: str, m=None, block: int = 256,
-                  decimals: int = 9) -> DataFrame:
-    """For every query row, the training row with the same ``key`` and
-    the smallest δᵀ M δ (rounded to ``decimals``), ties to the smallest
-    ``t_ord``; returns (q_id, d2, t_ord, nn_rating).
-
-    A NULL component counts as 0 (the mean of a centred feature), so rows with
-    missing features stay comparable. train: (key, t_ord, rating, x); test: (key, q_id, x). Each key's rows are
-    cut into hash blocks of about ``block`` rows. Every query block is paired
-    with each training block of its key by exploding the training-block ids
-    and joining on (key, block), so one hot key's block pairs spread over all
-    tasks; each pair is one bounded numpy kernel call. Joins against per-key
-    tables keep hot keys out of the shuffle (``joins.split_join``). Per block
-    the best candidate per query row is kept; a native min_by picks the winner.
-    """
-    arr = None if m is None else np.asarray(m, dtype=float)
-    parts = joins.shuffle_parts(train)
-    filled = F.transform(F.col("x"), lambda v: F.coalesce(v, F.lit(0.0)))
-    train, test = train.withColumn("x", filled), test.withColumn("x", filled)
-    t_counts = train.groupBy(key).agg(F.count(F.lit(1)).alias("_ct"))
-    q_counts = test.groupBy(key).agg(F.count(F.lit(1)).alias("_cq"))
-    totals = (t_counts.agg(F.sum("_ct")).first()[0] or 0, q_counts.agg(F.sum("_cq")).first()[0] or 0)
-    hot = sorted(set(joins.hot_keys_from_counts(t_counts, key, "_ct", totals[0], parts))
-                 | set(joins.hot_keys_from_counts(q_counts, key, "_cq", totals[1], parts)))
-    nb_t = t_counts.select(key, F.greatest(F.lit(1), F.ceil(F.col("_ct") / F.lit(block))).alias("_nbt"))
-    nb_q = q_counts.select(key, F.greatest(F.lit(1), F.ceil(F.col("_cq") / F.lit(block))).alias("_nbq"))
-
-    tj = joins.split_join(train, nb_t, key, hot)
-    tb = (tj.withColumn("train_blk", F.pmod(F.xxhash64(F.col("t_ord")), F.col("_nbt")))
-          .groupBy(key, "train_blk")
-          .agg(F.collect_list(F.struct("t_ord", "rating", "x")).alias("train")))
-    qj = joins.split_join(test, nb_q, key, hot)
-    qb = (qj.withColumn("test_blk", F.pmod(F.xxhash64(F.col("q_id")), F.col("_nbq")))
-          .groupBy(key, "test_blk")
-          .agg(F.collect_list(F.struct("q_id", "x")).alias("test")))
-    qbx = (joins.split_join(qb, nb_t, key, hot)
-           .withColumn("train_blk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_nbt") - 1))))
-    pairs = qbx.join(tb, [key, "train_blk"]).select("train", "test")
-    cand = pairs.mapInArrow(_nn_batches(arr, decimals),
-                            "q_id string, d2 double, t_ord string, nn_rating double")
-    return cand.groupBy("q_id").agg(
-        F.min("d2").alias("d2"),
-        F.min_by(F.struct("t_ord", "nn_rating"), F.struct("d2", "t_ord")).alias("_w")
-    ).select("q_id", "d2", F.col("_w.t_ord").alias("t_ord"), F.col("_w.nn_rating").alias("nn_rating"))
+    def objective(t):
+        _, hinge_sum, n, _ = _collect_gradient(epoch_gradient(fixed, m, margin_obj, margin_grad), d)
+        return (hinge_sum / n if n else None), n
+
+    for r in range(rounds + 1):
+        done = r * steps
+        loss, n = objective(done)
+        if loss is None:
+            break
+        trace.append((r, done * groups, loss + alpha(done) / 2.0 * float(np.linalg.norm(m)), int(n)))
+        if r == rounds:
+            break
+        pairs = pairs_of_index(index, groups * steps * batch, positive_ratio, epoch_seed(seed, r))
+        pv = pair_vectors(pairs, feat).withColumn("g", F.col("pair_id") % groups)
+
+        kernel = _group_steps(m, done, batch, gamma, alpha, margin_grad)
+        mean = (pv.select("g", "pair_id", "xa", "xb", "y").groupBy("g").applyInArrow(kernel, "i int, j int, v double")
+                .groupBy("i", "j").agg(F.avg("v").alias("v")))
+        m = nearest_psd(_collect_gradient(mean, d)[0])
+    for table in (feat, fixed):
+        drop_table(spark, table_path(table))
+    return m, trace
+
+
+def epoch_seed(seed, epoch: int) -> str:
+    return f"{seed}.{epoch}"

@@ -191,6 +191,22 @@ def q_pair_mahalanobis(spark, sf_dir):
     return ML.pair_mahalanobis(_pv(spark, sf_dir), DIAG).select("pair_id", r6("d2").alias("d2"))
 
 
+def full_metric(d: int) -> np.ndarray:
+    """The fixed full matrix of the checked query: 1 / (1 + |i - j|)."""
+    i = np.arange(d)
+    return 1.0 / (1.0 + np.abs(i[:, None] - i[None, :]))
+
+
+@register("q_pair_mahalanobis_full", PAIRS_SQL + """,
+dl AS (SELECT pair_id, list_transform(xa, lambda v, i: v - xb[i]) AS dx FROM pv)
+SELECT pair_id, round(list_sum(list_transform(dx, lambda v, i:
+         v * list_sum(list_transform(dx, lambda w, j: w / (1e0 + abs(i - j)))))), 6) AS d2 FROM dl""")
+def q_pair_mahalanobis_full(spark, sf_dir):
+    """M16 with a full 64 x 64 matrix: factored once, each row projected once."""
+    return ML.pair_mahalanobis_full(_pairs(spark, sf_dir), T.feat(spark, sf_dir), full_metric(64)).select(
+        "pair_id", r6("d2").alias("d2"))
+
+
 @register("q_pair_hinge", PAIRS_SQL + f"""
 SELECT pair_id, y, round(greatest(0e0, 1e0 + y * ({_MD2} - 2e0)), 6) AS hinge FROM pv""")
 def q_pair_hinge(spark, sf_dir):
@@ -278,7 +294,15 @@ def q_metric_learning(spark, sf_dir):
     return spark.createDataFrame(trace, "epoch bigint, objective double, n_pairs bigint, n_active bigint")
 
 
-# ------------------------------------------------------------------- 1-NN
+@register("q_metric_stochastic")
+def q_metric_stochastic(spark, sf_dir):
+    """M20 at the reference's length: 100,000 stochastic steps of 10 pairs (10 rounds of 10 groups of
+    1,000), γ(t) = 0.001/√(t+1), α = 1e-8; the objective on the fixed 1000 pairs before every round and at the end."""
+    _, trace = ML.stochastic_metric(T.feat(spark, sf_dir), 64, alpha=lambda t: ALPHA, n_objective=N_PAIRS,
+                                    positive_ratio=P_SAME, seed=PAIR_SEED)
+    return spark.createDataFrame(trace, "round bigint, steps bigint, objective double, n_pairs bigint")
+
+
 # Normalised ids are O(1e-5); the fixed metric weighs them by 1e10 so that
 # squared distances are O(1) before rounding to 6 decimals.
 NN_WEIGHTS = [1e10, 1e10, 1.0, 1.0, 1e10] + [1.0] * 18 + [1.0]
@@ -326,7 +350,7 @@ def q_forest_curve(spark, sf_dir):
     """Random-forest classifier RMSE for 1 to 29 trees of unlimited depth."""
     ft = feature_table_written(spark, sf_dir)
     curve = PR.forest_curve(ft.where(F.col("bucket") < 8), ft.where(F.col("bucket") >= 8), range(1, 30))
-    return spark.createDataFrame(curve, "trees bigint, rmse double")
+    return curve.select(F.col("trees").cast("bigint").alias("trees"), "rmse")
 
 
 KMEANS_K = 1024
@@ -334,8 +358,8 @@ KMEANS_K = 1024
 
 @register("q_kmeans_rating")
 def q_kmeans_rating(spark, sf_dir):
-    """K-means (k = 1024) on training features; cluster mean rating,
-    plain and rescaled, test RMSE."""
+    """Mini-batch k-means (k = 1024, 40 batches of 8,192 rows) on training features; cluster
+    mean rating, plain and rescaled, test RMSE."""
     ft = feature_table_written(spark, sf_dir)
     tr, te = PR.kmeans_assign(ft.where(F.col("bucket") < 8), ft.where(F.col("bucket") >= 8), KMEANS_K)
     tr, te = cut_lineage(tr), cut_lineage(te)
@@ -344,6 +368,50 @@ def q_kmeans_rating(spark, sf_dir):
     return a.agg(F.lit(KMEANS_K).alias("k"), PR.rmse_of().alias("rmse_mean"), b.alias("rmse_rescaled"))
 
 
+KM_K, KM_BATCH, KM_STEPS, KM_SEED = 4, 2000, 2, 7
+# the fixed metric's weights make the coordinates comparable, so that batches matter
+_KM_X = ", ".join(f"coalesce({c}, 0) * {1e5 if c.endswith('_n') else 1.0!r}" for c in _FEATURE_OUT)
+
+
+def _km_sql() -> str:
+    """Two steps of the mini-batch fit: centres c0 -> c1 -> c2 in long form (centre, i, v) with counts n0 .. n2."""
+    place = lambda e: f"CAST(floor({sql_hash01(f"'{KM_SEED}:{e}:' || row_key")} * per) AS BIGINT)"
+    ctes = [_FT_BASE_SQL, f"""
+t AS (SELECT row_key, md5('{KM_SEED}:c:' || row_key) AS h, list_transform([{_KM_X}], lambda v: CAST(v AS DOUBLE)) AS x
+      FROM ft WHERE bucket < 8),
+pe AS (SELECT greatest(1, (count(*) + {KM_BATCH - 1}) // {KM_BATCH}) AS per FROM t),
+c0 AS (SELECT row_number() OVER (ORDER BY h, row_key) - 1 AS centre, x, 0 AS n FROM t
+       QUALIFY row_number() OVER (ORDER BY h, row_key) <= {KM_K}),
+bt AS (SELECT row_key, x, {place(0)} AS batch FROM t CROSS JOIN pe
+       UNION ALL SELECT row_key, x, {place(1)} + per FROM t CROSS JOIN pe)"""]
+    for s in range(KM_STEPS):
+        ctes.append(f"""
+d{s} AS (SELECT b.row_key, b.x, c.centre, round(list_sum(list_transform(b.x, lambda v, i: (v - c.x[i]) * (v - c.x[i]))), 9)
+           AS d2 FROM bt b CROSS JOIN c{s} c WHERE b.batch = {s}),
+a{s} AS (SELECT x, centre FROM d{s} QUALIFY row_number() OVER (PARTITION BY row_key ORDER BY d2, centre) = 1),
+u{s} AS (SELECT centre, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM a{s}),
+s{s} AS (SELECT centre, i, sum(v) AS v, count(*) AS n FROM u{s} GROUP BY centre, i),
+l{s} AS (SELECT centre, n, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM c{s}),
+c{s + 1} AS (SELECT l.centre, list(coalesce((l.v * l.n + s.v) / (l.n + s.n), l.v) ORDER BY l.i) AS x,
+             max(l.n + coalesce(s.n, 0)) AS n FROM l{s} l LEFT JOIN s{s} s ON l.centre = s.centre AND l.i = s.i
+             GROUP BY l.centre)""")
+    return ",".join(ctes) + f"""
+SELECT CAST(centre AS INTEGER) AS centre, CAST(n AS BIGINT) AS n, CAST(generate_subscripts(x, 1) - 1 AS INTEGER) AS i,
+       round(unnest(x), 6) + 0e0 AS v FROM c{KM_STEPS}"""
+
+
+@register("q_kmeans_minibatch", _km_sql())
+def q_kmeans_minibatch(spark, sf_dir):
+    """M13, the first two batches (k = 4, about 2,000 rows each) from md5-drawn centres: every centre's
+    rows seen and coordinates."""
+    from ..operators.kmeans import fit_minibatch
+    ft = feature_table(spark, sf_dir).where(F.col("bucket") < 8)
+    scale = [1e5 if c.endswith("_n") else 1.0 for c in _FEATURE_OUT]
+    x = F.array(*[F.coalesce(F.col("x")[i], F.lit(0.0)) * F.lit(w) for i, w in enumerate(scale)])
+    c = fit_minibatch(ft.select("row_key", x.alias("x")), KM_K, "row_key", KM_STEPS, KM_BATCH, KM_SEED)
+    return c.select("centre", "n", F.posexplode("x").alias("i", "v")).withColumn("v", r6("v") + 0.0)
+
+
 N_CLUSTERS = 16
 
 

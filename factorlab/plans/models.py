@@ -12,6 +12,7 @@ from ..operators import library_als as LA
 from ..operators import metrics as MX
 from ..operators import recommend as RC
 from ..operators import tuning as TU
+from ..operators.top_all import top_all_users
 from ..session import cut_lineage
 from ..sources import tables as T
 from .common import r6
@@ -140,6 +141,36 @@ def q_zero_filled_halfstep(spark, sf_dir):
                     "cold")
 
 
+IMPLICIT_ALPHA, IMPLICIT_REG = 1.0, 0.01
+
+
+def _resolved_plays(spark, sf_dir):
+    """Play counts after alias resolution, one row per (user, item)."""
+    from ..operators import relational as R
+    plays = R.resolve_aliases(T.plays(spark, sf_dir), T.aliases(spark, sf_dir))
+    return plays.groupBy("user_id", "item_id").agg(F.sum("plays").alias("plays"))
+
+
+@register("q_implicit_halfstep", T.with_views("plays", "aliases") + f""",
+r AS (SELECT p.user_id, coalesce(a.good_id, p.item_id) AS item_id, CAST(sum(p.plays) AS DOUBLE) AS plays
+      FROM plays p LEFT JOIN aliases a ON p.item_id = a.bad_id GROUP BY 1, 2),
+y AS ({_Y2}),
+g AS (SELECT sum(y0 * y0) AS a, sum(y0 * y1) AS b, sum(y1 * y1) AS d FROM y),
+s AS (SELECT r.user_id, sum(plays * y0 * y0) AS a, sum(plays * y0 * y1) AS b, sum(plays * y1 * y1) AS d,
+             sum((1e0 + plays) * y0) AS p, sum((1e0 + plays) * y1) AS q
+      FROM r JOIN y ON r.item_id = y.id GROUP BY r.user_id),
+n AS (SELECT s.user_id, g.a + s.a + {IMPLICIT_REG} AS a, g.b + s.b AS b, g.d + s.d + {IMPLICIT_REG} AS d, p, q
+      FROM s CROSS JOIN g)
+SELECT user_id, round((d * p - b * q) / (a * d - b * b), 6) + 0e0 AS x0,
+       round((a * q - b * p) / (a * d - b * b), 6) + 0e0 AS x1 FROM n""")
+def q_implicit_halfstep(spark, sf_dir):
+    """M1, first user half-step of the implicit model at k = 2 from md5 item factors (α = 1, λ = 0.01)."""
+    plays = _resolved_plays(spark, sf_dir).select("user_id", "item_id", F.col("plays").cast("double").alias("rating"))
+    y = FA.init_factors(_item_spine(spark, sf_dir), "id", 2, "item", SEED)
+    x = FA.implicit_half_step(plays, y, "user_id", "item_id", 2, IMPLICIT_REG, IMPLICIT_ALPHA)
+    return x.select(F.col("id").alias("user_id"), *[(r6(F.col("f")[a]) + 0.0).alias(f"x{a}") for a in range(2)])
+
+
 # ------------------------------------------------------- recommendation
 @register("q_top_items", T.with_views("personal", "items") + f""",
 u AS ({_factor_sql("user", "(SELECT DISTINCT user_id FROM personal)", "user_id", 4, "f")}),
@@ -161,6 +192,26 @@ def q_top_items(spark, sf_dir):
     return rec.select("rank", "user_id", "item_id", "title", r6("prediction").alias("prediction"))
 
 
+TOP_ALL = 10
+
+
+@register("q_top_all_users", T.with_views("inter") + f""",
+u AS ({_factor_sql("user", "customer", "c_custkey", 4, "f")}),
+v AS ({_factor_sql("item", "part", "p_partkey", 4, "f")}),
+seen AS (SELECT DISTINCT user_id, item_id FROM inter WHERE bucket < 8),
+c AS (SELECT u.id AS user_id, v.id AS item_id, {_dot_sql("u", "v", 4)} AS score
+      FROM u CROSS JOIN v ANTI JOIN seen ON u.id = seen.user_id AND v.id = seen.item_id),
+t AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM c)
+SELECT user_id, CAST(rank AS INTEGER) AS rank, item_id, round(score, 6) AS score FROM t WHERE rank <= {TOP_ALL}""")
+def q_top_all_users(spark, sf_dir):
+    """M10 for every user: the 10 best items not rated in training, md5 factors of rank 4."""
+    u = FA.init_factors(_user_spine(spark, sf_dir), "id", 4, "user", SEED)
+    v = FA.init_factors(_item_spine(spark, sf_dir), "id", 4, "item", SEED)
+    seen = T.inter(spark, sf_dir).where(F.col("bucket") < 8).select("user_id", "item_id")
+    top = top_all_users(u, v, seen, TOP_ALL, first=256)
+    return top.select("user_id", F.col("rank").cast("int").alias("rank"), "item_id", r6("score").alias("score"))
+
+
 # ------------------------------------------ full loops (rows-only checks)
 RANK, ITERS = 4, 20  # the reference's masked setting
 ZERO_RANK = 32  # and its zero-filled one
@@ -259,9 +310,7 @@ def q_explicit_als(spark, sf_dir):
 def q_implicit_als(spark, sf_dir):
     """M1 (+J4): implicit ALS on alias-resolved play counts, rank 10,
     5 iterations, λ 0.01, α 1.0; preference scores of the observed pairs."""
-    from ..operators import relational as R
-    plays = R.resolve_aliases(T.plays(spark, sf_dir), T.aliases(spark, sf_dir))
-    plays = plays.groupBy("user_id", "item_id").agg(F.sum("plays").alias("plays"))
+    plays = _resolved_plays(spark, sf_dir)
     model = LA.train_implicit(plays, rank=10, iters=5, reg=0.01, alpha=1.0)
     return LA.predict_pairs(model, plays.select("user_id", "item_id", "plays"))
 
@@ -391,28 +440,31 @@ def q_masked_trace(spark, sf_dir):
 EVAL_ITERS = 2
 
 
-def _rank_ctes(rank: int, iters: int = EVAL_ITERS) -> list:
-    """CTE chain of the masked loop at rank 1 or 2, names suffixed by the rank; factors
-    always have two components (the second is 0 at rank 1)."""
+def _rank_ctes(rank: int, iters: int = EVAL_ITERS, reg: str = "0.1e0", name: str | None = None,
+               snapshots=()) -> list:
+    """CTE chain of the masked loop at rank 1 or 2, names suffixed by ``name`` (default: the rank); factors
+    always have two components (the second is 0 at rank 1). ``snapshots``: rounds to predict after, as
+    pred_<name>_<round>, in place of the last one."""
+    name = name or str(rank)
     start = _factor_sql("item", "part", "p_partkey", 2, "f")
     if rank == 1:
         start = f"SELECT id, f0, 0e0 AS f1 FROM ({start})"
-    ctes, prev = [f"y0_{rank} AS ({start})"], f"y0_{rank}"
+    ctes, prev = [f"y0_{name} AS ({start})"], f"y0_{name}"
     for t in range(1, iters + 1):
-        for out, fixed, key, other in ((f"x{t}_{rank}", prev, "user_id", "item_id"),
-                                       (f"y{t}_{rank}", f"x{t}_{rank}", "item_id", "user_id")):
-            s = (f"SELECT r.{key} AS id, sum(o * f0 * f0) + 0.1e0 AS a, sum(o * f0 * f1) AS b, "
-                 f"sum(o * f1 * f1) + 0.1e0 AS d, sum(o * r.rating * f0) AS p, sum(o * r.rating * f1) AS q "
+        for out, fixed, key, other in ((f"x{t}_{name}", prev, "user_id", "item_id"),
+                                       (f"y{t}_{name}", f"x{t}_{name}", "item_id", "user_id")):
+            s = (f"SELECT r.{key} AS id, sum(o * f0 * f0) + {reg} AS a, sum(o * f0 * f1) AS b, "
+                 f"sum(o * f1 * f1) + {reg} AS d, sum(o * r.rating * f0) AS p, sum(o * r.rating * f1) AS q "
                  f"FROM (SELECT *, CASE WHEN rating > 0.5 THEN 1e0 ELSE 0e0 END AS o FROM r) r "
                  f"JOIN {fixed} v ON r.{other} = v.id GROUP BY r.{key}")
             f0, f1 = ("p / a", "0e0") if rank == 1 else (
                 "(d * p - b * q) / (a * d - b * b)", "(a * q - b * p) / (a * d - b * b)")
             ctes.append(f"{out} AS (SELECT id, {f0} AS f0, {f1} AS f1 FROM ({s}))")
-        prev = f"y{t}_{rank}"
-    x, y = f"x{iters}_{rank}", f"y{iters}_{rank}"
-    ctes.append(f"pred_{rank} AS (SELECT i.row_key, i.bucket, i.rating, "
-                "coalesce(x.f0, 0e0) * coalesce(y.f0, 0e0) + coalesce(x.f1, 0e0) * coalesce(y.f1, 0e0) AS prediction "
-                f"FROM inter i LEFT JOIN {x} x ON i.user_id = x.id LEFT JOIN {y} y ON i.item_id = y.id)")
+        prev = f"y{t}_{name}"
+    for t, out in [(t, f"pred_{name}_{t}") for t in snapshots] or [(iters, f"pred_{name}")]:
+        ctes.append(f"{out} AS (SELECT i.row_key, i.bucket, i.rating, coalesce(x.f0, 0e0) * coalesce(y.f0, 0e0) "
+                    "+ coalesce(x.f1, 0e0) * coalesce(y.f1, 0e0) AS prediction FROM inter i "
+                    f"LEFT JOIN x{t}_{name} x ON i.user_id = x.id LEFT JOIN y{t}_{name} y ON i.item_id = y.id)")
     return ctes
 
 
@@ -466,6 +518,40 @@ def q_best_config(spark, sf_dir):
     return TU.best_config(m).select("rank", r6("rmse").alias("rmse"))
 
 
+GRID = [(k, lam) for k in (1, 2) for lam in (0.1, 10.0)]
+GRID_ITERS = (1, 2)
+
+
+def _grid_sql() -> str:
+    ctes, parts = ["r AS (SELECT user_id, item_id, avg(rating) AS rating FROM inter WHERE bucket < 6 GROUP BY 1, 2)"], []
+    for g, (k, lam) in enumerate(GRID):
+        ctes += _rank_ctes(k, max(GRID_ITERS), f"{lam}e0", f"g{g}", GRID_ITERS)
+        # a validation pair is scored when both its ids have factors (customers and parts without ratings: 0)
+        parts += [f"SELECT CAST({k} AS BIGINT) AS rank, CAST({lam} AS DOUBLE) AS reg, CAST({t} AS BIGINT) AS iters, "
+                  f"round(sqrt(avg(power(rating - prediction, 2))), 6) AS rmse FROM pred_g{g}_{t} "
+                  "WHERE bucket >= 6 AND bucket < 8" for t in GRID_ITERS]
+    return T.with_views("inter") + ",\n" + ",\n".join(ctes) + "\n" + "\nUNION ALL\n".join(parts)
+
+
+@register("q_grid_snapshots", _grid_sql())
+def q_grid_snapshots(spark, sf_dir):
+    """M8 with the hand-written solver: ranks (1, 2) x λ (0.1, 10) trained in one loop whose state is
+    kept after 1 and 2 iterations; validation RMSE per grid point."""
+    train, val, _ = _splits(spark, sf_dir)
+    m, _, _ = TU.grid_search("masked", train, val, [1, 2], [0.1, 10.0], list(GRID_ITERS),
+                             user_spine=_user_spine(spark, sf_dir), item_spine=_item_spine(spark, sf_dir))
+    return m.select("rank", "reg", "iters", r6("rmse").alias("rmse"))
+
+
+@register("q_grid_masked")
+def q_grid_masked(spark, sf_dir):
+    """M8 + A17 with the hand-written solver on the reference's 20 points: ranks (8, 12, 16, 20, 24) x λ (0.1, 10)
+    in one loop of 20 iterations, the state after 10 kept."""
+    train, val, _ = _splits(spark, sf_dir)
+    metrics, best, _ = TU.grid_search("masked", train, val, [8, 12, 16, 20, 24], [0.1, 10.0], [10, 20])
+    return metrics.withColumn("best", F.col("grid_id") == F.lit(best["grid_id"]))
+
+
 @register("q_improvement", _eval_sql("""
 , m AS (SELECT avg(rating) AS mean_rating FROM inter WHERE bucket < 8),
 b AS (SELECT sqrt(avg(power(i.rating - m.mean_rating, 2))) AS baseline_rmse
@@ -526,3 +612,32 @@ def q_corrected_als(spark, sf_dir):
     return t.groupBy("rank").agg(
         (r6(F.max("correction")) + 0.0).alias("correction"), r6(_rmse()).alias("clipped_rmse"),
         r6(F.sqrt(F.avg(F.pow(F.col("rating") - new, 2)))).alias("corrected_rmse"))
+
+
+@register("q_residual_sweep")
+def q_residual_sweep(spark, sf_dir):
+    """A14 + A15 + P15 + P16 over the sweep of q_rank_curve (ranks 1 to 23, 20 iterations, one loop): per rank
+    the signs, mean and deviation of the floored test residuals, the validation correction, and the
+    test RMSE clipped and corrected."""
+    from ..operators.relational import clip
+    train, val, test = _splits(spark, sf_dir)
+    ranks = list(range(1, 24))
+    models = FA.train_models(train, ranks, [REG] * len(ranks), ITERS, "masked")
+    scored = None
+    for m in models:
+        for name, part in (("validation", val), ("test", test)):
+            s = m.score(part.select("user_id", "item_id", "rating")).select(
+                F.lit(m.rank).alias("rank"), F.lit(name).alias("part"), "rating", "prediction")
+            scored = s if scored is None else scored.unionByName(s)
+    scored = cut_lineage(scored.withColumn("clipped", clip(F.col("prediction"))), partition_by=["part"])
+    c = (scored.where("part = 'validation' and rating > 0.5").groupBy("rank")
+         .agg(F.avg(F.col("rating") - F.col("clipped")).alias("correction")))
+    t = scored.where("part = 'test'").join(F.broadcast(c), "rank")  # one row a rank
+    r = F.when(F.col("rating") > 0.5, F.floor(F.col("rating") - F.col("prediction")))
+    rmse = lambda p: F.sqrt(F.avg(F.pow(F.col("rating") - p, 2)))
+    return t.withColumn("r", r).groupBy("rank").agg(
+        F.count("r").alias("n_obs"), F.count_if((F.col("r") < 0) & (F.col("r") >= -5)).alias("n_negative"),
+        F.count_if(F.col("r") == 0).alias("n_zero"), F.count_if((F.col("r") > 0) & (F.col("r") <= 5)).alias("n_positive"),
+        F.avg("r").alias("mean_residual"), F.stddev_pop("r").alias("std_residual"),
+        F.max("correction").alias("correction"), rmse(F.col("clipped")).alias("clipped_rmse"),
+        rmse(clip(F.col("clipped") + F.col("correction"))).alias("corrected_rmse"))

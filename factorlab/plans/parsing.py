@@ -100,6 +100,81 @@ def q_parse_names(spark, sf_dir):
     return _good(spark, sf_dir, name_lines, "names")
 
 
+def user_lines(spark, sf_dir):
+    return _lines(T.users(spark, sf_dir), "::", ["user_id", "gender", "age", "occupation", "zip"],
+                  F.col("user_id").cast("string"))
+
+
+@register("q_parse_users", T.with_views("users") + f"""
+SELECT user_id, gender, age, occupation, zip FROM users WHERE {_sql_damage("CAST(user_id AS VARCHAR)")} > 1""")
+def q_parse_users(spark, sf_dir):
+    """S3: user lines; lines without a zip code or with a text id are left out."""
+    return _good(spark, sf_dir, user_lines, "users")
+
+
+def personal_lines(spark, sf_dir):
+    p = T.personal(spark, sf_dir).withColumn("ts", F.lit(0))
+    return _lines(p, "::", ["user_id", "item_id", "rating", "ts"], F.col("item_id").cast("string"))
+
+
+@register("q_parse_personal", T.with_views("personal") + f"""
+SELECT user_id, item_id, rating FROM personal
+WHERE rating > 0 AND {_sql_damage("CAST(item_id AS VARCHAR)")} > 1""")
+def q_parse_personal(spark, sf_dir):
+    """S8 + P6: the personal file's lines, positive ratings only."""
+    return X.personal_ratings(_good(spark, sf_dir, personal_lines, "ratings"))
+
+
+CSV_HEADER = "item_id,title,genres"
+
+
+def csv_lines(spark, sf_dir):
+    """Item records as CSV: every title quoted, with a comma, some with quotes inside; a tenth or so damaged
+    (the last field missing, or a text id); a header line."""
+    i = T.items(spark, sf_dir)
+    title = F.concat(F.col("title"), F.when(F.col("item_id") % 5 == 0, F.lit(', the "big" one')).otherwise(F.lit(", it")))
+    quoted = F.concat(F.lit('"'), F.replace(title, F.lit('"'), F.lit('""')), F.lit('"'))
+    head = F.concat_ws(",", "item_id", quoted)
+    d = _damage(F.col("item_id").cast("string"))
+    whole = F.concat_ws(",", head, "genres")
+    rows = i.select(F.when(d == 0, head).when(d == 1, F.concat(F.lit("x"), whole)).otherwise(whole).alias("line"))
+    return rows.unionByName(spark.range(1).select(F.lit(CSV_HEADER).alias("line")))
+
+
+_CSV_TITLE = "title || CASE WHEN item_id % 5 = 0 THEN ', the \"big\" one' ELSE ', it' END"
+_CSV_HEAD = f"item_id || ',\"' || replace({_CSV_TITLE}, '\"', '\"\"') || '\"'"
+
+
+@register("q_parse_csv", T.with_views("items") + f"""
+SELECT 'row' AS kind, item_id, {_CSV_TITLE} AS title, genres, CAST(NULL AS VARCHAR) AS line FROM items
+WHERE {_sql_damage(_ITEM_KEY_SQL := "CAST(item_id AS VARCHAR)")} > 1
+UNION ALL
+SELECT 'quarantine', NULL, NULL, NULL, CASE WHEN {_sql_damage(_ITEM_KEY_SQL)} = 0 THEN {_CSV_HEAD}
+       ELSE 'x' || {_CSV_HEAD} || ',' || genres END FROM items WHERE {_sql_damage(_ITEM_KEY_SQL)} <= 1""")
+def q_parse_csv(spark, sf_dir):
+    """CSV records with quoted commas and quotes, a header line, and the quarantine."""
+    good, bad = X.split_malformed(X.parse_csv_lines(csv_lines(spark, sf_dir), X.ITEM_FIELDS, 2, CSV_HEADER))
+    none = lambda t: F.lit(None).cast(t)
+    return good.select(F.lit("row").alias("kind"), "item_id", "title", "genres", none("string").alias("line")).unionByName(
+        bad.select(F.lit("quarantine").alias("kind"), none("bigint").alias("item_id"), none("string").alias("title"),
+                   none("string").alias("genres"), "line"))
+
+
+@register("q_write_readback", T.with_views("inter") + """
+SELECT bucket, count(*) AS n, round(sum(rating), 6) AS rating, min(row_key) AS first_key FROM inter GROUP BY bucket""")
+def q_write_readback(spark, sf_dir):
+    """Ratings written as a table partitioned by bucket by a run that stops half way (some buckets, wrong
+    values), then by a whole run over it, then again; read back and summed per bucket."""
+    from ..session import new_table_path
+    rows = T.inter(spark, sf_dir).select("row_key", "rating", "bucket")
+    path = new_table_path(spark)
+    X.write_table(rows.where("bucket < 4").withColumn("rating", F.col("rating") + 1), path, ["bucket"])
+    for _ in range(2):
+        X.write_table(rows, path, ["bucket"])
+    return spark.read.schema(rows.schema).parquet(path).groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("rating"), 6).alias("rating"), F.min("row_key").alias("first_key"))
+
+
 @register("q_parse_aliases", T.with_views("aliases") + f"""
 SELECT bad_id, good_id FROM aliases WHERE {_sql_damage("CAST(bad_id AS VARCHAR)")} > 1""")
 def q_parse_aliases(spark, sf_dir):

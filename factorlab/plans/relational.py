@@ -121,6 +121,15 @@ def q_sample_split_hash(spark, sf_dir):
         "row_key", F.when(S.in_first("row_key", 0.9, 1992), "first").otherwise("second").alias("part"))
 
 
+@register("q_last_rating", T.with_views("inter") + """
+SELECT user_id, item_id, rating FROM inter WHERE bucket < 8
+QUALIFY row_number() OVER (PARTITION BY user_id, item_id ORDER BY day DESC, row_key DESC) = 1""")
+def q_last_rating(spark, sf_dir):
+    """Of repeated (user, item) ratings the last one stays."""
+    rows = T.inter(spark, sf_dir).where(F.col("bucket") < 8).select("user_id", "item_id", "rating", "day", "row_key")
+    return S.dedupe(rows, policy="last").select("user_id", "item_id", "rating")
+
+
 @register("q_positive_ratings", T.with_views("inter") + """
 SELECT rating, count(*) AS n FROM inter WHERE rating > 0 GROUP BY rating""")
 def q_positive_ratings(spark, sf_dir):

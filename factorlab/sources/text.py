@@ -131,6 +131,22 @@ def _csv(spark: SparkSession, path: str, fields, with_bad: bool, required: int,
     return (good, bad) if with_bad else good
 
 
+def parse_csv_lines(lines: DataFrame, fields, required: int, header: str | None = None) -> DataFrame:
+    """CSV records in the ``line`` column of a table: quoted fields may hold commas and doubled
+    quotes; ``_ok`` is false for a record that does not parse or lacks one of its first
+    ``required`` fields. Lines equal to ``header`` and empty lines are left out."""
+    schema = ", ".join(f"{n} {t}" for n, t in fields) + ", _raw string"
+    line = F.col("line")
+    kept = lines.where((F.length(F.trim(line)) > 0) & (F.lit(True) if header is None else line != F.lit(header)))
+    rec = F.from_csv(line, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_raw", "quote": '"',
+                                    "escape": '"'})
+    out = kept.select("line", rec.alias("rec"))
+    complete = F.col("rec._raw").isNull()
+    for n, _ in fields[:required]:
+        complete = complete & F.col(f"rec.{n}").isNotNull()
+    return out.select(*[F.col(f"rec.{n}").alias(n) for n, _ in fields], "line", complete.alias("_ok"))
+
+
 def read_csv_ratings(spark: SparkSession, path: str, bucket: bool = True, with_bad: bool = False):
     """Comma CSV with a header line."""
     return _csv(spark, path, RATING_FIELDS, with_bad, 4, (lambda d: with_bucket(d, "ts")) if bucket else None)
@@ -164,15 +180,22 @@ def read_aliases(spark: SparkSession, path: str, with_bad: bool = False):
 def read_personal(spark: SparkSession, path: str, sep: str = "::") -> DataFrame:
     """Personal ratings, rating > 0 kept; a missing file or one without
     positive ratings raises."""
-    df = read_ratings(spark, path, sep, bucket=False).where(F.col("rating") > 0)
+    df = personal_ratings(read_ratings(spark, path, sep, bucket=False))
     if df.limit(1).count() == 0:
         raise ValueError(f"no ratings provided in {path}")
-    return df.select("user_id", "item_id", "rating")
+    return df
+
+
+def personal_ratings(ratings: DataFrame) -> DataFrame:
+    """P6 on a personal file: positive ratings only."""
+    return ratings.where(F.col("rating") > 0).select("user_id", "item_id", "rating")
 
 
 def write_table(df: DataFrame, path: str, partition_by=None, mode: str = "overwrite") -> None:
-    """Metrics / recommendations / factors as a parquet table."""
+    """Metrics / recommendations / factors as a parquet table. A partitioned table is
+    overwritten folder by folder: only the partitions in ``df`` are replaced, so a run that was lost
+    half way is repeated with the same result and other partitions stay."""
     w = df.write.mode(mode)
     if partition_by:
-        w = w.partitionBy(*partition_by)
+        w = w.option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by)
     w.parquet(path)

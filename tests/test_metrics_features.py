@@ -102,9 +102,9 @@ def test_1nn_with_null_features(spark):
 def test_forest_on_half_star_ratings(spark):
     from factorlab.operators import predictors as PR
     rows = [([float(i % 5), 1.0], 0.5 + (i % 5)) for i in range(200)]
-    df = spark.createDataFrame(rows, "x array<double>, rating double")
-    (trees, rmse), = PR.forest_curve(df, df, [5])
-    assert trees == 5 and rmse < 0.2
+    df = spark.createDataFrame([(str(i), *r) for i, r in enumerate(rows)], "row_key string, x array<double>, rating double")
+    (trees, rmse, n), = PR.forest_curve(df, df, [5]).collect()
+    assert trees == 5 and rmse < 0.2 and n == 200
 
 
 def feat_df(spark, n=60, d=5, labels=3, seed=1):
