@@ -72,18 +72,22 @@ class RatingBlocks:
     """Ratings by entity, dealt into parts; ``needs``: (other, p) factor routing."""
     blocks: DataFrame
     needs: DataFrame
-    name: str
-    path: str
+    name: str | None
+    path: str | None
     several: bool  # does any entity have more than one row
 
     def drop(self, spark) -> None:
+        if self.name is None:
+            return
         spark.sql(f"DROP TABLE IF EXISTS {self.name}")
         drop_table(spark, self.path)
         drop_table(spark, table_path(self.needs))
 
 
-def rating_blocks(ratings: DataFrame, key: str, other: str, width: int, n_cells: int) -> RatingBlocks:
-    """Write the ratings of one side as blocks; ``width``: factor components per row."""
+def rating_blocks(ratings: DataFrame, key: str, other: str, width: int, n_cells: int,
+                  written: bool = True) -> RatingBlocks:
+    """The ratings of one side as blocks; ``width``: factor components per row. A loop reads them in
+    every round, so they are ``written`` (bucketed by part); a single half-step plans them in place."""
     spark = ratings.sparkSession
     # one part per 64 MB; a bucket holds several parts where that is more than a table may have buckets
     parts = max(8, -(-n_cells * (16 + 8 * width) // PART_BYTES))
@@ -101,6 +105,9 @@ def rating_blocks(ratings: DataFrame, key: str, other: str, width: int, n_cells:
             .agg(F.collect_list(F.struct("other", "rating")).alias("cells"))
             .withColumn("p", F.pmod(F.xxhash64("key", "chunk"), F.lit(parts)).cast("int"))
             .select("p", "key", "chunks", F.col("cells.other").alias("other"), F.col("cells.rating").alias("rating")))
+    if not written:
+        needs = rows.select("p", F.explode("other").alias("id")).distinct().toDF("p", "id")
+        return RatingBlocks(rows, needs, None, None, bool(m["m"]))
     name, path = "factorlab_blocks_" + uuid.uuid4().hex, new_table_path(spark)
     (rows.repartition(buckets, "p").write.bucketBy(buckets, "p").sortBy("p").format("parquet")
      .option("path", path).saveAsTable(name))
@@ -274,6 +281,8 @@ def half_step(side: RatingBlocks, fixed: DataFrame, models: Models, rule: Rule =
     sent = fixed.select("id", "f").join(side.needs, "id").select("p", "id", "f")
     out = side.blocks.groupBy("p").cogroup(sent.groupBy("p")).applyInArrow(
         _normal_kernel(models, rule, grams), _SOLVED)
+    if side.name is None and not side.several:
+        return out.select("id", "f")
     out = cut_lineage(out)
     if not side.several:
         done = out.select("id", "f")
@@ -325,10 +334,8 @@ def one_half_step(ratings: DataFrame, fixed: DataFrame, key: str, other: str, ra
     ``key`` side for keys that have ratings; cold keys are added by :func:`with_cold`."""
     ratings, m = cut_lineage_observed(ratings.select(USER, ITEM, "rating"), [F.count(F.lit(1)).alias("n")])
     models = Models([rank], [reg])
-    side = rating_blocks(ratings, key, other, rank, m["n"])
-    out = half_step(side, cut_lineage(fixed.select(F.col("id").cast("bigint").alias("id"), "f")), models, rule)
-    side.drop(ratings.sparkSession)
-    return out
+    side = rating_blocks(ratings, key, other, rank, m["n"], written=False)
+    return half_step(side, fixed.select(F.col("id").cast("bigint").alias("id"), "f"), models, rule)
 
 
 def masked_half_step(ratings, fixed, key, other, rank, reg, **kw) -> DataFrame:
@@ -378,26 +385,27 @@ class FactorModel:
         """Predictions for pairs. Each factor table is broadcast when its size
         bound allows; otherwise it meets the pairs through a split join whose
         hot keys are counted on the pairs."""
-        fb = joins.factor_row_bytes(self.rank)
-        u = self.users.select(F.col("id").alias(USER), F.col("f").alias("_fu"))
-        i = self.items.select(F.col("id").alias(ITEM), F.col("f").alias("_fi"))
+        out = attach_factors(pairs, self.users, USER, "_fu", self.n_users, self.rank, self.broadcast_max_bytes)
+        out = attach_factors(out, self.items, ITEM, "_fi", self.n_items, self.rank, self.broadcast_max_bytes)
+        return out.withColumn("prediction", dot(F.col("_fu"), F.col("_fi"))).drop("_fu", "_fi")
 
-        def attach(df, fac, key, n):
-            if n * fb <= self.broadcast_max_bytes:
-                return df.join(F.broadcast(fac), key, "inner")
-            return joins.split_join(df, fac, key, joins.hot_keys(df, key), "inner")
 
-        out = attach(attach(pairs, u, USER, self.n_users), i, ITEM, self.n_items)
-        return out.withColumn("prediction", dot(F.col("_fu"), F.col("_fi"))).drop("_fu", "_fi")
+def attach_factors(rows: DataFrame, factors: DataFrame, key: str, col: str, n: int, rank: int,
+                   broadcast_max_bytes: int = joins.DEFAULT_BROADCAST_MAX_BYTES) -> DataFrame:
+    """Rows with the factors (id, f) of their ``key`` as ``col``; rows without factors leave. A factor table of
+    ``n`` rows under the bound is broadcast, otherwise hot keys and all others join apart."""
+    side = factors.select(F.col("id").alias(key), F.col("f").alias(col))
+    if n * joins.factor_row_bytes(rank) <= broadcast_max_bytes:
+        return rows.join(F.broadcast(side), key, "inner")
+    return joins.split_join(rows, side, key, joins.hot_keys(rows, key), "inner")
 
 
-def score(users: DataFrame, items: DataFrame, pairs: DataFrame,
-          pred_col: str = "prediction") -> DataFrame:
+def score(users: DataFrame, items: DataFrame, pairs: DataFrame, pred_col: str = "prediction",
+          broadcast_max_bytes: int = joins.DEFAULT_BROADCAST_MAX_BYTES) -> DataFrame:
     """Predict dot(x_u, y_i) for given pairs; unknown ids give no row (M3)."""
-    u = users.select(F.col("id").alias(USER), F.col("f").alias("_fu"))
-    i = items.select(F.col("id").alias(ITEM), F.col("f").alias("_fi"))
-    return (pairs.join(u, USER, "inner").join(i, ITEM, "inner")
-            .withColumn(pred_col, dot(F.col("_fu"), F.col("_fi"))).drop("_fu", "_fi"))
+    row = users.select(F.size("f")).first()
+    model = FactorModel(users, items, [], row[0] if row else 0, users.count(), items.count(), broadcast_max_bytes)
+    return model.score(pairs).withColumnRenamed("prediction", pred_col)
 
 
 def _rmse_value(model: "FactorModel", data: DataFrame) -> float | None:

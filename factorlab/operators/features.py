@@ -7,7 +7,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage_observed
 
 # Fixed values (must equal the reference): flag column name and the substring
 # searched in the genre string, in the reference's order.
@@ -50,19 +49,18 @@ def genre_flags(df: DataFrame, genres_col: str = "genres") -> DataFrame:
 
 
 def l2_normalize(df: DataFrame, cols: list[str], suffix: str = "") -> DataFrame:
-    """Divide each column by its global L2 norm. ``df`` is written once and all
-    norms are observed during that write (one row of len(cols) numbers reaches the
-    driver and enters the plan as literals): one pass, one read-back. A zero norm
-    gives NULL."""
+    """Divide each column by its global L2 norm. All norms come from one narrow pass (only ``cols``
+    are read; one row of len(cols) numbers reaches the driver and enters the plan as literals). A zero
+    norm gives NULL."""
     if not cols:
         return df
-    out, row = cut_lineage_observed(
-        df, [F.sum(F.col(c).cast("double") * F.col(c).cast("double")).alias(f"n{k}") for k, c in enumerate(cols)])
+    row = df.agg(*[F.sum(F.col(c).cast("double") * F.col(c).cast("double")).alias(f"n{k}")
+                   for k, c in enumerate(cols)]).first()
+    new = {}
     for k, c in enumerate(cols):
         n = (row[f"n{k}"] or 0.0) ** 0.5
-        val = F.col(c).cast("double") / F.lit(n) if n else F.lit(None).cast("double")
-        out = out.withColumn(c + suffix, val)
-    return out
+        new[c + suffix] = F.col(c).cast("double") / F.lit(n) if n else F.lit(None).cast("double")
+    return df.withColumns(new)
 
 
 def feature_table(ratings: DataFrame, items: DataFrame, users: DataFrame,
@@ -71,10 +69,11 @@ def feature_table(ratings: DataFrame, items: DataFrame, users: DataFrame,
     ids and zip, feature array ``x`` in the reference's column order.
 
     Output keeps user_id_raw for equality matching and the split bucket."""
-    j = ratings.join(items.drop("title"), "item_id").join(users, "user_id")
-    j = genre_flags(j).drop("genres")
-    j = j.withColumn("gender_binary", (F.col("gender") == "M").cast("int")).drop("gender")
-    j = j.withColumn("zip5", F.substring("zip", 1, 5).try_cast("bigint")).drop("zip")
+    # encoded once per item and user, not once per rating
+    items = genre_flags(items.drop("title")).drop("genres")
+    users = (users.withColumn("gender_binary", (F.col("gender") == "M").cast("int"))
+             .withColumn("zip5", F.substring("zip", 1, 5).try_cast("bigint")).drop("gender", "zip"))
+    j = ratings.join(items, "item_id").join(users, "user_id")
     j = j.withColumn("user_id_raw", F.col("user_id")).withColumn("item_id_raw", F.col("item_id"))
     j = l2_normalize(j, list(normalize))
     x = F.array(*[F.col(c).cast("double") for c in FEATURE_COLS])

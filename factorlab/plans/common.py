@@ -21,26 +21,25 @@ def inter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.inter(spark, sf_dir)
 
 
-FACT_COLS = ["row_key", "user_id", "item_id", "rating", "bucket", "day"]
+FACT_COLS = ["user_id", "item_id", "rating", "bucket"]
 
 
-def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fact join written once as a table, for queries that use it more than once."""
-    return cut_lineage(T.inter(spark, sf_dir).select(*FACT_COLS))
+def fact(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """The fact join written once as a table, for queries that use it more than once: the four narrow
+    columns, and ``more`` where a query shows them (the text row key costs as much as all others)."""
+    return cut_lineage(T.inter(spark, sf_dir).select(*FACT_COLS, *more))
 
 
 def item_mean_scored(i: DataFrame) -> DataFrame:
     """Test rows (bucket >= 8) of a written fact table scored by the item's mean training
     rating, the global training mean where the item has no training row. The global
-    mean comes from the per-item sums, not from another pass."""
+    mean comes from the per-item sums, not from another pass over the rows (Spark reuses their exchange)."""
     per_item = (i.where(F.col("bucket") < 8).groupBy("item_id")
                 .agg(F.sum("rating").alias("s"), F.count(F.lit(1)).alias("n")))
-    per_item = cut_lineage(per_item)
     global_mean = per_item.agg(F.sum("s") / F.sum("n")).scalar()  # scalar subquery
     item_mean = per_item.select("item_id", (F.col("s") / F.col("n")).alias("item_mean"))
     return (i.where(F.col("bucket") >= 8).join(item_mean, "item_id", "left")
-            .withColumn("prediction", F.coalesce(F.col("item_mean"), global_mean))
-            .select("row_key", "user_id", "item_id", "rating", "prediction"))
+            .withColumn("prediction", F.coalesce(F.col("item_mean"), global_mean)).drop("item_mean", "bucket"))
 
 
 def shifted(scored: DataFrame) -> DataFrame:

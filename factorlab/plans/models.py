@@ -83,7 +83,7 @@ def q_keyed_vector_sum(spark, sf_dir):
     """A8 + J9: Σ r·y_i per user over training rows (duplicates summed)."""
     v = FA.init_factors(_item_spine(spark, sf_dir), "id", 4, "item", SEED)
     train = T.inter(spark, sf_dir).where(F.col("bucket") < 8)
-    j = train.join(v.withColumnRenamed("id", "item_id"), "item_id")
+    j = FA.attach_factors(train, v, "item_id", "f", v.count(), 4)
     return j.groupBy("user_id").agg(*[r6(F.sum(F.col("rating") * F.col("f")[a])).alias(f"b{a}")
                                       for a in range(4)])
 

@@ -158,8 +158,7 @@ SELECT round(m.mean_rating, 6) AS mean_rating,
 FROM inter i CROSS JOIN m WHERE i.bucket >= 8 GROUP BY m.mean_rating""")
 def q_baseline_rmse(spark, sf_dir):
     """A4 + A20: mean of train ∪ validation, RMSE of predicting it on test."""
-    i = fact(spark, sf_dir)
-    b = MX.baseline(i.where(F.col("bucket") < 8), i.where(F.col("bucket") >= 8))
+    b = MX.baseline_of(T.inter(spark, sf_dir), F.col("bucket") < 8, F.col("bucket") >= 8)
     return b.select(r6("mean_rating").alias("mean_rating"), r6("baseline_rmse").alias("baseline_rmse"),
                     "n_test")
 
@@ -188,7 +187,7 @@ def q_mask_counts(spark, sf_dir):
 SELECT row_key, round(greatest(0.0, least(5.0, prediction)), 6) AS clipped FROM shifted""")
 def q_clip_predictions(spark, sf_dir):
     """Clip a shifted prediction to [0, 5]."""
-    s = shifted(item_mean_scored(fact(spark, sf_dir)))
+    s = shifted(item_mean_scored(fact(spark, sf_dir, "row_key")))
     return s.select("row_key", r6(R.clip(F.col("prediction"))).alias("clipped"))
 
 
@@ -201,7 +200,7 @@ FROM shifted s CROSS JOIN c""")
 def q_mean_correction(spark, sf_dir):
     """P16 (+A23): mean residual correction, re-clipped (fit on the same rows,
     as the reference does)."""
-    s = cut_lineage(shifted(item_mean_scored(fact(spark, sf_dir))))
+    s = cut_lineage(shifted(item_mean_scored(fact(spark, sf_dir, "row_key"))))
     out = R.mean_correction(s, s)
     return out.select("row_key", (r6("correction") + 0.0).alias("correction"),
                       r6("prediction").alias("prediction"))
@@ -300,7 +299,7 @@ SELECT t.row_key, t.rating, round(p.prediction, 6) AS prediction
 FROM test t JOIN pred p ON t.user_id = p.user_id AND t.item_id = p.item_id""")
 def q_pred_truth_join(spark, sf_dir):
     """Predictions joined to the truth on (user, item)."""
-    i = fact(spark, sf_dir)
+    i = fact(spark, sf_dir, "row_key")
     s = item_mean_scored(i)
     pred = s.groupBy("user_id", "item_id").agg(F.avg("prediction").alias("prediction"))
     test = i.where(F.col("bucket") >= 8)
