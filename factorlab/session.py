@@ -42,11 +42,25 @@ def build_session(master: str | None = None, app: str = "factorlab",
 
 _SHIPPED: set = set()
 
+# Bytes of an Arrow batch sent to a Python worker. The library's default bounds rows first (10,000
+# texts of 20 kB would be 200 MB in the JVM and again in the worker).
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+_BATCH_DEFAULT = 64 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches in bytes, unless the session has a setting of its own."""
+    now = spark.conf.get(_BATCH_SETTING, None)
+    if now is None or now.rstrip("bB") == str(_BATCH_DEFAULT):
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
 
 def ship_package(spark: SparkSession) -> None:
     """Make ``factorlab`` importable in the Python workers (the pandas/Arrow
     functions are pickled by reference to its modules): zip the package once
-    per SparkContext and add it with ``addPyFile``, as --py-files would."""
+    per SparkContext and add it with ``addPyFile``, as --py-files would. Also bounds the batches they receive."""
+    bound_batches(spark)
     sc = spark.sparkContext
     key = sc.applicationId
     if key in _SHIPPED:

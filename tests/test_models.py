@@ -171,7 +171,7 @@ def test_half_step_exchanges_no_ratings(spark):
     fixed = FA.init_factors(r.select(r.item_id.alias("id")).distinct(), "id", 24, "item")
     sent = fixed.join(side.needs, "id").select("p", "id", "f")
     out = side.blocks.groupBy("p").cogroup(sent.groupBy("p")).applyInArrow(
-        FA._normal_kernel(models, 0.5, True, None), FA._SOLVED)
+        FA._normal_kernel(models, FA.Rule(), None), FA._SOLVED)
     plan = out._jdf.queryExecution().executedPlan().toString()
     left = plan[plan.index("factorlab_blocks") - 3000 if plan.index("factorlab_blocks") > 3000 else 0:]
     exchanges = [x for x in plan.splitlines() if "Exchange hashpartitioning(p" in x]
