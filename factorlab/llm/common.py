@@ -3,6 +3,7 @@ bounded work units inside a task, hash-ordered samples and label folds."""
 
 from __future__ import annotations
 
+import ctypes
 import gc
 
 import numpy as np
@@ -97,3 +98,32 @@ def sample_ids(ids: DataFrame, n: int, seed: int) -> DataFrame:
     """At most ``n`` rows, those with the smallest id hash: the same rows for any
     partitioning. ``n`` is the documented bound that makes a broadcast safe."""
     return ids.orderBy(F.xxhash64(F.lit(seed), F.col("doc_id")), "doc_id").limit(n)
+
+
+def free_name(taken, name: str) -> str:
+    """``name``, with underscores in front until no column (in any case) is called so."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = "_" + name
+    return name
+
+
+def give_back() -> None:
+    """Return what a finished task no longer uses to the system: Python workers live on between the
+    stages of a job, and the allocators keep freed memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(run):
+    """An Arrow function of a task that gives its memory back at the end."""
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+    return wrapped

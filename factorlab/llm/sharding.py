@@ -39,20 +39,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .common import free_name
 
 SLOTS = 4096
 HEAVY_PART = 32  # a slot above 1/32 of a shard is looked at
 RECORD_BYTES = 8
 
 
-def free_name(taken, name: str) -> str:
-    """``name``, with underscores in front until no column (in any case) is called so."""
-    low = {c.lower() for c in taken}
-    while name.lower() in low:
-        name = "_" + name
-    return name
-
-
 @dataclass
 class Names:
     """Helper columns of a table of records."""

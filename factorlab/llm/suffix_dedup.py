@@ -21,10 +21,14 @@ somewhere else in the table. The work is dealt by content and indexed locally:
    they share, then single strings where blocks differ, as counts by key.
 4. *Spans* are merged per document and cut out of its text.
 
+Texts that several rows have go whole without being compared; one row of each is cut into segments, which
+mark other texts. Anchors and segments that very many texts share meet their lookup as broadcast rows, all
+others through a shuffle.
+
 Defined cases: a null text reads as empty; texts shorter than ``length`` lose
 nothing; rows that repeat (also under one id) are repeats of each other, and
-so are passages inside one text; a null doc_id is kept as such; an empty table
-gives an empty result.
+so are passages inside one text; a null doc_id is kept as such; very long texts are handled whole in one
+task; an empty table gives an empty result; further columns are kept as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,8 +41,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import hot_keys_from_counts, split_join
 from ..session import cut_lineage, cut_lineage_observed, drop_table, table_path
-from .common import chunks, mix64, texts_of, utf8
+from .common import chunks, free_name, mix64, texts_of, tidy, utf8
 from .textstats import ByteSpans
 
 LENGTH = 400
@@ -46,7 +51,7 @@ GRAM = 32
 INDEX_BYTES = 768 << 10
 HOT_BYTES = 1 << 20
 STEP = 16
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 200_000  # rows of three numbers (some 10 MB as a lookup)
 _A, _B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 _LOW32 = np.uint64(0xFFFFFFFF)
 
@@ -215,29 +220,69 @@ def _spans_by_text(hit: np.ndarray, start: np.ndarray, n: int, length: int):
     return out
 
 
+def _keys(text: str, doc_id: str = "doc_id") -> list:
+    """(did, th, th2) of a row: two 64-bit hashes of the text, and one of the text and the id. (th, th2)
+    tell texts apart, (did, th) rows that are not equal in id and text."""
+    t, n = F.col(f"`{text}`"), F.octet_length(F.col(f"`{text}`"))
+    return [F.xxhash64(F.lit(1), F.col(f"`{doc_id}`").cast("long"), n, t), F.xxhash64(t), F.xxhash64(F.lit(2), n, t)]
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Rows with a key (did, th) of two 64-bit hashes, both over the whole text and ``did`` also
-    over the id and the length: it tells apart different texts of one id, or without id."""
-    return docs.withColumn("__text", F.coalesce("text", F.lit(""))) \
-        .withColumn("__did", F.xxhash64(F.lit(1), F.col("doc_id").cast("long"), F.octet_length("__text"), "__text")) \
-        .withColumn("__th", F.xxhash64("__text"))
+    """(did, th, th2, text) of (doc_id, text) rows; a null text reads as empty."""
+    docs = docs.withColumn("text", F.coalesce("text", F.lit("")))
+    return docs.select(*[c.alias(n) for c, n in zip(_keys("text"), ("did", "th", "th2"))], "text")
+
+
+def _joined(big: DataFrame, small: DataFrame, rows: int, keys: list, how: str) -> DataFrame:
+    """Join with a table of ``rows`` rows of a few numbers: broadcast under a bound."""
+    return big.join(F.broadcast(small) if rows <= BROADCAST_IDS else small, keys, how)
+
 
+def _copies(keyed: DataFrame, length: int):
+    """(rows long enough: did, th, th2, size; texts that several rows have: th, th2, rep; their number).
+    ``rep`` is the smallest ``did`` of a text's rows."""
+    rows = cut_lineage(keyed.select("did", "th", "th2", F.octet_length("text").alias("size"))
+                       .where(F.col("size") >= length))
+    copies, got = cut_lineage_observed(
+        rows.groupBy("th", "th2").agg(F.count(F.lit(1)).alias("n"), F.min("did").alias("rep"))
+        .where("n > 1").select("th", "th2", "rep"), [F.count(F.lit(1)).alias("m")])
+    return rows, copies, got["m"]
 
-def _segment_table(keyed: DataFrame, length: int) -> DataFrame:
+
+def _segment_table(keyed: DataFrame, copies: DataFrame, n_copies: int, length: int) -> DataFrame:
+    """Segments of one row of every text; ``dup``: the text has several rows (they go whole, its segments
+    only mark other texts)."""
     def run(batches):
+        seen: set = set()  # rows equal in id and text: once a task
         for b in batches:
-            data, off, _ = utf8(b.column("__text"))
-            did, th = np.asarray(b.column("__did")), np.asarray(b.column("__th"))
+            data, off, _ = utf8(b.column("text"))
+            did, th, th2 = (np.asarray(b.column(c)) for c in ("did", "th", "th2"))
+            rep = np.asarray(b.column("rep").is_valid()) if n_copies <= BROADCAST_IDS else np.ones(len(did), bool)
             for i, j in chunks(off):
-                doc, start, size, anchor, seg, _ = segments(texts_of(data, off, i, j), length)
+                texts = texts_of(data, off, i, j)
+                for k in np.flatnonzero(rep[i:j]).tolist():
+                    row = (did[i + k], th[i + k])
+                    if row in seen:
+                        texts[k] = b""
+                    elif len(texts[k]) >= length:
+                        seen.add(row)
+                doc, start, size, anchor, seg, _ = segments(texts, length)
                 if len(doc):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(did[i + doc]), pa.array(th[i + doc]), pa.array(start.astype(np.int32)),
-                         pa.array(size.astype(np.int32)), pa.array(anchor), pa.array(seg)],
-                        ["did", "th", "start", "size", "anchor", "seg"])
-
-    return keyed.select("__did", "__th", "__text").mapInArrow(
-        run, "did long, th long, start int, size int, anchor long, seg long")
+                        [pa.array(did[i + doc]), pa.array(th[i + doc]), pa.array(th2[i + doc]),
+                         pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(anchor),
+                         pa.array(seg)], ["did", "th", "th2", "start", "size", "anchor", "seg"])
+
+    one = F.col("rep").isNull() | (F.col("rep") == F.col("did"))
+    rows, few = keyed, n_copies <= BROADCAST_IDS
+    if few:  # copies are left out before anything is hashed
+        rows = rows.join(F.broadcast(copies), ["th", "th2"], "left").where(one)
+    else:
+        rows = rows.withColumn("rep", F.lit(None).cast("long"))
+    seg = rows.select("did", "th", "th2", "rep", "text").mapInArrow(
+        tidy(run), "did long, th long, th2 long, start int, size int, anchor long, seg long")
+    seg = _joined(seg, copies, n_copies, ["th", "th2"], "left").where(one)
+    return seg.withColumn("dup", F.col("rep").isNotNull()).drop("rep", "th2")
 
 
 def _segment_texts(reps: DataFrame, keyed: DataFrame) -> DataFrame:
@@ -245,18 +290,22 @@ def _segment_texts(reps: DataFrame, keyed: DataFrame) -> DataFrame:
     per_doc = reps.groupBy("did", "th").agg(F.collect_list(
         F.struct("anchor", "seg", "cnt", "start", "size")).alias("want"))  # bounded by the document
     per_doc, got = cut_lineage_observed(per_doc, [F.count(F.lit(1)).alias("m")])
-    docs = keyed.select(F.col("__did").alias("did"), F.col("__th").alias("th"), "__text")
+    docs = keyed.select("did", "th", F.col("text").alias("whole"))
     if got["m"] <= BROADCAST_IDS:  # keep only the texts that are asked for, before any shuffle
         docs = docs.join(F.broadcast(per_doc.select("did", "th")), ["did", "th"], "left_semi")
 
     def run(batches):
         names = ["anchor", "seg", "cnt", "did", "th", "start", "text"]
         kinds = [pa.int64()] * 5 + [pa.int32(), pa.binary()]
+        seen: set = set()  # equal rows lie in one task (the join is by their key): one of them is read
         for b in batches:
-            data, off, _ = utf8(b.column("__text"))
+            data, off, _ = utf8(b.column("whole"))
             did, th = b.column("did").to_pylist(), b.column("th").to_pylist()
             rows, size = [], 0
             for r in range(b.num_rows):
+                if (did[r], th[r]) in seen:
+                    continue
+                seen.add((did[r], th[r]))
                 t = bytes(data[off[r]:off[r + 1]])
                 for w in b.column("want")[r].as_py():
                     piece = t[w["start"]:w["start"] + w["size"]]
@@ -268,8 +317,10 @@ def _segment_texts(reps: DataFrame, keyed: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    return docs.join(per_doc, ["did", "th"]).select("did", "th", "want", "__text").mapInArrow(
-        run, "anchor long, seg long, cnt long, did long, th long, start int, text binary")
+    out = cut_lineage(docs.join(per_doc, ["did", "th"]).select("did", "th", "want", "whole").mapInArrow(
+        tidy(run), "anchor long, seg long, cnt long, did long, th long, start int, text binary"))
+    drop_table(reps.sparkSession, table_path(per_doc))
+    return out
 
 
 _SPAN = "did long, th long, s int, e int"
@@ -314,7 +365,7 @@ def _indexed_spans(texts: DataFrame, length: int) -> DataFrame:
             yield _span_batch(out)
 
     rows = texts.repartition("anchor").sortWithinPartitions("anchor", "seg")
-    return rows.mapInArrow(run, _SPAN)
+    return rows.mapInArrow(tidy(run), _SPAN)
 
 
 def _hot_spans(texts: DataFrame, length: int) -> DataFrame:
@@ -344,7 +395,7 @@ def _hot_spans(texts: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     rows = cut_lineage(texts.mapInArrow(
-        blocks, "anchor long, seg long, cnt long, did long, th long, s int, e int, lo int, hi int, "
+        tidy(blocks), "anchor long, seg long, cnt long, did long, th long, s int, e int, lo int, hi int, "
                 "k1 long, k2 long"))
     shared = rows.groupBy("k1").agg(F.count(F.lit(1)).alias("n1")).where("n1 > 1").select("k1")
     near = rows.join(shared, "k1")
@@ -374,39 +425,58 @@ def _hot_spans(texts: DataFrame, length: int) -> DataFrame:
 
     each = cut_lineage(texts.join(single, ["anchor", "seg"]).select(
         "anchor", "cnt", "did", "th", "start", "text", "parts").mapInArrow(
-        strings, "k long, did long, th long, s int, e int, cnt long"))
+        tidy(strings), "k long, did long, th long, s int, e int, cnt long"))
     twice = each.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k")
     return whole.unionByName(each.where("cnt = 1").join(twice, "k").select("did", "th", "s", "e"))
 
 
+def _hot(counts: DataFrame, key: str, parts: int) -> list:
+    """Keys that alone would fill more than half a shuffle partition: at most 2 x ``parts``."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return hot_keys_from_counts(counts, key, "n", total, parts)
+
+
 def removed_spans(docs: DataFrame, length: int = LENGTH, hot_bytes: int = HOT_BYTES) -> DataFrame:
-    """(did, th, spans): for each keyed row with repeats its spans, not merged yet."""
+    """(did, th, spans): the spans of every row (doc_id, text) with repeats, not merged yet. Texts that several rows have
+    go whole; one row of each is compared with all other texts."""
     spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = _keyed(docs)
-    seg = cut_lineage(_segment_table(keyed, length))
-    again = (seg.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("seg").alias("lo"),
-                                       F.max("seg").alias("hi")).where("n > 1")
-             .select("anchor", (F.col("lo") < F.col("hi")).alias("differ")))
-    found = cut_lineage(seg.join(again, "anchor"))
-    drop_table(spark, table_path(seg))
+    rows, copies, n_copies = _copies(keyed, length)
+    entire = (_joined(rows, copies, n_copies, ["th", "th2"], "left_semi").select("did", "th", "size").distinct()
+              .select("did", "th", F.lit(0).alias("s"), F.col("size").alias("e")))
+
+    seg = cut_lineage(_segment_table(keyed, copies, n_copies, length))
+    again = cut_lineage(seg.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("seg").alias("lo"),
+                                                  F.max("seg").alias("hi")).where("n > 1")
+                        .select("anchor", "n", (F.col("lo") < F.col("hi")).alias("differ")))
+    found = cut_lineage(split_join(seg, again.drop("n"), "anchor", _hot(again, "anchor", parts)))
+    for t in (seg, again):
+        drop_table(spark, table_path(t))
     end = (F.col("start") + F.col("size")).alias("e")
-    whole = found.where("not differ").select("did", "th", F.col("start").alias("s"), end)
-    some = found.where("differ")
-    kinds = cut_lineage(some.groupBy("anchor", "seg").agg(
-        F.count(F.lit(1)).alias("cnt"), F.min(F.struct("did", "th", "start", "size")).alias("rep")))
-    twice = kinds.where("cnt > 1").select("anchor", "seg")
-    whole2 = some.join(twice, ["anchor", "seg"]).select("did", "th", F.col("start").alias("s"), end)
-    hot = (kinds.groupBy("anchor").agg(F.sum(F.col("rep.size").cast("long")).alias("bytes"))
+    whole = found.where("not differ and not dup").select("did", "th", F.col("start").alias("s"), end)
+    some = found.where("differ").withColumn("key", F.struct("anchor", "seg"))
+    # cnt 1: the segment occurs once, in a text of one row, so its own strings are to be marked
+    kinds = cut_lineage(some.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) + F.max(F.col("dup").cast("int"))).alias("cnt"),
+        F.min(F.struct("did", "th", "start", "size")).alias("rep")))
+    twice = kinds.where("n > 1").select("key", "n")
+    whole2 = split_join(some.where("not dup"), twice.drop("n"), "key", _hot(twice, "key", parts)).select(
+        "did", "th", F.col("start").alias("s"), end)
+    hot = (kinds.groupBy("key.anchor").agg(F.sum(F.col("rep.size").cast("long")).alias("bytes"))
            .where(F.col("bytes") > hot_bytes).select("anchor"))
     hot, got = cut_lineage_observed(hot, [F.count(F.lit(1)).alias("m")])
-    reps = kinds.select("anchor", "seg", "cnt", "rep.*")
-    texts = cut_lineage(_segment_texts(reps, keyed))
-    spans = whole.unionByName(whole2)
+    reps = kinds.select("key.anchor", "key.seg", "cnt", "rep.*")
+    texts = _segment_texts(reps, keyed)
+    spans, indexed = whole.unionByName(whole2), texts
     if got["m"]:
         spans = spans.unionByName(_hot_spans(texts.join(hot, "anchor", "left_semi"), length))
-        texts = texts.join(hot, "anchor", "left_anti")
-    spans = spans.unionByName(cut_lineage(_indexed_spans(texts, length)))
-    return spans.groupBy("did", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+        indexed = texts.join(hot, "anchor", "left_anti")
+    spans = spans.unionByName(_indexed_spans(indexed, length)).unionByName(entire)
+    out = cut_lineage(spans.groupBy("did", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans")))
+    for t in (rows, copies, found, kinds, hot, texts):
+        drop_table(spark, table_path(t))
+    return out
 
 
 def merge(spans: list) -> list[tuple[int, int]]:
@@ -427,22 +497,25 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(parts + [text[at:]])
 
 
-def _with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    return (_keyed(docs).join(spans.select(F.col("did").alias("__did"), F.col("th").alias("__th"),
-                                           F.col("spans").alias("__spans")), ["__did", "__th"], "left"))
+def _with_spans(docs: DataFrame, spans: DataFrame, text: str, out: str) -> DataFrame:
+    """``docs`` with the spans of every row as column ``out``; ``text``: column without nulls."""
+    did, th = free_name([*docs.columns, out], "did"), free_name([*docs.columns, out], "th")
+    keyed = docs.withColumn(did, _keys(text)[0]).withColumn(th, _keys(text)[1])
+    named = spans.select(F.col("did").alias(did), F.col("th").alias(th), F.col("spans").alias(out))
+    return keyed.join(named, [did, th], "left").drop(did, th)
 
 
 def repeated_passages(docs: DataFrame, length: int = LENGTH, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches):
         for b in batches:
-            data, off, _ = utf8(b.column("__text"))
+            data, off, _ = utf8(b.column("text"))
             size, gone, n, sha = [], [], [], []
             for r in range(b.num_rows):
                 t = bytes(data[off[r]:off[r + 1]])
-                spans = merge(b.column("__spans")[r].as_py())
+                spans = merge(b.column("spans")[r].as_py())
                 size.append(len(t))
                 gone.append(sum(e - s for s, e in spans))
                 n.append(len(spans))
@@ -452,22 +525,23 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, hot_bytes: int = HO
                  pa.array(n, pa.int64()), pa.array(sha, pa.string())],
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _with_spans(docs, removed_spans(docs, length, hot_bytes)).select(
-        "doc_id", "__text", "__spans").mapInArrow(
-        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_spans(docs, removed_spans(docs, length, hot_bytes), "text", "spans").mapInArrow(
+        tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def cut_passages(docs: DataFrame, length: int = LENGTH, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """Pipeline form: ``docs`` with the repeated bytes cut out of ``text`` and ``n_chars`` (where
-    present) counted anew. A character that loses some of its bytes goes whole."""
+    present) counted anew. A character that loses some of its bytes goes whole. Helper columns
+    take names that ``docs`` does not have."""
     columns = docs.columns
+    whole, marks = free_name(columns, "whole"), free_name(columns, "spans")
 
     def run(batches):
         for b in batches:
             data, off, valid = utf8(b.column("text"))
             texts = []
             for r in range(b.num_rows):
-                spans = merge(b.column("__spans")[r].as_py())
+                spans = merge(b.column(marks)[r].as_py())
                 t = cut(bytes(data[off[r]:off[r + 1]]), spans)
                 texts.append(t.decode("utf-8", "ignore") if valid[r] else None)
             yield pa.RecordBatch.from_arrays(
@@ -477,5 +551,7 @@ def cut_passages(docs: DataFrame, length: int = LENGTH, hot_bytes: int = HOT_BYT
 
     schema = ", ".join(f"`{f.name}` " + ("long" if f.name == "n_chars" else f.dataType.simpleString())
                        for f in docs.schema.fields)
-    return _with_spans(docs, removed_spans(docs.select("doc_id", "text"), length, hot_bytes)).select(
-        *docs.columns, "__spans").mapInArrow(run, schema)
+    spans = removed_spans(docs.select(F.col("doc_id"), "text"), length, hot_bytes)
+    filled = docs.withColumn(whole, F.coalesce("text", F.lit("")))
+    return _with_spans(filled, spans, whole, marks).select(
+        *[f"`{c}`" for c in columns], f"`{marks}`").mapInArrow(tidy(run), schema)
