@@ -34,8 +34,10 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-PROJECTED = 8  # even, so that the chi-square function has a closed form
-CONFIDENCE = 0.99
+PROJECTED = 32  # even, so that the chi-square function has a closed form
+CONFIDENCE = 0.88  # an unseen row that is near is missed with at most this much less than certainty
+WAVE = 32  # leaves whose points are looked at together
+FIRST_CHECKED = 64  # projected neighbours verified at first; then twice as many each time
 SAMPLE_ROWS = 16_384
 MAX_CELLS = 1024
 BLOCK_ROWS = 8192
@@ -107,7 +109,8 @@ class KdTree:
             a, h = int(spread.argmax()), len(r) // 2
             order = r[np.argpartition(z[r, a], h)]
             todo += [order[:h], order[h:]]
-        self.z, self.leaves = z, leaves
+        self.z, self.leaves, self.verified = z, leaves, 0
+        self.z2, self.x2 = (z * z).sum(1), None
         self.low = np.array([z[r].min(0) for r in leaves])
         self.high = np.array([z[r].max(0) for r in leaves])
 
@@ -115,24 +118,34 @@ class KdTree:
                 bound: float = math.inf) -> list[tuple[float, int]]:
         """The k nearest found (distance, id); ``bound`` is a k-th distance known elsewhere."""
         gap = np.maximum(0, np.maximum(self.low - qz, qz - self.high))
-        # equal vectors may differ by rounding once projected: distances below this are zero
-        tiny = 1e-24 * (1.0 + float(qz @ qz))
+        # projected distances come from products: below this they may be rounding only
+        qz2, q2 = float(qz @ qz), float(q @ q)
+        tiny = 1e-12 * (1.0 + qz2)
         lower = np.maximum(0, (gap * gap).sum(1) - tiny)
         order = np.argsort(lower, kind="stable")
+        x2 = np.einsum("ij,ij->i", x, x) if self.x2 is None else self.x2
+        self.x2 = x2
         pool_d, pool_i = np.zeros(0), np.zeros(0, np.int64)
         best_d, best_i, kth = np.zeros(0), np.zeros(0, np.int64), bound
-        for pos, leaf in enumerate(order):
-            if lower[leaf] > stop * kth * kth and (not len(pool_d) or pool_d.min() > stop * kth * kth):
+        for pos in range(0, len(order), WAVE):
+            if lower[order[pos]] > stop * kth * kth and (not len(pool_d) or pool_d.min() > stop * kth * kth):
                 break
-            r = self.leaves[leaf]
-            d = self.z[r] - qz
-            pool_d = np.concatenate([pool_d, np.maximum(0, (d * d).sum(1) - tiny)])
+            r = np.concatenate([self.leaves[leaf] for leaf in order[pos:pos + WAVE]])
+            d = self.z2[r] - 2.0 * (self.z[r] @ qz) + qz2
+            pool_d = np.concatenate([pool_d, np.maximum(0, d - tiny - 1e-12 * self.z2[r])])
             pool_i = np.concatenate([pool_i, r])
-            nxt = lower[order[pos + 1]] if pos + 1 < len(order) else math.inf
-            now = (pool_d <= nxt) & (pool_d <= stop * kth * kth)  # the next projected neighbours
-            if now.any():
-                v = pool_i[now]
-                d = x[v] - q
+            nxt = lower[order[pos + WAVE]] if pos + WAVE < len(order) else math.inf
+            now = np.flatnonzero((pool_d <= nxt) & (pool_d <= stop * kth * kth))  # the next projected neighbours
+            now = now[np.argsort(pool_d[now], kind="stable")]
+            at, size = 0, FIRST_CHECKED
+            while at < len(now) and pool_d[now[at]] <= stop * kth * kth:  # nearest first, the bound tightens
+                v = pool_i[now[at:at + size]]
+                self.verified += len(v)
+                xv = x[v]
+                if len(best_d) >= k or kth < math.inf:  # what is farther than the k-th best by product is farther
+                    near = x2[v] - 2.0 * (xv @ q) + q2 <= kth * kth + 1e-9 * (1.0 + kth * kth + x2[v] + q2)
+                    v, xv = v[near], xv[near]
+                d = xv - q
                 best_d = np.concatenate([best_d, np.sqrt((d * d).sum(1))])
                 best_i = np.concatenate([best_i, ids[v]])
                 if len(best_d) > k:
@@ -140,8 +153,9 @@ class KdTree:
                     best_d, best_i = best_d[o], best_i[o]
                 if len(best_d) >= k:
                     kth = min(kth, best_d.max())
-                keep = pool_d > nxt
-                pool_d, pool_i = pool_d[keep], pool_i[keep]
+                at, size = at + size, 2 * size
+            keep = pool_d > nxt
+            pool_d, pool_i = pool_d[keep], pool_i[keep]
         o = np.lexsort((best_i, best_d))[:k]
         return list(zip(best_d[o].tolist(), best_i[o].tolist()))
 
