@@ -10,9 +10,10 @@ score of the merged piece; both with byte fallback; and the decoder.
 A text is normalised whole; where no piece of the vocabulary continues past a
 marker, it is cut before each run of markers, and each distinct part is encoded
 once, in batches over ``THREADS`` threads (:mod:`.wordcache`). The SentencePiece
-library itself encodes every distinct part as well, and ``parity`` says
+library itself encodes every whole, raw text as well, and ``parity`` says
 whether the ids agree. Each distinct part goes back through the tokenizer's
-decoder, too, and ``round_trip`` says whether the text's parts come back.
+decoder, and ``round_trip`` says whether all parts of the text come back and make up the
+text (parts begin with a marker, so no decoding step crosses them).
 
 Defined cases: a null text reads as empty; an empty text has no ids; equal
 texts get equal ids; unknown characters become their bytes; an empty table
@@ -181,35 +182,36 @@ class Codec:
         self.cache = PieceIds(self._encode_parts)
 
     def _encode_parts(self, parts: list[str]) -> list[list[int]]:
-        """Ids of each distinct part, after one number: 1 if the SentencePiece library
-        gives the same ids, plus 2 if the decoder gives the part back."""
-        ids = self.parts.model.tokenize
-        got = [[t.id for t in ids(p)] for p in parts]
+        """Ids of each distinct part, a batch over all threads, after one number: 1 if the decoder
+        gives the part back."""
+        got = [e.ids for e in self.parts.encode_batch_fast(parts, add_special_tokens=False)]
         plain = [p[1:].replace(MARKER, " ") if p.startswith(MARKER) else p.replace(MARKER, " ") for p in parts]
         back = self.tok.decode_batch(got, skip_special_tokens=False)
-        if self.other is None:
-            want = got
-        else:
-            alone = [self.other.piece_to_id(MARKER)]  # the library adds no marker to an empty text
-            want = [w or alone for w in self.other.encode(plain)]
-        return [[(g == w) + 2 * (d == t)] + g for g, w, d, t in zip(got, want, back, plain)]
+        return [[int(d == t)] + g for g, d, t in zip(got, back, plain)]
+
+    def _agree(self, texts: list[str], ids: list[np.ndarray]) -> np.ndarray:
+        """Does the SentencePiece library give the same ids for each whole, raw text?"""
+        if self.other is None or not texts:
+            return np.ones(len(texts), bool)
+        return np.array([i.tolist() == w for i, w in zip(ids, self.other.encode(texts))], bool)
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         """(ids, do both libraries agree, does decoding give the text back) of each text."""
         out: list = [np.zeros(0, np.int32)] * len(texts)
-        agree, back = np.ones(len(texts), bool), np.ones(len(texts), bool)
+        back = np.ones(len(texts), bool)
         if not (self.cuttable and self.model.dummy_prefix and not self.model.trim_spaces):
             enc = self.tok.encode_batch_fast(texts, add_special_tokens=False)
             for i, e in enumerate(enc):
                 out[i] = np.array(e.ids, np.int32)
-            if self.other is not None and texts:
-                agree = np.array([list(o) == w for o, w in zip(out, self.other.encode(texts))])
             back = np.array([a == t for a, t in zip(self.decode(out), texts)], bool)
-            return out, agree, back
-        norm = [self.tok.normalizer.normalize_str(t) if t else "" for t in texts]
+            return out, self._agree(texts, out), back
+        if self.model.charsmap:
+            norm = [self.tok.normalizer.normalize_str(t) if t else "" for t in texts]
+        else:  # the same two steps: the marker in front, and in place of spaces
+            norm = [MARKER + t.replace(" ", MARKER) if t else "" for t in texts]
         full = [i for i, t in enumerate(norm) if t]
         if not full:
-            return out, agree, back
+            return out, self._agree(texts, out), back
         joined = "".join(norm[i] for i in full)
         cp = code_points(joined)
         lens = np.array([len(norm[i]) for i in full])
@@ -221,21 +223,19 @@ class Codec:
         s = np.flatnonzero(begin)
         e = np.concatenate([s[1:], [len(cp)]])
         ids, n = self.cache.ids(joined, cp, s, e)
-        head = np.cumsum(n) - n  # position of each part's agreement flag
-        same, exact = (ids[head] & 1) > 0, (ids[head] & 2) > 0
+        head = np.cumsum(n) - n  # position of each part's flag
+        exact = ids[head] > 0
         keep = np.ones(len(ids), bool)
         keep[head] = False
         ids = ids[keep]
         done = np.concatenate([[0], np.cumsum(n - 1)])
         at = np.searchsorted(s, np.concatenate([first, [len(cp)]]))
-        wrong = np.concatenate([[0], np.cumsum(~same)])
         lost = np.concatenate([[0], np.cumsum(~exact)])
         for k, i in enumerate(full):
             out[i] = ids[done[at[k]]:done[at[k + 1]]]
-            agree[i] = wrong[at[k + 1]] == wrong[at[k]]
             back[i] = (lost[at[k + 1]] == lost[at[k]] and MARKER not in texts[i]
                        and norm[i] == MARKER + texts[i].replace(" ", MARKER))
-        return out, agree, back
+        return out, self._agree(texts, out), back
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
         return self.tok.decode_batch([i.tolist() for i in ids], skip_special_tokens=False)
