@@ -136,14 +136,16 @@ def learn_languages(docs: DataFrame, per_lang: int = PER_LANG, mod: int = 3, hel
     """Learn from text and non-null lang of rows outside the held-out fold."""
     fold = docs.select("doc_id", "text", "lang").where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod("doc_id", mod) != held_out))
-    counts = fold.groupBy("lang").count().collect()
+    counts = fold.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.02).alias("ids")).collect()
     langs = sorted(r["lang"] for r in counts)
     if not langs:
         return LangModel([], None, None)
     share = fold.sparkSession.createDataFrame(
-        [(r["lang"], min(1.0, per_lang / r["count"])) for r in counts], "lang string, share double")
-    picked = fold.join(F.broadcast(share), "lang").where(hash01("doc_id", seed) < F.col("share")) \
-        .select("doc_id", "text", "lang")
+        [(r["lang"], min(1.0, per_lang / max(1, r["ids"]))) for r in counts], "lang string, share double")
+    # the ids of smallest hash, one row each (of several the smallest), so that the sample is bounded
+    # and the same for any order of the rows
+    picked = (fold.join(F.broadcast(share), "lang").where(hash01("doc_id", seed) < F.col("share"))
+              .groupBy("doc_id", "lang").agg(F.min("text").alias("text")))
 
     def run(batches):
         for b in batches:
@@ -157,8 +159,8 @@ def learn_languages(docs: DataFrame, per_lang: int = PER_LANG, mod: int = 3, hel
                      pa.array([(g[1] / max(1, g[1].sum())).astype(np.float32).tobytes() for g in got],
                               pa.binary())], ["doc_id", "lang", "idx", "share"])
 
-    rows = picked.mapInArrow(run, "doc_id long, lang string, idx binary, share binary") \
-        .limit(2 * per_lang * len(langs)).collect()
+    rows = picked.select("doc_id", "text", "lang").mapInArrow(
+        run, "doc_id long, lang string, idx binary, share binary").collect()
     rows = sorted((r for r in rows if len(r["idx"])), key=lambda r: (r["doc_id"], r["lang"], r["idx"]))
     if not rows:
         return LangModel([], None, None)

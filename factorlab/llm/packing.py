@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import chunks, texts_of, utf8
+from .common import chunks, texts_of, tidy, utf8
 from .wordcache import PieceIds, code_points
 
 MAX_LEN = 1024
@@ -180,4 +180,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, max_len: int = MAX_LEN,
                     names = names + ["input_ids"]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), schema)

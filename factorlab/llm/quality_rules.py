@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, chunks, labelled, sample_ids, texts_of, utf8
+from .common import CHUNK_BYTES, chunks, labelled, sample_ids, texts_of, tidy, utf8
 from .models import BoostedTrees
 from .textstats import FEATURES, Words, base_counts, features
 
@@ -46,8 +46,10 @@ def base_failed(b: dict) -> np.ndarray:
 
 
 def sample_features(docs: DataFrame, ids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Statistics and labels of the sampled documents (bounded by the sample)."""
-    picked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    """Statistics and labels of the sampled documents: one row per id, of several texts the
+    smallest, so that the sample bounds what is collected however often an id occurs."""
+    picked = (docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+              .groupBy("doc_id", "y").agg(F.min("text").alias("text")))
 
     def run(batches):
         for b in batches:
@@ -59,7 +61,7 @@ def sample_features(docs: DataFrame, ids: DataFrame) -> tuple[np.ndarray, np.nda
                      pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
     rows = picked.select("doc_id", "y", "text").mapInArrow(
-        run, "doc_id long, y int, x array<double>").collect()
+        tidy(run), "doc_id long, y int, x array<double>").collect()
     rows.sort(key=lambda r: (r[0], r[1], r[2]))
     if not rows:
         return np.zeros((0, len(FEATURES))), np.zeros(0)
@@ -104,7 +106,7 @@ def apply_rules(docs: DataFrame, model: RuleModel) -> DataFrame:
                     [b.column("doc_id").slice(i, j - i)] + [pa.array(v) for v in r.values()],
                     ["doc_id", *r])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, " + RULE_COLUMNS)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, " + RULE_COLUMNS)
 
 
 def filter_rows(docs: DataFrame, keep) -> DataFrame:
@@ -117,7 +119,7 @@ def filter_rows(docs: DataFrame, keep) -> DataFrame:
             if mask:
                 yield b.filter(pa.array(np.concatenate(mask)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def keep_good(docs: DataFrame, model: RuleModel) -> DataFrame:

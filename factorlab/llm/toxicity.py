@@ -31,7 +31,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, labelled, sample_ids, texts_of, utf8
+from .common import chunks, labelled, sample_ids, texts_of, tidy, utf8
 from .models import Logistic
 from .quality_rules import filter_rows
 
@@ -175,8 +175,11 @@ class ToxicModel:
 
 
 def _picked(docs: DataFrame, ids: list, spark) -> DataFrame:
-    few = spark.createDataFrame([(i,) for i in ids], "doc_id long")  # bounded by the sample sizes
-    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
+    """One row per sampled id, of several texts the smallest: however often an id occurs, what is
+    collected is bounded by the sample sizes."""
+    few = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    return (docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
+            .groupBy("doc_id").agg(F.min("text").alias("text")))
 
 
 def learn_toxicity(docs: DataFrame, labels: DataFrame, dict_docs: int = DICT_DOCS,
@@ -230,7 +233,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, dict_docs: int = DICT_DOC
                      pa.array(list(model.features(texts_of(data, off, i, j))), pa.list_(pa.float64()))],
                     ["doc_id", "x"])
 
-    got = _picked(docs, sorted(y_of), spark).mapInArrow(run, "doc_id long, x array<double>").collect()
+    got = _picked(docs, sorted(y_of), spark).mapInArrow(tidy(run), "doc_id long, x array<double>").collect()
     got.sort(key=lambda r: (r["doc_id"], r["x"]))
     y = np.array([float(y_of[r["doc_id"]]) for r in got])
     model.prior = float(y.mean()) if len(y) else 0.0
@@ -249,7 +252,7 @@ def score_toxicity(docs: DataFrame, model: ToxicModel) -> DataFrame:
                     [b.column("doc_id").slice(i, j - i),
                      pa.array(model.score(texts_of(data, off, i, j)))], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def keep_clean(docs: DataFrame, model: ToxicModel) -> DataFrame:
