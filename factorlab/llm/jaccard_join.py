@@ -39,11 +39,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, cut_lineage_observed, drop_table, table_path
-from .common import chunks, mix64, release, text_key, texts_of, utf8
+from .common import chunks, free_name, mix64, release, text_key, texts_of, tidy, utf8
 from .components import connected_components
 from .textstats import Words, grams
 
@@ -56,7 +56,10 @@ COMMON_MAX = 1 << 16  # elements kept by the order, the most frequent
 MAX_LIGHT = 64
 GROUP_ELEMENTS = 1 << 20  # elements of a component's classes in one block
 BLOCK_ROWS, BLOCK_ELEMENTS = 128, 1 << 16  # classes and elements intersected at once (one class at least)
-BROADCAST_IDS = 1_000_000  # ids (8 bytes each); beyond it a shuffle join
+BROADCAST_IDS = 200_000  # rows of two keys and 16 bytes (some 20 MB as a lookup); beyond it a shuffle join
+SHORT = 512  # bytes of a sketch that goes with every entry of a list
+OWN_LISTS = 256  # lists of a class that go with each of its entries
+SAMPLED = 4096  # one element in so many tells the mean length of a list
 _NO_ID = (1 << 63) - 1  # stands for a null doc_id, after all others
 _SALT = np.uint64(0xA0761D6478BD642F)
 
@@ -114,6 +117,20 @@ def may_link(a: bytes, n: int, b: bytes, m: int) -> bool:
     return differ * (NUM + DEN) <= (DEN - NUM) * (n + m)
 
 
+def short_sketch(x: bytes, least: int = SHORT) -> bytes:
+    """Parities of fewer bits: the halves added until at most ``least`` bytes (8 at least) are left."""
+    v = np.frombuffer(x, np.uint8)
+    while len(v) > max(8, least):
+        v = v.reshape(2, -1)[0] ^ v.reshape(2, -1)[1]
+    return v.tobytes()
+
+
+def light_sketch(x: bytes, n: int) -> bytes:
+    """The fewest bits that still tell unrelated sets apart: from 3/4 n up (they differ in about half of
+    them, linked sets in 2/7 n at most)."""
+    return short_sketch(x, 1 << max(0, -(-3 * n // 32) - 1).bit_length())
+
+
 def _fold(x: np.ndarray, words: int) -> np.ndarray:
     """Parities (rows of 64-bit words) of fewer bits: halves added until ``words`` are left."""
     while x.shape[1] > words:
@@ -159,18 +176,22 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def scan_sets(docs: DataFrame) -> DataFrame:
-    """One pass over the texts: rows (doc_id, th, n, h1, h2, sketch) and, apart, elements that several
-    documents of a counting unit share (token, cnt)."""
+    """One pass over the texts: rows (doc_id, th, n, h1, h2, sketch), kind 0; elements that several
+    documents of a counting unit share (token, cnt), kind 1; and every occurrence of one element in
+    ``SAMPLED`` (token, cnt), kind 2."""
     def run(batches):
         seen: set = set()
         pool, size = [], 0
 
         def common():
             t, c = np.unique(np.concatenate(pool), return_counts=True)
-            t, c = t[c >= COMMON_LEAST], c[c >= COMMON_LEAST]
+            some = (t % np.uint64(SAMPLED)) == 0
+            often = c >= COMMON_LEAST
+            kind = np.concatenate([np.ones(int(often.sum()), np.int32), np.full(int(some.sum()), 2, np.int32)])
+            t, c = np.concatenate([t[often], t[some]]), np.concatenate([c[often], c[some]])
             none = pa.nulls(len(t), pa.int64())
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.ones(len(t), np.int32)), none, pa.nulls(len(t), pa.binary()), none, none, none,
+                [pa.array(kind), none, pa.nulls(len(t), pa.binary()), none, none, none,
                  pa.nulls(len(t), pa.binary()), pa.array(t.view(np.int64)), pa.array(c.astype(np.int64))], names)
 
         names = ["kind", "doc_id", "th", "n", "h1", "h2", "sketch", "token", "cnt"]
@@ -197,7 +218,7 @@ def scan_sets(docs: DataFrame) -> DataFrame:
             yield common()
 
     return docs.select("doc_id", "text", "th").mapInArrow(
-        run, "kind int, doc_id long, th binary, n long, h1 long, h2 long, sketch binary, token long, cnt long")
+        tidy(run), "kind int, doc_id long, th binary, n long, h1 long, h2 long, sketch binary, token long, cnt long")
 
 
 def boundary(sizes: dict[int, int], scan: float) -> int:
@@ -219,6 +240,16 @@ def boundary(sizes: dict[int, int], scan: float) -> int:
     return best[1]
 
 
+def mean_list(sampled: DataFrame, common: np.ndarray) -> float:
+    """Mean number of entries in the list that an entry lies in, over the sampled elements; the
+    common ones start no lists while a set has others."""
+    far = F.array_contains(F.lit(common.view(np.int64)[common % np.uint64(SAMPLED) == 0].tolist())
+                           .cast("array<bigint>"), F.col("token"))
+    each = sampled.groupBy("token").agg(F.sum("cnt").cast("double").alias("c")).where(~far)
+    got = each.agg((F.sum(F.col("c") * F.col("c")) / F.sum("c")).alias("m")).first()["m"]
+    return max(1.0, got or 1.0)
+
+
 def signatures(s: np.ndarray, rank: np.ndarray, x: int) -> np.ndarray:
     """List keys of one set: prefix elements (heavy) and / or 2-subsets of the prefix (light)."""
     n = len(s)
@@ -261,7 +292,7 @@ def postings(docs: DataFrame, common: np.ndarray, common_rank: np.ndarray, x: in
                         [pa.array(np.concatenate(toks).view(np.int64)), pa.array(np.concatenate(cls)),
                          pa.array(np.concatenate(ns))], ["token", "cls", "n"])
 
-    return docs.select("text").mapInArrow(run, "token long, cls long, n int")
+    return docs.select("text").mapInArrow(tidy(run), "token long, cls long, n int")
 
 
 def lists(entries: DataFrame) -> DataFrame:
@@ -282,6 +313,9 @@ def lists(entries: DataFrame) -> DataFrame:
                 [pa.array(np.full(len(t), kind, np.int32)), pa.array(t), pa.array(c), pa.array(n),
                  pa.array(c2), pa.array(n2)], names)
 
+        def entries_of(t, c, n):
+            return emit(1, t, c, n, np.zeros(len(c), np.int64), np.zeros(len(c), np.int32))
+
         def edges(c, n, c2, n2):
             ok = (c != c2) | (n != n2)
             ok &= DEN * np.minimum(n, n2).astype(np.int64) >= NUM * np.maximum(n, n2).astype(np.int64)
@@ -313,8 +347,7 @@ def lists(entries: DataFrame) -> DataFrame:
                     if e is not None:
                         yield e
                     if len(cc):
-                        yield emit(1, np.full(len(cc), tok), cc, nn, np.zeros(len(cc), np.int64),
-                                   np.zeros(len(cc), np.int32))
+                        yield entries_of(np.full(len(cc), tok), cc, nn)
                         open_list = (tok, fc, fn, cc[-1], nn[-1])
                 if k == len(t):
                     continue
@@ -342,15 +375,14 @@ def lists(entries: DataFrame) -> DataFrame:
                     yield e
             big = use & (np.repeat(size, size) >= 3)
             if big.any():
-                yield emit(1, t[big], c[big], n[big], np.zeros(int(big.sum()), np.int64),
-                           np.zeros(int(big.sum()), np.int32))
+                yield entries_of(t[big], c[big], n[big])
         if held is not None and len(held[0]) == 2:
-            e = edges(held[1][:1], held[2][:1], held[1][1:], held[2][1:])
+            e = edges(*[v[:1] for v in held[1:]], *[v[1:] for v in held[1:]])
             if e is not None:
                 yield e
 
     ordered = entries.repartition("token").sortWithinPartitions("token", "cls", "n")
-    return ordered.mapInArrow(run, "kind int, token long, cls long, n int, cls2 long, n2 int")
+    return ordered.mapInArrow(tidy(run), "kind int, token long, cls long, n int, cls2 long, n2 int")
 
 
 def _wanted(pairs: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame, int]:
@@ -362,10 +394,23 @@ def _wanted(pairs: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame, in
     return wanted, F.broadcast(wanted) if got["m"] <= BROADCAST_IDS else wanted, got["m"]
 
 
-def _sketches(rows: DataFrame, side: DataFrame) -> DataFrame:
-    """(cls, n, sketch) of the classes of ``side``."""
-    return (rows.select(_rid().alias("rep"), "th", F.col("h1").alias("cls"), F.col("n").cast("int").alias("n"), "sketch")
-            .join(side, ["rep", "th", "cls", "n"]).dropDuplicates(["cls", "n"]).select("cls", "n", "sketch"))
+def _sketches(rows: DataFrame, side: DataFrame, fold=None) -> DataFrame:
+    """(cls, n, sketch) of the classes of ``side``; ``fold``: function of (sketch, n) that shortens it."""
+    out = (rows.select(_rid().alias("rep"), "th", F.col("h1").alias("cls"), F.col("n").cast("int").alias("n"), "sketch")
+           .join(side, ["rep", "th", "cls", "n"]).dropDuplicates(["cls", "n"]).select("cls", "n", "sketch"))
+    if fold is None:
+        return out
+
+    def run(batches):
+        for b in batches:
+            made = [fold(x, n) for x, n in zip(b.column("sketch").to_pylist(), b.column("n").to_pylist())]
+            yield b.set_column(2, "sketch", pa.array(made, pa.binary()))
+
+    return out.mapInArrow(tidy(run), "cls long, n int, sketch binary")
+
+
+def _at_most_short(x: bytes, n: int) -> bytes:
+    return short_sketch(x)
 
 
 def _class_texts(docs: DataFrame, side: DataFrame, count: int) -> DataFrame:
@@ -387,8 +432,9 @@ def _both_ends(pairs: DataFrame, ends: DataFrame, col: str) -> DataFrame:
 
 
 def _may_link(pairs: DataFrame, rows: DataFrame, reps: DataFrame) -> DataFrame:
-    """The candidate pairs that the sketches do not rule out."""
-    wanted, side, _ = _wanted(pairs, reps)
+    """The candidate pairs that the sketches do not rule out: light ones for all pairs, the whole
+    ones for those that are left."""
+    spark = rows.sparkSession
 
     def run(batches):
         for b in batches:
@@ -396,10 +442,15 @@ def _may_link(pairs: DataFrame, rows: DataFrame, reps: DataFrame) -> DataFrame:
             yield b.select(["cls", "n", "cls2", "n2"]).filter(
                 pa.array([may_link(*r) for r in zip(*cols)], pa.bool_()))
 
-    out = cut_lineage(_both_ends(pairs, _sketches(rows, side), "sketch").mapInArrow(
-        run, "cls long, n int, cls2 long, n2 int"))
-    drop_table(rows.sparkSession, table_path(wanted))
-    return out
+    for fold in (light_sketch, None):
+        wanted, side, _ = _wanted(pairs, reps)
+        left = cut_lineage(_both_ends(pairs, _sketches(rows, side, fold), "sketch").mapInArrow(
+            tidy(run), "cls long, n int, cls2 long, n2 int"))
+        drop_table(spark, table_path(wanted))
+        if fold is None:
+            drop_table(spark, table_path(pairs))
+        pairs = left
+    return pairs
 
 
 def _list_pairs(entries: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -407,10 +458,14 @@ def _list_pairs(entries: DataFrame, sketches: DataFrame) -> DataFrame:
 
     ``entries``: (token, nb, cls, n, comp), ``nb`` the blocks of the list: a list of more than
     ``LIST_ROWS`` members is cut into blocks by hash, and every two blocks meet in a group of
-    their own. ``sketches``: (cls, n, sketch). A pair that shares several lists is a row of the
-    smallest of them only, which the members' own lists tell.
+    their own. ``sketches``: (cls, n, sketch), at most ``SHORT`` bytes each. A pair that shares several
+    lists is a row of the smallest only, as far as the ``OWN_LISTS`` smallest lists of both tell; later ones
+    may give it again.
     """
-    own = entries.groupBy("cls", "n").agg(F.collect_list("token").alias("lists"))  # at most a set's signatures
+    # numbered by a window that keeps OWN_LISTS rows a class
+    order = Window.partitionBy("cls", "n").orderBy("token")
+    own = (entries.select("cls", "n", "token").withColumn("k", F.row_number().over(order))
+           .where(F.col("k") <= OWN_LISTS).groupBy("cls", "n").agg(F.sort_array(F.collect_list("token")).alias("lists")))
     rows = (entries.join(sketches.join(own, ["cls", "n"]), ["cls", "n"])
             .withColumn("b", F.pmod(F.xxhash64("cls", "n"), F.col("nb")).cast("int"))
             .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
@@ -421,17 +476,19 @@ def _list_pairs(entries: DataFrame, sketches: DataFrame) -> DataFrame:
         key, group = None, []
 
         def flush():
-            if len({r[5] for r in group}) < 2:
+            side, cls, n, comp, sketches, lists = zip(*group)
+            n, comp = np.array(n, np.int64), np.array(comp)
+            if (comp == comp[0]).all():
                 return None
-            n = np.array([r[4] for r in group], np.int64)
-            comp = np.array([r[5] for r in group])
-            side = np.array([r[2] for r in group]) if key[1] != key[2] else None
-            lists = [set(r[7]) for r in group]
+            known = [set(x) for x in lists]
+            whole = [x[-1] if len(x) == OWN_LISTS else 1 << 63 for x in lists]  # told up to here
             out = []
-            for i, j in close_pairs([r[6] for r in group], n, comp, side):
-                if min(lists[i] & lists[j]) == key[0]:
-                    a, b = sorted(((group[i][3], group[i][4]), (group[j][3], group[j][4])))
-                    out.append((*a, *b))
+            for i, j in close_pairs(list(sketches), n, comp, np.array(side) if key[1] != key[2] else None):
+                shared = known[i] & known[j]
+                if min(shared, default=1 << 63) < min(key[0], whole[i] + 1, whole[j] + 1):
+                    continue  # a row of that list
+                a, b = sorted(((cls[i], int(n[i])), (cls[j], int(n[j]))))
+                out.append((*a, *b))
             if not out:
                 return None
             return pa.RecordBatch.from_arrays(
@@ -446,13 +503,14 @@ def _list_pairs(entries: DataFrame, sketches: DataFrame) -> DataFrame:
                     if got is not None:
                         yield got
                     key, group = r[:3], []
-                group.append((r[0], r[1], *r[3:]))
+                group.append(r[3:])
         got = flush() if group else None
         if got is not None:
             yield got
 
-    return (rows.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
-            .mapInArrow(run, "cls long, n int, cls2 long, n2 int"))
+    pairs = (rows.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
+             .mapInArrow(tidy(run), "cls long, n int, cls2 long, n2 int"))
+    return pairs.distinct()  # a pair may share several lists
 
 
 def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -494,7 +552,7 @@ def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())],
                                                      ["u", "v"])
 
-    out = cut_lineage(_both_ends(pairs, texts, "text").mapInArrow(check, "u long, v long").distinct())
+    out = cut_lineage(_both_ends(pairs, texts, "text").mapInArrow(tidy(check), "u long, v long").distinct())
     for t in (wanted, texts):
         drop_table(docs.sparkSession, table_path(t))
     release(docs.sparkSession)
@@ -523,8 +581,7 @@ def _groups(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     common_rank = np.minimum(np.log2(np.maximum(cnt, 1)).astype(np.int64), 200).astype(np.uint8)[order]
     sizes = {int(r["n"]): int(r["count"]) for r in
              classes.where(F.col("n") <= 2 * MAX_LIGHT).groupBy("n").count().collect()}
-    total = sum(c * prefix_length(n) for n, c in sizes.items()) or 1
-    x = boundary(sizes, 1.0 + float(np.minimum(cnt, 64).sum()) / (total + float(cnt.sum())))
+    x = boundary(sizes, mean_list(scan.where("kind = 2"), common))
 
     found = cut_lineage(lists(postings(docs, common, common_rank, x)), partition_by=["kind"])
     low = F.struct("cls", "n")
@@ -562,7 +619,7 @@ def _groups(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     rest = entries
     if got["m"]:
         members, side, _ = _wanted(entries.select("cls", "n", F.col("cls").alias("cls2"), F.col("n").alias("n2")), reps)
-        rest = cut_lineage(_list_pairs(entries, _sketches(rows, side))
+        rest = cut_lineage(_list_pairs(entries, _sketches(rows, side, _at_most_short))
                            .join(first, ["cls", "n", "cls2", "n2"], "left_anti"))
         links = links.unionByName(verify(rest, docs, reps))
         comp = connected_components(links)
@@ -675,7 +732,7 @@ def count_links(docs: DataFrame, grouped: DataFrame) -> DataFrame:
             yield flush()
 
     counted = cut_lineage(rows.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi")
-                          .mapInArrow(run, "cls long, n int, links long"))
+                          .mapInArrow(tidy(run), "cls long, n int, links long"))
     for t in (side, texts):
         drop_table(docs.sparkSession, table_path(t))
     release(docs.sparkSession)
@@ -704,28 +761,29 @@ def keep_one(docs: DataFrame, one_row: bool = False) -> DataFrame:
 
     ``one_row``, the pipeline's form: exactly one row of each component stays, so rows that
     repeat and rows without doc_id (after all others) are copies too. Otherwise rows that
-    share an id are one document and rows without doc_id stay.
+    share an id are one document and rows without doc_id stay. All columns of ``docs`` come back
+    as they are, whatever their names.
     """
     rows, named, _ = _groups(docs)
-    judged = rows.where("n > 0").join(named, ["h1", "h2", "n"]).select("doc_id", _rid().alias("__rid"),
-                                                                     F.col("th").alias("__th"), "best")
-    first = (F.col("__rid") == F.col("best.rep"))
+    judged = rows.where("n > 0").join(named, ["h1", "h2", "n"]).select("doc_id", _rid().alias("rid"), "th", "best")
+    first = F.col("rid") == F.col("best.rep")
     if one_row:
-        first &= F.col("__th") == F.col("best.th")
+        first &= F.col("th") == F.col("best.th")
     gone = judged.where(~first) if one_row else judged.where(~first & F.col("doc_id").isNotNull())
-    keyed = docs.withColumn("__rid", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))) \
-        .withColumn("__th", text_key("text"))
+    rid, th = free_name(docs.columns, "rid"), free_name(docs.columns, "th")
+    keyed = docs.withColumn(rid, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))) \
+        .withColumn(th, text_key("text"))
 
     def side(keys):
+        keys = keys.select(F.col("rid").alias(rid), F.col("th").alias(th))
         keys, got = cut_lineage_observed(keys, [F.count(F.lit(1)).alias("m")])
         return (F.broadcast(keys) if got["m"] <= BROADCAST_IDS else keys), got["m"]
 
-    dropped, _ = side(gone.select("__rid", "__th").distinct())
-    kept = keyed.join(dropped, ["__rid", "__th"], "left_anti")
+    dropped, _ = side(gone.select("rid", "th").distinct())
+    kept = keyed.join(dropped, [rid, th], "left_anti")
     if one_row:
-        repeats, m = side(judged.where(first).groupBy("__rid", "__th").count().where("count > 1")
-                          .select("__rid", "__th"))
+        repeats, m = side(judged.where(first).groupBy("rid", "th").count().where("count > 1"))
         if m:
-            kept = kept.join(repeats, ["__rid", "__th"], "left_anti").unionByName(
-                kept.join(repeats, ["__rid", "__th"], "left_semi").dropDuplicates(["__rid", "__th"]))
-    return kept.select(*docs.columns)
+            kept = kept.join(repeats, [rid, th], "left_anti").unionByName(
+                kept.join(repeats, [rid, th], "left_semi").dropDuplicates([rid, th]))
+    return kept.select(*[f"`{c}`" for c in docs.columns])
