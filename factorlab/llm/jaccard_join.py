@@ -449,6 +449,7 @@ def _may_link(pairs: DataFrame, rows: DataFrame, reps: DataFrame) -> DataFrame:
         drop_table(spark, table_path(wanted))
         if fold is None:
             drop_table(spark, table_path(pairs))
+        release(spark)  # the shuffle files of this pass
         pairs = left
     return pairs
 
