@@ -101,13 +101,13 @@ def test_clashing_names_come_back_unchanged(spark):
 
 # ------------------------------------------------------------------- join
 def test_long_set(spark):
-    """A document of 20,000 shingles, near copies of it and of short texts."""
+    """A document of 100,000 shingles, near copies of it and of short texts."""
     rng = random.Random(4)
-    long = [f"w{rng.randrange(30_000)}" for _ in range(20_004)]
+    long = [f"w{rng.randrange(30_000)}" for _ in range(100_004)]
     near = long[:]
     for i in range(0, len(near), 100):
         near[i] = "changed"
-    rows = [(1, " ".join(long)), (2, " ".join(near)), (3, " ".join(long[:12_000]))]
+    rows = [(1, " ".join(long)), (2, " ".join(near)), (3, " ".join(long[:60_000]))]
     for i in range(10, 60, 2):
         t = words(rng, 40 + i).split()
         u = t[:]
@@ -115,7 +115,8 @@ def test_long_set(spark):
         rows += [(i, " ".join(t)), (i + 1, " ".join(u))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: (r.component_id, r.n_links) for r in jaccard_join.near_duplicates(df).collect()}
-    sets = {i: {tuple(t.split()[k:k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    split = {i: t.split() for i, t in rows}
+    sets = {i: {tuple(w[k:k + 5]) for k in range(len(w) - 4)} for i, w in split.items()}
     for i, j in [(1, 2), (1, 3), (2, 3)] + [(i, i + 1) for i in range(10, 60, 2)]:
         linked = 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])
         assert (got[i][0] == got[j][0]) == linked, (i, j)
