@@ -257,3 +257,42 @@ def test_model_score_split_path_equals_broadcast_path(spark):
     m.broadcast_max_bytes = 0
     b = {(x.user_id, x.item_id): x.prediction for x in m.score(r.select("user_id", "item_id")).collect()}
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-12 for k in a)
+
+
+def _random_cells(seed, users, items, share):
+    rng = np.random.RandomState(seed)
+    return [(u, i, float(rng.randint(0, 6))) for u in range(users) for i in range(items) if rng.rand() < share]
+
+
+def _errors_by_join(models, cells):
+    """Squared errors and counts from the models' own factor rows, one pair at a time."""
+    out = []
+    for m in models:
+        x, y = ({r.id: np.array(r.f) for r in d.collect()} for d in (m.users, m.items))
+        e = [(x[u] @ y[i] - r) ** 2 for u, i, r in cells if u in x and i in y and r is not None]
+        out.append((sum(e), len(e)))
+    return out
+
+
+@pytest.mark.parametrize("cold", ["zero", "start"])
+def test_models_of_a_loop_are_scored_in_one_pass(spark, monkeypatch, cold):
+    """Repeated, unknown and unrated cells, ids without ratings, entities of several rows; nothing is broadcast
+    and no single model is scored on its own."""
+    monkeypatch.setattr(FA, "CHUNK", 5)
+    r = ratings_df(spark, _random_cells(11, 12, 9, 0.6))
+    cells = _random_cells(12, 16, 11, 0.5) + [(1, 1, 3.0), (1, 1, 3.0), (None, 2, 1.0), (2, None, 1.0), (99, 1, 2.0)]
+    spine = spark.range(14).select(F.col("id")), spark.range(10).select(F.col("id"))
+    pairs = spark.createDataFrame(cells + [(3, 3, None)], "user_id bigint, item_id bigint, rating double")
+    for given in (spine, (None, None)):
+        models = FA.train_models(r, [1, 3], [0.1, 1.0], 2, "masked", *given, cold=cold)
+        together = models[0].together
+        blocks = together.blocks(pairs)
+        monkeypatch.setattr(FA.FactorModel, "score", None)
+        want = _errors_by_join(models, cells)
+        got = together.squared_errors(blocks)
+        assert [n for _, n in got] == [n for _, n in want]
+        assert np.allclose([s for s, _ in got], [s for s, _ in want], rtol=1e-9)
+        rows = together.score_cells(blocks).collect()
+        assert len(rows) == want[0][1] + (1 if all(m.users.where("id = 3").count() for m in models) else 0)
+        sse = np.sum([(np.array(x.predictions) - x.rating) ** 2 for x in rows if x.rating is not None], 0)
+        assert np.allclose(sse, [s for s, _ in want], rtol=1e-9)
