@@ -296,3 +296,28 @@ def test_models_of_a_loop_are_scored_in_one_pass(spark, monkeypatch, cold):
         assert len(rows) == want[0][1] + (1 if all(m.users.where("id = 3").count() for m in models) else 0)
         sse = np.sum([(np.array(x.predictions) - x.rating) ** 2 for x in rows if x.rating is not None], 0)
         assert np.allclose(sse, [s for s, _ in want], rtol=1e-9)
+
+
+def test_trace_and_grid_take_one_pass_for_all_models(spark, monkeypatch):
+    from factorlab.operators import tuning as TU
+    train, val = _random_cells(21, 12, 9, 0.6), _random_cells(22, 15, 10, 0.4)
+    r, v = ratings_df(spark, train), ratings_df(spark, val)
+    kw = dict(user_spine=spark.range(14).select("id"), item_spine=spark.range(10).select("id"))
+    want = {n: FA.train_models(r, [1, 2], [0.1, 0.1], n, "masked", **kw) for n in (1, 2)}
+    errors = {n: (_errors_by_join(m, train), _errors_by_join(m, val)) for n, m in want.items()}
+    monkeypatch.setattr(FA.FactorModel, "score", lambda *a: pytest.fail("a pass for one model"))
+    traced = FA.train_models(r, [1, 2], [0.1, 0.1], 2, "masked", trace_on=v, **kw)
+    for k, m in enumerate(traced):
+        for it, a, b in m.trace:
+            (s, n), (s2, n2) = errors[it][0][k], errors[it][1][k]
+            assert np.allclose([a, b], [(s / n) ** 0.5, (s2 / n2) ** 0.5], rtol=1e-9)
+    monkeypatch.undo()
+    calls = []
+    score = FA.FactorModel.score
+    monkeypatch.setattr(FA.FactorModel, "score", lambda self, pairs: calls.append(1) or score(self, pairs))
+    metrics, best, _ = TU.grid_search("masked", r, v, [1, 2], [0.1], [1, 2], **kw)
+    assert not calls
+    for row in metrics.collect():  # unmatched truth rows count in the denominator
+        sse = errors[row.iters][1][row["rank"] - 1][0]
+        assert np.isclose(row.rmse, (sse / len(val)) ** 0.5, rtol=1e-9)
+    assert best["rmse"] == min(x.rmse for x in metrics.collect())
