@@ -50,16 +50,53 @@ def draw_batches(rows: DataFrame, key_col: str, n: int, steps: int, batch_rows:
     return cut_lineage(drawn, partition_by=["batch"]), per
 
 
+def _nearest_of_all(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Nearest of all centres; distances are summed coordinate by coordinate."""
+    d2 = np.zeros((len(x), len(centres)))
+    for c in range(x.shape[1]):
+        gap = x[:, c, None] - centres[None, :, c]
+        d2 += gap * gap
+    return np.round(d2, DECIMALS).argmin(1)
+
+
 def nearest_centre(x: np.ndarray, centres: np.ndarray, chunk: int = 1 << 22) -> np.ndarray:
-    """Number of the nearest centre of every row; distances are summed coordinate by coordinate."""
+    """Number of the nearest centre of every row. One matrix product finds the centres that can be nearest; where
+    that leaves several, their distances are summed coordinate by coordinate and compared, as
+    :func:`_nearest_of_all` does (rows that are not finite go there)."""
     out = np.zeros(len(x), np.int64)
     step = max(1, chunk // max(1, len(centres)))
-    for i in range(0, len(x), step):
-        d2 = np.zeros((len(x[i:i + step]), len(centres)))
-        for c in range(x.shape[1]):
-            gap = x[i:i + step, c, None] - centres[None, :, c]
-            d2 += gap * gap
-        out[i:i + step] = np.round(d2, DECIMALS).argmin(1)
+    with np.errstate(over="ignore", invalid="ignore"):
+        c2 = (centres * centres).sum(1)
+        reach = np.sqrt(c2.max()) if len(c2) else 0.0
+        for i in range(0, len(x), step):
+            part = x[i:i + step]
+            near = part @ (-2.0 * centres.T)
+            near += c2
+            best = near.min(1)
+            # errors of product and sums on both sides, and the rounding of what is compared
+            size = (np.sqrt((part * part).sum(1)) + reach) ** 2
+            edge = best + 16 * (x.shape[1] + 8) * np.finfo(float).eps * size + 2 * 10.0 ** -DECIMALS
+            whole = np.isfinite(edge)
+            row, at = np.nonzero(near <= np.where(whole, edge, -np.inf)[:, None])
+            first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, int)
+            got = np.zeros(len(part), np.int64)
+            got[row[first]] = at[first]
+            many = np.repeat(np.diff(np.append(first, len(row))) > 1, np.diff(np.append(first, len(row))))
+            r, c = row[many], at[many]
+            if len(r):
+                d2 = np.zeros(len(r))
+                for k in range(x.shape[1]):
+                    gap = part[r, k] - centres[c, k]
+                    d2 += gap * gap
+                d2 = np.round(d2, DECIMALS)
+                start = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+                least = np.repeat(np.minimum.reduceat(d2, start), np.diff(np.append(start, len(r))))
+                hit = np.flatnonzero(d2 == least)
+                one = hit[np.concatenate([[True], r[hit][1:] != r[hit][:-1]])]  # the smallest number
+                got[r[one]] = c[one]
+            if not whole.all():
+                got[~whole] = _nearest_of_all(part[~whole], centres)
+            out[i:i + step] = got
     return out
 
 
