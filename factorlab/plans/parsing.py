@@ -165,12 +165,13 @@ SELECT bucket, count(*) AS n, round(sum(rating), 6) AS rating, min(row_key) AS f
 def q_write_readback(spark, sf_dir):
     """Ratings written as a table partitioned by bucket by a run that stops half way (some buckets, wrong
     values), then by a whole run over it, then again; read back and summed per bucket."""
-    from ..session import new_table_path
-    rows = T.inter(spark, sf_dir).select("row_key", "rating", "bucket")
+    from ..session import cut_lineage, drop_table, new_table_path, table_path
+    rows = cut_lineage(T.inter(spark, sf_dir).select("row_key", "rating", "bucket"), partition_by=["bucket"])
     path = new_table_path(spark)
     X.write_table(rows.where("bucket < 4").withColumn("rating", F.col("rating") + 1), path, ["bucket"])
     for _ in range(2):
         X.write_table(rows, path, ["bucket"])
+    drop_table(spark, table_path(rows))  # the join ran once for the three runs
     return spark.read.schema(rows.schema).parquet(path).groupBy("bucket").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("rating"), 6).alias("rating"), F.min("row_key").alias("first_key"))
 
