@@ -48,3 +48,30 @@ def test_write_readback_joins_once(spark, small, monkeypatch):
         n, s, k = want.get(r["bucket"], (0, 0.0, r["row_key"]))
         want[r["bucket"]] = (n + 1, s + r["rating"], min(k, r["row_key"]))
     assert got == want
+
+
+@pytest.mark.parametrize("query, step", [("q_implicit_als", "train_implicit"), ("q_implicit_als", "predict_pairs"),
+                                         ("q_recommend_als", "train_explicit"), ("q_predict_pairs", "predict_pairs")])
+def test_library_models_read_written_rows(spark, small, monkeypatch, query, step):
+    """Every use of the play counts and the personal ratings would otherwise run the fact join again."""
+    plans, real = [], getattr(LA, step)
+
+    def seen(*a, **kw):
+        plans.extend(_plan(x) for x in a if isinstance(x, DataFrame))
+        return real(*a, **kw)
+
+    monkeypatch.setattr(LA, step, seen)
+    assert M.QUERIES[query](spark, small).count() > 0
+    assert plans and not any("l_orderkey" in p for p in plans)
+
+
+def test_personal_of_written_rows(spark, small):
+    rows = M._rated(spark, small)
+    assert sorted(M.T.personal(spark, small, rows).collect()) == sorted(M.T.personal(spark, small).collect())
+
+
+def test_splits_carry_only_what_is_asked(spark, small):
+    train, val, test = M._splits(spark, small)
+    assert train.columns == ["user_id", "item_id", "rating", "bucket"]
+    assert train.count() + val.count() + test.count() == 320
+    assert "row_key" in M._splits(spark, small, "row_key")[2].columns
