@@ -44,7 +44,10 @@ def parse_lines(lines: DataFrame, sep: str, fields, required: int | None = None,
     """
     required = len(fields) if required is None else required
     body = F.trim(F.col("line")) if strip_line else F.col("line")
-    parts = F.split(body, re.escape(sep))
+    # a generated row: filters on its fields stay above it, so a line is built and split once, not once a check
+    cut = F.struct(F.split(body, re.escape(sep)).alias("parts"), (F.length(F.trim(F.col("line"))) > 0).alias("full"))
+    lines = lines.select("line", F.explode(F.array(cut)).alias("_cut"))
+    parts = F.col("_cut.parts")
     cols, checks = [], [F.size(parts) >= required]
     for i, (name, typ) in enumerate(fields):
         v = F.get(parts, i)
@@ -57,7 +60,7 @@ def parse_lines(lines: DataFrame, sep: str, fields, required: int | None = None,
     ok = checks[0]
     for c in checks[1:]:
         ok = ok & c
-    return lines.where(F.length(F.trim(F.col("line"))) > 0).select(*cols, "line", ok.alias("_ok"))
+    return lines.where("_cut.full").select(*cols, "line", ok.alias("_ok"))
 
 
 def parse_delimited(spark: SparkSession, path: str, sep: str, fields, required: int | None = None,

@@ -112,3 +112,13 @@ def test_every_reader_offers_its_quarantine(spark, tmp_path):
         assert good.count() == n_good, reader.__name__
         assert {r.line for r in bad.collect()} == lines, reader.__name__
         assert "line" not in good.columns
+
+
+def test_line_is_built_and_split_once(spark):
+    """Filters on parsed fields do not carry the line's expression with them."""
+    lines = spark.range(20).select(F.concat(F.md5(F.col("id").cast("string")), F.lit("::"), "id").alias("line"))
+    good, bad = X.split_malformed(X.parse_lines(lines, "::", [("a", "string"), ("b", "bigint")]))
+    for d in (good, bad):
+        plan = d._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("md5(") == 1 and plan.count("split(") == 1
+    assert sorted(r["b"] for r in good.collect()) == list(range(20)) and bad.count() == 0
