@@ -132,6 +132,50 @@ def test_forest_scores(spark, rated):
         assert curve[size][1] == n and math.isclose(curve[size][0], math.sqrt(sse / n), abs_tol=1e-9)
 
 
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_forest_counted_and_sorted_cuts(seed):
+    """Features of few codes are counted, others sorted: the same cuts, and the trees of recursive growth."""
+    rng = np.random.default_rng(seed)
+    n, classes, nodes = 400, 3, 9
+    node, v, y = (rng.integers(0, k, n) for k in (nodes, FO.FEW_CODES, classes))
+    v[node == 3] = 5  # one code only: no cut
+    w = rng.integers(1, 4, n)
+    total = np.bincount(node * classes + y, w, nodes * classes).reshape(nodes, classes).astype(np.int64)
+    v = v.astype(np.uint16)
+    counted = {int(a): (b, int(c)) for a, b, c in zip(*FO._cuts_by_count(node, v, y, w, total, FO.FEW_CODES, classes)) if b >= 0}
+    sorted_ = {int(a): (b, int(c)) for a, b, c in zip(*FO._cuts_by_sort(node, v, y, w, total, classes))}
+    assert counted == sorted_ and set(counted) == set(range(nodes)) - {3}
+    codes = np.stack([rng.integers(0, k, 120) for k in (2, 1, 8, 60, 2, 9)], 1).astype(np.uint16)
+    y, w, key = rng.integers(0, classes, 120), rng.integers(0, 3, 120), np.uint64(77 + seed)
+    k = w > 0
+    f, c, left, share = FO.grow_subtree(codes[k], y[k], w[k], key, 0, classes, 2)
+
+    def inner(i):
+        if f[i] < 0:
+            return ("leaf", tuple(share[left[i]].tolist()))
+        return (int(f[i]), int(c[i]), inner(left[i]), inner(left[i] + 1))
+
+    assert inner(0) == brute_tree(codes, y, w, key, classes, 2)
+
+
+def test_forest_edges_sketches_by_row(spark, rated):
+    """Distinct values are sketched in one small row a feature; nulls and short rows count as 0."""
+    df, rows = rated
+    x = df.select("x").unionByName(spark.createDataFrame([([None, 7.0],)], "x array<double>"))
+    seen = []
+    plain = FO.F.approx_count_distinct
+    FO.F.approx_count_distinct = lambda c, *a: seen.append(c) or plain(c, *a)
+    try:
+        edges = FO.feature_edges(x, 5)
+    finally:
+        FO.F.approx_count_distinct = plain
+    want = np.array([r[1] for r in rows] + [[0.0, 7.0, 0.0, 0.0, 0.0]])
+    for f in range(5):
+        v = np.unique(want[:, f])
+        assert np.array_equal(edges[f], (v[1:] + v[:-1]) / 2)
+    assert len(seen) == 1
+
+
 def test_forest_many_values_and_one_class(spark):
     df = spark.createDataFrame([(str(i), [float(i), None], 2.0) for i in range(300)],
                                "row_key string, x array<double>, rating double")
