@@ -55,3 +55,13 @@ def test_places_of_missing_ids():
         assert known.tolist() == [True, False, True, False, False, True]
         assert ids[at[known]].tolist() == [3, 5, int(ids[2])]
     assert not FA._places(np.zeros(0, np.int64), np.array([1]))[1].any()
+
+
+def test_parts_count_all_bytes_of_a_cell(spark, monkeypatch):
+    """A cell takes more than its partner's factors: the parts of narrow models stay under the bound as well."""
+    monkeypatch.setattr(FA, "PART_BYTES", 1000)
+    rows = spark.range(1000).selectExpr("id % 250 as user_id", "id as item_id", "1.0D as rating")
+    side = FA.rating_blocks(rows, "user_id", "item_id", 2, 1000, written=False)
+    cells = [r["n"] for r in side.blocks.selectExpr("p", "size(rating) as n").groupBy("p").sum("n").toDF("p", "n").collect()]
+    assert sum(cells) == 1000
+    assert len(cells) > 40 and np.mean(cells) * (FA.CELL_BYTES + 16) < 2 * FA.PART_BYTES
