@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage, cut_lineage_observed, drop_table, table_path
 
 FIRST = 4096         # items of the first segment
-GROWTH = 16          # each segment is this many times larger
+GROWTH = 4           # each segment is this many times larger
 USER_BLOCK = 1 << 17
 ITEM_BLOCK = 1 << 18
 BOX = 256            # items of a box
@@ -212,7 +212,9 @@ def top_all_users(users: DataFrame, items: DataFrame, seen: DataFrame, n: int, f
             _kernel(n), "user_id bigint, item_id bigint, score double")
         # at most n rows of a user and block
         now = got.groupBy("user_id").agg(F.collect_list(F.struct((-F.col("score")).alias("neg"), "item_id")).alias("now"))
-        merged = F.slice(F.sort_array(F.concat("top", F.coalesce("now", none))), 1, n)
+        # rows of one user share their finds, the old ones and the new
+        tops = F.flatten(F.collect_list("top").over(Window.partitionBy("user_id")))
+        merged = F.slice(F.sort_array(F.concat(tops, F.coalesce("now", none))), 1, n)
         state = cut_lineage(state.join(now, "user_id", "left").select("user_id", "f", "norm", merged.alias("top")))
     if state is not None:
         finished.append(state.select("user_id", "top"))
