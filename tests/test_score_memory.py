@@ -27,3 +27,8 @@ def test_rank_32_at_900000_users_is_not_broadcast(spark):
 
 def test_small_factor_tables_are_broadcast(spark):
     assert _score_plan(spark, 4, 15_000, 20_000).lower().count("broadcast") == 2
+
+
+def test_ranks_1_and_2_at_5400000_users_are_not_broadcast(spark):
+    for rank in (1, 2):
+        assert "broadcast" not in _score_plan(spark, rank, 5_400_000, 7_200_000).lower()
